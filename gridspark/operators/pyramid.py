@@ -228,7 +228,7 @@ def mips_ok(sidecars: DataFrame, key: str, block_bytes: Column) -> DataFrame:
     upto = F.transform(F.sequence(F.lit(0), F.size(mips)), lambda i: F.aggregate(
         F.slice(sizes, F.lit(1), i), F.lit(0.0), lambda s, v: s + v))
     placed = F.forall(F.transform(mips, lambda m, i: (
-        (m["w"] == F.shiftright("width", i)) & (m["h"] == F.shiftright("height", i))
+        (m["w"] == T.ancestor("width", i)) & (m["h"] == T.ancestor("height", i))
         & (m["w"] % 4 == 0) & (m["h"] % 4 == 0) & (m["offset"] == F.get(upto, i)))), lambda ok: ok)
     good = (F.size(mips).between(1, T.MAX_MIPS)) & placed & (F.element_at(upto, -1) == F.col("payload_bytes"))
     return sidecars.select(key, F.coalesce(good, F.lit(False)).alias("ok"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
 from ..session import literal_table
+from .asof import asof_join
+from .ordered import neighbour
 
 GRID = "grid_id"
 AXIS = "target int, source int, w double"
@@ -113,17 +115,15 @@ def linear_weights(index: list[float | None], source: int) -> Weights:
     return out
 
 
-def axis_index_table(axis: DataFrame, targets: DataFrame) -> DataFrame:
+def axis_index_table(axis: DataFrame, targets: DataFrame, chunk_width: float) -> DataFrame:
     """``axis_index`` as a join for axes held in tables: (axis_id, i, coord) and (axis_id, target, coord).
 
     The last axis point at or before each target and its successor bracket the target; targets outside
     the axis get NULL.
     """
-    from pyspark.sql import Window
-    from .asof import asof_join
-    w = Window.partitionBy("axis_id").orderBy("i")
-    points = axis.select("axis_id", "i", F.col("coord").alias("c0"), F.lead("coord").over(w).alias("c1"))
-    hit = asof_join(targets, points, ["axis_id"], "coord", "c0", ["i", "c0", "c1"], 1e18)
+    points = neighbour(axis, ["axis_id"], ["coord"], chunk_width, {"c1": F.col("coord")}).select(
+        "axis_id", "i", F.col("coord").alias("c0"), "c1")
+    hit = asof_join(targets, points, ["axis_id"], "coord", "c0", ["i", "c0", "c1"], chunk_width)
     pos = F.col("i") + (F.col("coord") - F.col("c0")) / (F.col("c1") - F.col("c0"))
     last = F.when(F.col("coord") == F.col("c0"), F.col("i").cast("double"))
     return hit.select("axis_id", "target", F.coalesce(pos, last).alias("pos"))
