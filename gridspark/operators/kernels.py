@@ -150,9 +150,12 @@ def polar_lowpass(cells: DataFrame, bands: list[str], height: int, width: int) -
         F.when(F.col("x") >= width - 1 - F.col("_k"), F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")),
     )).otherwise(F.array(F.lit(0)))
     df = df.withColumn("_turn", F.explode(turns))
-    df = df.withColumn("_z", (F.col("x") + F.col("_turn") * width) / F.greatest(F.col("_k"), F.lit(1)).cast("double"))
+    unit = 1 << 32
+    place = (F.col("x") + F.col("_turn") * width) * float(unit) / F.greatest(F.col("_k"), F.lit(1))
+    df = df.withColumn("_z", F.floor(place).cast("bigint"))
     slack = 1.0 / (8 * width)
-    box = Window.partitionBy(GRID, "y").orderBy("_z").rangeBetween(-0.5 - slack, 0.5 - 1.0 / width + slack)
+    box = Window.partitionBy(GRID, "y").orderBy("_z").rangeBetween(
+        int((-0.5 - slack) * unit), int((0.5 - 1.0 / width + slack) * unit))
     df = df.withColumns({f"_m_{b}": F.when(F.col("_k") >= 2, F.avg(b).over(box)).otherwise(F.col(b)) for b in bands})
     out = df.where(F.col("_turn") == 0).withColumns({b: F.col(f"_m_{b}") for b in bands})
     return out.drop("_k", "_turn", "_z", *[f"_m_{b}" for b in bands])

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import tiles as T
 from ..functions.colour import linear_to_srgb, srgb_to_linear
-from ..functions.numeric import half_up_255
 from ..session import cut_lineage, literal_table
 from .ordered import global_order, neighbour
 
@@ -37,14 +36,14 @@ def mip_reduce(cells: DataFrame, srgb_bands: list[str], plain_bands: list[str],
     if odd == "cut":
         cells = cells.where((F.col("y") < max(1, height // 2 * 2)) & (F.col("x") < max(1, width // 2 * 2)))
 
-    def quantise(c: Column) -> Column:
-        return half_up_255(c) if rounding == "half_up" else F.rint(c * 255.0).cast("int")
+    def whole(c: Column) -> Column:
+        return (F.floor(c + 0.5) if rounding == "half_up" else F.rint(c)).cast("int")
 
-    means = [F.avg(srgb_to_linear(b)).alias(b) for b in srgb_bands] \
-        + [F.avg(F.col(b) / 255.0).alias(b) for b in plain_bands]
+    # The mean of a few bytes is exact in a double, so ties of plain bands round as they should.
+    means = [F.avg(srgb_to_linear(b)).alias(b) for b in srgb_bands] + [F.avg(b).alias(b) for b in plain_bands]
     out = cells.groupBy(GRID, F.shiftright("y", 1).alias("y"), F.shiftright("x", 1).alias("x")).agg(*means)
-    return out.withColumns({**{b: quantise(linear_to_srgb(b)) for b in srgb_bands},
-                            **{b: quantise(F.col(b)) for b in plain_bands}})
+    return out.withColumns({**{b: whole(linear_to_srgb(b) * 255.0) for b in srgb_bands},
+                            **{b: whole(F.col(b)) for b in plain_bands}})
 
 
 def build_pyramid(cells: DataFrame, srgb_bands: list[str], plain_bands: list[str], height: int, width: int,
