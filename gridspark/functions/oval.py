@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .geo import unit_vector
 from .numeric import clip, col, rint255
 from .solar import sun_vector
 
@@ -24,32 +23,33 @@ def _dot(a, b) -> Column:
     return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 
 
-def time_terms(t_us: Column | str) -> list[Column]:
-    """Noon and east directions of the magnetic frame; these depend on time only.
+def with_time_terms(times: DataFrame, t_us: str) -> DataFrame:
+    """Add ``noon`` and ``east``, the axes of the magnetic frame, to a time dimension.
 
-    Keep them as columns of the time dimension so a grid expansion does not repeat them per cell.
+    They depend on time only, so they are made once per time and not once per cell.
     """
-    sun = sun_vector(t_us, orders=2)
     pole = [F.lit(p) for p in _pole()]
-    along = _dot(sun, pole)
-    noon = [sun[i] - along * pole[i] for i in range(3)]
-    size = F.sqrt(_dot(noon, noon))
-    noon = [c / size for c in noon]
-    east = [pole[1] * noon[2] - pole[2] * noon[1],
-            pole[2] * noon[0] - pole[0] * noon[2],
-            pole[0] * noon[1] - pole[1] * noon[0]]
-    return [F.array(*noon).alias("noon"), F.array(*east).alias("east")]
+    df = times.withColumn("_sun", sun_vector(t_us, orders=2))
+    df = df.withColumn("_along", _dot(F.col("_sun"), pole))
+    df = df.withColumn("_raw", F.array(*[F.col("_sun")[i] - F.col("_along") * pole[i] for i in range(3)]))
+    df = df.withColumn("_size", F.sqrt(_dot(F.col("_raw"), F.col("_raw"))))
+    df = df.withColumn("noon", F.transform("_raw", lambda c: c / F.col("_size")))
+    n = F.col("noon")
+    east = F.array(pole[1] * n[2] - pole[2] * n[1], pole[2] * n[0] - pole[0] * n[2], pole[0] * n[1] - pole[1] * n[0])
+    return df.withColumn("east", east).drop("_sun", "_along", "_raw", "_size")
 
 
 def probability(lat, lon, noon: Column | str, east: Column | str, kp: Column | float) -> Column:
-    """Probability 0-1 of aurora at a place for the frame of ``time_terms``."""
+    """Probability 0-1 of aurora at a place for the frame of ``with_time_terms``."""
     noon, east = col(noon), col(east)
     kp = kp if isinstance(kp, Column) else F.lit(float(kp))
-    point, pole = unit_vector(lat, lon), [F.lit(p) for p in _pole()]
+    la, lo = F.radians(col(lat)), F.radians(col(lon))
+    point = (F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))
+    pole = [F.lit(p) for p in _pole()]
     magnetic = F.abs(F.degrees(F.asin(clip(_dot(point, pole), -1.0, 1.0))))
-    # cos(atan2(e, n) + pi) is minus the cosine of the angle from noon.
+    # 1 at magnetic midnight, -1 at noon: minus the cosine of the angle from noon.
     e, n = _dot(point, east), _dot(point, noon)
-    night = -F.cos(F.atan2(e, n))
+    night = -n / F.sqrt(e * e + n * n)
     inner = 66.0 - 1.8 * kp - 4.0 * night
     outer = 73.0 - 0.8 * kp - 3.5 * night
     depth = (magnetic - inner) / F.greatest(outer - inner, F.lit(1.0))

@@ -112,8 +112,8 @@ def slope_normals(cells: DataFrame, band: str, height: int, width: int, x_scale:
 
 
 def sphere_normals(cells: DataFrame, band: str, height: int, width: int, exaggeration: float = 1.0,
-                   radius_m: float = 6_371_000.0, block: int = 64) -> DataFrame:
-    """Unit normals of heights in metres on the sphere; grid spacing shrinks with latitude to 100 m."""
+                   radius_m: float = 6_378_137.0, block: int = 64) -> DataFrame:
+    """Unit normals (east, north, up) of heights in metres on the sphere; the grid spacing is never under 100 m."""
     df = with_halo(cells, block, 1, height, width, wrap_x=True)
     df = df.withColumns({
         "_e": F.lead(band).over(along_x()), "_w": F.lag(band).over(along_x()),
@@ -123,9 +123,9 @@ def sphere_normals(cells: DataFrame, band: str, height: int, width: int, exagger
     step_y = radius_m * math.pi / height
     span = F.col("_n").isNotNull().cast("int") + F.col("_s").isNotNull().cast("int")
     east = exaggeration * (F.col("_e") - F.col("_w")) / (2.0 * step_x)
-    south = F.coalesce(exaggeration * (F.coalesce("_s", band) - F.coalesce("_n", band)) / (F.nullif(span, F.lit(0)) * step_y),
+    north = F.coalesce(exaggeration * (F.coalesce("_n", band) - F.coalesce("_s", band)) / (F.nullif(span, F.lit(0)) * step_y),
                        F.lit(0.0))
-    return core(_normal(df, east, south).drop("_e", "_w", "_s", "_n"), block)
+    return core(_normal(df, east, north).drop("_e", "_w", "_s", "_n"), block)
 
 
 def _normal(df: DataFrame, dx: Column, dy: Column) -> DataFrame:

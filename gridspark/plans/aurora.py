@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing_to, destination, unit_vector
-from ..functions.numeric import rint255
+from ..functions.numeric import clip
 from ..operators.regrid import resize
 
 GRID = "grid_id"
@@ -41,34 +41,47 @@ def vantage(targets: DataFrame, key: str) -> DataFrame:
     target never leaves its partition.
     """
     t = targets.withColumns({"_la": F.radians("lat"), "_lo": F.radians("lon"), "_d": F.radians("arc")})
-    t = t.withColumn("_c", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("step"), F.lit(math.radians(b)).alias("b")) for i, b in enumerate(BEARINGS)])))
-    end_lat, end_lon, _ = destination(F.col("_la"), F.col("_lo"), F.col("_c.b"), F.col("_d"))
-    t = t.withColumns({"_clat": end_lat, "_clon": end_lon})
-    t = t.withColumn("_heading", bearing_to(F.col("_clat"), F.col("_clon"), F.col("_la"), F.col("_lo")))
-    suns = []
-    for off in OFFSETS:
-        for reach in REACHES:
-            la, lo, _ = destination(F.col("_clat"), F.col("_clon"), F.col("_heading") + math.radians(off), F.lit(math.radians(reach)))
-            suns.append(F.cos(la) * F.cos(lo) * F.col("sun")[0] + F.cos(la) * F.sin(lo) * F.col("sun")[1] + F.sin(la) * F.col("sun")[2])
-    t = t.withColumn("_worst", F.greatest(*suns))
-    score = F.greatest("_worst", F.lit(-0.2)) + 0.002 * F.degrees(F.abs("_clat") - F.abs("_la"))
-    t = t.withColumn("score", score)
-    best = t.groupBy(key).agg(F.min_by(
-        F.struct(F.col("_c.step").alias("step"), "score", "_clat", "_clon", "_heading"),
-        F.struct(F.round("score", 9), F.col("_c.step"))).alias("b"))
-    lon = F.pmod(F.degrees("b._clon") + 540.0, F.lit(360.0)) - 180.0
-    return best.select(key, "b.step", "b.score", F.degrees("b._clat").alias("camera_lat"), lon.alias("camera_lon"),
-                       F.pmod(F.degrees("b._heading"), F.lit(360.0)).alias("heading"))
+
+    def place(bearing, i):
+        la, lo, _ = destination(F.col("_la"), F.col("_lo"), bearing, F.col("_d"))
+        return F.struct(i.alias("step"), la.alias("la"), lo.alias("lo"))
+
+    def face(p):
+        return p.withField("heading", bearing_to(p["la"], p["lo"], F.col("_la"), F.col("_lo")))
+
+    def horizon(p):
+        suns = []
+        for off in OFFSETS:
+            for reach in REACHES:
+                la, lo, _ = destination(p["la"], p["lo"], p["heading"] + math.radians(off), F.lit(math.radians(reach)))
+                suns.append(F.cos(la) * F.cos(lo) * F.col("sun")[0] + F.cos(la) * F.sin(lo) * F.col("sun")[1]
+                            + F.sin(la) * F.col("sun")[2])
+        score = F.greatest(F.greatest(*suns), F.lit(-0.2)) + 0.002 * F.degrees(F.abs(p["la"]) - F.abs(F.col("_la")))
+        return p.withField("score", score)
+
+    def ranked(p):
+        return F.struct(F.round(p["score"], 9).alias("order"), p["step"].alias("step"), p.alias("p"))
+
+    bearings = F.array(*[F.lit(math.radians(b)) for b in BEARINGS])
+    for step, fn in (("_1", place), ("_2", face), ("_3", horizon), ("_4", ranked)):
+        source = bearings if step == "_1" else F.col(f"_{int(step[1]) - 1}")
+        t = t.withColumn(step, F.transform(source, fn))
+    best = t.select(key, F.array_min("_4")["p"].alias("b"))
+    lon = F.pmod(F.degrees("b.lo") + 540.0, F.lit(360.0)) - 180.0
+    return best.select(key, "b.step", "b.score", F.degrees("b.la").alias("camera_lat"), lon.alias("camera_lon"),
+                       F.pmod(F.degrees("b.heading"), F.lit(360.0)).alias("heading"))
 
 
 def aurora_grid(points: DataFrame, key: str, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
     """Integer-degree probabilities (key, lon, lat, value 0-100) as bytes on the target grid.
 
     Rows run north to south; columns are turned by half the width so that -180 comes first.
+    Nodes that are not listed count as 0.
     """
     h, w = source
-    cells = points.select(F.col(key).alias(GRID), (h - 1 - (F.col("lat") + (h // 2 if h % 2 == 0 else (h - 1) // 2))).cast("int").alias("y"),
-                          F.pmod(F.col("lon") + w // 2, F.lit(w)).cast("int").alias("x"), F.col("value").cast("double").alias("p"))
-    big = resize(cells, ["p"], source, target, "bilinear")
-    return big.select(GRID, "y", "x", rint255(F.col("p") / 100.0).alias("alpha"))
+    placed = points.select(
+        F.col(key).alias(GRID), ((h - 1) // 2 - F.col("lat")).cast("int").alias("y"),
+        F.pmod(F.col("lon") + w // 2, F.lit(w)).cast("int").alias("x"), (F.col("value") / 100.0).alias("p"))
+    # A missing node adds nothing to the weighted sums, so the grid need not be made dense.
+    big = resize(placed, ["p"], source, target, "bilinear")
+    return big.select(GRID, "y", "x", F.rint(F.round(clip("p", 0.0, 1.0) * 255.0, 6)).cast("int").alias("alpha"))

@@ -37,7 +37,7 @@ def deep_convection(sky: DataFrame, height: int, width: int, out: tuple[int, int
     conv = rint255(F.when(tropical, cold * departed).otherwise(0.0)).cast("double")
     cells = tops.select(GRID, "y", "x", conv.alias("conv"))
     boxed = regrid_area(cells, ["conv"], (height, width), out)
-    return boxed.withColumn("conv", F.rint("conv") / 255.0)
+    return boxed.withColumn("conv", F.floor(F.round("conv", 6) + 0.5) / 255.0)
 
 
 def steer_storms(packed: DataFrame, convection: DataFrame, height: int, width: int) -> DataFrame:

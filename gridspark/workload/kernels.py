@@ -56,8 +56,8 @@ def e4(spark, d):
 
 
 @query("e4_sphere_normals", with_(CELLS, NEAR) + """, g as (select grid_id, y, x,
-  2000e0 * (e - w) / (2 * greatest(100e0, 6371000e0 * cos(radians(90e0 - (y + 0.5e0) * 1.125e0)) * 2 * pi() / 200)) as dx,
-  2000e0 * (coalesce(s, v) - coalesce(n, v)) / ((case when s is null then 0 else 1 end + case when n is null then 0 else 1 end) * 6371000e0 * pi() / 160) as dy from nb) """ + NORMAL)
+  2000e0 * (e - w) / (2 * greatest(100e0, 6378137e0 * cos(radians(90e0 - (y + 0.5e0) * 1.125e0)) * 2 * pi() / 200)) as dx,
+  2000e0 * (coalesce(n, v) - coalesce(s, v)) / ((case when s is null then 0 else 1 end + case when n is null then 0 else 1 end) * 6378137e0 * pi() / 160) as dy from nb) """ + NORMAL)
 def e4b(spark, d):
     out = K.sphere_normals(A.cells(spark, d), "v", A.H, A.W, exaggeration=2000.0)
     return out.select("grid_id", "y", "x", *[N.r6(c).alias(c) for c in ("nx", "ny", "nz")])
