@@ -98,13 +98,17 @@ def with_gutter(cells: DataFrame, height: int, width: int, tile: int = T.TILE, g
     return (cells.join(ty, cells["y"] == ty["_sy"]).join(tx, cells["x"] == tx["_sx"]).drop("_sy", "_sx", "y", "x"))
 
 
-def tile_payloads(padded: DataFrame, bands: list[str]) -> DataFrame:
-    """One row per padded tile: bytes in row order with the bands interleaved, and their SHA-256.
+def texel_hex(bands: list[str]) -> Column:
+    """The byte bands of a cell as interleaved hexadecimal digits."""
+    return F.concat(*[F.lpad(F.hex(F.col(b).cast("int")), 2, "0") for b in bands])
 
-    A tile holds a fixed number of pixels. Rows are assembled first, then the tile from its rows.
+
+def tile_payloads(padded: DataFrame, pixel: Column) -> DataFrame:
+    """One row per padded tile: its units (hexadecimal ``pixel``) in row order, and their SHA-256.
+
+    A tile holds a fixed number of units. Rows are assembled first, then the tile from its rows.
     """
     keys = [c for c in (GRID, "layer", "mip") if c in padded.columns] + ["ty", "tx"]
-    pixel = F.concat(*[F.lpad(F.hex(F.col(b).cast("int")), 2, "0") for b in bands])
     rows = padded.groupBy(*keys, "ly").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lx", pixel.alias("p")))), lambda s: s["p"]), "").alias("h"))
     tiles = rows.groupBy(*keys).agg(

@@ -184,7 +184,7 @@ def k7b(spark, d):
 LINEAR = "greatest(0e0, 1 - q)"
 
 
-@query("k8_aurora_grid", with_(BYTES) + """, p as (select grid_id, y, (x + 100) % 200 as x, floor(r * 100 / 255e0) / 100e0 as v from bytes where (x + y) % 7 <> 0),
+@query("k8_aurora_grid", with_(BYTES) + """, p as (select grid_id, y, (x + 100) % 200 as x, floor(r * 100 / 255e0) / 100e0 as v from bytes where (x + y) % 7 <> 0 union all select distinct grid_id, yy.y, xx.x, 0e0 from bytes, (select unnest(range(160)) as y) yy, (select unnest(range(200)) as x) xx),
 """ + kernel_sql(160, 320, "wy", "y", 1, LINEAR) + ", " + kernel_sql(200, 400, "wx", "x", 1, LINEAR) + """,
 a as (select grid_id, wy.t as y, x, sum(v * w) as v from p join wy on y = s group by 1, 2, 3)
 select grid_id, y::int as y, wx.t::int as x, round_even(round(sum(v * w) * 255e0, 6), 0)::int as alpha from a join wx on x = s group by 1, 2, 3""")
