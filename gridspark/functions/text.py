@@ -36,12 +36,8 @@ def confined(c: Column | str) -> Column:
 
 def element_checksum(line: Column | str) -> Column:
     """Sum of the digits of the first 68 characters, a minus counting one, modulo ten."""
-    head = F.substring(col(line), 1, 68)
-    # Weight 1 is shared by the digit one and the minus sign.
-    total = F.lit(0)
-    for digit in range(1, 10):
-        symbols = "[1-]" if digit == 1 else str(digit)
-        total = total + digit * F.regexp_count(head, F.lit(symbols))
+    head = F.regexp_replace(F.translate(F.substring(col(line), 1, 68), "-", "1"), "[^0-9]", "0")
+    total = F.aggregate(F.split(head, ""), F.lit(0), lambda s, c: s + F.coalesce(c.try_cast("int"), F.lit(0)))
     return F.pmod(total, F.lit(10))
 
 

@@ -1,0 +1,190 @@
+"""Near-Earth satellite positions (the public SGP4 model, WGS72) over columns of elements and times.
+
+Every row is one element set at one instant, so rows need no grouping: Spark splits them as it likes
+and each Arrow batch is computed as whole arrays.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# WGS72 constants in Earth radii and minutes.
+RADIUS, KE = 6378.135, 0.0743669161331734132
+J2, J3, J4 = 0.001082616, -0.00000253881, -0.00000165597
+K2, K4, A3 = 0.5 * J2, -0.375 * J4, -J3 / (0.5 * J2)
+FLATTENING = 1.0 / 298.26
+DEEP_SPACE_MINUTES = 225.0
+
+
+def parse_elements(sets: DataFrame) -> DataFrame:
+    """Numeric elements (degrees, revolutions a day, inverse Earth radii) from ``l1`` and ``l2``."""
+    def num(line, start, size):
+        return F.trim(F.substring(line, start, size)).try_cast("double")
+
+    sign = F.when(F.substring("l1", 54, 1) == "-", -1.0).otherwise(1.0)
+    bstar = sign * num("l1", 55, 5) * 1e-5 * F.pow(F.lit(10.0), num("l1", 60, 2))
+    return sets.withColumns({
+        "bstar": bstar, "inc": num("l2", 9, 8), "raan": num("l2", 18, 8), "ecc": num("l2", 27, 7) * 1e-7,
+        "argp": num("l2", 35, 8), "anomaly": num("l2", 44, 8), "rev_day": num("l2", 53, 11)})
+
+
+def _recover(n0, ecc, cos_i):
+    """Mean motion and semi-major axis before the averaging of the published elements."""
+    beta2 = 1.0 - ecc * ecc
+    shape = 1.5 * K2 * (3.0 * cos_i ** 2 - 1.0) / (np.sqrt(beta2) * beta2)
+    a1 = (KE / n0) ** (2.0 / 3.0)
+    d1 = shape / a1 ** 2
+    a0 = a1 * (1.0 - d1 * (1.0 / 3.0 + d1 * (1.0 + 134.0 / 81.0 * d1)))
+    d0 = shape / a0 ** 2
+    return n0 / (1.0 + d0), a0 / (1.0 - d0)
+
+
+def propagate(rev_day, ecc, inc, raan, argp, anomaly, bstar, minutes):
+    """(position km, velocity km/s, error text) in the equator-of-date frame; arrays in, arrays out."""
+    e0, t = np.asarray(ecc, float), np.asarray(minutes, float)
+    i0, node0, w0, m0 = (np.radians(np.asarray(v, float)) for v in (inc, raan, argp, anomaly))
+    n0 = np.asarray(rev_day, float) * 2.0 * np.pi / 1440.0
+    ci, si = np.cos(i0), np.sin(i0)
+    th2 = ci * ci
+    th4, con41, x1mth2, x7thm1 = th2 * th2, 3.0 * th2 - 1.0, 1.0 - th2, 7.0 * th2 - 1.0
+    with np.errstate(all="ignore"):
+        n, a = _recover(n0, e0, ci)
+        beta2 = 1.0 - e0 * e0
+        beta = np.sqrt(beta2)
+        perigee = (a * (1.0 - e0) - 1.0) * RADIUS
+        s_km = np.where(perigee < 98.0, 20.0, np.where(perigee < 156.0, perigee - 78.0, 78.0))
+        s4, q4 = s_km / RADIUS + 1.0, ((120.0 - s_km) / RADIUS) ** 4
+        low = a * (1.0 - e0) < 220.0 / RADIUS + 1.0
+        p2 = 1.0 / (a * a * beta2 * beta2)
+        xi = 1.0 / (a - s4)
+        eta = a * e0 * xi
+        eta2, ee = eta * eta, e0 * eta
+        psi2 = np.abs(1.0 - eta2)
+        coef = q4 * xi ** 4
+        coef1 = coef / psi2 ** 3.5
+        c2 = coef1 * n * (a * (1.0 + 1.5 * eta2 + ee * (4.0 + eta2))
+                          + 0.75 * K2 * xi / psi2 * con41 * (8.0 + 3.0 * eta2 * (8.0 + eta2)))
+        c1 = bstar * c2
+        round_orbit = e0 <= 1e-4
+        c3 = np.where(round_orbit, 0.0, coef * xi * A3 * n * si / np.where(round_orbit, 1.0, e0))
+        c4 = 2.0 * n * coef1 * a * beta2 * (
+            eta * (2.0 + 0.5 * eta2) + e0 * (0.5 + 2.0 * eta2)
+            - 2.0 * K2 * xi / (a * psi2) * (-3.0 * con41 * (1.0 - 2.0 * ee + eta2 * (1.5 - 0.5 * ee))
+                                            + 0.75 * x1mth2 * (2.0 * eta2 - ee * (1.0 + eta2)) * np.cos(2.0 * w0)))
+        c5 = 2.0 * coef1 * a * beta2 * (1.0 + 2.75 * (eta2 + ee) + ee * eta2)
+        g1 = 3.0 * K2 * p2 * n
+        g2, g3 = g1 * K2 * p2, 1.25 * K4 * p2 * p2 * n
+        m_dot = n + 0.5 * g1 * beta * con41 + 0.0625 * g2 * beta * (13.0 - 78.0 * th2 + 137.0 * th4)
+        w_dot = -0.5 * g1 * (1.0 - 5.0 * th2) + 0.0625 * g2 * (7.0 - 114.0 * th2 + 395.0 * th4) \
+            + g3 * (3.0 - 36.0 * th2 + 49.0 * th4)
+        h_dot = -g1 * ci
+        node_dot = h_dot + (0.5 * g2 * (4.0 - 19.0 * th2) + 2.0 * g3 * (3.0 - 7.0 * th2)) * ci
+
+        # Secular terms, with drag; orbits that graze the air keep the linear part only.
+        m_df, w = m0 + m_dot * t, w0 + w_dot * t
+        node = node0 + node_dot * t + 3.5 * beta2 * h_dot * c1 * t * t
+        t2, t3, t4 = t ** 2, t ** 3, t ** 4
+        c1s = c1 * c1
+        d2 = 4.0 * a * xi * c1s
+        d23 = d2 * xi * c1 / 3.0
+        d3 = (17.0 * a + s4) * d23
+        d4 = 0.5 * d23 * a * xi * (221.0 * a + 31.0 * s4) * c1
+        m_cof = np.where(round_orbit, 0.0, -2.0 / 3.0 * coef * bstar / np.where(round_orbit, 1.0, ee))
+        shift = bstar * c3 * np.cos(w0) * t + m_cof * ((1.0 + eta * np.cos(m_df)) ** 3 - (1.0 + eta * np.cos(m0)) ** 3)
+        shift = np.where(low, 0.0, shift)
+        m, w = m_df + shift, w - shift
+        full = ~low
+        temp_a = 1.0 - c1 * t - full * (d2 * t2 + d3 * t3 + d4 * t4)
+        temp_e = bstar * c4 * t + full * bstar * c5 * (np.sin(m) - np.sin(m0))
+        temp_l = 1.5 * c1 * t2 + full * (
+            (d2 + 2.0 * c1s) * t3 + t4 * (0.25 * (3.0 * d3 + c1 * (12.0 * d2 + 10.0 * c1s))
+                                          + 0.2 * t * (3.0 * d4 + 12.0 * c1 * d3 + 6.0 * d2 * d2
+                                                       + 15.0 * c1s * (2.0 * d2 + c1s))))
+        ecc_t = e0 - temp_e
+        bad_ecc = (ecc_t >= 1.0) | (ecc_t < -0.001)
+        a_t, ecc_t = a * temp_a ** 2, np.clip(ecc_t, 1e-6, 0.999999)
+        n_t = KE / np.abs(a_t) ** 1.5
+        lon = m + w + node + n * temp_l
+
+        # Long-period terms and Kepler's equation, a fixed number of Newton steps.
+        axn = ecc_t * np.cos(w)
+        lp = 1.0 / (a_t * (1.0 - ecc_t ** 2))
+        ayn = ecc_t * np.sin(w) + lp * 0.25 * A3 * si
+        one_ci = np.where(np.abs(1.0 + ci) > 1.5e-12, 1.0 + ci, 1.5e-12)
+        u = np.mod(lon + lp * 0.125 * A3 * si * (3.0 + 5.0 * ci) / one_ci * axn - node, 2.0 * np.pi)
+        big_e = u.copy()
+        for _ in range(10):
+            step = (u - ayn * np.cos(big_e) + axn * np.sin(big_e) - big_e) / (1.0 - axn * np.cos(big_e) - ayn * np.sin(big_e))
+            big_e = big_e + np.clip(step, -0.95, 0.95)
+        sin_e, cos_e = np.sin(big_e), np.cos(big_e)
+
+        # Short-period terms and the position.
+        e_cos, e_sin = axn * cos_e + ayn * sin_e, axn * sin_e - ayn * cos_e
+        el2 = axn ** 2 + ayn ** 2
+        p, r = a_t * (1.0 - el2), a_t * (1.0 - e_cos)
+        r_dot, rf_dot = KE * np.sqrt(np.abs(a_t)) / r * e_sin, KE * np.sqrt(np.abs(p)) / r
+        bl = np.sqrt(1.0 - el2)
+        k = e_sin / (1.0 + bl)
+        cu, su = a_t / r * (cos_e - axn + ayn * k), a_t / r * (sin_e - ayn - axn * k)
+        s2u, c2u = 2.0 * su * cu, 2.0 * cu * cu - 1.0
+        f1 = K2 / p
+        f2 = f1 / p
+        rk = r * (1.0 - 1.5 * f2 * bl * con41) + 0.5 * f1 * x1mth2 * c2u
+        uk = np.arctan2(su, cu) - 0.25 * f2 * x7thm1 * s2u
+        nk, ik = node + 1.5 * f2 * ci * s2u, i0 + 1.5 * f2 * ci * si * c2u
+        rk_dot, rfk_dot = r_dot - n_t * f1 * x1mth2 * s2u, rf_dot + n_t * f1 * (x1mth2 * c2u + 1.5 * con41)
+        mx, my = -np.sin(nk) * np.cos(ik), np.cos(nk) * np.cos(ik)
+        su, cu = np.sin(uk), np.cos(uk)
+        radial = np.stack([mx * su + np.cos(nk) * cu, my * su + np.sin(nk) * cu, np.sin(ik) * su])
+        along = np.stack([mx * cu - np.cos(nk) * su, my * cu - np.sin(nk) * su, np.sin(ik) * cu])
+        position = rk * radial * RADIUS
+        velocity = (rk_dot * radial + rfk_dot * along) * RADIUS / 60.0
+    error = np.where(2.0 * np.pi / n >= DEEP_SPACE_MINUTES, "deep space", "")
+    error = np.where((error == "") & bad_ecc, "eccentricity", error)
+    error = np.where((error == "") & ~(rk >= 1.0), "decayed", error)
+    return position, velocity, error
+
+
+def geodetic(position, unix_seconds):
+    """Latitude, longitude (degrees) and height (km) on WGS72 of an equator-of-date position."""
+    days = np.asarray(unix_seconds, float) / 86400.0 - 10957.5
+    cent = days / 36525.0
+    seconds = 67310.54841 + (876600.0 * 3600.0 + 8640184.812866) * cent + 0.093104 * cent ** 2 - 6.2e-6 * cent ** 3
+    sidereal = np.radians(np.mod(seconds, 86400.0) / 240.0)
+    x, y, z = position
+    lon = np.mod(np.degrees(np.arctan2(y, x) - sidereal) + 180.0, 360.0) - 180.0
+    flat = np.hypot(x, y)
+    e2 = FLATTENING * (2.0 - FLATTENING)
+    lat = np.arctan2(z, flat)
+    for _ in range(6):
+        c = 1.0 / np.sqrt(1.0 - e2 * np.sin(lat) ** 2)
+        lat = np.arctan2(z + RADIUS * c * e2 * np.sin(lat), flat)
+    return np.degrees(lat), lon, flat / np.cos(lat) - RADIUS * c
+
+
+def ground_track(samples: DataFrame) -> DataFrame:
+    """(object_id, t_us, lat, lon, alt_km, error) for rows of elements with ``epoch_us`` and ``t_us``.
+
+    A row that cannot be propagated keeps its place with an error and no position.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            minutes = (b["t_us"].to_numpy() - b["epoch_us"].to_numpy()) / 6e7
+            pos, _, error = propagate(b["rev_day"], b["ecc"], b["inc"], b["raan"], b["argp"], b["anomaly"],
+                                      b["bstar"].to_numpy(), minutes)
+            lat, lon, alt = geodetic(pos, b["t_us"].to_numpy() / 1e6)
+            ok = error == ""
+            yield pd.DataFrame({
+                "object_id": b["object_id"], "t_us": b["t_us"], "lat": np.where(ok, lat, np.nan),
+                "lon": np.where(ok, lon, np.nan), "alt_km": np.where(ok, alt, np.nan),
+                "error": np.where(ok, None, error)})
+
+    columns = ["object_id", "epoch_us", "t_us", "rev_day", "ecc", "inc", "raan", "argp", "anomaly", "bstar"]
+    out = samples.select(*columns).mapInPandas(
+        run, "object_id bigint, t_us bigint, lat double, lon double, alt_km double, error string")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("lat", "lon", "alt_km")})

@@ -1 +1,87 @@
-"""Queries."""
+"""Batch forms of the streaming operators, over whole tables."""
+
+from pyspark.sql import functions as F
+
+from .. import adapters as A
+from ..functions import numeric as N, timefn
+from ..operators import requests as R, tracks
+from ..streaming import observations as O, requests as SR, telemetry as ST
+from .registry import query
+from .views import ELE, OBS, REQ, TEL, with_
+
+HOUR = timefn.HOUR_US
+
+
+def hours(spark, d):
+    return A.observations(spark, d).withColumn("hour_us", timefn.floor_to("t_us", HOUR))
+
+
+@query("i2_newest_pairs", with_(OBS) + """, h as (select y, x, max(t_us - t_us % 3600000000) filter (product = 'VIS')::bigint as vis_us, max(t_us - t_us % 3600000000) filter (product = 'LW')::bigint as ir_us from obs group by 1, 2)
+select *, case when vis_us is not null and ir_us is not null then least(vis_us, ir_us) + 300000000 end as observed_us from h""")
+def i2(spark, d):
+    return O.newest_pairs(hours(spark, d), ["y", "x"])
+
+
+@query("i2_strict_pairs", with_(OBS) + """, h as (select product, y, x, (t_us - t_us % 3600000000)::bigint as hour_us, max(cnt) as v from obs group by 1, 2, 3, 4)
+select a.y, a.x, a.hour_us, a.v as vis, b.v as ir from h a join h b on a.y = b.y and a.x = b.x and a.hour_us = b.hour_us and a.product = 'VIS' and b.product = 'LW'""")
+def i2b(spark, d):
+    h = hours(spark, d).groupBy("product", "y", "x", "hour_us").agg(F.max("cnt").alias("v"))
+    vis = h.where("product = 'VIS'").select("y", "x", "hour_us", F.col("v").alias("vis"))
+    ir = h.where("product = 'LW'").select("y", "x", "hour_us", F.col("v").alias("ir"))
+    return vis.join(ir, ["y", "x", "hour_us"])
+
+
+@query("i4_retained_hours", with_(OBS) + """, h as (select distinct product, y, x, (t_us - t_us % 3600000000)::bigint as hour_us from obs), n as (select max(t_us) as now_us from obs)
+select product, y, x, hour_us from h, n where abs(now_us - hour_us) < 86400000000""")
+def i4(spark, d):
+    h = hours(spark, d)
+    now = h.agg(F.max("t_us").alias("now_us")).withColumn("_k", F.lit(0))
+    distinct = h.select("product", "y", "x", "hour_us").distinct().withColumn("_k", F.lit(0))
+    return distinct.join(F.broadcast(now), "_k").where(timefn.usable("hour_us", "now_us", 24)).select("product", "y", "x", "hour_us")
+
+
+@query("i5_six_hour_rollup", with_(TEL) + """select run, (t_us - t_us % 21600000000)::bigint as start_us, count(*) as n, round(avg(wait_ms), 6) + 0e0 as mean, max(wait_ms) as max from tel group by 1, 2""")
+def i5(spark, d):
+    t = A.events(spark, d).withColumn("run", F.when(F.col("event_id") % 2 == 0, "before").otherwise("after"))
+    out = O.rollup_windows(t, ["run"], "value", "6 hours")
+    return out.select("run", timefn.micros(F.col("window.start")).alias("start_us"), "n", N.r6("mean").alias("mean"), "max")
+
+
+@query("i5_sliding_rollup", with_(TEL) + """, w as (select scene, wait_ms, (t_us - t_us % 1800000000 - k * 1800000000)::bigint as start_us from tel, (values (0), (1)) as q(k))
+select scene, start_us, count(*) as n, round(avg(wait_ms), 6) + 0e0 as mean, max(wait_ms) as max from w group by 1, 2""")
+def i5b(spark, d):
+    t = A.events(spark, d).withColumn("scene", F.col("event_type"))
+    out = O.rollup_windows(t, ["scene"], "value", "1 hour", "30 minutes")
+    return out.select("scene", timefn.micros(F.col("window.start")).alias("start_us"), "n", N.r6("mean").alias("mean"), "max")
+
+
+@query("i6_slow_sessions", with_(TEL) + """, s as (select *, case when t_us - lag(t_us) over (partition by scene order by t_us) <= 3600000000 then 0 else 1 end as b from tel where wait_ms >= 60),
+g as (select *, sum(b) over (partition by scene order by t_us) as k from s)
+select scene, min(t_us) as start_us, max(t_us) as last_us, count(*) as n, max(wait_ms) as worst from g group by scene, k""")
+def i6(spark, d):
+    t = A.events(spark, d).select(F.col("event_type").alias("scene"), "ts", F.col("value").alias("wait_ms"))
+    out = ST.slow_sessions(t, ["scene"], 60, "1 hour")
+    return out.select("scene", timefn.micros(F.col("session.start")).alias("start_us"), timefn.micros(F.col("last")).alias("last_us"), "n", "worst")
+
+
+@query("i7_newest_batches", with_(REQ) + """, f as (select layer, frame, row_number() over (partition by layer order by frame desc) as batch from (select distinct layer, frame from req) q)
+select r.event_id, r.layer, r.frame, f.batch::int as batch from req r join f on f.layer = r.layer and f.frame = r.frame where f.batch <= 3""")
+def i7(spark, d):
+    return R.newest_batches(A.requests(spark, d)).select("event_id", "layer", "frame", "batch")
+
+
+@query("i8_fresh_requests", with_(REQ) + """, m as (select layer, mip, y, x, max(priority) as priority, max(kind) as kind, max(frame) as frame from req where mip > 0 or event_id % 3 = 0 group by 1, 2, 3, 4)
+select m.* from m where (select max(frame) from req where mip > 0 or event_id % 3 = 0) - frame <= 30""")
+def i8(spark, d):
+    return R.drop_stale(A.requests(spark, d).where("mip > 0 or event_id % 3 = 0"))
+
+
+@query("i9_in_flight_windows", with_(REQ) + """select floor(frame / 30)::int as window_no, layer, mip, y, x, max(priority) as priority, max(kind) as kind, max(frame) as frame, count(*) as merged from req group by 1, 2, 3, 4, 5""")
+def i9(spark, d):
+    return SR.merged_windows(A.requests(spark, d))
+
+
+@query("i11_throttled_refreshes", with_(ELE) + """, a as (select *, lag(t_us) over (partition by object_id order by t_us, instant_id) as p from ins)
+select object_id, t_us, instant_id from a where p is null or t_us - p >= 21600000000""")
+def i11(spark, d):
+    return tracks.throttled(A.instants(spark, d), ["object_id"], "t_us", ["instant_id"], 6 * HOUR, float(timefn.DAY_US))
