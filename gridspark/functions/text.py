@@ -15,11 +15,13 @@ def strip_prefix(c: Column | str, prefix: str) -> Column:
 
 def key_values(c: Column | str) -> Column:
     """Space-separated ``key=value`` pairs as a map; a repeated key keeps its last value."""
-    pairs = F.filter(F.split(col(c), r"\s+"), lambda p: p.contains("="))
-    entries = F.transform(pairs, lambda p: F.struct(F.split(p, "=", 2)[0].alias("k"), F.split(p, "=", 2)[1].alias("v")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    last = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"])
-    return F.map_from_arrays(keys, last)
+    keys = F.regexp_extract_all(col(c), F.lit(r"(?:^|\s)([^\s=]+)="), F.lit(1))
+    values = F.regexp_extract_all(col(c), F.lit(r"(?:^|\s)[^\s=]+=(\S*)"), F.lit(1))
+    once = F.array_distinct(keys)
+    # Reversed, the first place of a key is its last one.
+    back, back_values = F.reverse(keys), F.reverse(values)
+    last = F.transform(once, lambda k: F.element_at(back_values, F.array_position(back, k).cast("int")))
+    return F.when(F.size(once) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(F.map_from_arrays(once, last))
 
 
 def safe_name(c: Column | str, empty: str = "output") -> Column:

@@ -22,6 +22,11 @@ VISIBLE_RATE, INFRARED_RATE, STEP_HOURS, DAY_COSINE = 0.004, 0.6, 72.0, 0.1
 RUNS_PER_CHUNK_US = 30 * DAY_US
 
 
+def update_runs(obs: DataFrame) -> DataFrame:
+    """The distinct update times, read from the time column alone."""
+    return obs.select(floor_to("t_us", HOUR_US).alias("run_us")).distinct()
+
+
 def update_clock(runs: DataFrame) -> DataFrame:
     """(run_us, u): hours of relaxation up to each update. There is one row per update of the whole system."""
     steps = neighbour(runs.select("run_us").distinct(), [], ["run_us"], RUNS_PER_CHUNK_US, {"_p": F.col("run_us")}, offset=-1)
@@ -71,7 +76,7 @@ def update_state(state: DataFrame, fields: DataFrame, hours: float, by: list[str
 def cloudy_share(obs: DataFrame, rows: int = 2, cols: int = 3, threshold: float = 0.5) -> DataFrame:
     """Share of cloudy places per coarse cell and hour, against the clear-sky composite of each place."""
     fields = hourly_fields(obs)
-    comp = composites(fields, update_clock(fields))
+    comp = composites(fields, update_clock(update_runs(obs)))
     surface = F.coalesce(F.least(F.col("vis_clear"), F.lit(0.45)), F.lit(0.12))
     cloud = smoothstep(0.02, 0.45, F.col("albedo") - surface)
     seen = comp.withColumn("cloud", cloud).where(F.col("cloud").isNotNull())

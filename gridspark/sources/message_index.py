@@ -31,12 +31,18 @@ def _with_end(lines: DataFrame) -> DataFrame:
     return ranged.where(F.col("_next").isNotNull()).withColumn("end_byte", F.col("_next") - 1).drop("_next")
 
 
-def _complete(found: DataFrame, names: int) -> DataFrame:
-    """The last range of each name, of files that hold every wanted name."""
-    last = found.groupBy("file_id", "name").agg(
-        F.max_by(F.struct("start_byte", "end_byte"), "line_no").alias("r"))
-    whole = last.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == names)
-    return last.join(whole, "file_id", "left_semi").select("file_id", "name", "r.*")
+def _complete(found: DataFrame, names: list[str]) -> DataFrame:
+    """The last range of each name, of files that hold every wanted name.
+
+    A file is reduced to one range per wanted name (a handful), so no second pass over the lines is needed.
+    """
+    ranges = found.groupBy("file_id").agg(*[
+        F.max(F.when(F.col("name") == n, F.struct("line_no", "start_byte", "end_byte"))).alias(f"_r{i}")
+        for i, n in enumerate(names)])
+    whole = ranges.dropna(subset=[f"_r{i}" for i in range(len(names))])
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_r{i}.start_byte").alias("start_byte"),
+                              F.col(f"_r{i}.end_byte").alias("end_byte")) for i, n in enumerate(names)])
+    return whole.select("file_id", F.inline(rows))
 
 
 def message_ranges(lines: DataFrame, wanted: list[tuple[str, str, str]]) -> DataFrame:
@@ -47,7 +53,7 @@ def message_ranges(lines: DataFrame, wanted: list[tuple[str, str, str]]) -> Data
     table = literal_table(lines.sparkSession, wanted, "variable string, level string, name string")
     parsed = _with_end(lines).withColumns({"variable": F.col("f")[3], "level": F.col("f")[4]})
     found = parsed.join(table, ["variable", "level"])
-    return _complete(found, len({name for _, _, name in wanted}))
+    return _complete(found, sorted({name for _, _, name in wanted}))
 
 
 def aerosol_ranges(lines: DataFrame) -> DataFrame:
@@ -57,4 +63,4 @@ def aerosol_ranges(lines: DataFrame) -> DataFrame:
     parsed = _with_end(lines).where(
         (F.size(f) > 8) & (F.get(f, F.lit(3)) == "AOTK") & (F.get(f, F.lit(6)) == "aerosol=Total aerosol"))
     low = F.regexp_replace(F.split(F.get(f, F.lit(8)), ",")[0], "^aerosol_wavelength >=", "")
-    return _complete(parsed.withColumn("low", low).join(table, "low"), len(WAVELENGTHS))
+    return _complete(parsed.withColumn("low", low).join(table, "low"), [name for _, name in WAVELENGTHS])

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 # Bodies are SQL, so the optimiser inlines them; none of these leaves the JVM.
@@ -25,7 +25,13 @@ SQL_FUNCTIONS = {
 }
 
 
-@udtf(returnType="line_no int, name string, start_byte bigint, end_byte bigint")
+# Types are objects, not text, so that this module imports before a session exists.
+RANGES = T.StructType([
+    T.StructField("line_no", T.IntegerType()), T.StructField("name", T.StringType()),
+    T.StructField("start_byte", T.LongType()), T.StructField("end_byte", T.LongType())])
+
+
+@udtf(returnType=RANGES)
 class IndexRanges:
     """Byte ranges of one index file: ``SELECT r.* FROM files, LATERAL index_ranges(text) r``."""
 
@@ -35,7 +41,7 @@ class IndexRanges:
             yield number, row[3], int(row[1]), int(following[1]) - 1
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def weighted_median(value: pd.Series, weight: pd.Series) -> float:
     """First value whose cumulative weight reaches half. For groups of bounded size, such as one grid row."""
     order = np.argsort(value.to_numpy(), kind="stable")
@@ -43,7 +49,7 @@ def weighted_median(value: pd.Series, weight: pd.Series) -> float:
     return float(value.to_numpy()[order][np.searchsorted(total, 0.5 * total[-1])])
 
 
-@pandas_udf("bigint")
+@pandas_udf(T.LongType())
 def fnv1a32_large(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """32-bit FNV-1a of binary payloads too long for the column expression."""
     for batch in payloads:

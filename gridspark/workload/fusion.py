@@ -40,8 +40,9 @@ def k0(spark, d):
 @query("k1_clear_sky_composites", with_(OBS, COMPOSITES) + """select run_us, y, x, round(vis_clear, 6) + 0e0 as vis_clear,
   round(ir_day, 6) + 0e0 as ir_day, round(ir_night, 6) + 0e0 as ir_night from k""")
 def k1(spark, d):
-    fields = composites.hourly_fields(A.observations(spark, d))
-    out = composites.composites(fields, composites.update_clock(fields))
+    obs = A.observations(spark, d)
+    fields = composites.hourly_fields(obs)
+    out = composites.composites(fields, composites.update_clock(composites.update_runs(obs)))
     return out.select("run_us", "y", "x", *[N.r6(c).alias(c) for c in ("vis_clear", "ir_day", "ir_night")])
 
 
