@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numeric import col
@@ -38,12 +38,22 @@ def equation_of_time(t_us: Column | str) -> Column:
     return EQUATION_MINUTES * _series(year_angle(t_us), *EQUATION)
 
 
+def with_time_terms(times: DataFrame, t_us: str | Column) -> DataFrame:
+    """Add ``sun_dec`` (radians) and ``sun_minutes`` to a time dimension; a grid then joins them by time."""
+    return times.withColumns({
+        "sun_dec": declination(t_us), "sun_minutes": day_hours(t_us) * 60.0 + equation_of_time(t_us)})
+
+
+def zenith_cosine_of(dec: Column | str, minutes: Column | str, lat: Column | str, lon: Column | str) -> Column:
+    """Cosine of the zenith angle from the terms of ``with_time_terms``."""
+    dec, phi = col(dec), F.radians(col(lat))
+    hour_angle = F.radians((col(minutes) + 4.0 * col(lon)) / 4.0 - 180.0)
+    return F.sin(phi) * F.sin(dec) + F.cos(phi) * F.cos(dec) * F.cos(hour_angle)
+
+
 def zenith_cosine(t_us, lat, lon) -> Column:
     """Cosine of the Sun's zenith angle at a place and time."""
-    dec, phi = declination(t_us), F.radians(col(lat))
-    minutes = day_hours(t_us) * 60.0 + equation_of_time(t_us) + 4.0 * col(lon)
-    hour_angle = F.radians(minutes / 4.0 - 180.0)
-    return F.sin(phi) * F.sin(dec) + F.cos(phi) * F.cos(dec) * F.cos(hour_angle)
+    return zenith_cosine_of(declination(t_us), day_hours(t_us) * 60.0 + equation_of_time(t_us), lat, lon)
 
 
 def subsolar_lon(t_us: Column | str) -> Column:

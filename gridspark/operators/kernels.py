@@ -57,12 +57,17 @@ def along_y() -> Window:
     return Window.partitionBy(GRID, *BLOCK, "_x").orderBy("y")
 
 
-def max_filter(cells: DataFrame, bands: list[str], size: int, height: int, width: int, block: int = 64) -> DataFrame:
-    """Maximum over a ``size`` x ``size`` neighbourhood, cut at the edges; NULL cells are skipped."""
-    r = size // 2
-    df = with_halo(cells, block, r, height, width)
-    for window in (along_x(), along_y()):
-        df = df.withColumns({b: F.max(b).over(window.rowsBetween(-r, r)) for b in bands})
+def max_filter(cells: DataFrame, outputs: dict[str, tuple[str, int]], height: int, width: int, block: int = 64) -> DataFrame:
+    """Add maxima over square neighbourhoods, cut at the edges; NULL cells are skipped.
+
+    ``outputs`` maps a new column to (band, size). Filters of several sizes share the one shuffle.
+    """
+    widest = max(size for _, size in outputs.values()) // 2
+    df = with_halo(cells, block, widest, height, width)
+    for axis, window in enumerate((along_x(), along_y())):
+        df = df.withColumns({
+            out: F.max(band if axis == 0 else out).over(window.rowsBetween(-(size // 2), size // 2))
+            for out, (band, size) in outputs.items()})
     return core(df, block)
 
 
@@ -205,44 +210,39 @@ def box_radius(sigma: float, passes: int = 3) -> tuple[int, float]:
 
 def gaussian(cells: DataFrame, band: str, sigma: float, height: int, width: int, wrap_x: bool = False,
              passes: int = 3) -> DataFrame:
-    """Gaussian blur as three extended box passes per axis; edge pixels are repeated, or x wraps.
+    """Gaussian blur of a dense grid as three extended box passes per axis; edge pixels are repeated, or x wraps.
 
     Box sums are differences of running sums, so the cost does not depend on sigma. The unit is a
     row, then a column, of one grid.
     """
     whole, edge = box_radius(sigma, passes)
-    if wrap_x:
-        pad = passes * (whole + 1)
-        turns = F.concat(F.array(F.lit(0)),
-                         F.when(F.col("x") < pad, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")),
-                         F.when(F.col("x") >= width - pad, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")))
-        cells = cells.withColumn("_turn", F.explode(turns)).withColumn("_px", F.col("x") + F.col("_turn") * width)
-    else:
-        cells = cells.withColumn("_turn", F.lit(0)).withColumn("_px", F.col("x"))
-    for axis, other in (("_px", "y"), ("y", "_px")):
-        unit = Window.partitionBy(GRID, other)
-        order = unit.orderBy(axis)
+    keep = [c for c in cells.columns if c != band]
+    pad = passes * (whole + 1) if wrap_x else 0
+    empty = F.array().cast("array<int>")
+    turns = F.concat(F.array(F.lit(0)),
+                     F.when(F.col("x") < pad, F.array(F.lit(1))).otherwise(empty),
+                     F.when(F.col("x") >= width - pad, F.array(F.lit(-1))).otherwise(empty))
+    df = cells.select(*keep, band, (F.explode(turns) if wrap_x else F.lit(0)).alias("_turn"))
+    df = df.select("*", (F.col("x") + F.col("_turn") * width).alias("_px"))
+    for axis, other, low, count in (("_px", "y", -pad, width + 2 * pad), ("y", "_px", 0, height)):
+        order = Window.partitionBy(GRID, other).orderBy(axis)
         for _ in range(passes):
-            cells = _box_pass(cells, band, unit, order, whole, edge)
+            df = _box_pass(df, [*keep, "_turn", "_px"], band, order, F.col(axis) - low, count, whole, edge)
         if axis == "_px":
-            cells = cells.where(F.col("_turn") == 0)
-    return cells.drop("_turn", "_px")
+            df = df.where(F.col("_turn") == 0)
+    return df.select(*cells.columns)
 
 
-def _box_pass(df: DataFrame, band: str, unit, order, whole: int, edge: float) -> DataFrame:
+def _box_pass(df: DataFrame, keep: list[str], band: str, order, i: Column, n: int, whole: int, edge: float) -> DataFrame:
+    """One box pass along ``order``; ``i`` is the 0-based place on the axis of ``n`` places."""
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumns({
-        "_cs": F.sum(band).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "_i": F.row_number().over(order), "_n": F.count(F.lit(1)).over(unit),
-        "_first": F.first(band).over(everything), "_last": F.last(band).over(everything)})
-    df = df.withColumn("_all", F.last("_cs").over(everything))
-    i, n = F.col("_i"), F.col("_n")
+    df = df.select(
+        *keep, band, F.sum(band).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_cs"),
+        F.sum(band).over(everything).alias("_all"), F.first(band).over(everything).alias("_first"),
+        F.last(band).over(everything).alias("_last"))
     upto = F.coalesce(F.lead("_cs", whole).over(order), F.col("_all")) if whole else F.col("_cs")
     before = F.coalesce(F.lag("_cs", whole + 1).over(order), F.lit(0.0))
-    beyond_low = F.greatest(F.lit(0), whole + 1 - i) * F.col("_first")
-    beyond_high = F.greatest(F.lit(0), i + whole - n) * F.col("_last")
+    beyond = F.greatest(F.lit(0), whole - i) * F.col("_first") + F.greatest(F.lit(0), i + whole + 1 - n) * F.col("_last")
     tips = F.coalesce(F.lag(band, whole + 1).over(order), F.col("_first")) \
         + F.coalesce(F.lead(band, whole + 1).over(order), F.col("_last"))
-    total = upto - before + beyond_low + beyond_high + edge * tips
-    df = df.withColumn("_b", total / (2 * whole + 1 + 2 * edge))
-    return df.withColumn(band, F.col("_b")).drop("_cs", "_i", "_n", "_first", "_last", "_all", "_b")
+    return df.select(*keep, ((upto - before + beyond + edge * tips) / (2 * whole + 1 + 2 * edge)).alias(band))

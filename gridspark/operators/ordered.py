@@ -51,9 +51,8 @@ def running(df: DataFrame, by: list[str], order: list[str], chunk_width: float,
     ``order[0]`` is numeric and is what the chunks are cut on; the rest break ties. ``scans`` maps an
     output name to (kind, value). ``inclusive`` counts the row itself, else only the rows before it.
     """
-    df = with_chunk(df, order[0], chunk_width)
-    for name, (_, value) in scans.items():
-        df = df.withColumn("_v_" + name, value)
+    columns = df.columns
+    df = with_chunk(df, order[0], chunk_width).withColumns({"_v_" + name: value for name, (_, value) in scans.items()})
     keys = [*by, CHUNK]
     rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
@@ -66,11 +65,8 @@ def running(df: DataFrame, by: list[str], order: list[str], chunk_width: float,
         for name, (kind, _) in scans.items()])
     local = df.select("*", *[
         _SCAN[kind](F.col("_v_" + name)).over(rows).alias("_l_" + name) for name, (kind, _) in scans.items()])
-    joined = local.join(carry, keys, "left")
-    out = joined.select("*", *[
+    return local.join(carry, keys, "left").select(*columns, *[
         _MERGE[kind](F.col("_c_" + name), F.col("_l_" + name)).alias(name) for name, (kind, _) in scans.items()])
-    scratch = [p + name for name in scans for p in ("_v_", "_c_", "_l_")]
-    return out.drop(CHUNK, *scratch)
 
 
 def neighbour(df: DataFrame, by: list[str], order: list[str], chunk_width: float,
@@ -78,11 +74,11 @@ def neighbour(df: DataFrame, by: list[str], order: list[str], chunk_width: float
     """Add values of the next row (``offset`` 1) or the previous one (-1), across chunk edges."""
     if offset not in (1, -1):
         raise ValueError("offset is 1 or -1")
-    df = with_chunk(df, order[0], chunk_width)
+    columns = df.columns
+    packed = F.struct(*[v.alias(name) for name, v in values.items()])
+    df = with_chunk(df, order[0], chunk_width).withColumn("_v", packed)
     keys = [*by, CHUNK]
     position = F.struct(*order)
-    packed = F.struct(*[v.alias(name) for name, v in values.items()])
-    df = df.withColumn("_v", packed)
     rows = Window.partitionBy(*keys).orderBy(*order)
     edge = F.min_by if offset == 1 else F.max_by
     edges = df.groupBy(*keys).agg(edge("_v", position).alias("_edge"))
@@ -90,9 +86,8 @@ def neighbour(df: DataFrame, by: list[str], order: list[str], chunk_width: float
     step = F.lead if offset == 1 else F.lag
     carry = edges.select(*keys, step("_edge").over(chunks).alias("_carry"))
     local = df.withColumn("_near", step("_v").over(rows))
-    out = local.join(carry, keys, "left").withColumn("_near", F.coalesce("_near", "_carry"))
-    return out.select("*", *[F.col("_near")[name].alias(name) for name in values]).drop(
-        CHUNK, "_v", "_near", "_carry")
+    near = F.coalesce("_near", "_carry")
+    return local.join(carry, keys, "left").select(*columns, *[near[name].alias(name) for name in values])
 
 
 def global_order(df: DataFrame, order: list[Column | str], sums: dict[str, Column] | None = None,

@@ -87,21 +87,27 @@ def apply_offsets(cells: DataFrame, band: str, offsets: DataFrame, starts: DataF
                   reach_degrees: float = 20.0) -> DataFrame:
     """Take each offset from the brighter side, fading to nothing over ``reach_degrees``.
 
-    The tapers of neighbouring seams can overlap, so the corrections of a cell are summed.
+    The tapers of neighbouring seams can overlap, so the corrections of a cell are summed. The offsets of
+    all seams are laid side by side per (grid, row), one row for a whole row of cells, and the taper is an
+    expression of the distance to each seam.
     """
     reach = max(1, round(reach_degrees * width / 360.0))
-    taper = [0.5 * (1.0 + math.cos(math.pi * (k + 0.5) / reach)) for k in range(reach)]
-    rows = [(1, k, t) for k, t in enumerate(taper)] + [(0, -1 - k, t) for k, t in enumerate(taper)]
-    table = literal_table(cells.sparkSession, rows, "east int, o int, taper double")
-    sides = offsets.join(starts, [GRID, "seam"]).withColumn("side", F.explode(F.array(
-        F.struct(F.lit(1).alias("east"), F.greatest(F.col("offset"), F.lit(0.0)).alias("a")),
-        F.struct(F.lit(0).alias("east"), F.greatest(-F.col("offset"), F.lit(0.0)).alias("a")))))
-    sides = sides.where(F.col("side.a") > 0).select(GRID, "y", "start", F.col("side.east").alias("east"), F.col("side.a").alias("a"))
-    parts = sides.join(table, "east").select(
-        GRID, "y", F.pmod(F.col("start") + F.col("o"), F.lit(width)).alias("x"), (F.col("a") * F.col("taper")).alias("c"))
-    total = parts.groupBy(GRID, "y", "x").agg(F.sum("c").alias("_c"))
-    out = cells.join(total, [GRID, "y", "x"], "left")
-    return out.withColumn(band, F.col(band) - F.coalesce("_c", F.lit(0.0))).drop("_c")
+    sides = offsets.join(starts, [GRID, "seam"])
+    seams = range(len(SATELLITES))
+    rows = sides.groupBy(GRID, "y").agg(*[
+        F.max(F.when(F.col("seam") == i, F.struct("start", "offset"))).alias(f"_s{i}") for i in seams])
+
+    def taper(k):
+        return F.when(k < reach, 0.5 * (1.0 + F.cos(math.pi * (k + 0.5) / reach))).otherwise(F.lit(0.0))
+
+    total = F.lit(0.0)
+    for i in seams:
+        start, offset = F.col(f"_s{i}.start"), F.col(f"_s{i}.offset")
+        part = F.when(offset > 0, offset * taper(F.pmod(F.col("x") - start, F.lit(width)))) \
+            .when(offset < 0, -offset * taper(F.pmod(start - 1 - F.col("x"), F.lit(width))))
+        total = total + F.coalesce(part, F.lit(0.0))
+    out = cells.join(rows, [GRID, "y"], "left")
+    return out.withColumn(band, F.col(band) - total).drop(*[f"_s{i}" for i in seams])
 
 
 def balance(cells: DataFrame, band: str, height: int, width: int) -> DataFrame:

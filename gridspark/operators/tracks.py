@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import dot, norm
 from ..functions.numeric import clip
 from .ordered import neighbour
 
@@ -16,20 +15,25 @@ def velocity(track: DataFrame, by: list[str], time: str, position: str, chunk_wi
     a = neighbour(track, by, [time], chunk_width, {"_t0": F.col(time), "_p0": F.col(position)}, offset=-1)
     b = neighbour(a, by, [time], chunk_width, {"_t1": F.col(time), "_p1": F.col(position)})
     inner = b.where(F.col("_t0").isNotNull() & F.col("_t1").isNotNull())
-    step = F.zip_with("_p1", "_p0", lambda p, q: p - q)
+    gone = [F.pow(F.col("_p1")[i] - F.col("_p0")[i], F.lit(2.0)) for i in range(3)]
     seconds = (F.col("_t1") - F.col("_t0")) / 1e6
-    return inner.withColumn("speed", norm(step) * radius_km / seconds).drop("_t0", "_t1", "_p0", "_p1")
-
-
-def slerp(a: Column, b: Column, t: Column) -> Column:
-    """Unit vector a share ``t`` along the great arc; nearly equal ends are blended linearly."""
-    c = clip(dot(a, b), -1.0, 1.0)
-    angle = F.acos(c)
-    near = c > 0.9995
-    wa = F.when(near, 1.0 - t).otherwise(F.sin((1.0 - t) * angle) / F.sin(angle))
-    wb = F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle))
-    mixed = F.zip_with(F.transform(a, lambda v: v * wa), F.transform(b, lambda v: v * wb), lambda p, q: p + q)
-    return F.transform(mixed, lambda v: v / norm(mixed))
+    return inner.withColumn("speed", F.sqrt(gone[0] + gone[1] + gone[2]) * radius_km / seconds).drop("_t0", "_t1", "_p0", "_p1")
+
+
+def slerp(df: DataFrame, a: str, b: str, t: Column, out: str) -> DataFrame:
+    """Add the unit vector a share ``t`` along the great arc from ``a`` to ``b``; near ends are blended linearly."""
+    p, q = F.col(a), F.col(b)
+    df = df.withColumn("_c", clip(sum((p[i] * q[i] for i in (1, 2)), p[0] * q[0]), -1.0, 1.0))
+    df = df.withColumns({"_angle": F.acos("_c"), "_t": t})
+    near = F.col("_c") > 0.9995
+    df = df.withColumns({
+        "_wa": F.when(near, 1.0 - F.col("_t")).otherwise(F.sin((1.0 - F.col("_t")) * F.col("_angle")) / F.sin("_angle")),
+        "_wb": F.when(near, F.col("_t")).otherwise(F.sin(F.col("_t") * F.col("_angle")) / F.sin("_angle"))})
+    df = df.withColumns({f"_m{i}": F.col("_wa") * p[i] + F.col("_wb") * q[i] for i in range(3)})
+    size = F.sqrt(sum((F.col(f"_m{i}") * F.col(f"_m{i}") for i in (1, 2)), F.col("_m0") * F.col("_m0")))
+    df = df.withColumn("_size", size)
+    df = df.withColumn(out, F.array(*[F.col(f"_m{i}") / F.col("_size") for i in range(3)]))
+    return df.drop("_c", "_angle", "_t", "_wa", "_wb", "_m0", "_m1", "_m2", "_size")
 
 
 def throttled(attempts: DataFrame, by: list[str], time: str, order: list[str], gap_us: int, chunk_width: float) -> DataFrame:

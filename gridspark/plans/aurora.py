@@ -38,26 +38,19 @@ def vantage(targets: DataFrame, key: str) -> DataFrame:
     """Per target (lat, lon, arc in degrees, sun vector) the place on the circle round it with the darkest horizon.
 
     The score is the highest Sun over the horizon samples, not under -0.2, plus a small cost for going
-    poleward; the first bearing wins ties. The Sun's sine at a sample is linear in three dot products
-    made once per candidate (up, north and east of the place). Candidates are reduced to one row per
-    target before the shuffle.
+    poleward; the first bearing wins ties. Candidates are reduced to one row per target before the shuffle.
     """
     t = targets.withColumns({"_la": F.radians("lat"), "_lo": F.radians("lon"), "_d": F.radians("arc")})
     t = t.withColumn("_c", F.explode(F.array(*[
         F.struct(F.lit(i).alias("step"), F.lit(math.radians(b)).alias("b")) for i, b in enumerate(BEARINGS)])))
     end_lat, end_lon, _ = destination(F.col("_la"), F.col("_lo"), F.col("_c.b"), F.col("_d"))
     t = t.withColumns({"_clat": end_lat, "_clon": end_lon})
-    la, lo, sun = F.col("_clat"), F.col("_clon"), F.col("sun")
-    t = t.withColumns({
-        "_heading": bearing_to(la, lo, F.col("_la"), F.col("_lo")),
-        "_up": F.cos(la) * F.cos(lo) * sun[0] + F.cos(la) * F.sin(lo) * sun[1] + F.sin(la) * sun[2],
-        "_north": F.cos(la) * sun[2] - F.sin(la) * F.cos(lo) * sun[0] - F.sin(la) * F.sin(lo) * sun[1],
-        "_east": F.cos(lo) * sun[1] - F.sin(lo) * sun[0]})
+    t = t.withColumn("_heading", bearing_to(F.col("_clat"), F.col("_clon"), F.col("_la"), F.col("_lo")))
     samples = []
     for off in OFFSETS:
-        toward = F.cos(F.col("_heading") + math.radians(off)) * F.col("_north") \
-            + F.sin(F.col("_heading") + math.radians(off)) * F.col("_east")
-        samples += [math.cos(math.radians(r)) * F.col("_up") + math.sin(math.radians(r)) * toward for r in REACHES]
+        for reach in REACHES:
+            la, lo, _ = destination(F.col("_clat"), F.col("_clon"), F.col("_heading") + math.radians(off), F.lit(math.radians(reach)))
+            samples.append(F.cos(la) * F.cos(lo) * F.col("sun")[0] + F.cos(la) * F.sin(lo) * F.col("sun")[1] + F.sin(la) * F.col("sun")[2])
     score = F.greatest(F.lit(-0.2), *samples) + 0.002 * F.degrees(F.abs("_clat") - F.abs("_la"))
     t = t.withColumn("score", score)
     best = t.groupBy(key).agg(F.min_by(

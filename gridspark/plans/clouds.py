@@ -21,35 +21,34 @@ def byte_round(c: Column) -> Column:
     return F.floor(F.round(F.greatest(F.lit(0.0), F.least(F.lit(255.0), c)), 6) + 0.5)
 
 
-def upsample(field: DataFrame, band: str, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
-    """A 0-1 field quantised to bytes, enlarged bicubically, as 0-1."""
-    coded = field.select(*KEY, rint255(band).cast("double").alias(band))
-    return resize(coded, [band], source, target, "bicubic").withColumn(band, byte_round(F.col(band)) / 255.0)
+def upsample(fields: DataFrame, bands: list[str], source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """0-1 fields quantised to bytes, enlarged bicubically together, as 0-1."""
+    coded = fields.select(*KEY, *[rint255(b).cast("double").alias(b) for b in bands])
+    big = resize(coded, bands, source, target, "bicubic")
+    return big.select(*KEY, *[(byte_round(F.col(b)) / 255.0).alias(b) for b in bands])
 
 
-def cloud_cover(sky: DataFrame, model: DataFrame, low: DataFrame, height: int, width: int) -> DataFrame:
+def cloud_cover(sky: DataFrame, model: DataFrame, height: int, width: int) -> DataFrame:
     """Cover, cloud-top coldness and the missing flag per cell.
 
-    ``sky`` carries albedo, vis_clear, ir, ir_day, ir_night and cosine; ``model`` and ``low`` are the
-    enlarged model fields. Every missing value has its own meaning, as each formula below says.
+    ``sky`` carries albedo, vis_clear, ir, ir_day, ir_night and cosine; ``model`` carries the enlarged
+    model fields model and low. Every missing value has its own meaning, as each formula below says.
     """
     lat = F.abs(row_lat("y", height))
     df = sky.withColumn("excess", F.col("albedo") - F.coalesce(F.least(F.col("vis_clear"), F.lit(0.45)), F.lit(0.12)))
     df = balance(df, "excess", height, width)
     guess = 65.0 + 60.0 * F.pow(lat / 72.0, F.lit(2.0))
-    df = df.withColumns({
-        "vis": smoothstep(0.02, 0.45, "excess"),
-        "day": smoothstep(0.10, 0.34, "cosine"),
-        "cold": F.coalesce("ir_night", "ir_day", guess),
-        "missing": F.col("ir").isNull()})
-    df = df.withColumn("warm", F.coalesce("ir_day", "cold"))
+    df = df.select("*", smoothstep(0.02, 0.45, "excess").alias("vis"), smoothstep(0.10, 0.34, "cosine").alias("day"),
+                   F.coalesce("ir_night", "ir_day", guess).alias("cold"), F.col("ir").isNull().alias("missing"))
+    warm = F.coalesce("ir_day", "cold")
     bright = F.col("day") * F.coalesce(smoothstep(0.0, 0.02, "excess"), F.lit(0.0))
     df = df.withColumn("infra", F.coalesce(F.greatest(
-        smoothstep(16.0, 60.0, F.col("ir") - F.col("cold")), bright * smoothstep(16.0, 60.0, F.col("ir") - F.col("warm"))), F.lit(0.0)))
-    holes = gaussian(df.select(*KEY, F.when(F.col("missing"), 255.0).otherwise(0.0).alias("feather")), "feather", FEATHER, height, width)
+        smoothstep(16.0, 60.0, F.col("ir") - F.col("cold")), bright * smoothstep(16.0, 60.0, F.col("ir") - warm)), F.lit(0.0)))
+    # Blurred on its own and joined back: the windows then move one value per cell, not the whole row.
+    holes = sky.select(*KEY, F.when(F.col("ir").isNull(), 255.0).otherwise(0.0).alias("feather"))
+    holes = gaussian(holes, "feather", FEATHER, height, width)
     holes = holes.withColumn("feather", byte_round(F.col("feather")) / 255.0)
-    df = (df.join(holes, KEY).join(model.select(*KEY, F.col("model").alias("_model")), KEY)
-          .join(low.select(*KEY, F.col("low").alias("_low")), KEY))
+    df = df.join(holes, KEY).join(model.select(*KEY, F.col("model").alias("_model"), F.col("low").alias("_low")), KEY)
     by_day = F.when(F.col("vis").isNotNull(), F.greatest(F.col("vis"), 0.85 * F.col("infra"))).otherwise(F.col("infra"))
     by_night = F.greatest(F.col("infra"), 0.8 * F.col("_low"))
     seen = F.col("day") * by_day + (1.0 - F.col("day")) * by_night

@@ -7,13 +7,13 @@ composite after update t is ``rate*u(t) + min over s <= t of (value(s) - rate*u(
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import solar
 from ..functions.numeric import r6, smoothstep
 from ..functions.timefn import DAY_US, HOUR_US, floor_to
-from ..operators.ordered import neighbour, running
+from ..operators.ordered import running
 from .masks import mask_counts
 
 PLACE = ["y", "x"]
@@ -28,27 +28,35 @@ def update_runs(obs: DataFrame) -> DataFrame:
 
 
 def update_clock(runs: DataFrame) -> DataFrame:
-    """(run_us, u): hours of relaxation up to each update. There is one row per update of the whole system."""
-    steps = neighbour(runs.select("run_us").distinct(), [], ["run_us"], RUNS_PER_CHUNK_US, {"_p": F.col("run_us")}, offset=-1)
-    hours = F.least(F.lit(STEP_HOURS), F.greatest(F.lit(0.0), (F.col("run_us") - F.col("_p")) / float(HOUR_US)))
-    return running(steps, [], ["run_us"], RUNS_PER_CHUNK_US, {"u": ("sum", F.coalesce(hours, F.lit(0.0)))}).drop("_p")
+    """(run_us, u): hours of relaxation up to each update.
+
+    There is one row per update of the whole system (at most 48 a day), so a decade is under 200 000 rows
+    and one ordered window holds them.
+    """
+    order = Window.orderBy("run_us")
+    hours = F.least(F.lit(STEP_HOURS), F.greatest(
+        F.lit(0.0), (F.col("run_us") - F.lag("run_us").over(order)) / float(HOUR_US)))
+    steps = runs.select("run_us").distinct().withColumn("_h", F.coalesce(hours, F.lit(0.0)))
+    return steps.select("run_us", F.sum("_h").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("u"))
 
 
 def hourly_fields(obs: DataFrame) -> DataFrame:
-    """(run_us, y, x, albedo, ir, is_day) from counts; the Sun is taken five minutes past the hour."""
-    hour = floor_to("t_us", HOUR_US)
-    masked = mask_counts(obs).withColumn("run_us", hour)
-    cells = masked.groupBy("run_us", *PLACE, "lat", "lon").agg(
+    """(run_us, y, x, albedo, ir, is_day, cosine, lat, u) from counts, with the update clock.
+
+    The Sun is taken five minutes past the hour; its time terms are made once per update, on the clock.
+    """
+    masked = mask_counts(obs).withColumn("run_us", floor_to("t_us", HOUR_US))
+    cells = masked.groupBy("run_us", *PLACE).agg(
         F.min(F.when(F.col("product") == "VIS", F.col("cnt"))).alias("vis"),
-        F.min(F.when(F.col("product") == "LW", F.col("cnt"))).alias("ir"))
-    cells = cells.withColumn("cosine", solar.zenith_cosine(F.col("run_us") + 5 * 60_000_000, "lat", "lon"))
+        F.min(F.when(F.col("product") == "LW", F.col("cnt"))).alias("ir"), F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+    clock = solar.with_time_terms(update_clock(update_runs(obs)), F.col("run_us") + 5 * 60_000_000)
+    cells = cells.join(clock, "run_us").withColumn("cosine", solar.zenith_cosine_of("sun_dec", "sun_minutes", "lat", "lon"))
     return cells.select("run_us", *PLACE, solar.albedo("vis", "cosine").alias("albedo"), "ir",
-                        (F.col("cosine") > DAY_COSINE).alias("is_day"), "cosine", "lat")
+                        (F.col("cosine") > DAY_COSINE).alias("is_day"), "cosine", "lat", "u")
 
 
-def composites(fields: DataFrame, clock: DataFrame, by: list[str] = PLACE) -> DataFrame:
-    """``fields`` with vis_clear, ir_day and ir_night as they stand after each update."""
-    timed = fields.join(clock, "run_us")
+def composites(fields: DataFrame, by: list[str] = PLACE) -> DataFrame:
+    """``fields`` (with the clock ``u``) plus vis_clear, ir_day and ir_night as they stand after each update."""
     u = F.col("u")
     day_ir = F.when(F.col("is_day"), F.col("ir"))
     night_ir = F.when(~F.col("is_day"), F.col("ir"))
@@ -56,7 +64,7 @@ def composites(fields: DataFrame, clock: DataFrame, by: list[str] = PLACE) -> Da
         "_vis": ("min", F.col("albedo") - VISIBLE_RATE * u),
         "_day": ("min", day_ir - INFRARED_RATE * u),
         "_night": ("min", night_ir - INFRARED_RATE * u)}
-    out = running(timed, by, ["run_us"], float(RUNS_PER_CHUNK_US), scans)
+    out = running(fields, by, ["run_us"], float(RUNS_PER_CHUNK_US), scans)
     return out.withColumns({
         "vis_clear": F.col("_vis") + VISIBLE_RATE * u, "ir_day": F.col("_day") + INFRARED_RATE * u,
         "ir_night": F.col("_night") + INFRARED_RATE * u}).drop("_vis", "_day", "_night", "u")
@@ -76,7 +84,7 @@ def update_state(state: DataFrame, fields: DataFrame, hours: float, by: list[str
 def cloudy_share(obs: DataFrame, rows: int = 2, cols: int = 3, threshold: float = 0.5) -> DataFrame:
     """Share of cloudy places per coarse cell and hour, against the clear-sky composite of each place."""
     fields = hourly_fields(obs)
-    comp = composites(fields, update_clock(update_runs(obs)))
+    comp = composites(fields)
     surface = F.coalesce(F.least(F.col("vis_clear"), F.lit(0.45)), F.lit(0.12))
     cloud = smoothstep(0.02, 0.45, F.col("albedo") - surface)
     seen = comp.withColumn("cloud", cloud).where(F.col("cloud").isNotNull())

@@ -47,13 +47,11 @@ def steer_storms(packed: DataFrame, convection: DataFrame, height: int, width: i
     quarter. A missing convection field changes nothing. Input bands are the raw model, so repeated runs
     from it agree.
     """
-    near_cape = max_filter(packed.select(GRID, "y", "x", F.col("cape").alias("_cape")), ["_cape"], 9, height, width)
-    tops = convection.select(GRID, "y", "x", "conv", F.rint(F.col("conv") * 255.0).alias("_top"))
-    near_top = max_filter(tops, ["_top"], 17, height, width)
     key = [GRID, "y", "x"]
-    both = packed.join(near_cape, key).join(near_top, key, "left")
+    both = packed.join(convection.select(*key, "conv"), key, "left").withColumn("_top", F.rint(F.col("conv") * 255.0))
+    both = max_filter(both, {"_cape": ("cape", 9), "_near": ("_top", 17)}, height, width)
     storm = clip(F.col("conv") * smoothstep(5.0, 25.0, "_cape"), 0.0, 1.0)
-    dry = 0.25 + 0.75 * smoothstep(0.05, 0.3, F.col("_top") / 255.0)
+    dry = 0.25 + 0.75 * smoothstep(0.05, 0.3, F.col("_near") / 255.0)
 
     def out(name, base, level):
         value = F.rint(F.greatest(base, storm * level * 255.0)).cast("int")
@@ -76,8 +74,7 @@ def flash_rates(bands: DataFrame, height: int, width: int, n: int, rows_per_band
 
 def storm_scores(storms: DataFrame, height: int, width: int, size: int) -> DataFrame:
     """Observed tops, the share of them with a model storm near, and the share of flash rate on clear sky."""
-    near = max_filter(storms.select(GRID, "y", "x", F.col("storm").alias("_near")), ["_near"], size, height, width)
-    both = storms.join(near, [GRID, "y", "x"])
+    both = max_filter(storms, {"_near": ("storm", size)}, height, width)
     return both.groupBy(GRID).agg(
         F.count_if(F.col("top")).alias("tops"), F.avg(F.when(F.col("top"), F.col("_near").cast("double"))).alias("matched"),
         (F.sum(F.when(F.col("clear"), F.col("rate")).otherwise(0)) / F.sum("rate")).alias("clear_share"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col
-from ..session import literal_table
 
 # The count that means missing, per product.
 SENTINELS = (("LW", 255.0), ("VIS", 0.0))
@@ -14,10 +13,11 @@ SENTINELS = (("LW", 255.0), ("VIS", 0.0))
 
 def mask_counts(obs: DataFrame, product: str = "product", count: str = "cnt") -> DataFrame:
     """Counts that are not finite, outside 0-255 or the product's sentinel become missing."""
-    table = literal_table(obs.sparkSession, list(SENTINELS), "_p string, _s double")
     c = F.col(count).cast("double")
-    good = c.between(0.0, 255.0) & ~F.isnan(c) & (F.col("_s").isNull() | (c != F.col("_s")))
-    return obs.join(table, obs[product] == table["_p"], "left").withColumn(count, F.when(good, c)).drop("_p", "_s")
+    good = c.between(0.0, 255.0) & ~F.isnan(c)
+    for name, value in SENTINELS:
+        good = good & ~((F.col(product) == name) & (c == value))
+    return obs.withColumn(count, F.when(good, c))
 
 
 def axis_steps(axis: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

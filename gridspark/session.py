@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROW_LIMIT else df
 
 
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of fixed values (axis weights, sectors, enumerations), broadcast when small."""
-    return small(spark.createDataFrame(rows, schema), len(rows))
+    """A table of fixed values (axis weights, sectors, enumerations), broadcast when small.
+
+    ``schema`` is ``name type, ...``. The rows travel as Arrow and become a local relation of the plan,
+    so no job runs to make them.
+    """
+    fields = [f.split() for f in schema.split(",")]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    table = pa.table({name: pa.array(values, _ARROW[kind]) for (name, kind), values in zip(fields, columns)})
+    return small(spark.createDataFrame(table), len(rows))

@@ -40,9 +40,7 @@ def k0(spark, d):
 @query("k1_clear_sky_composites", with_(OBS, COMPOSITES) + """select run_us, y, x, round(vis_clear, 6) + 0e0 as vis_clear,
   round(ir_day, 6) + 0e0 as ir_day, round(ir_night, 6) + 0e0 as ir_night from k""")
 def k1(spark, d):
-    obs = A.observations(spark, d)
-    fields = composites.hourly_fields(obs)
-    out = composites.composites(fields, composites.update_clock(composites.update_runs(obs)))
+    out = composites.composites(composites.hourly_fields(A.observations(spark, d)))
     return out.select("run_us", "y", "x", *[N.r6(c).alias(c) for c in ("vis_clear", "ir_day", "ir_night")])
 
 
@@ -100,8 +98,8 @@ COVER_VIEWS = (SKY, EXCESS, balance_sql("ex", "excess", "bal"), LOW_MODEL, UP, C
 def cloud_cells(spark, d):
     sky = A.sky_cells(spark, d)
     coarse = block_mean(sky, ["model", "low"], 8, A.H, A.W)
-    up = {b: clouds.upsample(coarse, b, (20, 25), (A.H, A.W)) for b in ("model", "low")}
-    return clouds.cloud_cover(sky.drop("model", "low"), up["model"], up["low"], A.H, A.W)
+    up = clouds.upsample(coarse, ["model", "low"], (20, 25), (A.H, A.W))
+    return clouds.cloud_cover(sky.drop("model", "low"), up, A.H, A.W)
 
 
 @query("k2_cloud_cover", with_(*COVER_VIEWS) + "select grid_id, y, x, round(cover, 6) + 0e0 as cover, round(coldness, 6) + 0e0 as coldness, ir is null as missing from cv")

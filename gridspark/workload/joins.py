@@ -322,10 +322,8 @@ select grid_id, y, x, near4 = 1 as near4, near8 = 1 as near8 from t""")
 def c21(spark, d):
     flags = A.byte_cells(spark, d).selectExpr("grid_id", "y", "x", "case when r > 190 then 1 else 0 end as a",
                                               "case when r > 200 then 1 else 0 end as b")
-    near = kernels.max_filter(flags.drop("b"), ["a"], 9, A.H, A.W)
-    far = kernels.max_filter(flags.drop("a"), ["b"], 17, A.H, A.W)
-    both = near.join(far, ["grid_id", "y", "x"])
-    return both.select("grid_id", "y", "x", (F.col("a") == 1).alias("near4"), (F.col("b") == 1).alias("near8"))
+    near = kernels.max_filter(flags, {"near": ("a", 9), "far": ("b", 17)}, A.H, A.W)
+    return near.select("grid_id", "y", "x", (F.col("near") == 1).alias("near4"), (F.col("far") == 1).alias("near8"))
 
 
 @query("c22_source_precedence", """with p as (select distinct o_custkey as map, o_orderpriority as path from orders where o_orderkey % 3 = 0),

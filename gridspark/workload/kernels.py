@@ -84,7 +84,8 @@ def e6(spark, d):
 @query("e7_max_filter", with_(BYTES) + """, h as (select grid_id, y, x, max(r) over (partition by grid_id, y order by x rows between 8 preceding and 8 following) as m from bytes)
 select grid_id, y, x, max(m) over (partition by grid_id, x order by y rows between 8 preceding and 8 following) as r from h""")
 def e7(spark, d):
-    return K.max_filter(A.byte_cells(spark, d).select("grid_id", "y", "x", "r"), ["r"], 17, A.H, A.W)
+    out = K.max_filter(A.byte_cells(spark, d).select("grid_id", "y", "x", "r"), {"m": ("r", 17)}, A.H, A.W)
+    return out.select("grid_id", "y", "x", F.col("m").alias("r"))
 
 
 def box_sql(src: str, out: str, axis: str, other: str, whole: int, edge: float, lo: int, hi: int) -> str:
@@ -164,8 +165,7 @@ k as (select object_id, t_us, wa * px + wb * bx as x, wa * py + wb * by_ as y, w
 select object_id, t_us, round(x / sqrt(x * x + y * y + z * z), 6) + 0e0 as x, round(y / sqrt(x * x + y * y + z * z), 6) + 0e0 as y, round(z / sqrt(x * x + y * y + z * z), 6) + 0e0 as z from k""")
 def e11(spark, d):
     nxt = ordered.neighbour(track_points(spark, d), ["object_id"], ["t_us"], float(timefn.DAY_US), {"q": F.col("p"), "t1": F.col("t_us")})
-    v = tracks.slerp(F.col("p"), F.col("q"), F.lit(0.25))
-    out = nxt.where("t1 is not null").withColumn("v", v)
+    out = tracks.slerp(nxt.where("t1 is not null"), "p", "q", F.lit(0.25), "v")
     return out.select("object_id", "t_us", *[N.r6(F.col("v")[i]).alias(n) for i, n in enumerate("xyz")])
 
 
