@@ -218,10 +218,9 @@ def gaussian(cells: DataFrame, band: str, sigma: float, height: int, width: int,
     whole, edge = box_radius(sigma, passes)
     keep = [c for c in cells.columns if c != band]
     pad = passes * (whole + 1) if wrap_x else 0
-    empty = F.array().cast("array<int>")
-    turns = F.concat(F.array(F.lit(0)),
-                     F.when(F.col("x") < pad, F.array(F.lit(1))).otherwise(empty),
-                     F.when(F.col("x") >= width - pad, F.array(F.lit(-1))).otherwise(empty))
+    around = -(-pad // width)
+    turns = F.filter(F.array(*[F.lit(k) for k in range(-around, around + 1)]),
+                     lambda k: (F.col("x") + k * width).between(-pad, width + pad - 1))
     df = cells.select(*keep, band, (F.explode(turns) if wrap_x else F.lit(0)).alias("_turn"))
     df = df.select("*", (F.col("x") + F.col("_turn") * width).alias("_px"))
     for axis, other, low, count in (("_px", "y", -pad, width + 2 * pad), ("y", "_px", 0, height)):

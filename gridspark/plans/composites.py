@@ -82,12 +82,16 @@ def update_state(state: DataFrame, fields: DataFrame, hours: float, by: list[str
 
 
 def cloudy_share(obs: DataFrame, rows: int = 2, cols: int = 3, threshold: float = 0.5) -> DataFrame:
-    """Share of cloudy places per coarse cell and hour, against the clear-sky composite of each place."""
+    """Share of cloudy places per coarse cell and hour, against the clear-sky composites of each place.
+
+    Visible brightening where the Sun is up, else infrared coldness.
+    """
     fields = hourly_fields(obs)
     comp = composites(fields)
     surface = F.coalesce(F.least(F.col("vis_clear"), F.lit(0.45)), F.lit(0.12))
-    cloud = smoothstep(0.02, 0.45, F.col("albedo") - surface)
-    seen = comp.withColumn("cloud", cloud).where(F.col("cloud").isNotNull())
+    visible = smoothstep(0.02, 0.45, F.col("albedo") - surface)
+    infrared = smoothstep(16.0, 60.0, F.col("ir") - F.coalesce("ir_night", "ir_day"))
+    seen = comp.withColumn("cloud", F.coalesce(visible, infrared)).where(F.col("cloud").isNotNull())
     return seen.groupBy(
         "run_us", F.floor(F.col("y") / rows).cast("int").alias("by"), F.floor(F.col("x") / cols).cast("int").alias("bx")).agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg(F.when(F.col("cloud") > threshold, 1.0).otherwise(0.0))).alias("share"),

@@ -70,7 +70,7 @@ def flash_counts(frames: DataFrame, by: list[str], frame: str, bands: list[str],
     """Per frame the pixels that rise over their darkest value by more than ``threshold`` in any band."""
     pixel = [*by, "y", "x"]
     base = frames.groupBy(*pixel).agg(*[F.min(b).alias("_m_" + b) for b in bands])
-    rise = F.greatest(*[F.col(b) - F.col("_m_" + b) for b in bands])
+    rise = F.array_max(F.array(*[F.col(b) - F.col("_m_" + b) for b in bands]))
     return frames.join(base, pixel).groupBy(*by, frame).agg(F.count_if(rise > threshold).alias("flashes"))
 
 

@@ -48,7 +48,7 @@ class CompositeState(StatefulProcessor):
         self.state = handle.getValueState(
             "composite", "vis array<double>, ir_day array<double>, ir_night array<double>, as_of bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
         if self.state.exists():
             vis, day, night, as_of = self.state.get()

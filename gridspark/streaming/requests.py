@@ -58,7 +58,7 @@ class LastSeen(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getValueState("pending", "priority int, kind int, frame int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
         new = tuple(int(batch[c].max()) for c in ("priority", "kind", "frame"))
         if self.pending.exists():
@@ -69,7 +69,7 @@ class LastSeen(StatefulProcessor):
         self.handle.registerTimer((new[2] + self.max_age) * 1000)
         yield pd.DataFrame([(*key, *new, "pending")], columns=[*KEY, "priority", "kind", "frame", "state"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = (*key, *self.pending.get(), "dropped")
         self.pending.clear()
         yield pd.DataFrame([out], columns=[*KEY, "priority", "kind", "frame", "state"])

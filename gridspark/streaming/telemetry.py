@@ -29,7 +29,7 @@ class SlowRuns(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "length bigint, start bigint, last bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         length, start, last = self.open.get() if self.open.exists() else (0, 0, 0)
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["t_us", "event_id"])
         done = []
@@ -63,7 +63,7 @@ class Throttle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "t bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["t_us", "event_id"])
         before = batch["t_us"].shift()
         if self.last.exists():

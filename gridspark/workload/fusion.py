@@ -27,7 +27,7 @@ k as (select f.*, u, 0.004e0 * u + min(albedo - 0.004e0 * u) over w as vis_clear
     0.6e0 * u + min(case when not is_day then ir - 0.6e0 * u end) over w as ir_night
   from f join r using (run_us) window w as (partition by y, x order by run_us))"""
 
-CLOUDY_SHARE = with_(OBS, COMPOSITES) + f""", q as (select *, {step('0.02e0', '0.45e0', 'albedo - coalesce(least(vis_clear, 0.45e0), 0.12e0)')} as cloud from k)
+CLOUDY_SHARE = with_(OBS, COMPOSITES) + f""", q as (select *, coalesce({step('0.02e0', '0.45e0', 'albedo - coalesce(least(vis_clear, 0.45e0), 0.12e0)')}, {step('16e0', '60e0', 'ir - coalesce(ir_night, ir_day)')}) as cloud from k)
 select run_us, floor(y / 2)::int as by, floor(x / 3)::int as bx, count(*) as n, round(avg(case when cloud > 0.5e0 then 1e0 else 0e0 end), 6) + 0e0 as share,
   round(avg(cloud), 6) + 0e0 as mean_cloud from q where cloud is not null group by 1, 2, 3"""
 

@@ -116,15 +116,11 @@ def g3(spark, d):
     return generations.obsolete(files, files.where("file_id % 17 = 0"), ["fields", "clouds"], ["fields"])
 
 
-NEED = """need as (select store_id, case store_id when 0 then 9000000 when 1 then 30000 else 5000 end::bigint as need_bytes from (select distinct store_id from store) q)"""
-
-
 @query("g4_eviction_plan", with_(STORE) + """,
-u as (select store_id, sum(bytes) as resident from store group by 1),
-lim as (select store_id, resident, (resident + 10000)::bigint as budget from u),
-c as (select s.*, sum(bytes) over (partition by store_id order by last_used, layer, mip, y, x) - bytes as before from store s where not pinned and 7000000000 - last_used >= 2000000)
-select c.store_id, c.y, c.x, c.bytes from c where c.store_id in (1, 2) and before < case store_id when 1 then 400000 else 150000 end
-""")
+c as (select s.*, sum(bytes) over (partition by store_id order by last_used, layer, mip, y, x) - bytes as before, sum(bytes) over (partition by store_id) as loose
+  from store s where not pinned and 7000000000 - last_used >= 2000000),
+g as (select *, case store_id when 1 then 400000 else 150000 end as shortage from c where store_id in (1, 2))
+select store_id, y, x, bytes from g where before < shortage and loose >= shortage""")
 def g4(spark, d):
     # One budget for all stores; what each store needs is set so that the shortage is a known number.
     store = tile_store(spark, d)
