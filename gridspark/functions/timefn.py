@@ -9,6 +9,8 @@ from .numeric import col
 
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
+# Width of a time chunk of ordered scans: ten minutes, so a decade has about half a million per key.
+CHUNK_US = 600_000_000.0
 
 
 def micros(ts: Column | str) -> Column:

@@ -15,10 +15,17 @@ from ..session import cut_lineage
 CHUNK = "_chunk"
 
 
-def with_chunk(df: DataFrame, order: Column | str, width: float) -> DataFrame:
-    """Chunk number of each row: the order value (numeric) divided by ``width``, floored."""
-    order = F.col(order) if isinstance(order, str) else order
-    return df.withColumn(CHUNK, F.floor(order / F.lit(width)).cast("bigint"))
+def with_chunk(df: DataFrame, by: list[str], order: list[str], width: float | None) -> DataFrame:
+    """Number the chunks of each key.
+
+    With a ``width`` a chunk is a range of the first order column (numeric), found without moving rows: right
+    where its values spread over time or ids. Without one, Spark range-partitions the rows on key and full
+    order by sampling, and the partition number is the chunk: no burst of equal values makes a chunk large.
+    The rows are then written once to the checkpoint folder, so that the numbers stay what they are.
+    """
+    if width is not None:
+        return df.withColumn(CHUNK, F.floor(F.col(order[0]) / F.lit(width)).cast("bigint"))
+    return cut_lineage(df.repartitionByRange(*by, *order).withColumn(CHUNK, F.spark_partition_id().cast("bigint")))
 
 
 _TOTAL = {
@@ -44,15 +51,16 @@ _MERGE = {
 }
 
 
-def running(df: DataFrame, by: list[str], order: list[str], chunk_width: float,
+def running(df: DataFrame, by: list[str], order: list[str], chunk_width: float | None,
             scans: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
     """Add running ``sum``, ``count``, ``min``, ``max`` or ``last`` (non-null) columns.
 
-    ``order[0]`` is numeric and is what the chunks are cut on; the rest break ties. ``scans`` maps an
+    ``order`` must be unique per key; ``chunk_width`` is as in ``with_chunk``. ``scans`` maps an
     output name to (kind, value). ``inclusive`` counts the row itself, else only the rows before it.
     """
     columns = df.columns
-    df = with_chunk(df, order[0], chunk_width).withColumns({"_v_" + name: value for name, (_, value) in scans.items()})
+    df = df.withColumns({"_v_" + name: value for name, (_, value) in scans.items()})
+    df = with_chunk(df, by, order, chunk_width)
     keys = [*by, CHUNK]
     rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
@@ -69,14 +77,14 @@ def running(df: DataFrame, by: list[str], order: list[str], chunk_width: float,
         _MERGE[kind](F.col("_c_" + name), F.col("_l_" + name)).alias(name) for name, (kind, _) in scans.items()])
 
 
-def neighbour(df: DataFrame, by: list[str], order: list[str], chunk_width: float,
+def neighbour(df: DataFrame, by: list[str], order: list[str], chunk_width: float | None,
               values: dict[str, Column], offset: int = 1) -> DataFrame:
     """Add values of the next row (``offset`` 1) or the previous one (-1), across chunk edges."""
     if offset not in (1, -1):
         raise ValueError("offset is 1 or -1")
     columns = df.columns
     packed = F.struct(*[v.alias(name) for name, v in values.items()])
-    df = with_chunk(df, order[0], chunk_width).withColumn("_v", packed)
+    df = with_chunk(df.withColumn("_v", packed), by, order, chunk_width)
     keys = [*by, CHUNK]
     position = F.struct(*order)
     rows = Window.partitionBy(*keys).orderBy(*order)

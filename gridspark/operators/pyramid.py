@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tiles as T
 from ..functions.colour import linear_to_srgb, srgb_to_linear
 from ..session import cut_lineage, literal_table
-from .ordered import global_order, neighbour
+from .ordered import global_order, neighbour, running
 
 GRID = "grid_id"
 
@@ -122,10 +122,10 @@ def layer_bases(layers: DataFrame, tile: int = T.TILE) -> DataFrame:
     sized = layers.withColumns({
         "index_count": T.pyramid_tiles("base_w", "base_h", "mip_count", tile),
         "tile_bytes": T.tile_bytes("format")})
-    order = Window.orderBy("layer").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.withColumns({
-        "first_index": F.coalesce(F.sum("index_count").over(order), F.lit(0)),
-        "byte_base": F.coalesce(F.sum(F.col("index_count") * F.col("tile_bytes")).over(order), F.lit(0))})
+    size = F.col("index_count") * F.col("tile_bytes")
+    ranked = global_order(sized, ["layer"], {"_tiles": F.col("index_count"), "_bytes": size}, rank="_rank")
+    return ranked.withColumns({"first_index": F.col("_tiles") - F.col("index_count"), "byte_base": F.col("_bytes") - size}) \
+        .drop("_rank", "_tiles", "_bytes")
 
 
 def expected_tiles(layers: DataFrame, tile: int = T.TILE) -> DataFrame:
@@ -179,14 +179,14 @@ def audit_pyramid(tiles: DataFrame, layers: DataFrame, tile: int = T.TILE) -> Da
     return both.select(*T.KEY, F.explode(verdicts).alias("verdict"))
 
 
-def audit_layers(layers: DataFrame, by: list[str], tile: int = T.TILE) -> DataFrame:
+def audit_layers(layers: DataFrame, by: list[str], tile: int = T.TILE, chunk: float = 4096.0) -> DataFrame:
     """First broken rule of each layer row, or ``ok``. ``pos`` is the position in its directory."""
-    w = Window.partitionBy(*by).orderBy("pos")
     full = T.full_mip_count("base_w", "base_h")
-    counted = layers.withColumns({
-        "_prev": F.lag("layer").over(w),
-        "_next_first": F.coalesce(F.sum("index_count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_same": F.count(F.lit(1)).over(Window.partitionBy(*by, "channel"))})
+    # A directory is short by contract, but a broken one need not be: the scans do not rely on it.
+    counted = neighbour(layers, by, ["pos"], chunk, {"_prev": F.col("layer")}, offset=-1)
+    counted = running(counted, by, ["pos"], chunk, {"_sum": ("sum", F.col("index_count"))}, inclusive=False)
+    repeats = layers.groupBy(*by, "channel").agg(F.count(F.lit(1)).alias("_same"))
+    counted = counted.join(repeats, [*by, "channel"]).withColumn("_next_first", F.coalesce("_sum", F.lit(0)))
     rule = (F.when(F.col("layer") <= F.col("_prev"), "ids must ascend")
             .when((F.col("base_w") <= 0) | (F.col("base_h") <= 0), "empty base")
             .when(F.col("mip_count") != full, "incomplete mips")
@@ -195,11 +195,11 @@ def audit_layers(layers: DataFrame, by: list[str], tile: int = T.TILE) -> DataFr
             .when(F.col("first_index") != F.col("_next_first"), "index range not contiguous")
             .when(F.col("index_count") != T.pyramid_tiles("base_w", "base_h", "mip_count", tile), "tile count")
             .when(F.col("_same") > 1, "channel repeated").otherwise("ok"))
-    return counted.withColumn("rule", rule).drop("_prev", "_next_first", "_same")
+    return counted.select(*layers.columns, rule.alias("rule"))
 
 
 def audit_index(index: DataFrame, layers: DataFrame, payload_base: int, file_bytes: int,
-                chunk: int = 1 << 20, tile: int = T.TILE) -> DataFrame:
+                chunk: float = float(1 << 20), tile: int = T.TILE) -> DataFrame:
     """First broken rule of each index entry, or ``ok``.
 
     ``layers`` (layer, base_w, base_h, mip_count, format) is one row per layer. The order rule looks

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tiles as T
-from .ordered import global_order
+from .ordered import global_order, running
 
 KEY = T.KEY
 
@@ -79,7 +79,6 @@ def newest_batches(requests: DataFrame, keep: int = 3) -> DataFrame:
 
     Only the distinct frames are ranked, and Spark keeps the top few per partition before the shuffle.
     """
-    from pyspark.sql import Window
     frames = requests.select("layer", "frame").distinct()
     rank = F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("frame")))
     newest = frames.withColumn("batch", rank).where(F.col("batch") <= keep)
@@ -100,7 +99,6 @@ def plan_eviction(store: DataFrame, need: DataFrame, budget: int, now_us: int, i
     Candidates are unpinned and idle, oldest first and then by key; the shortest prefix that covers
     the missing bytes is dropped, or nothing when all of them would not do.
     """
-    from .ordered import running
     used = store.groupBy("store_id").agg(F.sum("bytes").alias("resident"))
     idle = (~F.col("pinned")) & (F.lit(now_us) - F.col("last_used") >= idle_us)
     loose = store.where(idle)
@@ -111,7 +109,7 @@ def plan_eviction(store: DataFrame, need: DataFrame, budget: int, now_us: int, i
     verdict = (F.when(F.col("need_bytes") > budget, "oversized").when(missing == 0, "ready")
                .when(F.col("reclaimable") >= missing, "evict").otherwise("deferred"))
     state = state.withColumns({"missing": missing, "verdict": verdict})
-    scanned = running(loose, ["store_id"], ["last_used", *KEY], float(60_000_000),
+    scanned = running(loose, ["store_id"], ["last_used", *KEY], None,
                       {"_before": ("sum", F.col("bytes"))}, inclusive=False)
     goal = state.where(F.col("verdict") == "evict").select("store_id", "missing")
     evicted = (scanned.join(goal, "store_id").where(F.coalesce("_before", F.lit(0)) < F.col("missing"))

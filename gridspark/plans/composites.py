@@ -19,7 +19,7 @@ from .masks import mask_counts
 PLACE = ["y", "x"]
 # Relaxation per hour, longest step, cosine that divides day from night.
 VISIBLE_RATE, INFRARED_RATE, STEP_HOURS, DAY_COSINE = 0.004, 0.6, 72.0, 0.1
-RUNS_PER_CHUNK_US = 30 * DAY_US
+CHUNK_US = float(DAY_US)
 
 
 def update_runs(obs: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def composites(fields: DataFrame, by: list[str] = PLACE) -> DataFrame:
         "_vis": ("min", F.col("albedo") - VISIBLE_RATE * u),
         "_day": ("min", day_ir - INFRARED_RATE * u),
         "_night": ("min", night_ir - INFRARED_RATE * u)}
-    out = running(fields, by, ["run_us"], float(RUNS_PER_CHUNK_US), scans)
+    out = running(fields, by, ["run_us"], CHUNK_US, scans)
     return out.withColumns({
         "vis_clear": F.col("_vis") + VISIBLE_RATE * u, "ir_day": F.col("_day") + INFRARED_RATE * u,
         "ir_night": F.col("_night") + INFRARED_RATE * u}).drop("_vis", "_day", "_night", "u")

@@ -13,6 +13,7 @@ from .scans import grid_layers
 from .views import BYTES, CELLS, ELE, OBS, REQ, SKY, TEL, clip, r6, with_
 
 HOUR = timefn.HOUR_US
+CHUNK_US = timefn.CHUNK_US
 DAY = timefn.DAY_US
 
 CYC = """m as (
@@ -38,7 +39,7 @@ def c1(spark, d):
 from ins i asof left join ele e on i.object_id = e.object_id and i.t_us >= e.epoch_us""")
 def c2(spark, d):
     return asof.asof_join(A.instants(spark, d), A.elements(spark, d), ["object_id"], "t_us", "epoch_us",
-                          ["element_id"], DAY, tie=["element_id"])
+                          ["element_id"], CHUNK_US, tie=["element_id"])
 
 
 @query("c2_asof_within_two_days", with_(ELE) + """select i.object_id, i.t_us, i.instant_id,
@@ -47,7 +48,7 @@ def c2(spark, d):
 from ins i asof left join ele e on i.object_id = e.object_id and i.t_us >= e.epoch_us""")
 def c2b(spark, d):
     return asof.asof_join(A.instants(spark, d), A.elements(spark, d), ["object_id"], "t_us", "epoch_us",
-                          ["element_id"], DAY, tolerance=2 * DAY, tie=["element_id"])
+                          ["element_id"], CHUNK_US, tolerance=2 * DAY, tie=["element_id"])
 
 
 # A Mercator-like source axis: 160 rows from 72 N to 72 S; the target is a 90 x 120 global grid.
@@ -89,10 +90,10 @@ def c4(spark, d):
     from ..operators.ordered import running
     ev = A.events(spark, d)
     points = ev.where("event_type = 'click'").select(F.col("user_id").alias("axis_id"), F.col("t_us").cast("double").alias("coord"))
-    axis = running(points, ["axis_id"], ["coord"], float(DAY), {"i": ("count", F.lit(1))}, inclusive=False)
+    axis = running(points, ["axis_id"], ["coord"], CHUNK_US, {"i": ("count", F.lit(1))}, inclusive=False)
     targets = ev.where("event_type = 'error'").select(
         F.col("user_id").alias("axis_id"), F.col("event_id").alias("target"), F.col("t_us").cast("double").alias("coord"))
-    return G.axis_index_table(axis, targets, float(DAY)).withColumn("pos", N.r6("pos"))
+    return G.axis_index_table(axis, targets, CHUNK_US).withColumn("pos", N.r6("pos"))
 
 
 POLAR = """pr as (
@@ -299,7 +300,7 @@ def c19(spark, d):
     el = A.elements(spark, d)
     start = timefn.floor_to("epoch_us", HOUR) + HOUR
     times = el.select("object_id", F.explode(F.sequence(start, start + 4 * HOUR, F.lit(HOUR))).alias("t_us")).distinct()
-    return asof.asof_join(times, el, ["object_id"], "t_us", "epoch_us", ["element_id"], DAY, tie=["element_id"])
+    return asof.asof_join(times, el, ["object_id"], "t_us", "epoch_us", ["element_id"], CHUNK_US, tie=["element_id"])
 
 
 @query("c20_frame_of_time", """with f as (select (epoch_us(ts) - epoch_us(ts) % 3600000000)::bigint as f_us, min(value) as sun from events where event_type = 'signup' group by 1),
@@ -310,7 +311,7 @@ def c20(spark, d):
     ev = A.events(spark, d)
     frames = ev.where("event_type = 'signup'").groupBy(timefn.floor_to("t_us", HOUR).alias("f_us")).agg(F.min("value").alias("sun"))
     seen = ev.where("event_type = 'error'").select("event_id", "t_us")
-    return asof.asof_join(seen, frames, [], "t_us", "f_us", ["sun"], DAY, tolerance=2 * HOUR)
+    return asof.asof_join(seen, frames, [], "t_us", "f_us", ["sun"], CHUNK_US, tolerance=2 * HOUR)
 
 
 @query("c21_near_storms", with_(BYTES) + """,

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..functions import numeric as N, sky, solar, timefn
-from ..operators import asof, kernels as K, ordered, pyramid as P, regrid as G, seams, tracks
+from ..functions import numeric as N
+from ..functions.timefn import CHUNK_US
+from ..operators import kernels as K, ordered, regrid as G, seams, tracks
 from ..plans import benchmarks
 from .joins import SEAMS, fixed_starts
 from .registry import query
@@ -154,7 +155,7 @@ def track_points(spark, d):
 select object_id, t_us, round(sqrt(pow(bx - ax, 2e0) + pow(by_ - ay, 2e0) + pow(bz - az, 2e0)) * 6371e0 / ((t1 - t0) / 1e6), 6) + 0e0 as speed
 from n where t0 is not null and t1 is not null""")
 def e10(spark, d):
-    out = tracks.velocity(track_points(spark, d), ["object_id"], "t_us", "p", float(timefn.DAY_US))
+    out = tracks.velocity(track_points(spark, d), ["object_id"], "t_us", "p", CHUNK_US)
     return out.select("object_id", "t_us", N.r6("speed").alias("speed"))
 
 
@@ -164,7 +165,7 @@ h as (select *, case when c > 0.9995e0 then 1 - f else sin((1 - f) * acos(c)) /
 k as (select object_id, t_us, wa * px + wb * bx as x, wa * py + wb * by_ as y, wa * pz + wb * bz as z from h)
 select object_id, t_us, round(x / sqrt(x * x + y * y + z * z), 6) + 0e0 as x, round(y / sqrt(x * x + y * y + z * z), 6) + 0e0 as y, round(z / sqrt(x * x + y * y + z * z), 6) + 0e0 as z from k""")
 def e11(spark, d):
-    nxt = ordered.neighbour(track_points(spark, d), ["object_id"], ["t_us"], float(timefn.DAY_US), {"q": F.col("p"), "t1": F.col("t_us")})
+    nxt = ordered.neighbour(track_points(spark, d), ["object_id"], ["t_us"], CHUNK_US, {"q": F.col("p"), "t1": F.col("t_us")})
     out = tracks.slerp(nxt.where("t1 is not null"), "p", "q", F.lit(0.25), "v")
     return out.select("object_id", "t_us", *[N.r6(F.col("v")[i]).alias(n) for i, n in enumerate("xyz")])
 
@@ -172,7 +173,7 @@ def e11(spark, d):
 @query("e12_slow_runs", with_(TEL) + """, f as (select *, sum(case when wait_ms >= 60 then 0 else 1 end) over (partition by run, scene order by t_us) as k from tel)
 select run, scene, count(*) as length, min(t_us) as start, max(t_us) as "end" from f where wait_ms >= 60 group by run, scene, k having count(*) >= 3""")
 def e12(spark, d):
-    return benchmarks.slow_runs(A.telemetry(spark, d), ["run", "scene"], ["t_us", "event_id"], F.col("wait_ms") >= 60, float(timefn.DAY_US))
+    return benchmarks.slow_runs(A.telemetry(spark, d), ["run", "scene"], ["t_us", "event_id"], F.col("wait_ms") >= 60, CHUNK_US)
 
 
 @query("e13_latest_generations", with_(GEN) + """select distinct product, gen_us, rank from (
@@ -186,7 +187,7 @@ def e13(spark, d):
   order by l_orderkey, l_linenumber, l_extendedprice, l_partkey rows between unbounded preceding and 1 preceding), 0) as bigint) as payload_offset from lineitem""")
 def e14(spark, d):
     items = A.table(spark, d, "lineitem").withColumn("size", F.col("l_quantity").cast("bigint") * 16)
-    out = ordered.running(items, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey"], 1000.0,
+    out = ordered.running(items, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey"], None,
                           {"o": ("sum", F.col("size"))}, inclusive=False)
     return out.select("l_orderkey", "l_linenumber", "l_extendedprice", F.coalesce("o", F.lit(0)).alias("payload_offset"))
 

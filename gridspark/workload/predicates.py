@@ -1,12 +1,12 @@
 """Masks, gates and validation rules."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..functions import geo, numeric as N, sky, solar, text
 from ..operators import pyramid as P
 from ..operators import requests as R
+from ..operators.ordered import running
 from ..plans import masks
 from ..sources import manifests
 from .registry import query
@@ -171,9 +171,14 @@ l4 as (select *, cast(coalesce(sum(index_count) over (partition by bundle order
 
 def layer_rows(spark, d):
     """Layer directories: one bundle per customer, a layer per order, some of them broken."""
-    A.table(spark, d, "orders").createOrReplaceTempView("orders_layers")
-    sql = LAYERS.replace("from orders)", "from orders_layers)").replace("256 << (o_orderkey % 3)::int", "shiftleft(256, cast(o_orderkey % 3 as int))")
-    return spark.sql(f"with {sql} select *, base_first + shift as first_index from l4")
+    orders = A.table(spark, d, "orders").select(F.col("o_custkey").alias("bundle"), "o_orderkey")
+    running(orders, ["bundle"], ["o_orderkey"], None, {"pos": ("count", F.lit(1))}).createOrReplaceTempView("numbered_orders")
+    sql = LAYERS.replace(LAYERS[LAYERS.index("cast(row_number()"):LAYERS.index(" as pos,")], "cast(pos as int)").replace("o_custkey as bundle", "bundle")
+    sql = sql.replace("from orders)", "from numbered_orders)").replace("256 << (o_orderkey % 3)::int", "shiftleft(256, cast(o_orderkey % 3 as int))")
+    sql = sql.replace(LAYERS[LAYERS.index("cast(coalesce(sum(index_count)"):LAYERS.index(" as base_first")], "0L")
+    layers = spark.sql(f"with {sql} select * from l4")
+    out = running(layers.drop("base_first"), ["bundle"], ["pos"], 4096.0, {"base_first": ("sum", F.col("index_count"))}, inclusive=False)
+    return out.withColumn("first_index", F.coalesce("base_first", F.lit(0)) + F.col("shift"))
 
 
 @query("b11_layer_rules", "with " + LAYERS + """
@@ -208,9 +213,8 @@ from e window w as (partition by layer order by pos)""")
 def b12(spark, d):
     # Positions come from a ranked key, so no layer is numbered in one task.
     keys = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    from ..operators.ordered import running
     numbered = running(keys.withColumn("layer", (F.col("l_orderkey") % 3).cast("int")), ["layer"],
-                       ["l_orderkey", "l_linenumber"], 10_000, {"pos": ("count", F.lit(1))}, inclusive=False)
+                       ["l_orderkey", "l_linenumber"], None, {"pos": ("count", F.lit(1))}, inclusive=False)
     index = numbered.selectExpr(
         "layer", "pos", "0 as mip", "cast(case when pos % 97 = 5 then 3 else floor(pos / 128) end as int) as y",
         "cast(pos % 128 as int) as x", "case when pos % 101 = 0 then 4 else 0 end as flags",

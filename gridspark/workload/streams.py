@@ -84,4 +84,4 @@ def i9(spark, d):
 @query("i11_throttled_refreshes", with_(ELE) + """, a as (select *, lag(t_us) over (partition by object_id order by t_us, instant_id) as p from ins)
 select object_id, t_us, instant_id from a where p is null or t_us - p >= 21600000000""")
 def i11(spark, d):
-    return tracks.throttled(A.instants(spark, d), ["object_id"], "t_us", ["instant_id"], 6 * HOUR, float(timefn.DAY_US))
+    return tracks.throttled(A.instants(spark, d), ["object_id"], "t_us", ["instant_id"], 6 * HOUR, timefn.CHUNK_US)

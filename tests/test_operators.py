@@ -32,7 +32,7 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
 
 
-@pytest.mark.parametrize("width", [7.0, 500.0, 1e9])
+@pytest.mark.parametrize("width", [7.0, 1e9, None])
 def test_running_scans_do_not_depend_on_chunks(spark, skewed, width):
     pdf, df = skewed
     out = ordered.running(df, ["k"], ["t"], width, {"s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "l": ("last", F.col("v")), "n": ("count", F.col("v"))}).toPandas()
@@ -48,7 +48,7 @@ def test_running_scans_do_not_depend_on_chunks(spark, skewed, width):
     assert np.allclose(m["s"].fillna(0), m["s_w"]) and (m["n"] == m["n_w"]).all()
 
 
-@pytest.mark.parametrize("width", [7.0, 1e9])
+@pytest.mark.parametrize("width", [7.0, None])
 def test_neighbours_cross_chunks(spark, skewed, width):
     pdf, df = skewed
     out = ordered.neighbour(df, ["k"], ["t"], width, {"nt": F.col("t")}).toPandas().set_index("t")["nt"]
