@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..functions import numeric as N, timefn
+from ..functions import timefn
 from ..operators import requests as R, tracks
 from ..streaming import observations as O, requests as SR, telemetry as ST
 from .registry import query
@@ -40,19 +40,19 @@ def i4(spark, d):
     return distinct.join(F.broadcast(now), "_k").where(timefn.usable("hour_us", "now_us", 24)).select("product", "y", "x", "hour_us")
 
 
-@query("i5_six_hour_rollup", with_(TEL) + """select run, (t_us - t_us % 21600000000)::bigint as start_us, count(*) as n, round(avg(wait_ms), 6) + 0e0 as mean, max(wait_ms) as max from tel group by 1, 2""")
+@query("i5_six_hour_rollup", with_(TEL) + """select run, (t_us - t_us % 21600000000)::bigint as start_us, count(*) as n, round(avg(wait_ms), 9) + 0e0 as mean, max(wait_ms) as max from tel group by 1, 2""")
 def i5(spark, d):
     t = A.events(spark, d).withColumn("run", F.when(F.col("event_id") % 2 == 0, "before").otherwise("after"))
     out = O.rollup_windows(t, ["run"], "value", "6 hours")
-    return out.select("run", timefn.micros(F.col("window.start")).alias("start_us"), "n", N.r6("mean").alias("mean"), "max")
+    return out.select("run", timefn.micros(F.col("window.start")).alias("start_us"), "n", F.round("mean", 9).alias("mean"), "max")
 
 
 @query("i5_sliding_rollup", with_(TEL) + """, w as (select scene, wait_ms, (t_us - t_us % 1800000000 - k * 1800000000)::bigint as start_us from tel, (values (0), (1)) as q(k))
-select scene, start_us, count(*) as n, round(avg(wait_ms), 6) + 0e0 as mean, max(wait_ms) as max from w group by 1, 2""")
+select scene, start_us, count(*) as n, round(avg(wait_ms), 9) + 0e0 as mean, max(wait_ms) as max from w group by 1, 2""")
 def i5b(spark, d):
     t = A.events(spark, d).withColumn("scene", F.col("event_type"))
     out = O.rollup_windows(t, ["scene"], "value", "1 hour", "30 minutes")
-    return out.select("scene", timefn.micros(F.col("window.start")).alias("start_us"), "n", N.r6("mean").alias("mean"), "max")
+    return out.select("scene", timefn.micros(F.col("window.start")).alias("start_us"), "n", F.round("mean", 9).alias("mean"), "max")
 
 
 @query("i6_slow_sessions", with_(TEL) + """, s as (select *, case when t_us - lag(t_us) over (partition by scene order by t_us) <= 3600000000 then 0 else 1 end as b from tel where wait_ms >= 60),
