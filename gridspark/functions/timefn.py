@@ -14,9 +14,14 @@ CHUNK_US = 600_000_000.0
 
 
 def micros(ts: Column | str) -> Column:
-    """Microseconds since 1970-01-01 00:00 of a zone-free timestamp, read as UTC."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})") \
-        if isinstance(ts, str) else F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
+    """Microseconds since 1970-01-01 00:00 of a zone-free timestamp, read as UTC.
+
+    Taken from the calendar fields, so the session zone plays no part.
+    """
+    t = col(ts)
+    seconds = F.hour(t) * 3600 + F.minute(t) * 60
+    fraction = (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+    return F.unix_date(t.cast("date")).cast("bigint") * F.lit(DAY_US) + seconds.cast("bigint") * 1_000_000 + fraction
 
 
 def floor_to(t_us: Column | str, step_us: int, origin_us: int = 0) -> Column:

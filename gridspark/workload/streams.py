@@ -1,11 +1,15 @@
 """Batch forms of the streaming operators, over whole tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..functions import timefn
 from ..operators import requests as R, tracks
-from ..streaming import observations as O, requests as SR, telemetry as ST
+from ..session import checkpoint_root
+from ..sinks.generations import read_generation
+from ..streaming import observations as O, refresh, requests as SR, sources, telemetry as ST
 from .registry import query
 from .views import ELE, OBS, REQ, TEL, with_
 
@@ -16,6 +20,18 @@ def hours(spark, d):
     return A.observations(spark, d).withColumn("hour_us", timefn.floor_to("t_us", HOUR))
 
 
+@query("i1_refresh_generations", "select event_type, count(*) as n, cast(sum(user_id) as bigint) as users from events group by 1")
+def i1(spark, d):
+    """One pass of the refresh loop over the table as a file stream, read back through the pointer."""
+    schema = A.table(spark, d, "events").schema
+    root = f"{checkpoint_root(spark)}/refresh-{uuid.uuid4().hex}"
+    source = sources.file_stream(spark, f"{d}/events*.parquet", schema)
+    build = lambda batch: batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
+    run = refresh.refresh(source, build, f"{root}/store", f"{root}/checkpoint", every=None)
+    run.awaitTermination()
+    return read_generation(spark, f"{root}/store")
+
+
 @query("i2_newest_pairs", with_(OBS) + """, h as (select y, x, max(t_us - t_us % 3600000000) filter (product = 'VIS')::bigint as vis_us, max(t_us - t_us % 3600000000) filter (product = 'LW')::bigint as ir_us from obs group by 1, 2)
 select *, case when vis_us is not null and ir_us is not null then least(vis_us, ir_us) + 300000000 end as observed_us from h""")
 def i2(spark, d):
