@@ -60,8 +60,8 @@ def metered_key(pixels: DataFrame, by: list[str], height: int, width: int, p: fl
     centre = 1.0 - (F.pow(dx, F.lit(2.0)) + F.pow(dy, F.lit(2.0)))
     kept = pixels.where(F.col("coverage") >= coverage).withColumn(
         "_w", F.floor(F.col("coverage") * centre * 1e6 + 0.5).cast("bigint"))
-    reference = weighted_percentile(kept.where("lit").withColumn("_one", F.lit(1)), by, "lum", "_one", {"_ref": 0.99})
-    seen = kept.join(reference, by, "left").where(
+    brightest = weighted_percentile(kept.where("lit").withColumn("_one", F.lit(1)), by, "lum", "_one", {"_ref": 0.99})
+    seen = kept.join(brightest, by, "left").where(
         ~F.col("lit") | F.col("_ref").isNull() | (F.col("lum") >= F.col("_ref") * 0.002))
     return weighted_percentile(seen, by, "lum", "_w", {"key": p})
 

@@ -32,12 +32,11 @@ def manifest_ok(source, kind, width, height, valid_unix, sha256, payload_bytes)
         & (payload_bytes == 4 * width.cast("bigint") * height), F.lit(False))
 
 
-def sidecar_rule(df: DataFrame, panorama: bool = False) -> Column:
-    """First broken rule of a raw-texel sidecar row, or ``ok``."""
+def sidecar_rule(df: DataFrame, asset: str, panorama: bool = False) -> Column:
+    """First broken rule of a raw-texel sidecar row, or ``ok``; ``asset`` is the kind the caller expects."""
     stride = F.col("width").cast("bigint") * 4
     rule = (F.when(F.col("schema_version") != 1, "version")
-            .when(F.col("asset") != "earth_native_preview_texture" if not panorama
-                  else F.col("asset") != "earth_native_star_panorama", "asset")
+            .when(F.col("asset") != asset, "asset")
             .when(F.col("pixel_format") != "bgra8", "pixel format")
             .when(~F.col("color_space").isin("srgb", "linear"), "colour space")
             .when(F.col("origin") != "top_left", "origin")

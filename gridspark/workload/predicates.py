@@ -107,7 +107,7 @@ def b8(spark, d):
 
 
 SIDECAR = """with s as (
-  select doc_id, case when doc_id % 31 = 0 then 2 else 1 end as schema_version, 'earth_native_preview_texture' as asset,
+  select doc_id, case when doc_id % 31 = 0 then 2 else 1 end as schema_version, 'preview_texture' as asset,
     case when doc_id % 29 = 0 then 'rgba16' else 'bgra8' end as pixel_format,
     case when doc_id % 2 = 0 then 'srgb' else 'linear' end as color_space,
     case when doc_id % 23 = 0 then 'bottom_left' else 'top_left' end as origin,
@@ -128,7 +128,7 @@ SIDECAR = """with s as (
 def b9(spark, d):
     A.table(spark, d, "documents").createOrReplaceTempView("documents_sidecar")
     s = spark.sql(SIDECAR.replace("from documents", "from documents_sidecar") + "select * from s")
-    return s.select("doc_id", manifests.sidecar_rule(s).alias("rule"))
+    return s.select("doc_id", manifests.sidecar_rule(s, "preview_texture").alias("rule"))
 
 
 @query("b10_mip_lists", """with s as (

@@ -121,3 +121,15 @@ def test_raster_tiles(spark):
 def test_axis_must_ascend(spark):
     axis = spark.createDataFrame([(0, i, v) for i, v in enumerate([0.0, 1.0, 0.5])], "g int, i int, v double")
     assert [r.step for r in axis_steps(axis, ["g"], "i", "v").orderBy("i").collect()] == [None, 1.0, -0.5]
+
+
+def test_sidecar_rules(spark):
+    base = {"schema_version": 1, "asset": "panorama", "pixel_format": "bgra8", "color_space": "srgb", "origin": "top_left", "width": 8, "height": 4,
+            "rgb_filter": "linear-light-srgb-v1", "row_stride_bytes": 32, "payload_bytes": 128, "left_lon": -180, "top_lat": 90}
+    cases = {"ok": {}, "version": {"schema_version": 2}, "asset": {"asset": "x"}, "pixel format": {"pixel_format": "r8"}, "origin": {"origin": "bottom"},
+             "filter": {"rgb_filter": "none"}, "stride": {"row_stride_bytes": 31}, "payload size": {"payload_bytes": 1},
+             "not 2:1": {"height": 3, "payload_bytes": 96}, "orientation": {"left_lon": 0}}
+    for rule, change in cases.items():
+        row = {**base, **change}
+        df = spark.createDataFrame([tuple(row.values())], list(row))
+        assert df.select(manifests.sidecar_rule(df, "panorama", panorama=True).alias("r")).collect()[0].r == rule
