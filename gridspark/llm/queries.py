@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, chat_format, language_id, prefix_bpe, quality, site_lines
+from . import best_fit, chat_format, hnsw_dedup, language_id, norm_topk, prefix_bpe, quality, site_lines
 from .columns import fold
 
 
@@ -39,6 +39,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+VALID = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+@query("op1_hnsw_duplicates", f"""
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and {VALID} and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+   and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= {hnsw_dedup.THRESHOLD}),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a, min(b) as b from reach group by a),
+counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(least.b, vec_id)) as component_id,
+       vec_id <= coalesce(least.b, vec_id) as kept
+from embeddings left join counts on counts.a = vec_id left join least on least.a = vec_id""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw_dedup.near_duplicates(table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
+
+
 PLANTED = "</s>[INST] ok [/INST]"
 
 
@@ -117,6 +137,17 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "host", "n_dropped", "text")
 
 
+@query("op8_norm_topk", f"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings where {VALID}),
+scored as (select q.vec_id as query_id, v.vec_id, cast(list_dot_product(q.e, v.e) as bigint) as score
+           from v q join v on q.vec_id % 50 = 0 and q.vec_id <> v.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 5""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return norm_topk.top_products(vectors, "vec_id", "embedding", vectors.where("vec_id % 50 = 0"))
+
+
 @query("op10_language_id")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
