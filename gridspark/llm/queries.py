@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, chat_format, hnsw_dedup, language_id, norm_topk, prefix_bpe, quality, site_lines
+from . import (best_fit, chat_format, hnsw_dedup, language_id, license_scan, norm_topk, parity_join, prefix_bpe,
+               quality, site_lines)
 from .columns import fold
 
 
@@ -103,6 +104,18 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held, "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """The table has no paths: every eighth document is the licence file of its source's block of 512 ids, and the
+    others lie one directory further down, in blocks of 16."""
+    block = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    above = F.col("doc_id") % 8 == 0
+    files = table(spark, folder, "documents").select(
+        "doc_id", "text", F.concat_ws("/", "source", block(512), F.when(~above, block(16)), F.col("doc_id").cast("string")).alias("path"),
+        above.alias("is_license_file"))
+    return license_scan.scan_licenses(files, "doc_id", "path", "text", "is_license_file")
+
+
 @query("op5_prefix_bpe")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_bpe.digests(table(spark, folder, "documents"), "text", vocabulary("word_bpe_49k.json"), ["doc_id"])
@@ -148,6 +161,25 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return norm_topk.top_products(vectors, "vec_id", "embedding", vectors.where("vec_id % 50 = 0"))
 
 
+@query("op9_parity_join", r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, hash(array_to_string(w[i:i + 4], ' ')) as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+          group by 1, 2),
+links as (select a, b from pairs join sizes x on a = x.doc_id join sizes y on b = y.doc_id where 100 * c >= 75 * (x.n + y.n - c)),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a, min(b) as b from reach group by a)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) as component_id
+from documents d left join sizes s on d.doc_id = s.doc_id left join least l on d.doc_id = l.a""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return parity_join.jaccard_components(table(spark, folder, "documents"), "doc_id", "text")
+
+
 @query("op10_language_id")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
