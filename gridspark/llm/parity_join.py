@@ -11,9 +11,13 @@ the sets. Two sizes of sketch are used:
   no partner, which removes those that only share a line or a passage, whatever its frequency.
 * To check candidates, a sketch of single bits is compared by its Hamming distance before sets are intersected.
 
-Equal sets are one class, and a task holds each class once. Candidates are taken in two rounds: first the most frequent
-neighbour of every class, then, for keys whose holders are not yet in one component, all pairs across components. The
-second round makes the result exact; the first keeps a group of near copies from meeting in all its pairs.
+Equal sets are one class, and a task holds each class once. First every class is compared with the hub it shares most
+keys with; the hub of a key is its holder with most shared keys, which in a group of near copies is the least edited
+one. Classes that share a fifth of their keys with their hub form clusters, and clusters that meet in a key
+with many holders are joined. Inside a cluster, blocks of sketches meet each
+other in numpy, so a group of near copies never becomes rows of pairs; only pairs that pass the sketches do. Between
+clusters, classes that share a key are compared, over their rarest keys only: among m shared keys, m - need + 1 are
+enough. Pairs that are in one component already are left out, and all others are covered, so the result is exact.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from .components import components
 WORDS = 5
 SEEDS = 4  # ways to deal the shingles of a small set, tried until partners must share a filled position
 BUCKET_BYTES = 24 << 20  # of keys in one task
+BLOCK_CLASSES = 1024
+CROWDED = 32  # holders of a key from which its clusters are joined
 SLICE_BYTES = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, (64, 256), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,7 +140,7 @@ def emissions(shingles: np.ndarray, cls: int) -> list[tuple[int, int, np.ndarray
     out, own = [], n.bit_length() - 1
     low = 1 << own
     for band in [own] + ([own - 1] if own and 3 * n <= 4 * (low - 1) else []):
-        k, want = (1 << band) + 4, (1 << band) // 14 + 1
+        k, want = (1 << band) + 4, (1 << band) // 7 + 1
         # Differences are at most a seventh of both sizes; partners in the band below have low - 1 at most.
         most = n // 3 if band == own else (n + low - 1) // 7
         for seed in range(SEEDS):
@@ -269,24 +275,81 @@ class JaccardJoin:
         self.classes = shared_table(classes)
         marks = self.classes.select("cls", F.explode(F.arrays_zip("marks", "needs")).alias("e")).select(
             "cls", F.col("e.marks").alias("mark"), F.col("e.needs").alias("need"))
-        often = shared.groupBy("mark").agg(F.count("*").alias("m")).join(marks, "mark").where("m >= need").select("mark", "cls")
-        # Keys of classes that may have a partner.
-        self.keys = shared_table(shared.join(often, "mark").select("key", "cls"))
-        before = F.lag("cls").over(Window.partitionBy("key").orderBy("cls"))
-        chained = self.keys.withColumn("b", before).where("b is not null and b <> cls")
-        first = chained.groupBy("cls", "b").agg(F.count("*").alias("c")).groupBy("cls").agg(
-            F.max(F.struct("c", "b")).alias("best")).select(F.col("cls").alias("a"), F.col("best.b").alias("b"))
-        near = self.verified(first)
-        parts = components(near, "a", "b")
-        placed = self.keys.join(parts, F.col("cls") == F.col("node"), "left").select(
-            "key", "cls", F.coalesce("component_id", "cls").alias("part"))
-        placed = shared_table(placed)
-        open_keys = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-        rest = shared_table(placed.join(open_keys, "key"))
-        other = rest.select("key", F.col("cls").alias("b"), F.col("part").alias("part_b"))
-        pairs = rest.withColumnRenamed("cls", "a").join(other, "key").where("part < part_b").select(
+        often = shared.groupBy("mark").agg(F.count("*").alias("m")).join(marks, "mark").where("m >= need")
+        # Keys of classes that may have a partner, and of these the rarest that are enough to meet it.
+        of_key, of_mark = Window.partitionBy("key"), Window.partitionBy("mark")
+        held = shared.join(often, "mark").withColumn("f", F.count("*").over(of_key)).where("f > 1")
+        held = held.withColumn("m", F.count("*").over(of_mark)).where("m >= need").withColumn(
+            "rare", F.row_number().over(of_mark.orderBy("f", "key")) <= F.col("m") - F.col("need") + 1)
+        keys = shared_table(held.select("key", "cls", "m", "rare"))
+        hubs = keys.withColumn("hub", F.max(F.struct("m", "cls")).over(of_key)).where("hub.cls <> cls")
+        best = shared_table(hubs.groupBy("cls", F.col("hub.cls").alias("b")).agg(
+            F.count("*").alias("c"), F.max("m").alias("m")).groupBy("cls").agg(F.max(F.struct("c", "b", "m")).alias("best"))
+            .select(F.col("cls").alias("a"), "best.*"))
+        near = self.verified(best.select("a", "b"))
+        part = components(near, "a", "b").withColumnRenamed("component_id", "part")
+        cluster = components(best.where("5 * c >= m").select("a", "b"), "a", "b").withColumnRenamed("component_id", "cluster")
+        members = shared_table(keys.select("cls").distinct().join(part.withColumnRenamed("node", "cls"), "cls", "left").join(
+            cluster.withColumnRenamed("node", "cls"), "cls", "left").select(
+            "cls", F.coalesce("part", "cls").alias("part"), F.coalesce("cluster", "cls").alias("cluster")))
+        # Clusters that meet in a key with many holders become one.
+        crowded = keys.where("rare").select("key", "cls").join(members, "cls").withColumn("g", F.count("*").over(of_key)).where(
+            F.col("g") >= CROWDED).withColumn("x", F.min("cluster").over(of_key)).where("cluster <> x")
+        merged = components(crowded.select("cluster", "x").distinct(), "cluster", "x")
+        members = shared_table(members.join(merged, F.col("cluster") == F.col("node"), "left").select(
+            "cls", "part", F.coalesce("component_id", "cluster").alias("cluster")))
+        pairs = self.inside(members).union(self.across(keys.where("rare").select("key", "cls").join(members, "cls")))
+        return near.union(self.verified(pairs.distinct()))
+
+    def across(self, placed: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes of different clusters and components that share a key."""
+        of_key = Window.partitionBy("key")
+        for c in ("part", "cluster"):
+            placed = placed.withColumn(f"{c}_x", F.min(c).over(of_key)).withColumn(f"{c}_y", F.max(c).over(of_key))
+        mixed = shared_table(placed.where("part_x <> part_y and cluster_x <> cluster_y").select("key", "cls", "part", "cluster"))
+        other = mixed.select("key", F.col("cls").alias("b"), F.col("part").alias("part_b"), F.col("cluster").alias("cluster_b"))
+        return mixed.withColumnRenamed("cls", "a").join(other, "key").where("part < part_b and cluster <> cluster_b").select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return near.union(self.verified(pairs))
+
+    def inside(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes of one cluster and different components whose sizes and sketches are near enough."""
+        sizes = members.groupBy("cluster").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("g")).where(
+            "x <> y").select("cluster", F.ceil(F.col("g") / BLOCK_CLASSES).alias("blocks"))
+        rows = members.join(sizes, "cluster").join(self.classes.select("cls", "n", "sketch"), "cls").select(
+            "cluster", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"), "cls", "part", "n", "sketch")
+        packs = shared_table(rows.groupBy("cluster", "block").agg(F.collect_list(F.struct("cls", "part", "n", "sketch")).alias("own")))
+        other = packs.select("cluster", F.col("block").alias("block_2"), F.col("own").alias("own_2"))
+        meets = packs.join(other, "cluster").where("block <= block_2").select("own", "own_2").repartition(F.xxhash64("own", "own_2"))
+
+        def sides(own):
+            by_size: dict[int, list] = {}
+            for i, sketch in enumerate(own.field("sketch")):
+                by_size.setdefault(len(sketch.as_buffer()), []).append(i)
+            for size, at in by_size.items():
+                data = np.frombuffer(b"".join(own.field("sketch")[i].as_py() for i in at), np.uint64).reshape(len(at), -1)
+                yield size, data, *(own.field(c).to_numpy()[at] for c in ("cls", "part", "n"))
+
+        def compare(batches):
+            for batch in batches:
+                out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for r in range(batch.num_rows):
+                    left, right = (list(sides(batch.column(c)[r].values)) for c in (0, 1))
+                    for s1, x, c1, p1, n1 in left:
+                        for s2, y, c2, p2, n2 in right:
+                            if not s1 <= 2 * s2 <= 4 * s1:  # sizes differ by a third at most, so sketches by a doubling
+                                continue
+                            u = x if s1 <= s2 else x[:, :x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+                            v = y if s2 <= s1 else y[:, :y.shape[1] // 2] ^ y[:, y.shape[1] // 2:]
+                            for i in range(len(c1)):
+                                apart = (p2 != p1[i]) & (4 * np.minimum(n1[i], n2) >= 3 * np.maximum(n1[i], n2))
+                                at = np.flatnonzero(apart)
+                                bits = np.bitwise_count(v[at] ^ u[i]).sum(1, dtype=np.int64)
+                                at = at[7 * bits <= n1[i] + n2[at]]
+                                out_a.append(np.minimum(c1[i], c2[at]))
+                                out_b.append(np.maximum(c1[i], c2[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+
+        return meets.mapInArrow(compare, "a bigint, b bigint").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs of classes that link: sketches first, then whole sets."""
