@@ -145,7 +145,7 @@ def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY, sequen
     sums = bases.groupBy("__size").agg(F.sum("__n").alias("n")).collect()  # at most ``capacity`` rows
     runs, _ = plan({r["__size"]: r["n"] for r in sums}, capacity)
     shared = spark.sparkContext.broadcast(runs)  # a few rows for each length
-    joined = pieces.join(bases.select("__size", "__task", "__base"), ["__size", "__task"], "left")
+    joined = pieces.join(bases.select("__size", "__task", "__base").hint("merge"), ["__size", "__task"], "left")
     kept = source.columns
     schema = T.StructType(source.schema.fields + [T.StructField(sequence, T.LongType()), T.StructField(offset, T.LongType())])
 
@@ -172,7 +172,8 @@ class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, by the tokenizers library.
 
     Byte-level BPE never merges across its words, and a blank before another character always starts one. So a text
-    is cut at its blanks, equal parts are encoded once, and a cache of bounded size keeps them.
+    is cut at its blanks, equal parts are encoded once, and caches of bounded size keep them. A text with white space
+    after a blank or with a special token in it is cut by the split pattern itself.
     """
 
     def __init__(self, definition: str):
@@ -181,32 +182,48 @@ class Encoder:
         self.model = Tokenizer.from_str(definition)
         self.model.no_truncation()
         self.model.no_padding()
-        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, parts: set[str]) -> None:
-        new = list(parts - self.known.keys())
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
+        self.special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
+        self.exact: dict[str, bytes] = {}  # ids of a part as it stands
+        self.after: dict[str, bytes] = {}  # ids of a part behind one blank
+
+    def _all(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts: one call for many, with a special token between them, on which the library always splits."""
+        if not self.special:
+            return [array("I", e.ids).tobytes() for e in self.model.encode_batch(parts, add_special_tokens=False)]
+        mark, number = next(iter(self.special.items()))
+        ids = np.array(self.model.encode(mark.join(parts), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(ids == number).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
+
+    def _learn(self, known: dict[str, bytes], parts: set[str], before: str) -> None:
+        new = list(parts - known.keys())
+        if len(known) + len(new) > CACHED:
+            known.clear()
             new = list(parts)
         for at in range(0, len(new), 4096):
             block = new[at:at + 4096]
-            for part, made in zip(block, self.model.encode_batch(block, add_special_tokens=False)):
-                self.known[part] = array("I", made.ids).tobytes()
+            known.update(zip(block, self._all([before + p for p in block])))
 
-    def parts(self, text: str) -> list[str]:
+    def _odd(self, text: str) -> bytes:
+        cut = [text]
         if any(s in text for s in self.special):
             cut = regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", text)
-            return [p for i, x in enumerate(cut) for p in ([x] if i % 2 else WORDS.findall(x))]
-        if regex.search(r" \s", text):
-            return WORDS.findall(text)
-        head, *rest = text.split(" ")
-        return [head, *map(" ".__add__, rest)]
+        pieces = [p if i % 2 else WORDS.findall(p) for i, p in enumerate(cut)]
+        self._learn(self.exact, set().union(*pieces[::2]), "")
+        return b"".join(array("I", [self.special[p]]).tobytes() if i % 2 else b"".join(map(self.exact.__getitem__, p))
+                        for i, p in enumerate(pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.parts(t) for t in texts]
-        self.learn(set().union(*cut))
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        cut = [t.split(" ") for t in texts]
+        words = set().union(*cut)
+        blank = {w for w in words if not w or w[0].isspace()}
+        odd = [any(s in t for s in self.special) or (bool(blank) and not blank.isdisjoint(c[1:])) for t, c in zip(texts, cut)]
+        plain = [c for c, o in zip(cut, odd) if not o]
+        special = [self._odd(t) if o else b"" for t, o in zip(texts, odd)]
+        self._learn(self.after, words if len(plain) == len(cut) else set().union(*plain), " ")
+        self._learn(self.exact, {c[0] for c in plain}, "")
+        return [s if o else self.exact[c[0]] + b"".join(map(self.after.__getitem__, c[1:]))
+                for s, c, o in zip(special, cut, odd)]
 
 
 def encoder(definition: str) -> Encoder:
