@@ -10,7 +10,7 @@ from .numeric import col
 
 def strip_prefix(c: Column | str, prefix: str) -> Column:
     c = col(c)
-    return F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 20)).otherwise(c)
+    return F.when(c.startswith(prefix), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c)
 
 
 def key_values(c: Column | str) -> Column:

@@ -6,6 +6,8 @@ on the grid extent only, never on the data; it is broadcast under the checked li
 
 from __future__ import annotations
 
+from collections import Counter
+
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,23 +135,24 @@ def separable(cells: DataFrame, rows: Weights, cols: Weights, bands: list[str],
               normalise: bool = False) -> DataFrame:
     """Apply row weights and then column weights; two shuffles, whatever the kernel width.
 
-    ``missing='spread'`` makes a target NULL when any tap is NULL; ``'skip'`` ignores NULL taps, and
+    ``missing='spread'`` makes a target NULL when any tap is NULL or absent; ``'skip'`` ignores NULL taps, and
     with ``normalise`` divides by the weight that was left.
     """
     out = cells
     for axis, weights in (("y", rows), ("x", cols)):
-        table = literal_table(cells.sparkSession, weights, AXIS)
-        taps = out.join(table, out[axis] == table["source"]).drop("source", axis)
+        taps = Counter(target for target, _, _ in weights)  # an absent cell counts as NULL
+        table = literal_table(cells.sparkSession, [(*w, taps[w[0]]) for w in weights], f"{AXIS}, taps int")
+        joined = out.join(table, out[axis] == table["source"]).drop("source", axis)
         other = "x" if axis == "y" else "y"
         aggs = []
         for b in bands:
             total = F.sum(F.col(b) * F.col("w"))
             if missing == "spread":
-                total = F.when(F.count(b) == F.count(F.lit(1)), total)
+                total = F.when(F.count(b) == F.max("taps"), total)
             elif normalise:
                 total = total / F.sum(F.when(F.col(b).isNotNull(), F.col("w")))
             aggs.append(total.alias(b))
-        out = taps.groupBy(GRID, other, F.col("target").alias(axis)).agg(*aggs)
+        out = joined.groupBy(GRID, other, F.col("target").alias(axis)).agg(*aggs)
     return out.select(GRID, "y", "x", *bands)
 
 
@@ -165,7 +168,7 @@ def regrid_area(cells: DataFrame, bands: list[str], source: tuple[int, int], tar
 
 
 def nodes_to_centres(nodes: DataFrame, band: str, width: int, node_rows: int) -> DataFrame:
-    """Mean of the 2x2 nodes round each pixel centre, periodic in x, turned by half the width.
+    """Mean of the 2x2 nodes round each pixel centre (NULL unless all four are there), periodic in x, turned by half the width.
 
     Each node is sent to the four centres it touches: one shuffle, partially aggregated.
     """
@@ -175,7 +178,7 @@ def nodes_to_centres(nodes: DataFrame, band: str, width: int, node_rows: int) ->
     sent = (nodes.withColumn("_y", F.explode(ys)).where(F.col("_y").between(0, node_rows - 2))
             .withColumn("_x", F.explode(xs)))
     return (sent.groupBy(GRID, F.col("_y").alias("y"), F.pmod(F.col("_x") + half, F.lit(width)).cast("int").alias("x"))
-            .agg((F.sum(band) / 4.0).alias(band)))
+            .agg(F.when(F.count(band) == 4, F.sum(band) / 4.0).alias(band)))
 
 
 def nearest_projected(source: DataFrame, band: str, targets: DataFrame, px: Column, py: Column,

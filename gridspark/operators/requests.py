@@ -11,9 +11,9 @@ from .ordered import global_order, running
 KEY = T.KEY
 
 
-def count_requests(hits: DataFrame, cap: int = 2 ** 32 - 1) -> DataFrame:
-    """Ray hits per tile over all outputs; the count saturates like the 32-bit counter it fills."""
-    return hits.groupBy(*KEY).agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("priority"))
+def count_requests(hits: DataFrame) -> DataFrame:
+    """Ray hits per tile over all outputs."""
+    return hits.groupBy(*KEY).agg(F.count(F.lit(1)).alias("priority"))
 
 
 def merge_requests(requests: DataFrame) -> DataFrame:

@@ -38,13 +38,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     On a cluster it is the folder named in ``spark.checkpoint.dir``. Only where nothing is set,
-    as in local tests, is a temporary folder chosen.
+    and only in local mode, is a temporary folder chosen.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 

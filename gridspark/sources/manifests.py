@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Longest sidecar or manifest accepted, and what a weather manifest must say.
-MAX_BYTES = 16_384
+# What a weather manifest must say.
 WEATHER = ("NOAA-GFS", "model-analysis", 1440, 720)
 
 
 def scan_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest files as (path, text); the size rule is part of ``closed_json``."""
+    """Manifest files as (path, text)."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def closed_json(docs: DataFrame, text: str, schema: str, known: list[str]) -> DataFrame:
-    """Add the parsed struct ``doc``, its unknown keys, and whether it is accepted."""
+def closed_json(docs: DataFrame, text: str, schema: str, known: list[str], max_bytes: int | None = None) -> DataFrame:
+    """Add the parsed struct ``doc``, its unknown keys, and whether it is accepted; a longest size is an option."""
     keys = F.json_object_keys(F.col(text))
     unknown = F.array_sort(F.array_except(keys, F.array(*[F.lit(k) for k in known])))
     out = docs.withColumns({"doc": F.from_json(text, schema), "unknown_keys": unknown})
-    good = (F.octet_length(text) <= MAX_BYTES) & F.col("unknown_keys").isNotNull() & (F.size("unknown_keys") == 0)
+    good = F.col("unknown_keys").isNotNull() & (F.size("unknown_keys") == 0)
+    if max_bytes is not None:
+        good = good & (F.octet_length(text) <= max_bytes)
     return out.withColumn("accepted", F.coalesce(good, F.lit(False)))
 
 

@@ -10,15 +10,14 @@ from ..session import literal_table
 
 # Lines per chunk of an ordered scan; an index file is far shorter.
 CHUNK_LINES = 100_000
-# Longest index file accepted, and the wanted aerosol wavelengths by band.
-MAX_BYTES = 200_000
+# The wanted aerosol wavelengths by band.
 WAVELENGTHS = (("4.3e-07", "aod440"), ("5.45e-07", "aod550"), ("6.2e-07", "aod645"))
 
 
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index files as (file_id, line_no, text); files past the size limit are left out."""
+    """Index files as (file_id, line_no, text)."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_id"), "value")
-    lines = files.where(F.octet_length("value") <= MAX_BYTES).select(
+    lines = files.select(
         "file_id", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
     return lines.where(F.col("text") != "")
 

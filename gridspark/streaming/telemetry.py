@@ -68,7 +68,8 @@ class Throttle(StatefulProcessor):
         before = batch["t_us"].shift()
         if self.last.exists():
             before.iloc[0] = self.last.get()[0]
-        self.last.update((int(batch["t_us"].iloc[-1]),))
+        newest = int(batch["t_us"].iloc[-1])
+        self.last.update((max(newest, self.last.get()[0]) if self.last.exists() else newest,))  # a late row does not turn it back
         yield batch[before.isna() | (batch["t_us"] - before >= self.gap_us)][["object_id", "t_us", "event_id"]]
 
     def close(self) -> None:

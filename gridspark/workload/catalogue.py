@@ -9,7 +9,7 @@ from ..functions.text import element_checksum, element_line_ok
 from ..operators import pyramid as P
 from ..operators.quantiles import exact_percentiles
 from ..plans import quality
-from ..udf import blocks, orbit, sql_functions
+from ..udf import sql_functions
 from .registry import query
 from .scalars import CODES
 from .views import BYTES, CELLS, SKY, STARS, r6, srgb, step, with_
@@ -39,37 +39,6 @@ def k13b(spark, d):
                         *[c.alias(n) for n, c in S.pack_words().items()])
 
 
-def element_lines(spark, d):
-    """Two-line sets from customers: low circular to eccentric orbits, a few too high for the near-Earth model."""
-    c = A.table(spark, d, "customer").selectExpr(
-        "c_custkey as object_id",
-        "format_string('1 %05dU 98067A   24%03d.%08d  .00000000  00000-0  %05d-4 0  999', c_custkey % 100000, 1 + c_custkey % 300, c_custkey * 7919 % 100000000, 10000 + c_custkey % 60000) as h1",
-        "format_string('2 %05d %8.4f %8.4f %07d %8.4f %8.4f %11.8f%05d', c_custkey % 100000, 20e0 + c_nationkey * 5e0, c_custkey * 1.7e0 % 360e0, c_custkey * 31 % 400000, c_custkey * 3.3e0 % 360e0, c_custkey * 7.7e0 % 360e0, case when c_custkey % 50 = 0 then 2e0 else 13.5e0 + c_custkey % 20 * 0.1e0 end, c_custkey % 100000) as h2")
-    return c.select("object_id", *[F.concat(h, element_checksum(h).cast("string")).alias(n) for h, n in (("h1", "l1"), ("h2", "l2"))])
-
-
-@query("k16_ground_track")
-def k16(spark, d):
-    sets = element_lines(spark, d).where(element_line_ok("l1") & element_line_ok("l2"))
-    el = orbit.parse_elements(sets.withColumn("epoch_us", timefn.element_epoch("l1")))
-    step_us = 10 * 60_000_000
-    samples = el.withColumn("t_us", F.explode(F.sequence(F.col("epoch_us"), F.col("epoch_us") + 5 * step_us, F.lit(step_us).cast("bigint"))))
-    out = orbit.ground_track(samples)
-    return out.select("object_id", "t_us", *[F.round(c, 3).alias(c) for c in ("lat", "lon", "alt_km")], "error")
-
-
-@query("k17_block_codes")
-def k17(spark, d):
-    cells = A.byte_cells(spark, d)
-    padded = P.with_gutter(cells, A.H, A.W, 32, 4)
-    out = None
-    for fmt, bands in (("BC1", ["r", "g", "b"]), ("BC3", ["r", "g", "b", "a"]), ("BC4", ["r"])):
-        tiles = P.tile_payloads(padded, P.texel_hex(bands))
-        coded = blocks.encode_tiles(tiles, fmt, ["grid_id", "ty", "tx"], 40)
-        out = coded if out is None else out.unionByName(coded)
-    return out.select("grid_id", "ty", "tx", "format", F.octet_length("payload").alias("bytes"), F.sha2("payload", 256).alias("hash"))
-
-
 @query("j1_sql_functions", with_(SKY) + f"""select grid_id, y, x, {r6(step('0.02e0', '0.45e0', 'albedo'))} as cloud,
   90e0 - (y + 0.5e0) * 1.125e0 as lat, y >> 1 as parent from sky""")
 def j1(spark, d):

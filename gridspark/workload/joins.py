@@ -202,12 +202,12 @@ def c11(spark, d):
     return G.regrid_area(A.cells(spark, d), ["v"], (A.H, A.W), (64, 64)).withColumn("v", N.r6("v"))
 
 
-@query("c12_placed_tiles", with_(BYTES) + """select grid_id, r, y % 80 + (floor(x / 50)::int % 2) * 80 as y,
-  x % 50 + floor(floor(x / 50) / 2)::int * 50 as x from bytes where y < 80""")
+@query("c12_placed_tiles", with_(BYTES) + """select grid_id, r, y % 80 + (floor(x / 50)::int % 2 + 2 * floor(y / 80)::int) * 80 as y,
+  x % 50 + floor(floor(x / 50) / 2)::int * 50 as x from bytes""")
 def c12(spark, d):
-    cells = A.byte_cells(spark, d).where("y < 80").selectExpr(
-        "grid_id", "r", "y", "x % 50 as x", "concat('T', cast(floor(x / 50) as int)) as name")
-    places = spark.createDataFrame([(f"T{i}", i % 2, i // 2) for i in range(4)], "name string, row int, col int")
+    cells = A.byte_cells(spark, d).selectExpr(
+        "grid_id", "r", "y % 80 as y", "x % 50 as x", "concat('T', cast(floor(y / 80) * 4 + floor(x / 50) as int)) as name")
+    places = spark.createDataFrame([(f"T{i}", i % 2 + i // 4 * 2, i % 4 // 2) for i in range(8)], "name string, row int, col int")
     return P.place_tiles(cells, places, 80, 50)
 
 

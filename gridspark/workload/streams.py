@@ -86,10 +86,10 @@ def i7(spark, d):
     return R.newest_batches(A.requests(spark, d)).select("event_id", "layer", "frame", "batch")
 
 
-@query("i8_fresh_requests", with_(REQ) + """, m as (select layer, mip, y, x, max(priority) as priority, max(kind) as kind, max(frame) as frame from req where mip > 0 or event_id % 3 = 0 group by 1, 2, 3, 4)
-select m.* from m where (select max(frame) from req where mip > 0 or event_id % 3 = 0) - frame <= 30""")
+@query("i8_fresh_requests", with_(REQ) + """, m as (select layer, mip, y, x, max(priority) as priority, max(kind) as kind, max(frame) as frame from req group by 1, 2, 3, 4)
+select m.* from m where (select max(frame) from req) - frame <= 30""")
 def i8(spark, d):
-    return R.drop_stale(A.requests(spark, d).where("mip > 0 or event_id % 3 = 0"))
+    return R.drop_stale(A.requests(spark, d))
 
 
 @query("i9_in_flight_windows", with_(REQ) + """select floor(frame / 30)::int as window_no, layer, mip, y, x, max(priority) as priority, max(kind) as kind, max(frame) as frame, count(*) as merged from req group by 1, 2, 3, 4, 5""")

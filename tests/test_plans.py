@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.plans import clouds, composites, convection, model, quality
-from gridspark.udf import blocks, orbit, sql_functions
+from gridspark.udf import sql_functions
 from test_operators import grid_frame, to_array
 
 
@@ -108,49 +108,6 @@ def test_flash_counts(spark):
     assert {r.frame: r.flashes for r in out.collect()} == {0: 0, 1: 1, 2: 0}
 
 
-def test_orbit_model_published_vectors():
-    # Published test case of catalogue number 88888, WGS72, minutes since epoch.
-    want = {0.0: (2328.96975262, -5995.22051338, 1719.97297192), 360.0: (2456.10706534, -6071.93855503, 1222.89768554),
-            1440.0: (2742.55398832, -6079.67009123, -326.39012649)}
-    t = np.array(list(want))
-    n = np.ones(len(t))
-    p, v, error = orbit.propagate(16.05824518 * n, 0.0086731 * n, 72.8435 * n, 115.9689 * n, 52.6988 * n, 110.5714 * n, 0.66816e-4 * n, t)
-    assert np.allclose(p.T, list(want.values()), atol=1e-5) and (error == "").all()
-    assert np.allclose(v[:, 0], (2.91207328, -0.98341796, -7.09081621), atol=1e-7)
-
-
-def test_ground_track_rows(spark):
-    l1 = "1 88888U          80275.98708465  .00073094  13844-3  66816-4 0    8"
-    l2 = "2 88888  72.8435 115.9689 0086731  52.6988 110.5714 16.05824518  105"
-    high = "2 88888  72.8435 115.9689 0086731  52.6988 110.5714  2.05824518  105"
-    sets = spark.createDataFrame([(1, l1, l2), (2, l1, high)], "object_id bigint, l1 string, l2 string")
-    el = orbit.parse_elements(sets).withColumns({"epoch_us": F.lit(339_205_284_000_000), "t_us": F.lit(339_205_284_000_000)})
-    a, b = orbit.ground_track(el).orderBy("object_id").collect()
-    assert a.error is None and abs(a.lat) <= 73 and 150 < a.alt_km < 400
-    assert b.error == "deep space" and b.lat is None
-
-
-def decode_bc4(code):
-    hi, lo = int(code[0]), int(code[1])
-    bits = int.from_bytes(bytes(code[2:8]), "little")
-    palette = [hi, lo] + [((7 - k) * hi + k * lo) / 7 for k in range(1, 7)]
-    return np.array([palette[(bits >> (3 * i)) & 7] for i in range(16)])
-
-
-def test_block_codes_stay_close():
-    rng = np.random.default_rng(1)
-    v = rng.integers(0, 256, (50, 16, 1))
-    codes = blocks.bc4(v[:, :, 0])
-    for raw, code in zip(v[:, :, 0], codes):
-        assert abs(decode_bc4(code) - raw).max() <= (raw.max() - raw.min()) / 14 + 1
-    flat = np.full((1, 16, 3), 128)
-    assert len(blocks.bc1(flat)[0]) == 8 and len(blocks.bc3(np.full((1, 16, 4), 9))[0]) == 16
-    assert (decode_bc4(blocks.bc4(np.full((1, 16), 77))[0]) == 77).all()
-    ramp = np.repeat(np.linspace(0, 255, 16)[None, :, None], 3, axis=2)
-    code = blocks.bc1(ramp)[0]
-    assert int.from_bytes(bytes(code[:2]), "little") == 0xFFFF and int.from_bytes(bytes(code[2:4]), "little") == 0
-
-
 def test_sql_surface(spark):
     sql_functions.register(spark)
     row = spark.sql("select grid_smoothstep(0D, 1D, 0.25D) as s, grid_smoothstep(0D, 1D, null) as n, tile_parent(7) as p, grid_row_lat(0, 180) as lat").collect()[0]
