@@ -72,8 +72,10 @@ def test_star_rows(spark):
 
 def test_manifest_schema_is_closed(spark):
     docs = ['{"k": 1}', '{"k": 1, "z": 2}', "not json", '{"k": 1}' + " " * 20_000]
-    out = manifests.closed_json(spark.createDataFrame([(d,) for d in docs], "j string"), "j", "k bigint", ["k"]).collect()
+    rows = spark.createDataFrame([(d,) for d in docs], "j string")
+    out = manifests.closed_json(rows, "j", "k bigint", ["k"], max_bytes=16_384).collect()
     assert [r.accepted for r in out] == [True, False, False, False] and out[1].unknown_keys == ["z"]
+    assert [r.accepted for r in manifests.closed_json(rows, "j", "k bigint", ["k"]).collect()] == [True, False, False, True]
 
 
 def test_status_line(spark):
