@@ -5,7 +5,9 @@ host, and on ``least_pages`` of them at least, is boilerplate there and is dropp
 
 Lines are counted as 128-bit hashes, once per page, with partial sums before the shuffle, so a host with a third of
 all pages is summed where it is read. The boilerplate of a host is a short list: a host whose pages have L distinct
-lines on average has fewer than L / ratio of them. Whole texts are joined with that one row per host and filtered in place.
+lines on average has fewer than L / ratio of them. Page totals and that list, each one row per host, are written to the
+shared folder before they are joined, so Spark knows their size: below the broadcast threshold the texts are filtered where they
+are read, and beyond it the join is an ordinary one whose hot hosts adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import shared_table
+
 RATIO = 0.1
 LEAST_PAGES = 3
 
@@ -42,13 +46,11 @@ def drop_boilerplate(df: DataFrame, host: str, text: str, ratio: float = RATIO,
     place, body = F.coalesce(F.concat(F.lit("h"), F.col(f"`{host}`").cast("string")), F.lit("")), F.col(f"`{text}`")
     lines = _lines(body, pattern)
     marks = F.array_distinct(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), _mark))
-    pages = df.select(place.alias("__host"), F.explode(F.concat(F.array(F.lit("")), marks)).alias("__mark"))
-    # The empty mark stands once on every page: its count is the page total of the host.
-    counts = pages.groupBy("__host", "__mark").agg(F.count("*").alias("__n"))
-    total = counts.where("__mark = ''").select("__host", F.col("__n").alias("__pages"))
-    common = (counts.where((F.col("__mark") != "") & (F.col("__n") >= least_pages)).join(total, "__host")
-              .where(F.col("__n") > F.col("__pages") * F.lit(float(ratio)))
-              .groupBy("__host").agg(F.collect_list("__mark").alias("__common")))
+    total = shared_table(df.select(place.alias("__host")).groupBy("__host").agg(F.count("*").alias("__pages")))
+    counts = (df.select(place.alias("__host"), F.explode(marks).alias("__mark")).groupBy("__host", "__mark")
+              .agg(F.count("*").alias("__n")).where(F.col("__n") >= least_pages))
+    common = shared_table(counts.join(total, "__host").where(F.col("__n") > F.col("__pages") * F.lit(float(ratio)))
+                          .groupBy("__host").agg(F.collect_list("__mark").alias("__common")))
     joined = df.select(*[F.col(f"`{c}`") for c in carried], place.alias("__host"), body.alias("__text")).join(
         common, "__host", "left")
     known = F.coalesce("__common", F.array().cast("array<string>"))
