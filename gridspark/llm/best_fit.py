@@ -185,13 +185,15 @@ class Encoder:
         self.special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
         self.exact: dict[str, bytes] = {}  # ids of a part as it stands
         self.after: dict[str, bytes] = {}  # ids of a part behind one blank
+        self.words: dict[str, bytes] = {}  # ids of the words that parts consist of
 
     def _all(self, parts: list[str]) -> list[bytes]:
         """Ids of parts: one call for many, with a special token between them, on which the library always splits."""
+        whole = self.model.encode_batch_fast  # ids only, without offsets
         if not self.special:
-            return [array("I", e.ids).tobytes() for e in self.model.encode_batch(parts, add_special_tokens=False)]
+            return [array("I", e.ids).tobytes() for e in whole(parts, add_special_tokens=False)]
         mark, number = next(iter(self.special.items()))
-        ids = np.array(self.model.encode(mark.join(parts), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(whole([mark.join(parts)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(ids == number).tolist()
         return [ids[a:b].tobytes() for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
 
@@ -200,9 +202,18 @@ class Encoder:
         if len(known) + len(new) > CACHED:
             known.clear()
             new = list(parts)
-        for at in range(0, len(new), 4096):
-            block = new[at:at + 4096]
-            known.update(zip(block, self._all([before + p for p in block])))
+        # Many parts share words ("and", "and,"). The classes of Latin characters are the same in every Unicode version.
+        cut = [[part] if part and max(part) >= "\u0250" else WORDS.findall(part) for part in map(before.__add__, new)]
+        needed = set().union(*cut)
+        fresh = list(needed - self.words.keys())
+        if len(self.words) + len(fresh) > CACHED:
+            self.words.clear()
+            fresh = list(needed)
+        for at in range(0, len(fresh), 256):
+            block = fresh[at:at + 256]
+            self.words.update(zip(block, self._all(block)))
+        get = self.words.__getitem__
+        known.update((part, b"".join(map(get, c))) for part, c in zip(new, cut))
 
     def _odd(self, text: str) -> bytes:
         cut = [text]
