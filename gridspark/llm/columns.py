@@ -58,7 +58,7 @@ def computed(df: DataFrame, inputs: list[str | Column], outputs: list[T.StructFi
 
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(),
           "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()),
-          "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+          "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
 
 def fold(key: str, parts: int) -> Column:

@@ -1,8 +1,12 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
 Every line and paragraph of a file, and a licence file as a whole, is a sparse vector of term counts times inverse
-document frequency. Document frequencies of the template terms are counted over all files; any other term weighs as
-one that occurs in a single file. A file has the licence of the template with the highest cosine, if that is high enough.
+document frequency, counted over all files for every word. A file has the licence of the template with the highest
+cosine, if that is high enough.
+
+The weights of the template terms are known to every task. Other words of a unit only lengthen its vector, so the best
+template does not hang on them: a unit without any is settled at once, and one that may still reach the threshold if
+each of them had the least weight waits for a join with the frequencies of its words, which stay a table.
 
 Lines are looked at only where they can reach the threshold: by Cauchy-Schwarz the cosine is at most the share of the
 template's length that lies in shared terms, so a line without any of a template's heaviest terms, those whose rest
@@ -26,6 +30,7 @@ from pyspark.sql import types as T
 from .columns import computed, shared_table
 
 THRESHOLD = 0.75
+HELD_WORDS = 1 << 18  # distinct words that a task counts before it hands them on
 # Short notices by which files name their licence.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",
@@ -55,14 +60,14 @@ class Scanner:
 
     def __init__(self, files: int, frequency: dict[str, int], templates: dict[str, tuple[str, ...]], threshold: float):
         self.threshold = threshold
-        self.unseen = self._idf(files, 1)
         vocabulary = sorted({t for own in templates.values() for text in own for t in terms(text)})
-        self.idf = {t: self._idf(files, frequency.get(t, 0)) for t in vocabulary}
+        self.idf = {t: math.log((1 + files) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary}
         self.templates = []
         anchors = set()
         for name in sorted(templates):
             for text in templates[name]:
-                vector = self.vector(text)
+                vector, squares, _ = self.weights(text)
+                vector = {t: w / (math.sqrt(squares) or 1.0) for t, w in vector.items()}
                 self.templates.append((name, vector))
                 rest, heavy = 1.0, sorted(vector, key=lambda t: (-vector[t], t))
                 for t in heavy:
@@ -72,54 +77,65 @@ class Scanner:
                     rest -= vector[t] ** 2
         self.anchors = sorted(anchors)
 
-    @staticmethod
-    def _idf(files: int, frequency: int) -> float:
-        return math.log((1 + files) / (1 + frequency)) + 1
+    def weights(self, text: str) -> tuple[dict[str, float], float, Counter]:
+        """Weights of the template terms of a unit, the sum of their squares, and the counts of all other words."""
+        counts = Counter(terms(text))
+        weights = {t: n * self.idf[t] for t, n in counts.items() if t in self.idf}
+        return weights, sum(w * w for w in weights.values()), Counter({t: n for t, n in counts.items() if t not in self.idf})
 
-    def vector(self, text: str) -> dict[str, float]:
-        weights = {t: n * self.idf.get(t, self.unseen) for t, n in Counter(terms(text)).items()}
-        size = math.sqrt(sum(w * w for w in weights.values())) or 1.0
-        return {t: w / size for t, w in weights.items()}
+    def match(self, text: str) -> tuple[str, float, float, Counter] | None:
+        """The nearest template of one unit of text with its product, the unit's squares and its other words.
 
-    def match(self, text: str) -> tuple[float, str] | None:
-        """Highest cosine of one unit of text and its template; ties go to the first name."""
-        vector = self.vector(text)
+        None if the cosine is too low even if each other word had the least weight, one. Ties go to the first name.
+        """
+        weights, squares, others = self.weights(text)
         best = None
         for name, own in self.templates:
-            cosine = sum(w * vector[t] for t, w in own.items() if t in vector)
-            if cosine >= self.threshold and (best is None or cosine > best[0] + 1e-12):
-                best = (cosine, name)
-        return best
-
-    def scan(self, text: str | None, whole: bool) -> tuple[str | None, float]:
-        """Licence and cosine of a file; (None, 0.0) without one."""
+            product = sum(w * weights[t] for t, w in own.items() if t in weights)
+            if product and (best is None or product > best[1] * (1 + 1e-12)):
+                best = (name, product)
+        if best is None or best[1] < (self.threshold - 1e-9) * math.sqrt(squares + sum(n * n for n in others.values())):
+            return None
+        return *best, squares, others
+
+    def scan(self, text: str | None, whole: bool) -> tuple[str | None, float, list[str], list[float], list[float], list[str]]:
+        """Licence and cosine of a file's settled units, (None, 0.0) without one, and those that wait for frequencies."""
         lowered = (text or "").lower()
         if not any(a in lowered for a in self.anchors):
-            return None, 0.0
+            return None, 0.0, [], [], [], []
         units = set(text.split("\n")) | set(re.split(r"\n\s*\n", text)) | ({text} if whole else set())
         found = [m for u in units if any(a in u.lower() for a in self.anchors) for m in [self.match(u)] if m]
-        if not found:
-            return None, 0.0
-        cosine, name = min(found, key=lambda m: (-m[0], m[1]))
-        return name, cosine
+        settled = [(-product / math.sqrt(squares), name) for name, product, squares, others in found if not others]
+        least, own = min((m for m in settled if -m[0] >= self.threshold), default=(0.0, None))
+        waits = {(name, product, squares, " ".join(sorted(others.elements()))) for name, product, squares, others in found
+                 if others and product >= (-least - 1e-9) * math.sqrt(squares + sum(n * n for n in others.values()))}
+        return own, -least or 0.0, *(list(map(list, zip(*sorted(waits)))) or [[], [], [], []])
 
 
-def template_frequency(df: DataFrame, text: str, vocabulary: set[str]) -> tuple[int, dict[str, int]]:
-    """Number of files, and in how many each template term occurs; sums of a fixed set of terms reach the driver."""
+def word_frequency(df: DataFrame, text: str) -> DataFrame:
+    """(t, n): in how many files each word occurs; the row of the empty word counts the files."""
 
     def count(batches):
-        files, seen = 0, Counter()
+        seen = Counter()
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                files += 1
-                lowered = (value or "").lower()
-                if lowered:
-                    seen.update(vocabulary.intersection(_MARKS.split(lowered)))
-        yield pa.RecordBatch.from_arrays([pa.array(["", *seen]), pa.array([files, *seen.values()], pa.int64())], names=["t", "n"])
+                seen.update({"", *_MARKS.split((value or "").lower())})
+                if len(seen) > HELD_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["t", "n"])
+                    seen = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["t", "n"])
+
+    return df.select(F.col(f"`{text}`")).mapInArrow(count, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
 
-    rows = df.select(F.col(f"`{text}`")).mapInArrow(count, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()
-    sums = {r["t"]: r["n"] for r in rows}
-    return sums.pop("", 0), sums
+
+def squares_of_others(asked: DataFrame, words: DataFrame, files: int) -> DataFrame:
+    """(x, s): the summed squared weights of each distinct text ``others`` of words, under its hash ``x``."""
+    counts = asked.select("x", "others").dropDuplicates(["x"]).select("x", F.explode(F.split("others", " ")).alias("t")).groupBy(
+        "x", "t").agg(F.count("*").alias("c"))
+    weight = F.col("c") * (F.log((1.0 + files) / (1 + F.coalesce("n", F.lit(0)))) + 1)
+    # Added up in order, so that a sum does not hang on the order of the rows.
+    return counts.join(words, "t", "left").groupBy("x").agg(F.array_sort(F.collect_list(weight * weight)).alias("w")).select(
+        "x", F.aggregate("w", F.lit(0.0), lambda s, w: s + w).alias("s"))
 
 
 def directory(path: Column) -> Column:
@@ -144,17 +160,30 @@ def scan_licenses(df: DataFrame, key: str, path: str, text: str, is_license_file
     flag reads as false. Rows are neither dropped nor merged, and other columns are not read.
     """
     vocabulary = {t for own in templates.values() for unit in own for t in terms(unit)}
-    files, frequency = template_frequency(df, text, vocabulary)
+    words = shared_table(word_frequency(df, text))
+    frequency = {r["t"]: r["n"] for r in words.where(F.col("t").isin("", *sorted(vocabulary))).collect()}
+    files = frequency.pop("", 0)
     shared = df.sparkSession.sparkContext.broadcast(Scanner(files, frequency, templates, threshold))  # the templates only
-    rows = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{path}`").alias("p"), F.col(f"`{text}`").alias("t"),
-                     F.coalesce(F.col(f"`{is_license_file}`"), F.lit(False)).alias("f"))
+    rows = df.select(F.monotonically_increasing_id().alias("r"), F.col(f"`{key}`").alias("k"), F.col(f"`{path}`").alias("p"),
+                     F.col(f"`{text}`").alias("t"), F.coalesce(F.col(f"`{is_license_file}`"), F.lit(False)).alias("f"))
 
     def make():
         scanner = shared.value
-        return lambda texts, whole: list(map(list, zip(*[scanner.scan(t, w) for t, w in zip(texts, whole)]))) or [[], []]
-
-    own = shared_table(computed(rows, ["t", "f"], [T.StructField("own", T.StringType()), T.StructField("cosine", T.DoubleType())],
-                                make, ["k", "p", "f"]).withColumn("d", directory(F.col("p"))))
+        return lambda texts, whole: list(map(list, zip(*[scanner.scan(t, w) for t, w in zip(texts, whole)]))) or [[]] * 6
+
+    listed = lambda name, kind: T.StructField(name, T.ArrayType(kind()))
+    fields = [T.StructField("own", T.StringType()), T.StructField("cosine", T.DoubleType()), listed("name", T.StringType),
+              listed("product", T.DoubleType), listed("squares", T.DoubleType), listed("others", T.StringType)]
+    scanned = shared_table(computed(rows, ["t", "f"], fields, make, ["r", "k", "p", "f"]))
+    waits = scanned.select("r", F.explode(F.arrays_zip("name", "product", "squares", "others")).alias("e")).select(
+        "r", "e.*", F.md5("e.others").alias("x"))
+    cosine = F.col("product") / F.sqrt(F.col("squares") + F.col("s"))
+    late = waits.join(squares_of_others(waits, words, files), "x").withColumn("late", cosine).where(
+        F.col("late") >= threshold).groupBy("r").agg(F.min(F.struct((-F.col("late")).alias("c"), F.col("name").alias("own"))).alias("late"))
+    best = F.least(F.when(F.col("own").isNotNull(), F.struct((-F.col("cosine")).alias("c"), "own")), "late")
+    own = shared_table(scanned.join(late, "r", "left").withColumn("best", best).select(
+        "k", "p", "f", F.col("best.own").alias("own"), F.coalesce(-F.col("best.c"), F.lit(0.0)).alias("cosine"),
+        directory(F.col("p")).alias("d")))
     given = own.where("f and own is not null and d is not null").groupBy("d").agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), "own")).alias("best")).select(
         F.col("d").alias("above"), F.col("best.own").alias("passed"))

@@ -123,6 +123,26 @@ def test_license_scan(spark):
                    4: ("Apache-2.0", "Apache-2.0", None), 5: (None, None, None), 6: ("proprietary", "proprietary", None), 7: (None, None, None)}
 
 
+@pytest.mark.parametrize("files", [40, 4000])
+def test_license_words_weigh_by_their_files(spark, files):
+    """Ordinary words beside a notice weigh little at any corpus size; words of one file weigh as much as they should."""
+    schema = "k long, path string, text string, flag boolean"
+    rows = [(i, f"d/{i}", "this file holds code", False) for i in range(files)]
+    rows += [(files + i, f"d/n{i}", "All rights reserved.", False) for i in range(files // 150)]
+    odd = {-1: "Copyright in this file: all rights reserved.", -2: "zyx qwv uvw zzy: all rights reserved", -3: "This file. This file."}
+    rows += [(k, f"d/o{k}", t, False) for k, t in odd.items()]
+    rows += [(-4, "d/c", "copyright in", False)] * (files // 20)
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, schema), "k", "path", "text", "flag").collect()
+    assert len(got) == len(rows)
+    found = {r["k"]: r for r in got if r["k"] < 0}
+    assert [found[k]["own_license"] for k in (-1, -2, -3, -4)] == ["proprietary", None, None, None]
+    words = [set(license_scan.terms(t)) for _, _, t, _ in rows]
+    idf = {t: np.log((1 + len(rows)) / (1 + sum(t in w for w in words))) + 1 for t in license_scan.terms(odd[-1])}
+    own = {t: w * w for t, w in idf.items()}
+    want = np.sqrt(sum(own[t] for t in ("all", "rights", "reserved")) / sum(own.values()))
+    assert abs(found[-1]["cosine"] - want) < 1e-9
+
+
 def test_prefix_bpe_and_decode(spark):
     path = vocabulary("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
