@@ -143,6 +143,28 @@ def test_license_words_weigh_by_their_files(spark, files):
     assert abs(found[-1]["cosine"] - want) < 1e-9
 
 
+def test_license_full_texts_and_tags(spark):
+    """Whole licences with another holder, wrapped headers and SPDX tags; a long English text is no licence."""
+    full = license_scan.full_texts()
+    again = {n: "Copyright (c) 2021 Jane Roe\nAll rights reserved.\n\n" + "\n".join(t.split("\n")).replace("  ", " ") for n, t in full.items()}
+    again["ISC"] = again["ISC"].replace("AND THE AUTHOR DISCLAIMS", "AND JANE ROE DISCLAIMS")
+    prose = (license_scan.Path(license_scan.__file__).parents[2] / "README.md").read_text()
+    other = {"see": ("# SPDX-License-Identifier: see below", None), "tag": ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"),
+             "or": ("// SPDX-License-Identifier: MIT OR Apache-2.0\ncode", "MIT OR Apache-2.0"), "prose": (prose, None),
+             "lgpl": (" * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU Lesser "
+                      "General Public License as published by\n * the Free Software Foundation; either version 3 of the License, or\n"
+                      " * (at your option) any later version.\n *\n", "LGPL-3.0"),
+             "cc": ("Licensed under CC BY 4.0", "CC-BY-4.0"), "epl": ("Licensed under the Eclipse Public License 2.0.", "EPL-2.0"),
+             "bsd2": ("Copyright Jane Roe. All rights reserved.\n\n" + full["BSD-2-Clause"], "BSD-2-Clause")}
+    rows = [(n, f"{n}/LICENSE", t, True) for n, t in again.items()] + [(n, f"{n}/x", t, n == "prose") for n, (t, _) in other.items()]
+    want = {**{n: n for n in full}, **{n: name for n, (_, name) in other.items()}}
+    for filler in (0, 300):
+        df = spark.createDataFrame(rows + [(f"f{i}", f"f/{i}", "the and of code in this file", False) for i in range(filler)],
+                                   "k string, path string, text string, flag boolean")
+        got = license_scan.scan_licenses(df, "k", "path", "text", "flag").where("k not like 'f%'").collect()
+        assert {r["k"]: r["own_license"] for r in got} == want
+
+
 def test_prefix_bpe_and_decode(spark):
     path = vocabulary("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
