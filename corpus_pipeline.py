@@ -37,11 +37,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component; documents without an id stay."""
-    kept = parity_join.jaccard_components(docs, "doc_id", "text").where("doc_id = component_id").select(
-        F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(*COLUMNS)
-    return rows.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").union(rows.where("doc_id is null"))
+    """One row of each component: that with the least id, and of several such rows, or rows without an id, one of them.
+
+    Rows are told apart by a number that is written once, so repeated ids and NULL ids are rows like others.
+    """
+    rows = shared_table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_id")))
+    found = parity_join.jaccard_components(rows, "row_id", "text").select(F.col("row_id").alias("found_id"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
+    kept = rows.select("doc_id", "row_id").join(found, F.col("row_id") == F.col("found_id")).groupBy("component_id").agg(
+        F.min(order).alias("least")).select(F.col("least.row_id").alias("kept_id"))
+    return rows.join(kept, F.col("row_id") == F.col("kept_id"), "left_semi").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

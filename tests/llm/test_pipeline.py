@@ -25,3 +25,13 @@ def test_stages(spark):
     for r in packed:
         sizes[r["sequence_id"]] = sizes.get(r["sequence_id"], 0) + r["length"]
     assert max(sizes.values()) <= 2048
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(7, text)] * 30 + [(5, text + " end")] * 3 + [(None, text)] * 4 + [(None, other)] * 5 + [(9, "alone here"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect()]
+    assert sorted(got, key=str) == sorted([(5, text + " end"), (None, other), (9, "alone here"), (None, None), (None, None)], key=str)
