@@ -25,9 +25,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows."""
-    found = language_id.identify(docs, language_id.fit_languages(docs), "text", COLUMNS)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).select(*COLUMNS)
+    """Documents in a language that the model knows: told from the others, and as probable as its labelled texts are."""
+    model = language_id.fit_languages(docs)
+    found = language_id.identify(docs, model, "text", COLUMNS, cuts=language_id.fit_cuts(model))
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN) & F.col("fits")).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

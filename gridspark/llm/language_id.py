@@ -3,6 +3,10 @@
 Training counts, for each language and bucket, the character n-grams of all labelled texts: a numpy count per task,
 summed by Spark. The log probabilities form one matrix of ``buckets`` rows and a column per language, whose size is
 fixed before any data are read; it is broadcast, and texts are scored in numpy by looking up only the n-grams they hold.
+
+The posterior of a text saturates after a few letters, also in a language that was never seen. Whether a text is in its
+language at all is judged by the mean log probability of its n-grams, against cuts that are learned from the labelled
+texts of each language and of the others.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from .columns import computed, steps
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
+LEAST_GAP = 1.0  # nats between the mean of a language and its cut; labels may stand for nearly the same language
 _GAP = 32  # code of the blank that stands for every run-breaking character
 _letters: np.ndarray | None = None
 
@@ -70,6 +75,14 @@ class LanguageModel:
     languages: list[str]
     priors: np.ndarray
     table: np.ndarray
+    smoothing: float = 0.5
+
+    def once_less(self) -> np.ndarray:
+        """The table with every count of an n-gram that was seen lower by one."""
+        unseen = self.table[:-1].min(0, keepdims=True)  # holds log(smoothing), as long as some bucket is empty
+        ratio = np.exp((self.table[:-1] - unseen).astype(np.float64)) * self.smoothing  # count + smoothing
+        less = np.where(ratio >= self.smoothing + 0.5, np.maximum(ratio - 1, self.smoothing), ratio)
+        return np.concatenate([unseen + np.log(less / self.smoothing), self.table[-1:]]).astype(np.float32)
 
 
 def fit_languages(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS,
@@ -107,15 +120,42 @@ def fit_languages(df: DataFrame, text: str = "text", lang: str = "lang", buckets
     table = np.zeros((buckets + 1, len(names)), np.float32)
     if len(names):
         table[:buckets] = np.log(grid + smoothing) - np.log(grid.sum(0) + smoothing * buckets)
-    return LanguageModel(names.tolist(), np.log(documents / documents.sum()) if len(names) else documents, table)
+    return LanguageModel(names.tolist(), np.log(documents / documents.sum()) if len(names) else documents, table, smoothing)
+
+
+def fit_cuts(model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """(cuts, spreads) by language: the least mean log probability of a text's n-grams, and the deviation of one n-gram.
+
+    The cut lies halfway between what the labelled texts of a language have on average and what those of the other
+    languages have in it, and LEAST_GAP under the first at least. A model of one language has the cut of chance, all
+    buckets alike. In a language's own texts every n-gram counts once less than it was learned, as it would in a new text.
+    """
+    own, table = model.once_less()[:-1].astype(np.float64), model.table[:-1].astype(np.float64)
+    share = np.exp(table) - np.exp(table.min(0, keepdims=True))  # without the smoothing
+    share /= np.maximum(share.sum(0), 1e-300)
+    inside, across = (share * own).sum(0), share.T @ table
+    spreads = np.sqrt((share * (own - inside) ** 2).sum(0))
+    if len(inside) < 2:
+        return np.minimum(np.full(len(inside), -np.log(len(table))), inside - LEAST_GAP), spreads
+    others = (across.sum(0) - np.diag(across)) / (len(inside) - 1)
+    return np.minimum((inside + others) / 2, inside - LEAST_GAP), spreads
 
 
 def predict(model: LanguageModel, texts: list[str | None], table: np.ndarray | None = None) -> tuple[list, list]:
     """Language and its posterior probability for each text; UNKNOWN and 0.0 without a letter or a model."""
+    return judge(model, texts, table)[:2]
+
+
+def judge(model: LanguageModel, texts: list[str | None], table: np.ndarray | None = None,
+          cuts: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list, list, list]:
+    """As ``predict``, and whether the mean log probability of the text's n-grams reaches the cut of its language.
+
+    The cut of a short text is lower by the deviation of a mean of so few n-grams.
+    """
     table = model.table if table is None else table
-    found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    found, scores, fits = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
     if not model.languages:
-        return found, scores
+        return found, scores, fits
     for a, b in steps(texts):
         rows, starts, lettered = hashed_grams([t or "" for t in texts[a:b]], len(table) - 1)
         sums = np.repeat(model.priors[None, :], b - a, 0)
@@ -125,16 +165,21 @@ def predict(model: LanguageModel, texts: list[str | None], table: np.ndarray | N
         chance = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
         for i in np.flatnonzero(lettered):
             found[a + i], scores[a + i] = model.languages[best[i]], float(chance[i])
-    return found, scores
+        if cuts is not None:
+            n = np.maximum(np.add.reduceat((rows < len(table) - 1).sum(0), starts), 1)
+            means = (sums[np.arange(b - a), best] - model.priors[best]) / n
+            fits[a:b] = (lettered & (means >= cuts[0][best] - cuts[1][best] / np.sqrt(n))).tolist()
+    return found, scores, fits
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None,
-             name: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Append the language of each whole text and its posterior probability.
+             name: str = "lang_pred", score: str = "score", cuts: tuple[np.ndarray, np.ndarray] | None = None, fits: str = "fits") -> DataFrame:
+    """Append the language of each whole text and its posterior probability; with cuts, also whether it fits its language.
 
     NULL and empty texts and texts without a letter give ``und`` and 0.0. Equal texts get equal results, rows are
     neither dropped nor merged, and an empty table stays empty. Columns called like the outputs are replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # (buckets + 1) x languages x 4 bytes
-    return computed(df, [text], [T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())],
-                    lambda: lambda texts: predict(shared.value, texts), keep)
+    fields = [T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(fits, T.BooleanType())]
+    return computed(df, [text], fields if cuts is not None else fields[:2],
+                    lambda: lambda texts: judge(shared.value, texts, cuts=cuts), keep)

@@ -1,5 +1,7 @@
 """The pipeline on the smallest tables: schemas, stage by stage decisions, and whole packing."""
 
+import random
+
 import corpus_pipeline
 from gridspark.llm.columns import shared_table
 from gridspark.llm import parity_join
@@ -35,3 +37,21 @@ def test_one_row_of_each_component_stays(spark):
                                  "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect()]
     assert sorted(got, key=str) == sorted([(5, text + " end"), (None, other), (9, "alone here"), (None, None), (None, None)], key=str)
+
+
+FOREIGN = [
+    "Все люди рождаются свободными и равными в своём достоинстве и правах. Они наделены разумом и совестью.",
+    "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli "
+    "uni verso gli altri in spirito di fratellanza."]
+
+
+def test_languages_never_seen_go(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    docs = shared_table(corpus_pipeline.keep_quality(spark, docs, FOLDER))
+    draw = random.Random(1)
+    noise = " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(100))
+    foreign = [(-1 - i, t, None, "s", len(t)) for i, t in enumerate([*FOREIGN, FOREIGN[0] * 20, noise])]
+    both = docs.unionByName(spark.createDataFrame(foreign, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, both, FOLDER).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}
