@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (best_fit, chat_format, hnsw_dedup, language_id, license_scan, norm_topk, parity_join, prefix_bpe,
-               quality, site_lines)
+from . import (best_fit, chat_format, chat_repair, hnsw_dedup, language_id, license_scan, norm_topk, parity_join, prefix_bpe,
+               quality, site_lines, squares, wu_manber)
 from .columns import fold
 
 
@@ -187,3 +187,105 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     model = language_id.fit_languages(documents.where(~held))
     return language_id.identify(documents, model, "text", ["doc_id"]).select(
         "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = squares.periodic_runs(table(spark, folder, "documents"), "text", "doc_id", ["doc_id"])
+    runs = F.arrays_zip("starts", "lengths", "periods")
+    best = F.array_max(F.transform(runs, lambda r: F.struct(
+        r["lengths"].alias("length"), (-r["starts"]).alias("start"), (-r["periods"]).alias("period"))))
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["starts"].cast("string"), r["lengths"].cast("string"),
+                                                             r["periods"].cast("string")), F.lit("\n")))
+    return found.select("doc_id", F.size("starts").cast("bigint").alias("n_runs"), best.alias("best"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256")
+
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op12_benchmark_words", f"""
+with d as (select doc_id, regexp_extract_all({LOWER}, '{WORD}') as w from documents),
+b as (select coalesce(cast(item_id as varchar), '') as item, regexp_extract_all({LOWER}, '{WORD}') as w from benchmark),
+sizes as (select distinct least(len(w), {wu_manber.WINDOW}) as m from b where len(w) > 0),
+windows as (select distinct item, m, array_to_string(w[i:i + m - 1], ' ') as s
+            from (select item, w, least(len(w), {wu_manber.WINDOW}) as m, unnest(range(1, len(w) - least(len(w), {wu_manber.WINDOW}) + 2)) as i
+                  from b where len(w) > 0)),
+places as (select doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') as s
+           from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from d join sizes on len(w) >= m)),
+met as (select distinct doc_id, i, p.m, item from places p join windows v on p.m = v.m and p.s = v.s),
+hits as (select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + m)) as k from met) group by 1),
+found as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item from met) group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(h.n, 0) as n_hit, coalesce(f.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(h.n, 0) > 0 as contaminated
+from d left join hits h on h.doc_id = d.doc_id left join found f on f.doc_id = d.doc_id""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = wu_manber.find_items(table(spark, folder, "documents"), "text", table(spark, folder, "benchmark"), keep=["doc_id"])
+    hit = F.aggregate(F.zip_with("starts", "stops", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda n, x: n + x)
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))
+
+
+# crc32 of an ASCII text: the low bit of the register decides, eight times a byte, whether the polynomial is added.
+CRC = ("xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda z: ord(z)::bigint)), "
+       "lambda c, z: list_reduce(list_prepend(xor(c, z), range(8)), lambda r, q: xor(r >> 1, (r & 1) * 3988292384::bigint))), 4294967295::bigint)")
+
+
+def edit_sql() -> str:
+    """One row of the walk: best (cost, letters) and text for each state, as texts that sort by cost, then letters."""
+    cost = lambda k, n: f"lpad((left({k}.k, 9)::bigint + {n})::varchar, 9, '0')"
+    grown = lambda k, n, letter: f"({cost(k, n)} || substr({k}.k, 10) || '{letter}')"
+    pick = lambda *c: "list_sort(list_filter([" + ", ".join(c) + "], lambda z: z.k is not null))[1]"
+    made = lambda k, n, letter, line: f"{{'k': {grown(k, n, letter)}, 't': {k}.t{line}}}"
+    keep = lambda k, c: f"{{'k': case when not gone and ini = '{c}' then {grown(k, 'cut', 'K')} end, 't': {k}.t || [role || ':' || text]}}"
+    turn = lambda k, who: f"{{'k': case when not gone then {grown(k, '1 + cut', 'R')} end, 't': {k}.t || ['{who}:' || text]}}"
+    drop = lambda k: made(k, 2, "D", "")
+    into_u = ", ".join(f"{keep(k, 'u')}, {turn(k, 'user')}" for k in ("z", "s", "a"))
+    first = f"""select conv_id, n, {drop('z')} as z, {pick(drop('s'), keep('z', 's'))} as s,
+        {pick(drop('u'), into_u)} as u, {pick(drop('a'), keep('u', 'a'), turn('u', 'assistant'))} as a from walk"""
+    add = lambda k, who: made(k, 5, "I", f" || ['{who}:']")
+    once = lambda src: f"""select conv_id, n, z, s, {pick('u', add('z', 'user'), add('s', 'user'), add('a', 'user'))} as u,
+        {pick('a', add('u', 'assistant'))} as a from ({src})"""
+    return once(once(first))
+
+
+@query("op13_chat_repair", rf"""
+with recursive hurt as (
+  select conv_id, turn, role, text, {CRC.format("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as h from conversations),
+rows as (
+  select conv_id, turn, case when h = 4 then 'user' else coalesce(role, ' ') end as role,
+         case h when 1 then '' when 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end as text
+  from hurt, unnest(case when h = 3 then [0, 1] else [0] end) as c(copy) where h <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as n from rows),
+marked as (select *, left(role, 1) as ini, not regexp_matches(text, '[^ 	-]') as blank,
+                  row_number() over (partition by conv_id, role, text order by n) > 1 as again,
+                  not regexp_matches(text, '[.!?][ 	-]*$') as cut_off,
+                  lag(left(role, 1)) over (partition by conv_id order by n) as before from placed),
+faults as (select *, case when blank then 1 when again then 2 when cut_off then 3 else 0 end as fault from marked),
+turns as (select conv_id, n, ini, role, text, fault in (1, 2) as gone, case when fault = 3 then 5 else 0 end as cut from faults),
+ids as (select distinct conv_id from conversations),
+none as (select null::varchar as k, []::varchar[] as t),
+steps as (select conv_id, 0 as n, {{'k': '000000000', 't': []::varchar[]}} as z, {{'k': null::varchar, 't': []::varchar[]}} as s,
+                 {{'k': '000000005I', 't': ['user:']}} as u, {{'k': '000000010II', 't': ['user:', 'assistant:']}} as a from ids
+  union all
+  select * from (with walk as (
+      select p.conv_id, t.n, z, s, u, a, ini, role, text, gone, cut from steps p join turns t on p.conv_id is not distinct from t.conv_id and t.n = p.n + 1)
+    {edit_sql()})),
+ended as (select distinct on (conv_id) conv_id, case when a.k < z.k or z.k is null then a else z end as e from steps order by conv_id, n desc),
+counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank,
+         count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+         count(*) filter (before is not null and before || ini not in ('su', 'ua', 'au')) as illegal from faults group by 1)
+select i.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, left(e.k, 9)::bigint as cost, substr(e.k, 10) as audit,
+       sha256(array_to_string(e.t, chr(10))) as repaired_sha256
+from ids i left join counted c on i.conv_id is not distinct from c.conv_id left join ended d on i.conv_id is not distinct from d.conv_id""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    chats = table(spark, folder, "conversations")
+    rows = chat_repair.damaged(chats, "conv_id", "turn", "role", "text")
+    ids = chats.select(F.col("conv_id").alias("conv"))
+    return chat_repair.repair_conversations(rows, "conv", "turn", "role", "text", ids).withColumnRenamed("conv", "conv_id")
