@@ -156,10 +156,11 @@ def separable(cells: DataFrame, rows: Weights, cols: Weights, bands: list[str],
     return out.select(GRID, "y", "x", *bands)
 
 
-def resize(cells: DataFrame, bands: list[str], source: tuple[int, int], target: tuple[int, int], kernel: str) -> DataFrame:
-    """Kernel resize of (height, width) grids."""
+def resize(cells: DataFrame, bands: list[str], source: tuple[int, int], target: tuple[int, int], kernel: str,
+           missing: str = "spread") -> DataFrame:
+    """Kernel resize of (height, width) grids; ``missing`` is as in ``separable``."""
     return separable(cells, kernel_weights(source[0], target[0], kernel),
-                     kernel_weights(source[1], target[1], kernel), bands)
+                     kernel_weights(source[1], target[1], kernel), bands, missing)
 
 
 def regrid_area(cells: DataFrame, bands: list[str], source: tuple[int, int], target: tuple[int, int]) -> DataFrame:

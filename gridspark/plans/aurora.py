@@ -71,8 +71,8 @@ def aurora_grid(points: DataFrame, key: str, source: tuple[int, int], target: tu
     placed = points.select(
         F.col(key).alias(GRID), ((h - 1) // 2 - F.col("lat")).cast("int").alias("y"),
         F.pmod(F.col("lon") + w // 2, F.lit(w)).cast("int").alias("x"), (F.col("value") / 100.0).alias("p"))
-    # A missing node adds nothing to the weighted sums, so the source need not be made dense.
-    big = resize(placed, ["p"], source, target, "bilinear")
+    # Skipped without normalising, a missing node adds nothing to the weighted sums, as one of value 0 would.
+    big = resize(placed, ["p"], source, target, "bilinear", missing="skip")
     full = dense_grid(placed.select(GRID).distinct(), *target)
     big = full.join(big, [GRID, "y", "x"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
     return big.select(GRID, "y", "x", F.rint(F.round(clip("p", 0.0, 1.0) * 255.0, 6)).cast("int").alias("alpha"))

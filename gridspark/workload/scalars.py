@@ -198,9 +198,10 @@ def h17(spark, d):
 
 
 @query("h18_eclipse", """with p as (select event_id, 0.0046e0 + (event_id % 7) * 0.0001e0 as a, 0.0044e0 + (event_id % 11) * 0.0001e0 as b, (event_id % 101) * 0.0001e0 + 0.00001e0 as d from events),
-q as (select *, acos(greatest(-1e0, least(1e0, (d * d + a * a - b * b) / (2 * d * a)))) as al, acos(greatest(-1e0, least(1e0, (d * d + b * b - a * a) / (2 * d * b)))) as be,
-  sqrt(greatest(0e0, (a + b - d) * (d + a - b) * (d - a + b) * (d + a + b))) as k from p)
-select event_id, round(greatest(0e0, least(1e0, 1 - case when d >= a + b then 0 when d <= abs(a - b) then least(a, b) * least(a, b) else (a * a * al + b * b * be - 0.5e0 * k) / pi() end / (a * a))), 6) + 0e0 as visible from q""")
+h as (select *, (a + b + d) / 2 as s from p),
+t as (select *, sqrt(greatest(0e0, s * (s - a) * (s - b) * (s - d))) as area from h),
+q as (select *, atan2(4 * area, d * d + a * a - b * b) as al, atan2(4 * area, d * d + b * b - a * a) as be from t)
+select event_id, round(greatest(0e0, least(1e0, 1 - case when d >= a + b then 0 when d <= abs(a - b) then least(a, b) * least(a, b) else (a * a * al + b * b * be - 2 * area) / pi() end / (a * a))), 6) + 0e0 as visible from q""")
 def h18(spark, d):
     p = A.table(spark, d, "events").selectExpr("event_id", "0.0046e0 + (event_id % 7) * 0.0001e0 as a", "0.0044e0 + (event_id % 11) * 0.0001e0 as b",
                                                "(event_id % 101) * 0.0001e0 + 0.00001e0 as d")
@@ -208,7 +209,7 @@ def h18(spark, d):
 
 
 @query("h19_sun_and_moon_light", """with p as (select event_id, 147000000e0 + value * 10000e0 as sun, (event_id % 180)::double as a, 56e0 + user_id % 8 as moon from events)
-select event_id, round(1361e0 * pow(149597870.7e0 / sun, 2e0), 6) as irradiance, round(1e9 * 2.5e-6 * pow(10e0, -0.4e0 * (0.026e0 * a + 4e-9 * a * a * a * a)) * (60.27e0 / moon) * (60.27e0 / moon), 6) as moonlight from p""")
+select event_id, round(1361e0 * pow(149597870.7e0 / sun, 2e0), 6) as irradiance, round(2500e0 * exp(-ln(10e0) * (0.0104e0 * a + 1.6e-9 * pow(a, 4e0))) * pow(60.27e0 / moon, 2e0), 6) as moonlight from p""")
 def h19(spark, d):
     p = A.table(spark, d, "events").selectExpr("event_id", "147000000e0 + value * 10000e0 as sun", "cast(event_id % 180 as double) as a", "56e0 + user_id % 8 as moon")
     return p.select("event_id", N.r6(sky.irradiance("sun")).alias("irradiance"), N.r6(1e9 * sky.moonlight("a", "moon")).alias("moonlight"))

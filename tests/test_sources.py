@@ -8,21 +8,21 @@ from gridspark.plans.masks import axis_steps, mask_counts
 from gridspark.sinks import generations, packed
 from gridspark.sources import catalogues, manifests, message_index, products, rasters, telemetry
 
-FIELDS = ["TCDC", "CAPE", "PRATE", "CWAT", "LCDC", "TMP"]
-WANTED = [(v, "level", n) for v, n in zip(FIELDS, ["cloud", "cape", "rain", "water", "low"])]
-
-
-def index_text(n):
-    return "\n".join(f"{i + 1}:{s}:d=2026:{v}:level:anl:" for i, (v, s) in enumerate(list(zip(FIELDS, [0, 100, 400, 600, 900, 1000]))[:n]))
+# Two wanted messages of a file of three; the first field repeats on another level.
+WANTED = [("SNOD", "ground", "snow"), ("RH", "2 m", "humid")]
+WHOLE = """1:0:d=1999:SNOD:ground:anl:
+2:4096:d=1999:SNOD:1 m:anl:
+3:5000:d=1999:RH:2 m:anl:
+4:70000:d=1999:ALB:ground:anl:
+"""
 
 
 def test_message_index_ranges(spark, tmp_path):
-    (tmp_path / "good.idx").write_text(index_text(6))
-    (tmp_path / "short.idx").write_text(index_text(3))
+    (tmp_path / "whole.idx").write_text(WHOLE)
+    (tmp_path / "torn.idx").write_text(WHOLE.split("3:")[0])
     out = message_index.message_ranges(message_index.scan_index(spark, str(tmp_path)), WANTED)
-    got = {r.name: (r.start_byte, r.end_byte) for r in out.collect()}
-    assert got == {"cloud": (0, 99), "cape": (100, 399), "rain": (400, 599), "water": (600, 899), "low": (900, 999)}
-    assert all(r.file_id.endswith("good.idx") for r in out.collect())
+    assert {(r.file_id.rsplit("/", 1)[1], r.name, r.start_byte, r.end_byte) for r in out.collect()} == {
+        ("whole.idx", "snow", 0, 4095), ("whole.idx", "humid", 5000, 69_999)}
 
 
 def test_repeated_message_keeps_its_last_match(spark):
