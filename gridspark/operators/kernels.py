@@ -24,20 +24,20 @@ def with_halo(cells: DataFrame, block: int, halo: int, height: int, width: int,
     """
     last_y, last_x = (height - 1) // block, (width - 1) // block
 
-    def homes(c: Column, last: int, cyclic: bool, extent: int) -> Column:
-        lo, hi = F.floor((c - halo) / block).cast("int"), F.floor((c + halo) / block).cast("int")
-        plain = F.transform(F.sequence(F.greatest(lo, F.lit(0)), F.least(hi, F.lit(last))),
-                            lambda b: F.struct(b.alias("b"), c.alias("p")))
-        if not cyclic:
-            return plain
-        # Near either end the cell also stands one turn away.
-        east = F.when(c < halo, F.array(F.struct(F.lit(last).alias("b"), (c + extent).alias("p"))))
-        west = F.when(c >= extent - halo, F.array(F.struct(F.lit(0).alias("b"), (c - extent).alias("p"))))
-        empty = F.array().cast(f"array<struct<b:int,p:int>>")
-        return F.concat(plain, F.coalesce(east, empty), F.coalesce(west, empty))
-
-    out = cells.withColumn("_h", F.explode(homes(F.col("x"), last_x, wrap_x, width)))
-    out = out.withColumn("_v", F.explode(homes(F.col("y"), last_y, False, height)))
+    def homes(c: Column, last: int, images: Column) -> Column:
+        # Every image of a cell goes to the blocks between those that its borders reach.
+        def blocks(p: Column) -> Column:
+            lo, hi = F.floor((p - halo) / block).cast("int"), F.floor((p + halo) / block).cast("int")
+            return F.transform(F.sequence(F.greatest(lo, F.lit(0)), F.least(hi, F.lit(last))),
+                               lambda n: F.struct(n.alias("b"), p.alias("p")))
+        return F.flatten(F.transform(images, blocks))
+
+    x = F.col("x")
+    seen = F.array(x)
+    if wrap_x:  # also one turn away, where that lies in a border
+        seen = F.filter(F.array(x - width, x, x + width), lambda p: p.between(-halo, width + halo - 1))
+    out = cells.withColumn("_h", F.explode(homes(x, last_x, seen)))
+    out = out.withColumn("_v", F.explode(homes(F.col("y"), last_y, F.array("y"))))
     out = out.select(*cells.columns, F.col("_v.b").alias("_by"), F.col("_h.b").alias("_bx"), F.col("_h.p").alias("_x"))
     return out.repartition(GRID, *BLOCK)
 
@@ -57,29 +57,57 @@ def along_y() -> Window:
     return Window.partitionBy(GRID, *BLOCK, "_x").orderBy("y")
 
 
+def beside(band: str, step: int, axis: str) -> Column:
+    """Value ``step`` places on along ``_x`` or ``y``; NULL where that cell is absent, for places are coordinates, not rows."""
+    window = along_x() if axis == "_x" else along_y()
+    if abs(step) == 1:  # a plain neighbour row, if it stands where the cell should be
+        row = F.lag if step < 0 else F.lead
+        return F.when(row(axis).over(window) == F.col(axis) + step, row(band).over(window))
+    return F.max(band).over(window.rangeBetween(step, step))
+
+
+def filled(df: DataFrame, block: int, halo: int, width: int, wrap_x: bool = False) -> DataFrame:
+    """Give the rows of a block a cell of NULLs at each place along x where none is, so that a second pass along y may stand there.
+
+    Only gaps are made, from one cell to the next of its row, and ``core`` drops them again.
+    """
+    lo, hi = F.col("_bx") * block - halo, F.least((F.col("_bx") + 1) * block, F.lit(width)) + halo - 1
+    if not wrap_x:
+        lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.lit(width - 1))
+    places, none = F.col("_x"), F.array().cast("array<int>")
+    df = df.withColumns({"_before": F.lag("_x").over(along_x()), "_after": F.lead("_x").over(along_x())})
+    until = F.coalesce(F.col("_after"), hi + 1)
+    left = F.when(F.col("_before").isNull() & (lo < places), F.sequence(lo, places - 1)).otherwise(none)
+    right = F.when(until > places + 1, F.sequence(places + 1, until - 1)).otherwise(none)
+    df = df.withColumn("_at", F.explode(F.concat(F.array(places), left, right)))
+    own = F.col("_at") == F.col("_x")
+    return df.select(GRID, *BLOCK, "y", F.col("_at").alias("_x"), *[
+        F.when(own, F.col(c)).alias(c) for c in df.columns if c not in (GRID, *BLOCK, "y", "_x", "_at", "_before", "_after")])
+
+
 def max_filter(cells: DataFrame, outputs: dict[str, tuple[str, int]], height: int, width: int, block: int = 64) -> DataFrame:
-    """Add maxima over square neighbourhoods, cut at the edges; NULL cells are skipped.
+    """Add maxima over square neighbourhoods, cut at the edges; NULL and absent cells are skipped.
 
     ``outputs`` maps a new column to (band, size). Filters of several sizes share the one shuffle.
     """
     widest = max(size for _, size in outputs.values()) // 2
-    df = with_halo(cells, block, widest, height, width)
+    df = filled(with_halo(cells, block, widest, height, width), block, widest, width)
     for axis, window in enumerate((along_x(), along_y())):
         df = df.withColumns({
-            out: F.max(band if axis == 0 else out).over(window.rowsBetween(-(size // 2), size // 2))
+            out: F.max(band if axis == 0 else out).over(window.rangeBetween(-(size // 2), size // 2))
             for out, (band, size) in outputs.items()})
-    return core(df, block)
+    return core(df, block).select(*cells.columns, *outputs)
 
 
 def fill_holes(cells: DataFrame, band: str, steps: int, height: int, width: int, block: int = 64) -> DataFrame:
     """Grow valid cells into missing ones ``steps`` times: the mean of the valid 4-neighbours.
 
-    All missing cells of a step change together. What is still missing at the end becomes 0.
+    All missing cells of a step change together. What is still missing at the end becomes 0. A cell that has no row gets
+    none, and lends nothing to its neighbours.
     """
     df = with_halo(cells, block, steps, height, width)
     for _ in range(steps):
-        near = [F.lag(band).over(along_x()), F.lead(band).over(along_x()),
-                F.lag(band).over(along_y()), F.lead(band).over(along_y())]
+        near = [beside(band, step, axis) for axis in ("_x", "y") for step in (-1, 1)]
         df = df.withColumns({f"_n{i}": c for i, c in enumerate(near)})
         names = [F.col(f"_n{i}") for i in range(4)]
         total = sum((F.coalesce(c, F.lit(0.0)) for c in names[1:]), F.coalesce(names[0], F.lit(0.0)))
@@ -90,16 +118,18 @@ def fill_holes(cells: DataFrame, band: str, steps: int, height: int, width: int,
 
 
 def min_corners(cells: DataFrame, bands: list[str], radius: int, height: int, width: int, block: int = 64) -> DataFrame:
-    """Per band the minimum of the four diagonal neighbours at ``radius``; x wraps, y clamps."""
-    df = with_halo(cells, block, radius, height, width, wrap_x=True)
-    df = df.withColumns({f"_s_{b}": F.least(F.lag(b, radius).over(along_x()), F.lead(b, radius).over(along_x()))
-                         for b in bands})
-    # Clamped rows: at an edge the row at the edge itself stands for those beyond it.
-    up = along_y().rowsBetween(-radius, 0)
-    down = along_y().rowsBetween(0, radius)
-    df = df.withColumns({f"_o_{b}": F.least(F.first(f"_s_{b}").over(up), F.last(f"_s_{b}").over(down)) for b in bands})
-    df = df.withColumns({b: F.col(f"_o_{b}") for b in bands})
-    return core(df.drop(*[p + b for b in bands for p in ("_s_", "_o_")]), block)
+    """Per band the minimum of the four diagonal neighbours at ``radius`` that there are; x wraps, y clamps."""
+    df = filled(with_halo(cells, block, radius, height, width, wrap_x=True), block, radius, width, wrap_x=True)
+    df = df.withColumns({f"_s_{b}": F.least(beside(b, -radius, "_x"), beside(b, radius, "_x")) for b in bands})
+
+    def clamped(band: str, step: int, edge: int) -> Column:
+        # Where the row would lie beyond an edge, the row at the edge itself stands for it.
+        span = along_y().rangeBetween(min(step, 0), max(step, 0))
+        inside = (F.col("y") + step).between(0, height - 1)
+        return F.when(inside, beside(band, step, "y")).otherwise(F.max(F.when(F.col("y") == edge, F.col(band))).over(span))
+
+    df = df.withColumns({b: F.least(clamped(f"_s_{b}", -radius, 0), clamped(f"_s_{b}", radius, height - 1)) for b in bands})
+    return core(df.drop(*[f"_s_{b}" for b in bands]), block).select(*cells.columns)
 
 
 def slope_normals(cells: DataFrame, band: str, height: int, width: int, x_scale: float = 0.4,
@@ -107,8 +137,7 @@ def slope_normals(cells: DataFrame, band: str, height: int, width: int, x_scale:
     """Unit normals of a relief field; x wraps, y differences are one-sided at the edges."""
     df = with_halo(cells, block, 1, height, width, wrap_x=True)
     df = df.withColumns({
-        "_e": F.lead(band).over(along_x()), "_w": F.lag(band).over(along_x()),
-        "_s": F.lead(band).over(along_y()), "_n": F.lag(band).over(along_y())})
+        "_e": beside(band, 1, "_x"), "_w": beside(band, -1, "_x"), "_s": beside(band, 1, "y"), "_n": beside(band, -1, "y")})
     dx = (F.col("_e") - F.col("_w")) * x_scale
     dy = F.when(F.col("_n").isNull(), F.col("_s") - F.col(band)) \
         .when(F.col("_s").isNull(), F.col(band) - F.col("_n")) \
@@ -121,8 +150,7 @@ def sphere_normals(cells: DataFrame, band: str, height: int, width: int, exagger
     """Unit normals (east, north, up) of heights in metres on the sphere; the grid spacing is never under 100 m."""
     df = with_halo(cells, block, 1, height, width, wrap_x=True)
     df = df.withColumns({
-        "_e": F.lead(band).over(along_x()), "_w": F.lag(band).over(along_x()),
-        "_s": F.lead(band).over(along_y()), "_n": F.lag(band).over(along_y())})
+        "_e": beside(band, 1, "_x"), "_w": beside(band, -1, "_x"), "_s": beside(band, 1, "y"), "_n": beside(band, -1, "y")})
     lat = F.radians(90.0 - (F.col("y") + 0.5) * (180.0 / height))
     step_x = F.greatest(F.lit(100.0), radius_m * F.cos(lat) * (2 * math.pi / width))
     step_y = radius_m * math.pi / height
@@ -143,27 +171,31 @@ def _normal(df: DataFrame, dx: Column, dy: Column) -> DataFrame:
 def polar_lowpass(cells: DataFrame, bands: list[str], height: int, width: int) -> DataFrame:
     """Box mean along each row whose width grows as 1/cos(latitude), cyclic; rows under 2 are kept.
 
-    The width changes by row, so no row frame fits. Ordered by x/width, the box of every row spans
-    the same range, and one range frame does it; the unit is a row of one grid.
+    The boxes of a row are equally wide, so a cell enters the sum at one column and leaves it at another. Both are
+    events at columns, and a running sum over the row's events, read at each cell, is the sum of its box: the cost grows
+    with the row, whatever the width of its box. NULL and absent cells count in no mean. The unit is a row of one grid.
     """
     lat = F.radians(90.0 - (F.col("y") + 0.5) * (180.0 / height))
-    k = F.rint(F.least(1.0 / F.greatest(F.cos(lat), F.lit(1e-6)), F.lit(width / 2.0))).cast("int")
-    df = cells.withColumn("_k", k)
-    turns = F.when(F.col("_k") >= 2, F.concat(
-        F.array(F.lit(0)),
-        F.when(F.col("x") <= F.col("_k"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")),
-        F.when(F.col("x") >= width - 1 - F.col("_k"), F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")),
-    )).otherwise(F.array(F.lit(0)))
-    df = df.withColumn("_turn", F.explode(turns))
-    unit = 1 << 32
-    place = (F.col("x") + F.col("_turn") * width) * float(unit) / F.greatest(F.col("_k"), F.lit(1))
-    df = df.withColumn("_z", F.floor(place).cast("bigint"))
-    slack = 1.0 / (8 * width)
-    box = Window.partitionBy(GRID, "y").orderBy("_z").rangeBetween(
-        int((-0.5 - slack) * unit), int((0.5 - 1.0 / width + slack) * unit))
-    df = df.withColumns({f"_m_{b}": F.when(F.col("_k") >= 2, F.avg(b).over(box)).otherwise(F.col(b)) for b in bands})
-    out = df.where(F.col("_turn") == 0).withColumns({b: F.col(f"_m_{b}") for b in bands})
-    return out.drop("_k", "_turn", "_z", *[f"_m_{b}" for b in bands])
+    wide = F.rint(F.least(1.0 / F.greatest(F.cos(lat), F.lit(1e-6)), F.lit(width / 2.0))).cast("int")
+    df = cells.withColumn("_k", wide)
+    x, k = F.col("x"), F.col("_k")
+    half = F.floor(k / 2).cast("int")
+    enters, leaves = x + half + 1 - k, x + half + 1  # columns whose boxes hold the cell: from, and no longer from
+    event = lambda at, sign: F.struct(at.alias("at"), F.lit(sign).alias("sign"))
+    turned = F.when(enters < 0, enters + width).otherwise(enters), F.when(leaves > width, leaves - width).otherwise(leaves)
+    moves = F.array(event(turned[0], 1), event(turned[1], -1))
+    moves = F.when((enters < 0) | (leaves > width), F.concat(moves, F.array(event(F.lit(0), 1)))).otherwise(moves)
+    here = F.array(event(x, 0))
+    df = df.withColumn("_e", F.explode(F.when(k >= 2, F.concat(moves, here)).otherwise(here)))
+    df = df.select(*cells.columns, "_k", F.col("_e.at").alias("_at"), F.col("_e.sign").alias("_sign"))
+    upto = Window.partitionBy(GRID, "y").orderBy("_at", (F.col("_sign") == 0)).rowsBetween(Window.unboundedPreceding, 0)
+    sums = {}
+    for b in bands:
+        sums[f"_t_{b}"] = F.sum(F.col(b) * F.col("_sign")).over(upto)
+        sums[f"_n_{b}"] = F.sum(F.when(F.col(b).isNotNull(), F.col("_sign"))).over(upto)
+    out = df.withColumns(sums).where(F.col("_sign") == 0)
+    mean = {b: F.when(F.col("_k") < 2, F.col(b)).when(F.col(f"_n_{b}") > 0, F.col(f"_t_{b}") / F.col(f"_n_{b}")) for b in bands}
+    return out.withColumns(mean).select(*cells.columns)
 
 
 def wrap_edges(cells: DataFrame, bands: list[str], width: int, ramp: int = 8) -> DataFrame:

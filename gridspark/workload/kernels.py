@@ -22,12 +22,10 @@ def e1(spark, d):
 
 
 @query("e2_polar_lowpass", with_(CELLS) + """,
-k as (select grid_id, y, x, v, greatest(1, round_even(least(1e0 / greatest(cos(radians(90e0 - (y + 0.5e0) * 1.125e0)), 1e-6), 100e0), 0)::int) as k from cells),
-h as (select grid_id, y, x + t * 200 as px, v, k from k, (values (0), (1), (-1)) as q(t)),
-c as (select *, sum(v) over (partition by grid_id, y order by px) as cs from h)
-select m.grid_id, m.y, m.x, round(case when m.k < 2 then m.v else (b.cs - a.cs) / m.k end, 6) + 0e0 as v
-from k m join c a on a.grid_id = m.grid_id and a.y = m.y and a.px = m.x - floor(m.k / 2)::int - 1
-join c b on b.grid_id = m.grid_id and b.y = m.y and b.px = m.x - floor(m.k / 2)::int - 1 + m.k""")
+rows as (select grid_id, y, greatest(1, round_even(least(1e0 / greatest(cos(radians(90e0 - (y + 0.5e0) * 1.125e0)), 1e-6), 100e0), 0)::int) as k,
+  list(v order by x) as r from cells group by 1, 2),
+turned as (select grid_id, y, k, r, list_concat(r, r, r) as r3, unnest(range(200)) as x from rows)
+select grid_id, y, x::int as x, round(case when k < 2 then r[x + 1] else list_avg(r3[x + 201 - k // 2:x + 200 - k // 2 + k]) end, 6) + 0e0 as v from turned""")
 def e2(spark, d):
     return K.polar_lowpass(A.cells(spark, d), ["v"], A.H, A.W).withColumn("v", N.r6("v"))
 
