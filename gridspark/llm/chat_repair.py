@@ -235,47 +235,41 @@ EDIT = "conv {0}, rank int, turn bigint, role string, mark binary, kind int, let
 SUMMARY = ("gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string")
 
 
-def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of one conversation at a time; each begins with its row of rank 0."""
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole conversations; each conversation begins with its row of rank 0."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        cuts = np.flatnonzero(batch.column("rank").to_numpy() == 0).tolist() + [batch.num_rows]
-        if cuts[0] > 0:
-            held.append(batch.slice(0, cuts[0]))
-        for a, b in zip(cuts, cuts[1:]):
-            if held:
-                yield pa.Table.from_batches(held)
-            held = [batch.slice(a, b - a)]
+        starts = np.flatnonzero(batch.column("rank").to_numpy() == 0)
+        if len(starts):
+            last = int(starts[-1])
+            held.append(batch.slice(0, last))
+            yield pa.Table.from_batches(held)
+            held, batch = [], batch.slice(last)
+        held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _solve(tables: BlockTables, chat: pa.Table) -> tuple[dict, list[str]]:
-    """The summary of one conversation, and for each of its rows the letters that rule its first copy."""
-    n = chat["n"].to_numpy()
-    klass, fault = chat["klass"].to_numpy(), chat["fault"].to_numpy()
+def _solve(tables: BlockTables, n: np.ndarray, klass: np.ndarray, fault: np.ndarray, turns: np.ndarray) -> tuple[dict, list[str]]:
+    """The summary of one conversation, and the letters for the first copy of each of its rows and for its end."""
     first = np.cumsum(n) - n
-    repeated = np.ones(int(n.sum()), bool)
     live = n > 0
-    repeated[first[live]] = False
-    symbols = np.repeat(np.where((fault == 1) | (fault == 2), DOOMED, klass + 4 * (fault == 3)), n)
-    symbols[repeated] = DOOMED
+    symbols = np.full(int(n.sum()), DOOMED)
+    symbols[first[live]] = np.where((fault == 1) | (fault == 2), DOOMED, klass + 4 * (fault == 3))[live]
     classes = np.repeat(klass, n)
     cost, edits, tail = tables.repair(symbols)
-    turns = chat["turn"].drop_null().to_numpy()
     counts = lambda k: int(n[fault == k].sum())
     summary = {
-        "gaps": int(turns.max() - turns.min() + 1 - len(np.unique(turns))) if len(turns) else 0, "blank": counts(1),
+        "gaps": int(turns.max() - turns.min()) + 1 - len(np.unique(turns)) if len(turns) else 0, "blank": counts(1),
         "duplicate": counts(2) + int((n[live & (fault != 1) & (fault != 2)] - 1).sum()), "truncated": int((live & (fault == 3)).sum()),
         "illegal": int((~LEGAL[classes[:-1], classes[1:]]).sum()), "cost": cost,
         "audit": "".join("I" * len(i) + letter for i, letter, _ in edits) + "I" * len(tail)}
     letters, pending = [], ""
-    for row in range(len(n)):  # later copies are deleted; turns inserted before them stand before the next row
-        own = edits[first[row]:first[row] + n[row]]
-        if len(own):
-            inserted, letter, turn = own[0]
+    for at, many in zip(first.tolist(), n.tolist()):  # later copies are deleted; turns inserted before them stand before the next row
+        if many:
+            inserted, letter, turn = edits[at]
             letters.append(pending + inserted + letter + (str(turn) if letter == "R" else ""))
-            pending = "".join(i for i, _, _ in own[1:])
+            pending = "".join(i for i, _, _ in edits[at + 1:at + many]) if many > 1 else ""
         else:
             letters.append("")
     return summary, [*letters, pending + tail]
@@ -300,15 +294,24 @@ def repair_conversations(rows: DataFrame, conv: str, turn: str, role: str, text:
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = BlockTables()
-        for chat in _conversations(batches):
-            summary, letters = _solve(tables, chat)
-            rows, one = chat.num_rows, chat.slice(0, 1)
-            body = [*(chat[c].combine_chunks() for c in ORDER), pa.array(np.zeros(rows, np.int32)), pa.array(letters[:-1], pa.string()),
+        for part in _whole(batches):
+            rank, n, klass, fault = (part[c].to_numpy() for c in ("rank", "n", "klass", "fault"))
+            known, turns = part["turn"].is_valid().to_numpy(), part["turn"].fill_null(0).to_numpy()
+            starts = np.flatnonzero(rank == 0)
+            letters, tails, summaries = [], [], []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rank)]):
+                summary, own = _solve(tables, n[a:b], klass[a:b], fault[a:b], turns[a:b][known[a:b]])
+                letters += own[:-1]
+                tails.append(own[-1])
+                summaries.append(summary)
+            rows, ends = len(rank), len(starts)
+            body = [*(part[c].combine_chunks() for c in ORDER), pa.array(np.zeros(rows, np.int32)), pa.array(letters, pa.string()),
                     pa.nulls(rows, SUMMARY_ARROW), pa.nulls(rows, pa.string())]
-            end = [one["conv"].combine_chunks(), pa.array([2], pa.int32()), pa.nulls(1, pa.int64()), pa.array([""]), pa.nulls(1, pa.binary()),
-                   pa.array([0], pa.int32()), pa.array(letters[-1:]), pa.array([summary], SUMMARY_ARROW), pa.nulls(1, pa.string())]
-            for part in (body, end):
-                yield pa.RecordBatch.from_arrays(part, names=[*ORDER, "kind", "letters", "summary", "text"])
+            end = [part["conv"].take(pa.array(starts)).combine_chunks(), pa.array(np.full(ends, 2, np.int32)), pa.nulls(ends, pa.int64()),
+                   pa.array([""] * ends, pa.string()), pa.nulls(ends, pa.binary()), pa.array(np.zeros(ends, np.int32)),
+                   pa.array(tails, pa.string()), pa.array(summaries, SUMMARY_ARROW), pa.nulls(ends, pa.string())]
+            for columns in (body, end):
+                yield pa.RecordBatch.from_arrays(columns, names=[*ORDER, "kind", "letters", "summary", "text"])
 
     edits = keys.mapInArrow(solve, schema).where("rank > 0")
     texts = rows.select("conv", F.lit(1).alias("rank"), "turn", "role", _mark(F.col("text")).alias("mark"), F.lit(1).alias("kind"),
