@@ -24,10 +24,24 @@ def events(spark, folder) -> DataFrame:
     return table(spark, folder, "events").withColumn("t_us", micros("ts"))
 
 
+def event_stream(spark, folder) -> DataFrame:
+    """The events as a stream, with their time as a TIMESTAMP for watermarks.
+
+    The files of a table at rest are not in order of time, so a run takes all that are there as one batch.
+    """
+    schema = table(spark, folder, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
+    return rows.withColumn("t_us", micros("ts")).withColumn("time", F.timestamp_micros("t_us"))
+
+
 def observations(spark, folder) -> DataFrame:
     """Satellite-like counts on a 15 x 10 grid."""
-    return events(spark, folder).selectExpr(
-        "event_id", "t_us", "case when event_id % 2 = 0 then 'VIS' else 'LW' end as product",
+    return as_observations(events(spark, folder))
+
+
+def as_observations(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.selectExpr(
+        *more, "event_id", "t_us", "case when event_id % 2 = 0 then 'VIS' else 'LW' end as product",
         "cast(floor((user_id % 150) / 15) as int) as y", "cast(user_id % 15 as int) as x",
         "90e0 - (floor((user_id % 150) / 15) + 0.5e0) * 18e0 as lat",
         "-180e0 + (user_id % 15 + 0.5e0) * 24e0 as lon", "value as cnt")
@@ -35,7 +49,11 @@ def observations(spark, folder) -> DataFrame:
 
 def requests(spark, folder) -> DataFrame:
     """Tile requests over a 4-level pyramid of 8x4, 4x2, 2x1 and 1x1 tiles."""
-    return events(spark, folder).selectExpr(
+    return as_requests(events(spark, folder))
+
+
+def as_requests(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
         "event_id", "t_us", "1 as layer", "cast(user_id % 4 as int) as mip",
         "cast(event_id % (case user_id % 4 when 0 then 8 when 1 then 4 when 2 then 2 else 1 end) as int) as x",
         "cast(floor(event_id / 8) as int) % (case user_id % 4 when 0 then 4 when 1 then 2 else 1 end) as y",

@@ -34,9 +34,3 @@ def slerp(df: DataFrame, a: str, b: str, t: Column, out: str) -> DataFrame:
     df = df.withColumn("_size", size)
     df = df.withColumn(out, F.array(*[F.col(f"_m{i}") / F.col("_size") for i in range(3)]))
     return df.drop("_c", "_angle", "_t", "_wa", "_wb", "_m0", "_m1", "_m2", "_size")
-
-
-def throttled(attempts: DataFrame, by: list[str], time: str, order: list[str], gap_us: int, chunk_width: float) -> DataFrame:
-    """Attempts at least ``gap_us`` after the attempt before, whatever came of that one."""
-    prev = neighbour(attempts, by, [time, *order], chunk_width, {"_prev": F.col(time)}, offset=-1)
-    return prev.where(F.col("_prev").isNull() | (F.col(time) - F.col("_prev") >= gap_us)).drop("_prev")

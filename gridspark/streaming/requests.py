@@ -18,7 +18,7 @@ MAX_AGE = 30
 
 
 def with_frame_time(requests: DataFrame) -> DataFrame:
-    return requests.withColumn("frame_ts", F.timestamp_seconds("frame"))
+    return requests if "frame_ts" in requests.columns else requests.withColumn("frame_ts", F.timestamp_seconds("frame"))
 
 
 def merged_windows(requests: DataFrame, frames: int = MAX_AGE, lateness: int | None = None) -> DataFrame:
@@ -49,7 +49,7 @@ def frame_batches(requests: DataFrame, lateness: int = 1) -> DataFrame:
 
 
 class LastSeen(StatefulProcessor):
-    """Pending request of one tile; it is dropped ``max_age`` frames after it was last asked for."""
+    """Pending request of one tile; it is dropped when it was last asked for more than ``max_age`` frames ago."""
 
     def __init__(self, max_age: int):
         self.max_age = max_age
@@ -59,14 +59,19 @@ class LastSeen(StatefulProcessor):
         self.pending = handle.getValueState("pending", "priority int, kind int, frame int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        new = tuple(int(batch[c].max()) for c in ("priority", "kind", "frame"))
+        new = None
+        for part in rows:
+            if len(part):
+                most = tuple(int(part[c].max()) for c in ("priority", "kind", "frame"))
+                new = most if new is None else tuple(max(a, b) for a, b in zip(new, most))
+        if new is None:
+            return
         if self.pending.exists():
             new = tuple(max(a, b) for a, b in zip(self.pending.get(), new))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
         self.pending.update(new)
-        self.handle.registerTimer((new[2] + self.max_age) * 1000)
+        self.handle.registerTimer((new[2] + self.max_age + 1) * 1000)
         yield pd.DataFrame([(*key, *new, "pending")], columns=[*KEY, "priority", "kind", "frame", "state"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -2,82 +2,85 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.throttle import chain_from
+from .ordering import InOrder, seen_by_watermark
 
 
 def slow_sessions(waits: DataFrame, by: list[str], limit_ms: float, gap: str, time: str = "ts",
                   lateness: str | None = None) -> DataFrame:
     """Sessions of slow waits no further apart than ``gap``: start, end of the last wait, count, worst."""
-    slow = waits.where(F.col("wait_ms") >= limit_ms)
     if lateness:
-        slow = slow.withWatermark(time, lateness)
+        waits = waits.withWatermark(time, lateness)
+    slow = waits.where(seen_by_watermark(time, F.col("wait_ms") >= limit_ms))
     return slow.groupBy(F.session_window(time, gap).alias("session"), *by).agg(
         F.count(F.lit(1)).alias("n"), F.max("wait_ms").alias("worst"), F.max(time).alias("last"))
 
 
-class SlowRuns(StatefulProcessor):
-    """Runs of consecutive slow waits of one key; a fast wait closes the open run."""
+class SlowRuns(InOrder):
+    """Runs of consecutive slow waits of one key; a fast wait closes the open run, and with it the state."""
+
+    columns, remembered = "t_us bigint, event_id bigint, slow boolean", "length bigint, start bigint, last bigint"
+    keys = ("key",)
 
     def __init__(self, least: int):
         self.least = least
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "length bigint, start bigint, last bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        length, start, last = self.open.get() if self.open.exists() else (0, 0, 0)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["t_us", "event_id"])
-        done = []
-        for t, slow in zip(batch["t_us"], batch["slow"]):
-            if slow:
-                start, length, last = (int(t) if length == 0 else start), length + 1, int(t)
-            else:
-                if length >= self.least:
-                    done.append((key[0], length, start, last))
-                length = 0
-        self.open.update((int(length), int(start), int(last)))
-        yield pd.DataFrame(done, columns=["key", "length", "start", "end"])
-
-    def close(self) -> None:
-        pass
-
-
-def slow_run_stream(waits: DataFrame, least: int = 3) -> DataFrame:
-    """Closed slow runs of a stream of (key, t_us, event_id, slow); rows of a key arrive in time order."""
-    return waits.groupBy("key").transformWithStateInPandas(
+    def fold(self, rows: pd.DataFrame, passed: int) -> pd.DataFrame:
+        length, start, last = self.state.get() if self.state.exists() else (0, 0, 0)
+        times, slow = rows["t_us"].to_numpy(np.int64), rows["slow"].to_numpy(bool)
+        fast = np.flatnonzero(~slow)
+        # Waits between fast ones; the first stretch goes on with the open run, the last one stays open.
+        low, high = np.concatenate([[0], fast + 1]), np.concatenate([fast, [len(times)]])
+        sizes = high - low
+        begins = np.where(sizes > 0, times[np.minimum(low, max(len(times) - 1, 0))], 0) if len(times) else np.zeros(1, np.int64)
+        ends = np.where(sizes > 0, times[np.maximum(high - 1, 0)], 0) if len(times) else np.zeros(1, np.int64)
+        if length:
+            begins[0], ends[0] = start, ends[0] if sizes[0] else last
+            sizes[0] += length
+        if sizes[-1]:
+            self.state.update((int(sizes[-1]), int(begins[-1]), int(ends[-1])))
+        elif self.state.exists():
+            self.state.clear()
+        done = np.flatnonzero(sizes[:-1] >= self.least)
+        return pd.DataFrame({"length": sizes[done], "start": begins[done], "end": ends[done]})
+
+
+def slow_run_stream(waits: DataFrame, least: int = 3, lateness: str = "1 hour") -> DataFrame:
+    """Closed slow runs of a stream of (key, time TIMESTAMP, t_us, event_id, slow), in order of time however rows arrive."""
+    rows = waits.withWatermark("time", lateness).where(
+        seen_by_watermark("time", F.col("key").isNotNull() & F.col("slow").isNotNull()))
+    return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=SlowRuns(least), outputStructType="key string, length bigint, start bigint, end bigint",
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
 
 
-class Throttle(StatefulProcessor):
-    """Lets an attempt through when the attempt before it is far enough in the past."""
+class Throttle(InOrder):
+    """Lets an attempt through when the last one that was made is far enough in the past."""
+
+    columns, remembered = "t_us bigint, event_id bigint", "made bigint"
+    keys = ("object_id",)
 
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["t_us", "event_id"])
-        before = batch["t_us"].shift()
-        if self.last.exists():
-            before.iloc[0] = self.last.get()[0]
-        newest = int(batch["t_us"].iloc[-1])
-        self.last.update((max(newest, self.last.get()[0]) if self.last.exists() else newest,))  # a late row does not turn it back
-        yield batch[before.isna() | (batch["t_us"] - before >= self.gap_us)][["object_id", "t_us", "event_id"]]
-
-    def close(self) -> None:
-        pass
+    def fold(self, rows: pd.DataFrame, passed: int) -> pd.DataFrame:
+        first = rows.drop_duplicates("t_us")  # of equal times the first by id
+        times = first["t_us"].to_numpy(np.int64)
+        start = self.state.get()[0] + self.gap_us if self.state.exists() else np.iinfo(np.int64).min
+        made = chain_from(times, start, self.gap_us)
+        if len(made):
+            self.state.update((int(made[-1]),))
+        return first[first["t_us"].isin(made)][["t_us", "event_id"]].reset_index(drop=True)
 
 
-def throttle_stream(attempts: DataFrame, gap_us: int) -> DataFrame:
-    """Allowed attempts of a stream of (object_id, t_us, event_id)."""
-    return attempts.groupBy("object_id").transformWithStateInPandas(
+def throttle_stream(attempts: DataFrame, gap_us: int, lateness: str = "1 hour") -> DataFrame:
+    """Attempts made of a stream of (object_id, time TIMESTAMP, t_us, event_id), in order of time however rows arrive."""
+    rows = attempts.withWatermark("time", lateness).where(seen_by_watermark("time", F.col("object_id").isNotNull()))
+    return rows.groupBy("object_id").transformWithStateInPandas(
         statefulProcessor=Throttle(gap_us), outputStructType="object_id bigint, t_us bigint, event_id bigint",
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
