@@ -5,48 +5,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, small
+
+
+# Bits of an order key that one selection pass looks at.
+DIGIT, PASSES = 16, 4
+
+
+def order_key(value: Column) -> Column:
+    """A 64-bit integer for each double, in the same order: sign, exponent and fraction, found by exact arithmetic.
+
+    NULL for NULL and NaN; both zeros have the key 0.
+    """
+    v = value.cast("double")
+    size = F.abs(v)
+    guess = F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size))).cast("int")
+    power = F.pow(F.lit(2.0), guess.cast("double"))
+    exponent = guess - (power > size).cast("int") + (power * 2.0 <= size).cast("int")  # the logarithm may round across
+    fraction = (size / F.pow(F.lit(2.0), exponent.cast("double")) - 1.0) * float(1 << 52)
+    normal = (exponent + 1023).cast("bigint") * F.lit(1 << 52) + fraction.cast("bigint")
+    tiny = (size * 2.0 ** 537 * 2.0 ** 537).cast("bigint")  # in units of the least double
+    key = F.when(size < 2.0 ** -1022, tiny).when(size == float("inf"), F.lit(2047 << 52)).otherwise(normal)
+    return F.when(F.isnan(v), None).when(v < 0, -key).otherwise(key)
+
 
 def exact_percentiles(df: DataFrame, by: list[str], value: Column | str, qs: dict[str, float]) -> DataFrame:
-    """Linear-interpolated percentiles per group, one column per entry of ``qs``.
+    """Linear-interpolated percentiles per group, one column per entry of ``qs``; NULL and NaN count as missing.
 
-    A mergeable sketch brackets each wanted rank; only the values inside a bracket are counted
-    (equal values collapse to one row) and ordered. The bracket is twenty times wider than the sketch's
-    rank error, so the rank always lies inside it and the result is exact.
+    Radix selection: every value has an order key of 64 bits. A pass counts the rows of each group by the next 16 bits of
+    their keys, with partial sums before the shuffle, and the running count over these bins, at most 65 536 of a group,
+    says which bin holds a wanted rank. Only rows of such bins are looked at again; a rank is settled when its bin
+    holds one value, after four passes at the latest. So no values are ever sorted, and a group of any size is spread over
+    all tasks.
     """
     value = F.col(value) if isinstance(value, str) else value
     if not by:
         whole = exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, qs)
         return whole.drop("_all")
-    base = df.select(*by, value.alias("_v")).where(F.col("_v").isNotNull())
-    eps = 0.002
-    names = list(qs)
-    edges = []
-    for q in qs.values():
-        edges += [max(0.0, q - eps), min(1.0, q + eps)]
-    sketch = base.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(10000)).alias("_e"))
-    brackets = sketch.select(*by, "_n", F.posexplode(F.array(*[
-        F.struct(
-            F.when(F.lit(q - eps) <= 0, F.col("_min")).otherwise(F.col("_e")[2 * i]).alias("lo"),
-            F.when(F.lit(q + eps) >= 1, F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias("hi"),
-            ((F.col("_n") - 1) * F.lit(float(q))).alias("pos"))
-        for i, q in enumerate(qs.values())])).alias("_q", "_b")).select(*by, "_n", "_q", "_b.*")
-    # One pass: below the bracket only a count, inside it one row per distinct value.
-    keys = [*by, "_q"]
-    counted = (base.join(brackets, by).where(F.col("_v") <= F.col("hi"))
-               .withColumn("_k", F.when(F.col("_v") >= F.col("lo"), F.col("_v")))
-               .groupBy(*keys, "pos", "_n", "_k").agg(F.count(F.lit(1)).alias("_c")))
-    order = Window.partitionBy(*keys).orderBy(F.col("_k").asc_nulls_first())
-    placed = (counted.withColumn("_end", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("_start", F.col("_end") - F.col("_c")))
-    lower, upper = F.floor("pos"), F.ceil("pos")
-    picked = placed.groupBy(*keys, "pos").agg(
-        F.max(F.when((F.col("_start") <= lower) & (lower < F.col("_end")), F.col("_k"))).alias("_lo"),
-        F.max(F.when((F.col("_start") <= upper) & (upper < F.col("_end")), F.col("_k"))).alias("_hi"))
-    result = picked.withColumn("_p", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("pos") - lower))
-    return result.groupBy(*by).agg(*[
-        F.max(F.when(F.col("_q") == i, F.col("_p"))).alias(name) for i, name in enumerate(names)])
+    rows = df.select(*by, value.alias("_v")).withColumn("_key", order_key(F.col("_v"))).where(F.col("_key").isNotNull())
+    names, settled, wanted = list(qs), None, None
+    for step in range(PASSES):
+        place = F.shiftright("_key", 64 - DIGIT * (step + 1))
+        bins = rows.groupBy(*by, place.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        above = F.shiftright("_bin", DIGIT) if step else F.lit(0).cast("bigint")
+        bins = bins.withColumn("_above", above)
+        inside = Window.partitionBy(*by, "_above")
+        upto = inside.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = bins.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
+        if step == 0:
+            # The ranks on both sides of each position, and the share of the upper one.
+            n = F.sum("_c").over(inside) - 1
+            ends = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank(n * F.lit(float(q))).cast("bigint").alias("rank"),
+                                      (n * F.lit(float(q)) - F.floor(n * F.lit(float(q)))).alias("share"))
+                             for i, q in enumerate(qs.values()) for side, rank in ((0, F.floor), (1, F.ceil))])
+            found = bins.withColumn("_all_ends", ends).withColumn("_w", F.explode("_all_ends")).select(
+                *by, "_bin", "_lo", "_hi", "_start", "_end", F.col("_w.i").alias("_i"), F.col("_w.side").alias("_side"),
+                F.col("_w.rank").alias("_rank"), F.col("_w.share").alias("_share"))
+        else:
+            found = bins.join(wanted, [*by, "_above"])
+        found = found.where((F.col("_start") <= F.col("_rank")) & (F.col("_rank") < F.col("_end"))).select(
+            *by, "_i", "_side", "_share", (F.col("_rank") - F.col("_start")).alias("_rank"), "_bin", "_lo", "_hi")
+        found = cut_lineage(found)
+        done = found.where("_lo = _hi").select(*by, "_i", "_side", "_share", "_lo")
+        settled = done if settled is None else settled.unionByName(done)
+        wanted = found.where("_lo <> _hi").select(*by, "_i", "_side", "_share", "_rank", F.col("_bin").alias("_above"))
+        left = wanted.select(*by, "_above").distinct()
+        count = left.count()
+        if not count:
+            break
+        rows = rows.withColumn("_above", place).join(small(left, count), [*by, "_above"], "left_semi").drop("_above")
+        if step == 0:
+            rows = cut_lineage(rows)  # what is left of the table, read by the later passes
+    at = lambda i, side: F.max(F.when((F.col("_i") == i) & (F.col("_side") == side), F.col("_lo")))
+    share = lambda i: F.max(F.when(F.col("_i") == i, F.col("_share")))
+    return settled.groupBy(*by).agg(*[
+        (at(i, 0) + (at(i, 1) - at(i, 0)) * share(i)).alias(name) for i, name in enumerate(names)])
 
 
 def histogram_percentile(df: DataFrame, by: list[str], value: str, q: float, out: str) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import neighbour, running
+from .lines import numbered_lines
 
 CHUNK_LINES = 100_000
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as (file_id, line_no, line). Whole files are read, for line numbers."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_id"), "value")
-    return files.select("file_id", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """Text files as (file_id, line_no, line)."""
+    return numbered_lines(spark, path)
 
 
 def scan_elements(lines: DataFrame, default_name: str = "UNKNOWN") -> DataFrame:

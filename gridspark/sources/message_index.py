@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import neighbour
 from ..session import literal_table
+from .lines import numbered_lines
 
 # Lines per chunk of an ordered scan; an index file is far shorter.
 CHUNK_LINES = 100_000
@@ -16,10 +17,7 @@ WAVELENGTHS = (("4.3e-07", "aod440"), ("5.45e-07", "aod550"), ("6.2e-07", "aod64
 
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
     """Index files as (file_id, line_no, text)."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_id"), "value")
-    lines = files.select(
-        "file_id", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
-    return lines.where(F.col("text") != "")
+    return numbered_lines(spark, path).select("file_id", "line_no", F.col("line").alias("text")).where(F.col("text") != "")
 
 
 def _with_end(lines: DataFrame) -> DataFrame:

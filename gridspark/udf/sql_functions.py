@@ -1,14 +1,16 @@
-"""The scalar family as SQL functions, a table function for index text, and two Arrow aggregates."""
+"""The scalar family as SQL functions, table functions over lines of files, and two Arrow aggregates."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 # Bodies are SQL, so the optimiser inlines them; none of these leaves the JVM.
 SQL_FUNCTIONS = {
@@ -29,16 +31,70 @@ SQL_FUNCTIONS = {
 RANGES = T.StructType([
     T.StructField("line_no", T.IntegerType()), T.StructField("name", T.StringType()),
     T.StructField("start_byte", T.LongType()), T.StructField("end_byte", T.LongType())])
+SETS = T.StructType([
+    T.StructField("line_no", T.LongType()), T.StructField("object_id", T.LongType()), T.StructField("name", T.StringType()),
+    T.StructField("l1", T.StringType()), T.StructField("l2", T.StringType())])
 
 
-@udtf(returnType=RANGES)
+def _by_file(lines: AnalyzeArgument, fields: list[T.StructField]) -> AnalyzeResult:
+    """Rows of a file come to one instance, in order of their lines; the result begins with the table's own file_id."""
+    if not lines.isTable:
+        raise ValueError("the argument is a table of lines")
+    schema = T.StructType([T.StructField("file_id", lines.dataType["file_id"].dataType), *fields])
+    return AnalyzeResult(schema, partitionBy=[PartitioningColumn("file_id")], orderBy=[OrderingColumn("line_no")])
+
+
+@udtf
 class IndexRanges:
-    """Byte ranges of one index file: ``SELECT r.* FROM files, LATERAL index_ranges(text) r``."""
+    """Byte ranges of index files: ``SELECT * FROM index_ranges(TABLE(lines))`` over (file_id, line_no, text).
+
+    A message ends before the next line, so the last line of a file has no range. Only one line is held.
+    """
+
+    def __init__(self):
+        self.held, self.number = None, 0
+
+    @staticmethod
+    def analyze(lines: AnalyzeArgument) -> AnalyzeResult:
+        return _by_file(lines, RANGES.fields)
+
+    def eval(self, line: Row):
+        if not line["text"]:
+            return
+        fields = line["text"].split(":")
+        if self.held:
+            yield line["file_id"], self.number, self.held[3], int(self.held[1]), int(fields[1]) - 1
+        self.held, self.number = fields, self.number + 1
+
+
+@udtf
+class ElementSets:
+    """Two-line element sets: ``SELECT * FROM element_sets(TABLE(lines))`` over (file_id, line_no, line).
+
+    Blank lines do not count. A first line of 69 characters and the second line right after it, of the same number, are a
+    set; its name is the last other line before. Two lines and a name are held.
+    """
+
+    HEAD = re.compile(r"([12]) +(\d{5})", re.ASCII)
+
+    def __init__(self):
+        self.name, self.first = "UNKNOWN", None
+
+    @staticmethod
+    def analyze(lines: AnalyzeArgument) -> AnalyzeResult:
+        return _by_file(lines, SETS.fields)
 
-    def eval(self, text: str):
-        rows = [line.split(":") for line in (text or "").splitlines() if line]
-        for number, (row, following) in enumerate(zip(rows, rows[1:]), start=1):
-            yield number, row[3], int(row[1]), int(following[1]) - 1
+    def eval(self, line: Row):
+        text = (line["line"] or "").strip(" ")
+        if not text:
+            return
+        head = self.HEAD.match(text) if len(text) == 69 else None
+        kind, number = head.groups() if head else ("n", None)
+        if kind == "2" and self.first and self.first[1] == number:
+            yield line["file_id"], self.first[0], int(number), self.first[3], self.first[2], text
+        if kind == "n":
+            self.name = text
+        self.first = (line["line_no"], number, text, self.name) if kind == "1" else None
 
 
 @pandas_udf(T.DoubleType())
@@ -67,5 +123,6 @@ def register(spark: SparkSession) -> None:
     for head, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     spark.udtf.register("index_ranges", IndexRanges)
+    spark.udtf.register("element_sets", ElementSets)
     spark.udf.register("weighted_median", weighted_median)
     spark.udf.register("fnv1a32_large", fnv1a32_large)

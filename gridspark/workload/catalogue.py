@@ -12,6 +12,7 @@ from ..plans import quality
 from ..udf import sql_functions
 from .registry import query
 from .scalars import CODES
+from .scans import ELEMENT_SETS
 from .views import BYTES, CELLS, SKY, STARS, r6, srgb, step, with_
 
 
@@ -64,11 +65,13 @@ select file_id, n as line_no, name, start_byte, lead(start_byte) over (partition
 qualify lead(start_byte) over (partition by file_id order by line_no) is not null""")
 def j3(spark, d):
     sql_functions.register(spark)
-    lines = A.index_lines(spark, d)
-    # An index file is short by contract, so its lines are one text value.
-    files = lines.groupBy("file_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("text"))
-    return spark.sql("select f.file_id, r.* from {files} f, lateral index_ranges(f.text) r", files=files)
+    return spark.sql("select * from index_ranges(table(select * from {lines}))", lines=A.index_lines(spark, d))
+
+
+@query("j3_element_table_function", ELEMENT_SETS)
+def j3b(spark, d):
+    sql_functions.register(spark)
+    return spark.sql("select * from element_sets(table(select * from {lines}))", lines=A.element_text(spark, d))
 
 
 @query("j4_weighted_median_per_row", with_(CELLS) + """, c as (select grid_id, y, v, sum(1 + x % 5) over (partition by grid_id, y order by v) as cum, sum(1 + x % 5) over (partition by grid_id, y) as total from cells)

@@ -1,5 +1,7 @@
 """Scans, sources and sinks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -7,7 +9,7 @@ from ..functions.text import element_line_ok
 from ..operators import pyramid as P
 from ..operators.asof import latest_complete_cycle
 from ..session import checkpoint_root
-from ..sinks import generations, packed
+from ..sinks import generations, packed, provenance
 from ..sources import catalogues, manifests, message_index, products, rasters, telemetry
 from .registry import query
 from .views import BYTES, CELLS, GEN, IDX, STARS, with_
@@ -103,7 +105,7 @@ def a6(spark, d):
     return products.latest_daily(av, days.select(F.col("day").alias("now_day")).distinct())
 
 
-@query("a7_element_sets", """with t as (
+ELEMENT_SETS = """with t as (
   select conv_id, turn,
     rpad('1 ' || lpad(cast(conv_id % 100000 as varchar), 5, '0') || 'U ', 69, '0') as l1,
     rpad('2 ' || lpad(cast(conv_id % 100000 as varchar), 5, '0') || '  ', 69, '3') as l2
@@ -111,7 +113,10 @@ def a6(spark, d):
 select a.conv_id as file_id, a.turn as line_no, a.conv_id % 100000 as object_id,
   'object ' || a.conv_id as name, a.l1, a.l2
 from t a join t b on b.conv_id = a.conv_id and b.turn = a.turn + 1
-where a.turn % 4 = 1 and a.conv_id % 7 <> 0 and a.conv_id % 11 <> 0""")
+where a.turn % 4 = 1 and a.conv_id % 7 <> 0 and a.conv_id % 11 <> 0"""
+
+
+@query("a7_element_sets", ELEMENT_SETS)
 def a7(spark, d):
     return catalogues.scan_elements(A.element_text(spark, d))
 
@@ -185,7 +190,7 @@ def a12(spark, d):
 @query("a13_publish_generation", """select cast(event_id % 4 as int) as part, count(*) as n, sum(user_id) as users
 from events group by 1""".replace("sum(user_id)", "cast(sum(user_id) as bigint)"))
 def a13(spark, d):
-    root = f"{checkpoint_root(spark)}/generations"
+    root = f"{checkpoint_root(spark)}/generations-{uuid.uuid4().hex}"
     rows = A.table(spark, d, "events").select((F.col("event_id") % 4).cast("int").alias("part"), "user_id")
     generations.publish(rows, root, "first")
     generations.publish(rows, root, "second")
@@ -242,17 +247,25 @@ def a16(spark, d):
     return P.pyramid_tail(index, layers, 50).select("layer", "mip", "y", "x", "tail_offset")
 
 
-@query("a17_provenance", """select source, count(*) as files, cast(sum(strlen(text)) as bigint) as bytes,
-  cast(sum(('0x' || sha256(text)[1:7])::bigint) as bigint) as digest_high,
-  cast(sum(('0x' || sha256(text)[8:14])::bigint) as bigint) as digest_low from documents group by source""")
+@query("a17_provenance", """with recursive leaf as (select source, count(*) over (partition by source) as n, row_number() over (partition by source order by doc_id) - 1 as pos,
+  sha256(doc_id || chr(10) || sha256(text) || chr(10) || strlen(text)) as hash from documents),
+t as (select source, 0 as level, n, pos, hash from leaf union all
+  select source, level + 1, (n + 15) // 16, pos // 16, sha256(string_agg(hash, '' order by pos)) from t where n > 1 group by source, level, n, pos // 16),
+roots as (select source, arg_max(hash, level) as digest from t where n = 1 group by 1)
+select source, count(*) as files, cast(sum(strlen(text)) as bigint) as bytes, 'https://data.example/' || source as credit, any_value(digest) as digest
+from documents join roots using (source) group by source""")
 def a17(spark, d):
     files = A.assets(spark, d).withColumn("source", F.regexp_replace("url", "^https://data.example/", ""))
-    return generations.provenance(files, ["source"])
+    return provenance.provenance(files, ["source"], credit="url")
 
 
 @query("a18_current_generation_files", with_(GEN) + """select product, gen_us, file_id, name from gen
 qualify gen_us = max(gen_us) over (partition by product)""")
 def a18(spark, d):
+    """Two publications, the older files and then the newest of each product, and what a reader gets."""
+    root = f"{checkpoint_root(spark)}/generations-{uuid.uuid4().hex}"
     files = A.generation_files(spark, d)
-    pointer = files.groupBy("product").agg(F.max("gen_us").alias("gen_us"))
-    return files.join(pointer, ["product", "gen_us"], "left_semi").select("product", "gen_us", "file_id", "name")
+    newest = files.groupBy("product").agg(F.max("gen_us").alias("gen_us"))
+    for gen, kind in (("older", "left_anti"), ("newest", "left_semi")):
+        generations.publish(files.join(newest, ["product", "gen_us"], kind), root, gen)
+    return generations.read_generation(spark, root).select("product", "gen_us", "file_id", "name")

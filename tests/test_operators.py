@@ -86,6 +86,31 @@ def test_exact_percentiles_with_ties_and_hot_group(spark):
             assert out.loc[g, n] == pytest.approx(np.percentile(part["v"], q * 100), abs=1e-12)
 
 
+def test_order_keys_are_in_order(spark):
+    rng = np.random.default_rng(6)
+    v = np.unique(np.concatenate([rng.normal(size=500), 10.0 ** rng.uniform(-320, 308, 2000), -(2.0 ** np.arange(-1074, 1024)), 2.0 ** np.arange(-1074, 1024),
+                                  np.nextafter(2.0 ** np.arange(-1000, 1000, 7), 0), [np.inf, -np.inf, 0.0, np.finfo(float).max]]))
+    out = spark.createDataFrame([(float(x),) for x in v], "v double").select("v", Q.order_key(F.col("v")).alias("k")).orderBy("k").toPandas()
+    bits = v.view(np.int64)
+    assert (out["v"].to_numpy() == v).all() and (out["k"].to_numpy() == np.where(bits < 0, -(bits & (2 ** 63 - 1)), bits)).all()
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "v double").select(Q.order_key(F.col("v")).alias("k")).collect()
+    assert [r.k for r in odd] == [None, None]
+
+
+def test_percentiles_of_one_huge_group_of_distinct_values(spark):
+    """Nine tenths of the rows in one key: every shuffle carries bins, not rows, and the result is exact."""
+    n = 400_000
+    df = spark.range(n).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(0).alias("g"),
+                               ((F.col("id") * 7919 % n) / 3.0 - 5000).alias("v")).repartition(8)
+    out = Q.exact_percentiles(df, ["g"], "v", {"m": 0.5, "p": 0.999}).toPandas().set_index("g")
+    pdf = df.toPandas()
+    for g, part in pdf.groupby("g"):
+        assert out.loc[g, "m"] == pytest.approx(np.percentile(part["v"], 50), abs=1e-9)
+        assert out.loc[g, "p"] == pytest.approx(np.percentile(part["v"], 99.9), abs=1e-9)
+    keys = df.withColumn("k", F.shiftright(Q.order_key(F.col("v")), 48)).where("g = 0")
+    assert keys.select("k").distinct().count() < n / 500
+
+
 def test_histogram_percentile(spark):
     v = np.random.default_rng(1).integers(0, 255, 999).astype(float)
     df = spark.createDataFrame(pd.DataFrame({"g": 0, "v": v}))

@@ -1,12 +1,16 @@
 """Scans and gates on small files and frames."""
 
+import hashlib
 import json
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridspark.plans.masks import axis_steps, mask_counts
-from gridspark.sinks import generations, packed
+from gridspark.sinks import generations, packed, provenance
 from gridspark.sources import catalogues, manifests, message_index, products, rasters, telemetry
+from gridspark.sources.lines import numbered_lines
 
 # Two wanted messages of a file of three; the first field repeats on another level.
 WANTED = [("SNOD", "ground", "snow"), ("RH", "2 m", "humid")]
@@ -96,20 +100,81 @@ def test_one_pixel_export(spark):
     assert packed.sidecar(packed.export_bgra(cells, ["r"])).collect()[0].payload_bytes == 4
 
 
-def test_publication_keeps_the_last_good(spark, tmp_path):
+def test_publication_keeps_the_last_good(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "store")
     assert generations.current(spark, root) is None
     generations.publish(spark.range(3), root, "g1")
     assert generations.read_generation(spark, root).count() == 3
-    broken = spark.range(5).select(F.raise_error(F.lit("no")).alias("x"))
-    try:
-        generations.publish(broken, root, "g2")
-    except Exception:
-        pass
+    with pytest.raises(Exception):
+        generations.publish(spark.range(5).select(F.raise_error(F.lit("no")).alias("x")), root, "g2")
+    assert generations.current(spark, root) == "g1" and generations.read_generation(spark, root).count() == 3
+
+    def crash(*_):
+        raise OSError("lost between the steps")
+    with monkeypatch.context() as patch:  # the files are written, the entry is not
+        patch.setattr(generations, "append", crash)
+        with pytest.raises(OSError):
+            generations.publish(spark.range(6), root, "g2")
     assert generations.current(spark, root) == "g1" and generations.read_generation(spark, root).count() == 3
-    generations.publish(spark.range(7), root, "g3")
+    generations.publish(spark.range(7), root, "g2")
     assert generations.read_generation(spark, root).count() == 7
     assert generations.read_generation(spark, root, "g1").count() == 3
+    generations.publish(spark.range(9), root, "g1")  # a repeated batch changes nothing
+    assert generations.current(spark, root) == "g2" and generations.read_generation(spark, root, "g1").count() == 3
+
+
+def test_two_writers_get_two_numbers_or_one_error(spark, tmp_path):
+    root = str(tmp_path / "store")
+    assert generations.append(spark, root, {"gen": "a"}, 0) == 0
+    with pytest.raises(generations.Taken):
+        generations.append(spark, root, {"gen": "b"}, 0)
+    assert generations.entries(spark, root) == [{"gen": "a"}]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: generations.publish(spark.range(i), root, f"w{i}"), range(1, 5)))
+    assert generations.numbers(spark, root) == [0, 1, 2, 3, 4]
+    assert sorted(e["gen"] for e in generations.entries(spark, root)) == ["a", "w1", "w2", "w3", "w4"]
+
+
+def test_long_files_are_numbered_across_byte_ranges(spark, tmp_path):
+    """One long file is read by several tasks; its lines and message ranges are those of a plain walk."""
+    lines = 120_000
+    (tmp_path / "long.idx").write_text("".join("\n" if i % 1000 == 999 else f"{i}:{i * 10}:d=1999:{'SNOD' if i % 3 else 'ALB'}:lev {i % 7}:anl:\n" for i in range(lines)))
+    (tmp_path / "short.idx").write_text("a\n\nb")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        out = numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        got = {(r.file_id.rsplit("/", 1)[1], r.line_no): r.line for r in out.collect()}
+        assert len(got) == lines + 3 and got["long.idx", 999] == "" and got["short.idx", 1] == "" and got["short.idx", 2] == "b"
+        assert all(got["long.idx", i].startswith(f"{i}:") for i in range(lines) if i % 1000 != 999)
+        found = message_index.message_ranges(message_index.scan_index(spark, str(tmp_path / "long.idx")), [("SNOD", "lev 3", "snow")]).collect()
+        last = max(i for i in range(lines - 1) if i % 1000 != 999 and i % 3 and i % 7 == 3)
+        assert [(r.start_byte, r.end_byte) for r in found] == [(last * 10, last * 10 + (19 if last % 1000 == 998 else 9))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_hash_tree_finds_changed_and_moved_assets(spark):
+    rows = [("p", f"n{i:04d}", f"{i:064x}", i) for i in range(300)] + [("q", "one", "0" * 64, 1), ("q", "one", "0" * 64, 1), ("r", None, None, None)]
+    frame = lambda r: spark.createDataFrame(r, "pack string, name string, sha256 string, bytes long")
+    tree = provenance.hash_tree(frame(rows), ["pack"])
+    roots = {r.pack: r.digest for r in provenance.provenance(frame(rows), ["pack"], tree).collect()}
+    level = [hashlib.sha256(f"{n}\n{s}\n{b}".encode()).hexdigest() for _, n, s, b in rows[:300]]
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[i:i + 16]).encode()).hexdigest() for i in range(0, len(level), 16)]
+    assert roots["p"] == level[0] and len(roots) == 3
+    leaves = tree.where("level = 0")
+    paths = provenance.proofs(tree, ["pack"], leaves)
+    digests = spark.createDataFrame(list(roots.items()), "pack string, digest string")
+    checked = leaves.join(paths, ["pack", "pos"]).join(digests, "pack")
+    assert checked.where(provenance.proven(F.col("hash"), F.col("path"), F.col("digest"))).count() == 303
+    assert checked.where(provenance.proven(F.sha2("hash", 256), F.col("path"), F.col("digest"))).count() == 0
+    changed = [*rows[:5], ("p", "n0005", "f" * 64, 5), *rows[6:]]
+    moved = [*rows[:5], ("p", "x", rows[5][2], 5), *rows[6:]]
+    for other in (changed, moved):
+        new = {r.pack: r.digest for r in provenance.provenance(frame(other), ["pack"]).collect()}
+        assert new["p"] != roots["p"] and new["q"] == roots["q"]
 
 
 def test_raster_tiles(spark):
