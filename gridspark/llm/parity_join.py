@@ -183,9 +183,9 @@ def _described(texts: list[str | None], ids: list) -> list[list]:
 
 
 def _keys(documents: DataFrame, text: str, buckets: int) -> DataFrame:
-    """(key, mark) of all classes, dealt to ``buckets`` tasks by key and sorted there.
+    """(key, mark) of all classes, dealt to ``buckets`` tasks by key and sorted there by Spark, which may spill.
 
-    Keys travel as packed blocks, one for each bucket and step of a task.
+    Keys travel as packed blocks, one for each bucket and step of a task; a step makes its sets part by part.
     """
 
     def pack(batches):
@@ -193,7 +193,7 @@ def _keys(documents: DataFrame, text: str, buckets: int) -> DataFrame:
             texts = batch.column(0).to_pylist()
             for a, b in steps(texts, 1 << 22):
                 seen, marks, sizes, keys = set(), [], [], []
-                for s in shingle_sets(texts[a:b]):
+                for s in (s for i, j in steps(texts[a:b]) for s in shingle_sets(texts[a + i:a + j])):
                     c = class_hash(s)
                     if c not in seen:  # copies within a step go once
                         seen.add(c)
@@ -227,7 +227,8 @@ def _keys(documents: DataFrame, text: str, buckets: int) -> DataFrame:
 
     packed = documents.select(F.col(f"`{text}`").alias("t")).mapInArrow(
         pack, "bucket int, keys binary, owners binary, marks binary")
-    return packed.repartition(buckets, "bucket").mapInArrow(unpack, "key bigint, mark bigint").sortWithinPartitions("key", "mark")
+    # The bucket is the number of its task; a hash of it would put several buckets into one task and none into others.
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(unpack, "key bigint, mark bigint").sortWithinPartitions("key", "mark")
 
 
 def _shared_keys(batches):
