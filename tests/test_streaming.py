@@ -1,5 +1,6 @@
 """Streams over one file per day agree with the batch operators over the same rows."""
 
+import time
 import uuid
 from pathlib import Path
 
@@ -8,10 +9,10 @@ from pyspark.sql import functions as F
 
 from gridspark import adapters as A
 from gridspark.functions import timefn
-from gridspark.operators import requests as R, tracks
+from gridspark.operators import requests as R, throttle
 from gridspark.plans import benchmarks, composites
 from gridspark.sinks.generations import current, read_generation
-from gridspark.streaming import observations as O, refresh, requests as SR, sources, telemetry as ST
+from gridspark.streaming import observations as O, refresh, requests as SR, runs, sources, telemetry as ST
 
 FOLDER = "/root/testdata/sf0.001"
 HOUR = timefn.HOUR_US
@@ -87,30 +88,63 @@ def test_newest_pairs(spark, days, tmp_path):
     assert rows(stream, *batch.columns) == rows(batch, *batch.columns)
 
 
-def test_strict_pairs(spark, days, tmp_path):
-    def side(df, rest):
-        one = df.where(f"event_id % 2 = {rest} and event_id % 5 < 2").select((F.col("user_id") % 2).alias("site"), F.date_trunc("hour", "time").alias("hour"), F.col("value"))
-        return one
-    s = stream_of(spark, days)
-    stream = finish(spark, O.strict_pairs(side(s, 0), side(s, 1), ["site"]), tmp_path)
-    b = spark.read.parquet(days[0])
-    batch = side(b, 0).withColumnRenamed("value", "vis").join(side(b, 1).withColumnRenamed("value", "ir"), ["site", "hour"])
-    assert batch.count() > 0 and rows(stream, "site", "hour", "vis", "ir") == rows(batch, "site", "hour", "vis", "ir")
-
-
-def test_composites(spark, days, tmp_path):
-    fields = composites.hourly_fields(A.observations(spark, FOLDER)).withColumns({
-        "tile": F.lit(0).cast("bigint"), "place": (F.col("y") * 15 + F.col("x")).cast("int")})
-    path = str(tmp_path / "fields")
-    cut = 1_705_300_000_000_000
-    for part in (fields.where(F.col("run_us") < cut), fields.where(F.col("run_us") >= cut)):
-        part.coalesce(1).write.mode("append").parquet(path)
-    s = sources.file_stream(spark, path, spark.read.parquet(path).schema)
-    stream = finish(spark, O.composite_stream(s.select("tile", "run_us", "place", "albedo", "ir", "is_day"), 150), tmp_path)
-    stream = stream.select("run_us", "place", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("vis_clear", "ir_day", "ir_night")])
-    batch = composites.composites(fields)
-    cols = ["run_us", "place", "vis_clear", "ir_day", "ir_night"]
-    close(rows(stream, *cols), rows(batch, *cols))
+@pytest.fixture(scope="module")
+def shuffled(spark, tmp_path_factory):
+    """The events dealt over files at random: rows arrive in no order, and far too late for a short watermark."""
+    out = str(tmp_path_factory.mktemp("shuffled") / "all")
+    ev = A.events(spark, FOLDER).withColumn("time", F.timestamp_micros("t_us")).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(3)))
+    for part in range(3):
+        ev.where(F.col("part") == part).drop("part").orderBy(F.xxhash64("event_id", F.lit(1))).coalesce(1).write.mode("append").parquet(out)
+    return out, spark.read.parquet(out).schema
+
+
+LONG = "4000 days"
+
+
+def test_strict_pairs(spark, shuffled):
+    def pairs(df):
+        best = lambda rest: O.hourly_best(df.select((F.col("user_id") % 2).alias("site"), "time", "event_id", "value"), ["site"],
+                                          F.when(F.expr(f"event_id % 2 = {rest} and event_id % 5 < 2"), F.col("value")), LONG).where("value is not null")
+        return O.strict_pairs(best(0), best(1), ["site"])
+    out, _ = runs.run_closed(stream_of(spark, shuffled), "time", pairs)
+    got = rows(out.select("site", F.date_trunc("hour", "at").alias("hour"), "vis", "ir"), "site", "hour", "vis", "ir")
+    b = spark.read.parquet(shuffled[0]).where("event_id % 5 < 2").select((F.col("user_id") % 2).alias("site"), F.date_trunc("hour", "time").alias("hour"), "event_id", "value")
+    want = b.groupBy("site", "hour").agg(F.max(F.when(F.col("event_id") % 2 == 0, F.col("value"))).alias("vis"), F.max(F.when(F.col("event_id") % 2 == 1, F.col("value"))).alias("ir"))
+    assert got == rows(want, "site", "hour", "vis", "ir")
+    assert any(r[2] == "" for r in got) and any(r[3] == "" for r in got) and any("" not in r for r in got)
+
+
+def test_composites_of_shuffled_observations(spark, shuffled):
+    obs = A.observations(spark, FOLDER)
+    clock = composites.update_clock(composites.update_runs(obs))
+    out, checkpoint = runs.run_closed(stream_of(spark, shuffled), "time", lambda df: O.composite_stream(
+        O.field_rows(A.as_observations(df, "time"), clock), A.OBS_W, LONG))
+    fields = ("vis_clear", "ir_day", "ir_night")
+    cols = ["run_us", "y", "x", *fields]
+    close(rows(out.withColumns({"y": F.col("tile").cast("int"), "x": F.col("place")}), *cols), rows(composites.composites(composites.hourly_fields(obs)), *cols))
+    assert out.where(" or ".join(f"isnan({c})" for c in fields)).count() == 0
+    state = runs.stored_state(spark, checkpoint, "state")
+    assert state.count() == A.OBS_H and runs.stored_state(spark, checkpoint, "due").count() == 0
+
+
+def test_retained_records_expire(spark, tmp_path):
+    """The state of each product goes when its own time to live has passed without an update."""
+    schema = "product string, place long, hour_us long"
+    path = str(tmp_path / "products")
+    first = [("clouds", p, 5) for p in range(4)] + [("clouds", 0, 3), ("ice", 1, 7), ("other", 1, 1), (None, 1, 1)]
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = O.retained_stream(sources.file_stream(spark, path, schema), {"clouds": 3 / 3600, "ice": 24.0})
+    checkpoint = str(tmp_path / "ck")
+
+    def once():
+        stream.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(once=True).start().awaitTermination()
+        return {p: sorted((r.place, r.value.value.hour_us) for r in runs.stored_state(spark, checkpoint, p).select("key.place", "value").collect())
+                for p in ("clouds", "ice")}
+
+    assert once() == {"clouds": [(p, 5) for p in range(4)], "ice": [(1, 7)]}
+    time.sleep(4)
+    spark.createDataFrame([("clouds", 9, 8), ("ice", 1, 2)], schema).coalesce(1).write.mode("append").parquet(path)
+    assert once() == {"clouds": [(9, 8)], "ice": [(1, 7)]}
 
 
 def test_first_of_hour(spark, days, tmp_path):
@@ -131,31 +165,38 @@ def test_rollups(spark, days, tmp_path, slide):
     assert got <= want and all((last - r[0]).total_seconds() <= 8 * 3600 for r in want - got)
 
 
-def test_slow_sessions(spark, days, tmp_path):
+def test_slow_sessions(spark, shuffled):
     def waits(df):
         return df.select("event_type", "time", F.col("value").alias("wait_ms"))
-    stream = finish(spark, ST.slow_sessions(waits(stream_of(spark, days)), ["event_type"], 60, "1 hour", "time", "1 hour"), tmp_path)
-    batch = ST.slow_sessions(waits(spark.read.parquet(days[0])), ["event_type"], 60, "1 hour", "time")
-    got, want = set(rows(stream, "event_type", "last", "n")), set(rows(batch, "event_type", "last", "n"))
-    assert got <= want and len(want - got) <= 10 and len(got) > 10
+    out, _ = runs.run_closed(stream_of(spark, shuffled), "time", lambda df: ST.slow_sessions(waits(df), ["event_type"], 60, "1 hour", "time", LONG))
+    batch = ST.slow_sessions(waits(spark.read.parquet(shuffled[0])), ["event_type"], 60, "1 hour", "time")
+    got = rows(out, "event_type", "last", "n")
+    assert got == rows(batch, "event_type", "last", "n") and len(got) > 10
 
 
-def test_slow_runs(spark, days, tmp_path):
+@pytest.mark.parametrize("lateness", [LONG, "0 seconds"])
+def test_slow_runs_in_event_time(spark, shuffled, days, lateness):
+    """Shuffled rows under a long watermark, and ordered ones under none, give the runs of the batch."""
     def waits(df):
-        return df.select(F.col("event_type").alias("key"), "t_us", "event_id", (F.col("value") >= 30).alias("slow"))
-    stream = finish(spark, ST.slow_run_stream(waits(stream_of(spark, days)), 3), tmp_path)
-    batch = benchmarks.slow_runs(waits(A.events(spark, FOLDER)), ["key"], ["t_us", "event_id"], F.col("slow"), float(timefn.DAY_US))
-    got, want = set(rows(stream, "key", "length", "start", "end")), set(rows(batch, "key", "length", "start", "end"))
-    assert got <= want and len(want - got) <= 5 and len(got) > 5
-
-
-def test_throttle(spark, days, tmp_path):
+        return df.select(F.col("event_type").alias("key"), "time", "t_us", "event_id", (F.col("value") >= 30).alias("slow"))
+    source = shuffled if lateness == LONG else days
+    out, checkpoint = runs.run_closed(stream_of(spark, source), "time", lambda df: ST.slow_run_stream(waits(df), 3, lateness))
+    every = benchmarks.slow_runs(waits(A.events(spark, FOLDER).withColumn("time", F.lit(None))), ["key"], ["t_us", "event_id"], F.col("slow"), float(timefn.DAY_US))
+    last = {r.key: r.t for r in A.events(spark, FOLDER).where("value < 30").groupBy(F.col("event_type").alias("key")).agg(F.max("t_us").alias("t")).collect()}
+    got, want = rows(out, "key", "length", "start", "end"), rows(every, "key", "length", "start", "end")
+    assert got == [r for r in want if r[2] < last[r[0]]] and len(got) > 5
+    held = runs.stored_state(spark, checkpoint, "state").count()  # only keys whose run is open
+    assert held == len({r.event_type for r in A.events(spark, FOLDER).collect() if r.t_us > last[r.event_type]})
+
+
+def test_throttle_equals_the_batch(spark, shuffled):
     def attempts(df):
-        return df.select(F.col("user_id").alias("object_id"), "t_us", "event_id")
-    stream = finish(spark, ST.throttle_stream(attempts(stream_of(spark, days)), 6 * HOUR), tmp_path)
-    batch = tracks.throttled(attempts(A.events(spark, FOLDER)), ["object_id"], "t_us", ["event_id"], 6 * HOUR, float(timefn.DAY_US))
+        return df.select((F.col("user_id") % 3).alias("object_id"), "time", "t_us", "event_id")
+    out, _ = runs.run_closed(stream_of(spark, shuffled), "time", lambda df: ST.throttle_stream(attempts(df), 6 * HOUR, LONG))
     cols = ["object_id", "t_us", "event_id"]
-    assert rows(stream, *cols) == rows(batch, *cols)
+    batch = throttle.throttled(attempts(A.events(spark, FOLDER).withColumn("time", F.lit(None))).select(*cols), ["object_id"], "t_us", ["event_id"], 6 * HOUR)
+    got = rows(out, *cols)
+    assert got == rows(batch, *cols) and len(got) > 100
 
 
 @pytest.fixture(scope="module")
