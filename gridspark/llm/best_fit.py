@@ -165,15 +165,18 @@ def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY, sequen
 # Fixed value: the published split pattern of byte-level BPE.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 CACHED = 600_000
+BLOCK_PARTS = 512  # parts that one call encodes
 _encoders: dict[int, "Encoder"] = {}
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, by the tokenizers library.
+    """Token ids of whole texts, by the tokenizers library.
 
     Byte-level BPE never merges across its words, and a blank before another character always starts one. So a text
-    is cut at its blanks, equal parts are encoded once, and caches of bounded size keep them. A text with white space
-    after a blank or with a special token in it is cut by the split pattern itself.
+    is cut at its blanks, and equal parts are encoded once: a part has a number, and its ids stand in one flat array. A text
+    becomes the numbers of its parts, and all texts of a step are gathered from that array at once. The array is begun
+    anew when it holds CACHED parts. A text with white space after a blank or with a special token in it is cut by the split
+    pattern itself.
     """
 
     def __init__(self, definition: str):
@@ -183,58 +186,87 @@ class Encoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
-        self.exact: dict[str, bytes] = {}  # ids of a part as it stands
-        self.after: dict[str, bytes] = {}  # ids of a part behind one blank
-        self.words: dict[str, bytes] = {}  # ids of the words that parts consist of
-
-    def _all(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts: one call for many, with a special token between them, on which the library always splits."""
+        self._clear()
+
+    def _clear(self) -> None:
+        self.exact: dict[str, int] = {}  # numbers of parts as they stand
+        self.after: dict[str, int] = {}  # numbers of parts behind one blank
+        self.ids, self.starts, self.known, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
+        for token, number in self.special.items():
+            self.exact[token] = self.known
+            self._store(np.array([number], np.uint32), np.array([1]))
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Append parts of ``sizes`` ids; part k has the ids from starts[k] to starts[k + 1]."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        if self.known + len(sizes) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(sizes) + 1), np.int64)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.starts[self.known + 1:self.known + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.known += len(sizes)
+        self.used += len(ids)
+
+    def _encode(self, parts: list[str]) -> None:
+        """Encode and store parts: one call for many, with a special token between them, on which the library always splits."""
         whole = self.model.encode_batch_fast  # ids only, without offsets
-        if not self.special:
-            return [array("I", e.ids).tobytes() for e in whole(parts, add_special_tokens=False)]
-        mark, number = next(iter(self.special.items()))
-        ids = np.array(whole([mark.join(parts)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.flatnonzero(ids == number).tolist()
-        return [ids[a:b].tobytes() for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
-
-    def _learn(self, known: dict[str, bytes], parts: set[str], before: str) -> None:
-        new = list(parts - known.keys())
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list(parts)
-        # Many parts share words ("and", "and,"). The classes of Latin characters are the same in every Unicode version.
-        cut = [[part] if part and max(part) >= "\u0250" else WORDS.findall(part) for part in map(before.__add__, new)]
-        needed = set().union(*cut)
-        fresh = list(needed - self.words.keys())
-        if len(self.words) + len(fresh) > CACHED:
-            self.words.clear()
-            fresh = list(needed)
-        for at in range(0, len(fresh), 256):
-            block = fresh[at:at + 256]
-            self.words.update(zip(block, self._all(block)))
-        get = self.words.__getitem__
-        known.update((part, b"".join(map(get, c))) for part, c in zip(new, cut))
-
-    def _odd(self, text: str) -> bytes:
-        cut = [text]
-        if any(s in text for s in self.special):
-            cut = regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", text)
-        pieces = [p if i % 2 else WORDS.findall(p) for i, p in enumerate(cut)]
-        self._learn(self.exact, set().union(*pieces[::2]), "")
-        return b"".join(array("I", [self.special[p]]).tobytes() if i % 2 else b"".join(map(self.exact.__getitem__, p))
-                        for i, p in enumerate(pieces))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        for at in range(0, len(parts), BLOCK_PARTS):
+            block = parts[at:at + BLOCK_PARTS]
+            if not self.special:
+                made = [e.ids for e in whole(block, add_special_tokens=False)]
+                self._store(np.array(sum(made, []), np.uint32), np.array([len(m) for m in made]))
+                continue
+            mark, number = next(iter(self.special.items()))
+            ids = np.array(whole([mark.join(block)], add_special_tokens=False)[0].ids, np.uint32)
+            between = ids == number
+            ends = np.concatenate([np.flatnonzero(between), [len(ids)]])
+            self._store(ids[~between], np.diff(ends, prepend=-1) - 1)
+
+    def _learn(self, after: set[str], exact: set[str]) -> None:
+        new_after, new_exact = list(after - self.after.keys()), list(exact - self.exact.keys())
+        if self.known + len(new_after) + len(new_exact) > CACHED and self.known > len(self.special):
+            self._clear()
+            new_after, new_exact = list(after), list(exact - self.exact.keys())
+        for known, new, before in ((self.after, new_after, " "), (self.exact, new_exact, "")):
+            known.update(zip(new, range(self.known, self.known + len(new))))
+            self._encode([before + p for p in new] if before else new)
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text ends."""
         cut = [t.split(" ") for t in texts]
         words = set().union(*cut)
         blank = {w for w in words if not w or w[0].isspace()}
         odd = [any(s in t for s in self.special) or (bool(blank) and not blank.isdisjoint(c[1:])) for t, c in zip(texts, cut)]
-        plain = [c for c, o in zip(cut, odd) if not o]
-        special = [self._odd(t) if o else b"" for t, o in zip(texts, odd)]
-        self._learn(self.after, words if len(plain) == len(cut) else set().union(*plain), " ")
-        self._learn(self.exact, {c[0] for c in plain}, "")
-        return [s if o else self.exact[c[0]] + b"".join(map(self.after.__getitem__, c[1:]))
-                for s, c, o in zip(special, cut, odd)]
+        exact = {c[0] for c, o in zip(cut, odd) if not o}
+        if any(odd):
+            words = set().union(*(c for c, o in zip(cut, odd) if not o))
+            pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+            for i, o in enumerate(odd):
+                if o:
+                    pieces = pattern.split(texts[i]) if pattern else [texts[i]]
+                    cut[i] = [w for k, p in enumerate(pieces) for w in ([p] if k % 2 else WORDS.findall(p))]
+                    exact.update(cut[i])
+        self._learn(words, exact)
+        numbers, ends = [], []
+        get, first = self.after.__getitem__, self.exact.__getitem__
+        for c, o in zip(cut, odd):
+            if o:
+                numbers.extend(map(first, c))
+            else:
+                numbers.append(first(c[0]))
+                numbers.extend(map(get, c[1:]))
+            ends.append(len(numbers))
+        part = np.array(numbers, np.int64)
+        starts = self.starts[part]
+        sizes = self.starts[part + 1] - starts
+        stops = np.cumsum(sizes)
+        at = np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - (stops - sizes), sizes)
+        return self.ids[at], np.concatenate([[0], stops])[ends]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit bytes."""
+        ids, ends = self.flat(texts)
+        return [p.astype("<u4").tobytes() for p in np.split(ids, ends[:-1])] if texts else []
 
 
 def encoder(definition: str) -> Encoder:
@@ -263,13 +295,15 @@ def token_pieces(df: DataFrame, key: str, text: str, tokenizer: str, capacity: i
     last = array("I", [end]).tobytes()
 
     def run(batches):
-        encode = encoder(shared.value).encode
+        flat = encoder(shared.value).flat
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in steps(texts):
                 at, piece, start, length, crc = [], [], [], [], []
-                for i, data in enumerate(encode([t or "" for t in texts[a:b]]), a):
-                    data += last
+                ids, ends = flat([t or "" for t in texts[a:b]])
+                raw, low = memoryview(ids.astype("<u4").tobytes()), 0
+                for i, high in enumerate(ends.tolist(), a):
+                    data, low = bytes(raw[4 * low:4 * high]) + last, high
                     n = len(data) // 4
                     begin, stop, number = 0, n % capacity or min(capacity, n), 0
                     while begin < n:
