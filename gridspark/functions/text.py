@@ -51,12 +51,10 @@ def element_line_ok(line: Column | str) -> Column:
 
 def fnv1a32(c: Column | str) -> Column:
     """32-bit FNV-1a of the UTF-8 bytes, as BIGINT."""
-    hexed = F.hex(F.encode(col(c).cast("string"), "utf-8"))
-    n = (F.length(hexed) / 2).cast("int")
-    steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(col(c).cast("string"), "utf-8")), F.lit(".."), F.lit(0))
 
-    def fold(h, i):
-        byte = F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint")
+    def fold(h, pair):
+        byte = F.conv(pair, 16, 10).cast("bigint")
         return (h.bitwiseXOR(byte) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
 
-    return F.aggregate(steps, F.lit(2166136261).cast("bigint"), fold)
+    return F.aggregate(pairs, F.lit(2166136261).cast("bigint"), fold)

@@ -64,12 +64,19 @@ def first_available(candidates: DataFrame, present: DataFrame, key: list[str], b
     return hits.groupBy(*by).agg(F.min_by(value, rank).alias(value), F.min(rank).alias(rank))
 
 
-def month_ranks(month: Column) -> Column:
-    """The twelve months by seasonal distance, the following month before the preceding one."""
+def complete(parts: DataFrame, key: list[str], part: str, required: list) -> DataFrame:
+    """The keys that hold every required part."""
+    held = parts.where(F.col(part).isin(required)).groupBy(*key).agg(F.count_distinct(part).alias("_n"))
+    return held.where(F.col("_n") == len(set(required))).drop("_n")
+
+
+def month_ranks(month: Column, undated: bool = False) -> Column:
+    """The twelve months by seasonal distance, the following month before the preceding one; month 0, undated, at the end."""
     def at(k):
         return F.pmod(month - 1 + k, F.lit(12)) + 1
     steps = [0]
     for d in range(1, 6):
         steps += [d, -d]
     steps.append(6)
-    return F.array(*[F.struct(F.lit(i).alias("rank"), at(k).cast("int").alias("month")) for i, k in enumerate(steps)])
+    months = [at(k).cast("int") for k in steps] + [F.lit(0)] * undated
+    return F.array(*[F.struct(F.lit(i).alias("rank"), m.alias("month")) for i, m in enumerate(months)])

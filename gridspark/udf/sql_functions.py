@@ -107,15 +107,23 @@ def weighted_median(value: pd.Series, weight: pd.Series) -> float:
 
 @pandas_udf(T.LongType())
 def fnv1a32_large(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """32-bit FNV-1a of binary payloads too long for the column expression."""
+    """32-bit FNV-1a of binary payloads of any length; NULL for NULL.
+
+    The hash takes one byte after another, so all payloads of a batch take their k-th byte together, the longest first.
+    """
     for batch in payloads:
-        out = []
-        for payload in batch:
-            h = 2166136261
-            for byte in payload:
-                h = ((h ^ byte) * 16777619) & 0xFFFFFFFF
-            out.append(h)
-        yield pd.Series(out, dtype="int64")
+        known = batch.dropna()
+        size = known.map(len).to_numpy(np.int64)
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
+        data = np.frombuffer(b"".join(known.iloc[k] for k in order), np.uint8).astype(np.uint64)
+        start, state = np.cumsum(size) - size, np.full(len(size), 2166136261, np.uint64)
+        live = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")  # payloads with a k-th byte
+        for k, many in enumerate(live.tolist()):
+            state[:many] = ((state[:many] ^ data[start[:many] + k]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+        out = pd.Series(pd.NA, index=batch.index, dtype="Int64")
+        out.loc[known.index[order]] = state.astype(np.int64)
+        yield out
 
 
 def register(spark: SparkSession) -> None:

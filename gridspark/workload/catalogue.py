@@ -48,12 +48,10 @@ def j1(spark, d):
         grid_row_lat(y, {A.H}) as lat, tile_parent(y) as parent from {{sky}}""", sky=A.sky_cells(spark, d))
 
 
-@query("j2_payload_hashes", """with recursive b as (select doc_id, source || '/' || doc_id as s from documents),
-f as (select doc_id, s, 0 as i, 2166136261::bigint as h from b union all
-  select doc_id, s, i + 1, (xor(h, ascii(s[i + 1])::bigint) * 16777619) % 4294967296 from f where i < strlen(s))
-select doc_id, h as fnv from f where i = strlen(s)""")
+@query("j2_payload_hashes", """select doc_id, list_reduce(list_prepend(2166136261::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: ('0x' || p)::bigint)),
+  lambda h, b: (xor(h, b) * 16777619) % 4294967296) as fnv from documents""")
 def j2(spark, d):
-    docs = A.table(spark, d, "documents").select("doc_id", F.encode(F.concat_ws("/", "source", "doc_id"), "utf-8").alias("p"))
+    docs = A.table(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("p"))
     return docs.select("doc_id", sql_functions.fnv1a32_large("p").alias("fnv"))
 
 

@@ -126,9 +126,9 @@ def k4(spark, d):
 
 
 @query("k5_storm_steering", with_(SKY, CONVECTION) + f""", pk as (
-  select grid_id, y, x, r as cloud, g as cape, b as rain from (
+  select grid_id, (y // 2)::int as y, (x // 2)::int as x, round_even(avg(r), 0)::int as cloud, round_even(avg(g), 0)::int as cape, round_even(avg(b), 0)::int as rain from (
     select grid_id, y, x, r, (r * 3 + x) % 256 as g, (r * 5 + y) % 256 as b from (
-      select grid_id, y, x, cast(least(255e0, greatest(0e0, round_even((v + 1e0) * 127.5e0, 0))) as int) as r from cells) q) z where y < 80 and x < 100),
+      select grid_id, y, x, cast(least(255e0, greatest(0e0, round_even((v + 1e0) * 127.5e0, 0))) as int) as r from cells) q) z group by 1, 2, 3),
 n1 as (select p.*, conv, round_even(conv * 255, 0) as top, max(cape) over (partition by p.grid_id, y order by x rows between 4 preceding and 4 following) as c1 from pk p join cb using (grid_id, y, x)),
 n2 as (select *, max(c1) over (partition by grid_id, x order by y rows between 4 preceding and 4 following) as ncape, max(top) over (partition by grid_id, y order by x rows between 8 preceding and 8 following) as t1 from n1),
 n3 as (select *, max(t1) over (partition by grid_id, x order by y rows between 8 preceding and 8 following) / 255e0 as ntop from n2),
@@ -136,7 +136,8 @@ s as (select *, greatest(0e0, least(1e0, conv * {step('5e0', '25e0', 'ncape')}))
 select grid_id, y, x, round_even(greatest(cloud, storm * 0.85e0 * 255), 0)::int as cloud, round_even(greatest(cape, storm * 0.4e0 * 255), 0)::int as cape,
   round_even(greatest(dry, storm * 0.55e0 * 255), 0)::int as rain from s""")
 def k5(spark, d):
-    packed = A.byte_cells(spark, d).where("y < 80 and x < 100").selectExpr("grid_id", "y", "x", "r as cloud", "g as cape", "b as rain")
+    half = block_mean(A.byte_cells(spark, d), ["r", "g", "b"], 2, A.H, A.W)
+    packed = half.select("grid_id", "y", "x", *[F.rint(c).cast("int").alias(n) for c, n in (("r", "cloud"), ("g", "cape"), ("b", "rain"))])
     return convection.steer_storms(packed, convection_cells(spark, d), A.H // 2, A.W // 2)
 
 
@@ -188,7 +189,7 @@ LINEAR = "greatest(0e0, 1 - q)"
 a as (select grid_id, wy.t as y, x, sum(v * w) as v from p join wy on y = s group by 1, 2, 3)
 select grid_id, y::int as y, wx.t::int as x, round_even(round(sum(v * w) * 255e0, 6), 0)::int as alpha from a join wx on x = s group by 1, 2, 3""")
 def k8(spark, d):
-    points = A.byte_cells(spark, d).where("(x + y) % 7 <> 0").selectExpr("grid_id", "x as lon", "79 - y as lat", "floor(r * 100 / 255e0) as value")
+    points = A.byte_cells(spark, d).selectExpr("grid_id", "x as lon", "79 - y as lat", "case when (x + y) % 7 <> 0 then floor(r * 100 / 255e0) end as value")
     return aurora.aurora_grid(points, "grid_id", (160, 200), (320, 400))
 
 

@@ -223,13 +223,10 @@ def h20(spark, d):
     return p.select("event_id", N.r6(v[0]).alias("ex"), N.r6(v[1]).alias("ey"), N.r6(sky.angular_radius(F.lit(1737.4), "km")).alias("radius"))
 
 
-@query("h21_hashes", """with recursive b as (select doc_id, source || '/' || doc_id as s from documents),
-f as (select doc_id, s, 0 as i, 2166136261::bigint as h from b union all
-  select doc_id, s, i + 1, (xor(h, ascii(s[i + 1])::bigint) * 16777619) % 4294967296 from f where i < strlen(s))
-select f.doc_id, h as fnv, sha256(text) as sha from f join documents d using (doc_id) where i = strlen(s)""")
+@query("h21_hashes", """select doc_id, list_reduce(list_prepend(2166136261::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: ('0x' || p)::bigint)),
+  lambda h, b: (xor(h, b) * 16777619) % 4294967296) as fnv, sha256(text) as sha from documents""")
 def h21(spark, d):
-    return A.table(spark, d, "documents").select(
-        "doc_id", text.fnv1a32(F.concat_ws("/", "source", "doc_id")).alias("fnv"), F.sha2("text", 256).alias("sha"))
+    return A.table(spark, d, "documents").select("doc_id", text.fnv1a32("text").alias("fnv"), F.sha2("text", 256).alias("sha"))
 
 
 def oval_sql() -> str:

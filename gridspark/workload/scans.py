@@ -95,13 +95,13 @@ def a5(spark, d):
 
 @query("a6_latest_daily", """with av as (
   select distinct event_id % 2 as hemisphere, cast(floor(epoch_us(ts) / 86400000000) as int) as day
-  from events where event_type = 'signup' and user_id % 16 = 0),
+  from events where event_type = 'signup'),
 nows as (select distinct cast(floor(epoch_us(ts) / 86400000000) as int) as now_day from events),
 n as (select now_day, hemisphere, max(day) as day from nows, av where day between now_day - 4 and now_day - 1 group by 1, 2)
 select now_day, min(day) as product_day, max(day) as newest_day from n group by now_day having count(*) = 2""")
 def a6(spark, d):
     days = A.events(spark, d).withColumn("day", F.floor(F.col("t_us") / 86_400_000_000).cast("int"))
-    av = days.where("event_type = 'signup' and user_id % 16 = 0").select((F.col("event_id") % 2).alias("hemisphere"), "day")
+    av = days.where("event_type = 'signup'").select((F.col("event_id") % 2).alias("hemisphere"), "day")
     return products.latest_daily(av, days.select(F.col("day").alias("now_day")).distinct())
 
 
