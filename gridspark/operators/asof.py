@@ -39,6 +39,23 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
                       F.col("_match")["_rt"].alias("matched_at"))
 
 
+def latest_step(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, right_cols: list[str],
+                step: int, back: int) -> DataFrame:
+    """Each left row with the newest right row at or before its time, for right rows that stand at multiples of ``step``.
+
+    A match is at most ``back`` older. So it stands at one of a few times, and each is an equality join: nothing is ordered,
+    and no key is in one task. ``right`` has one row of a key and time. Left rows are all kept.
+    """
+    last = F.col(left_on) - F.pmod(F.col(left_on), F.lit(step))
+    payload = right.select(*by, F.col(right_on).alias("_at"), F.struct(F.col(right_on).alias("_t"), *right_cols).alias("_right"))
+    out, matches = left, []
+    for k in range(back // step + 1):
+        out = out.withColumn("_at", last - k * step).join(payload.withColumnRenamed("_right", f"_m{k}"), [*by, "_at"], "left").drop("_at")
+        matches.append(F.when(F.col(left_on) - (last - k * step) <= back, F.col(f"_m{k}")))
+    out = out.withColumn("_match", F.coalesce(*matches))
+    return out.select(*left.columns, *[F.col("_match")[c].alias(c) for c in right_cols], F.col("_match")["_t"].alias("matched_at"))
+
+
 def latest_complete_cycle(messages: DataFrame, requests: DataFrame, required: list[str], cycles: int,
                           step_us: int, by: list[str] | None = None) -> DataFrame:
     """For each request time the newest of its last ``cycles`` cycles that holds every required field.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,9 +104,9 @@ def histogram_percentile(df: DataFrame, by: list[str], value: str, q: float, out
             .select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(out)))
 
 
-def weighted_percentile(df: DataFrame, by: list[str], value: str, weight: str, ps: dict[str, float],
+def weighted_percentile(df: DataFrame, by: list[str], value: str, weight: str, ps: dict[str, float | Callable[[Column], Column]],
                         bins: int = 256) -> DataFrame:
-    """First value whose cumulative weight reaches ``p`` of the group's total, per entry of ``ps``.
+    """First value whose cumulative weight reaches ``p`` of the group's total, per entry of ``ps``; or p(total) for a function.
 
     Weights are integers, so the cumulative sums are exact in any order. Each group is reduced to a
     weight per distinct value, and to ``bins`` value ranges; only the range a crossing falls in is
@@ -122,11 +124,12 @@ def weighted_percentile(df: DataFrame, by: list[str], value: str, weight: str, p
     ranged = (per_bin.withColumn("_bend", F.sum("_bw").over(order))
               .withColumn("_bstart", F.col("_bend") - F.col("_bw")))
     names = list(ps)
-    targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(ps.values())])
+    total = F.col("_total")
+    targets = F.array(*[F.struct(F.lit(i).alias("i"), (p(total) if callable(p) else F.lit(float(p)) * total).cast("double").alias("goal"))
+                        for i, p in enumerate(ps.values())])
     crossing = (ranged.withColumn("_t", F.explode(targets))
-                .where((F.col("_bend") >= F.col("_t.p") * F.col("_total"))
-                       & (F.col("_bstart") < F.col("_t.p") * F.col("_total")))
-                .select(*by, "_bin", "_bstart", (F.col("_t.p") * F.col("_total")).alias("_goal"), F.col("_t.i").alias("_i")))
+                .where((F.col("_bend") >= F.col("_t.goal")) & (F.col("_bstart") < F.col("_t.goal")))
+                .select(*by, "_bin", "_bstart", F.col("_t.goal").alias("_goal"), F.col("_t.i").alias("_i")))
     inside = binned.join(crossing, [*by, "_bin"])
     rows = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     met = inside.withColumn("_cum", F.col("_bstart") + F.sum("_w").over(rows)).where(F.col("_cum") >= F.col("_goal"))

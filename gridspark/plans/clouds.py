@@ -32,7 +32,9 @@ def cloud_cover(sky: DataFrame, model: DataFrame, height: int, width: int) -> Da
     """Cover, cloud-top coldness and the missing flag per cell.
 
     ``sky`` carries albedo, vis_clear, ir, ir_day, ir_night and cosine; ``model`` carries the enlarged
-    model fields model and low. Every missing value has its own meaning, as each formula below says.
+    model fields model and low. Every missing value has its own meaning, as each formula below says. The model may lack
+    cells or values: without low cloud its total cloud stands for it, and without both the observation stands alone, so
+    a cell is empty only where it was neither observed nor modelled.
     """
     lat = F.abs(row_lat("y", height))
     df = sky.withColumn("excess", F.col("albedo") - F.coalesce(F.least(F.col("vis_clear"), F.lit(0.45)), F.lit(0.12)))
@@ -48,13 +50,15 @@ def cloud_cover(sky: DataFrame, model: DataFrame, height: int, width: int) -> Da
     holes = sky.select(*KEY, F.when(F.col("ir").isNull(), 255.0).otherwise(0.0).alias("feather"))
     holes = gaussian(holes, "feather", FEATHER, height, width)
     holes = holes.withColumn("feather", byte_round(F.col("feather")) / 255.0)
-    df = df.join(holes, KEY).join(model.select(*KEY, F.col("model").alias("_model"), F.col("low").alias("_low")), KEY)
+    df = df.join(holes, KEY).join(model.select(*KEY, F.col("model").alias("_model"), F.col("low").alias("_low")), KEY, "left")
+    df = df.withColumn("_low", F.coalesce("_low", "_model"))
     by_day = F.when(F.col("vis").isNotNull(), F.greatest(F.col("vis"), 0.85 * F.col("infra"))).otherwise(F.col("infra"))
     by_night = F.greatest(F.col("infra"), 0.8 * F.col("_low"))
     seen = F.col("day") * by_day + (1.0 - F.col("day")) * by_night
     fill = F.greatest(F.when(F.col("missing"), 1.0).otherwise(0.0), clip(2.0 * F.col("feather"), 0.0, 1.0))
     df = df.withColumn("cover", fill * F.col("_model") + (1.0 - fill) * seen)
     edge = smoothstep(EDGE[0], EDGE[1], lat)
-    return df.select(*KEY, (edge * F.col("cover") + (1.0 - edge) * F.col("_model")).alias("cover"),
+    alone = F.when(F.col("_model").isNull() & ~F.col("missing"), seen)
+    return df.select(*KEY, F.coalesce(edge * F.col("cover") + (1.0 - edge) * F.col("_model"), alone).alias("cover"),
                      F.when(F.col("missing"), 0.3 * F.col("_model")).otherwise(smoothstep(90.0, 215.0, "ir")).alias("coldness"),
                      "missing", F.col("cold").alias("ir_cold"), "ir")

@@ -69,6 +69,10 @@ def retained_observation(records: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def synthetic_override(current: DataFrame, oval: DataFrame, band: str, label: str) -> DataFrame:
-    """The current fields with one band replaced, under a source that says it is synthetic."""
-    return (current.drop(band).join(oval.select(*KEY, F.col("p").alias(band)), KEY)
-            .withColumn("source", F.lit(f"SYNTHETIC {label} (not an observation)")))
+    """The current fields with one band replaced, under a source that says it is synthetic.
+
+    Cells for which there is no synthetic value keep their own, and no such source.
+    """
+    joined = current.withColumnRenamed(band, "_own").join(oval.select(*KEY, F.col("p").alias("_p")), KEY, "left")
+    label = F.when(F.col("_p").isNotNull(), F.lit(f"SYNTHETIC {label} (not an observation)"))
+    return joined.withColumns({band: F.coalesce("_p", "_own"), "source": label}).drop("_own", "_p")

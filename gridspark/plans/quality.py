@@ -41,6 +41,18 @@ def frame_stats(cells: DataFrame, by: list[str], rgb: list[str], dark: int = 3)
         mean.alias("mean"), F.avg(lit).alias("lit"))
 
 
+def frame_hashes(cells: DataFrame, by: list[str], bands: list[str]) -> DataFrame:
+    """(by, sha256): one digest for the payload of each frame, over the digests of its rows of texels from top to bottom.
+
+    A row of a frame is the largest unit gathered; byte bands go in the given order, texels from left to right.
+    """
+    texel = F.concat(*[F.lpad(F.hex(F.col(b).cast("int")), 2, "0") for b in bands])
+    rows = cells.groupBy(*by, "y").agg(F.array_sort(F.collect_list(F.struct("x", texel.alias("t")))).alias("s"))
+    row = F.sha2(F.unhex(F.array_join(F.transform("s", lambda v: v["t"]), "")), 256)
+    held = rows.select(*by, "y", row.alias("d")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("y", "d"))).alias("s"))
+    return held.select(*by, F.sha2(F.array_join(F.transform("s", lambda v: v["d"]), ""), 256).alias("sha256"))
+
+
 def distinct_nodes(points: DataFrame, by: list[str], node: list[str]) -> DataFrame:
     """Points and distinct nodes per group; points are reduced to nodes before the group is."""
     nodes = points.groupBy(*by, *node).agg(F.count(F.lit(1)).alias("_n"))
@@ -52,15 +64,16 @@ def metered_key(pixels: DataFrame, by: list[str], height: int, width: int, p: fl
                 coverage: float = 0.25) -> DataFrame:
     """The luminance at which ``p`` of the centre-weighted coverage is reached, per frame.
 
-    Lit pixels darker than 1/500 of the lit 99th percentile are left out first. Weights are whole
-    millionths so that sums do not depend on their order.
+    Lit pixels darker than 1/500 of a reference are left out first: the lit pixel that 99 of 100 lit ones, rounded
+    down, come before. Weights are whole millionths so that sums do not depend on their order.
     """
     dx = (F.col("x") + 0.5) / float(width) - 0.5
     dy = (F.col("y") + 0.5) / float(height) - 0.5
     centre = 1.0 - (F.pow(dx, F.lit(2.0)) + F.pow(dy, F.lit(2.0)))
     kept = pixels.where(F.col("coverage") >= coverage).withColumn(
         "_w", F.floor(F.col("coverage") * centre * 1e6 + 0.5).cast("bigint"))
-    brightest = weighted_percentile(kept.where("lit").withColumn("_one", F.lit(1)), by, "lum", "_one", {"_ref": 0.99})
+    brightest = weighted_percentile(kept.where("lit").withColumn("_one", F.lit(1)), by, "lum", "_one",
+                                    {"_ref": lambda n: F.least(F.floor(n * 99 / 100), n - 1) + 1})
     seen = kept.join(brightest, by, "left").where(
         ~F.col("lit") | F.col("_ref").isNull() | (F.col("lum") >= F.col("_ref") * 0.002))
     return weighted_percentile(seen, by, "lum", "_w", {"key": p})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timefn import iso_z
+
 
 def scan_assets(spark: SparkSession, path: str) -> DataFrame:
     """Landed files as (name, sha256, bytes)."""
@@ -51,13 +53,14 @@ def scan_point_product(docs: DataFrame, key: str, text: str, min_points: int = 6
             .when(F.exists(pts, outside), "out of range")
             .when(F.exists(pts, lambda p: (p[0] != F.floor(p[0])) | (p[1] != F.floor(p[1]))), "not whole degrees")
             .when(F.size(F.array_distinct(node)) != F.size(pts), "repeated node").otherwise("ok"))
-    return parsed.withColumn("rule", rule)
+    # A forecast time that does not parse is NULL; it breaks no rule, for the points stand without it.
+    return parsed.withColumns({"rule": rule, "forecast_us": iso_z("forecast")})
 
 
 def explode_points(products: DataFrame, key: str) -> DataFrame:
-    """(key, lon, lat, value) of the accepted documents."""
-    return products.where(F.col("rule") == "ok").select(key, F.explode("coordinates").alias("p")).select(
-        key, F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"), F.col("p")[2].alias("value"))
+    """(key, forecast_us, lon, lat, value) of the accepted documents."""
+    return products.where(F.col("rule") == "ok").select(key, "forecast_us", F.explode("coordinates").alias("p")).select(
+        key, "forecast_us", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"), F.col("p")[2].alias("value"))
 
 
 def latest_object(listings: DataFrame, pattern: str, now_hour: Column, hours: int = 8) -> DataFrame:

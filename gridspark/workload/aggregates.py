@@ -119,12 +119,17 @@ def d9(spark, d):
     return out.select("grid_id", *[N.r6(c).alias(c) for c in ("mean", "p99", "max")])
 
 
-@query("d10_frame_statistics", with_(BYTES) + """select grid_id, least(min(r), min(g), min(b)) as lo, greatest(max(r), max(g), max(b)) as hi,
-  round((avg(r) + avg(g) + avg(b)) / 3, 6) + 0e0 as mean, round(avg(case when greatest(r, g, b) > 3 then 1e0 else 0e0 end), 6) + 0e0 as lit
-from bytes group by 1""")
+FRAME_HASHES = """fr as (select {k}, y, sha256(unhex(string_agg(printf('%02X%02X%02X', r, g, b), '' order by x))) as d from {src} group by {k}, y),
+fh as (select {k}, sha256(string_agg(d, '' order by y)) as sha256 from fr group by {k})"""
+
+
+@query("d10_frame_statistics", with_(BYTES, FRAME_HASHES.format(k="grid_id", src="bytes")) + """select grid_id, least(min(r), min(g), min(b)) as lo, greatest(max(r), max(g), max(b)) as hi,
+  round((avg(r) + avg(g) + avg(b)) / 3, 6) + 0e0 as mean, round(avg(case when greatest(r, g, b) > 3 then 1e0 else 0e0 end), 6) + 0e0 as lit, any_value(sha256) as sha256
+from bytes join fh using (grid_id) group by 1""")
 def d10(spark, d):
-    out = quality.frame_stats(A.byte_cells(spark, d), ["grid_id"], ["r", "g", "b"])
-    return out.select("grid_id", "lo", "hi", N.r6("mean").alias("mean"), N.r6("lit").alias("lit"))
+    cells = A.byte_cells(spark, d)
+    out = quality.frame_stats(cells, ["grid_id"], ["r", "g", "b"]).join(quality.frame_hashes(cells, ["grid_id"], ["r", "g", "b"]), "grid_id")
+    return out.select("grid_id", "lo", "hi", N.r6("mean").alias("mean"), N.r6("lit").alias("lit"), "sha256")
 
 
 @query("d11_scene_summary", with_(TEL) + """select run, scene, count(*) as samples, round(median(wait_ms), 6) + 0e0 as median,
@@ -187,7 +192,7 @@ def d17(spark, d):
   select grid_id, r / 255e0 as lum, r > 100 as lit, a / 255e0 as cov,
     cast(floor((a / 255e0) * (1 - (pow((x + 0.5e0) / 200e0 - 0.5e0, 2e0) + pow((y + 0.5e0) / 160e0 - 0.5e0, 2e0))) * 1000000 + 0.5e0) as bigint) as w
   from bytes where a / 255e0 >= 0.25e0),
-q as (select grid_id, quantile_disc(lum, 0.99) filter (lit) as ref from p group by 1),
+q as (select grid_id, list_sort(list(lum) filter (lit))[least(count(*) filter (lit) * 99 // 100, count(*) filter (lit) - 1) + 1] as ref from p group by 1),
 k as (select p.* from p left join q using (grid_id) where not lit or ref is null or lum >= ref * 0.002e0),
 c as (select grid_id, lum, sum(w) over (partition by grid_id order by lum) as cum, sum(w) over (partition by grid_id) as total from k)
 select grid_id, round(min(lum), 6) + 0e0 as key from c where cum >= 0.85e0 * total group by 1""")
@@ -197,12 +202,18 @@ def d18(spark, d):
     return quality.metered_key(pixels, ["grid_id"], A.H, A.W).withColumn("key", N.r6("key"))
 
 
-@query("d19_flash_counts", with_(BYTES) + """, f as (select grid_id, x % 4 as frame, y, floor(x / 4)::int as px, r, g, b from bytes),
-m as (select *, min(r) over w as mr, min(g) over w as mg, min(b) over w as mb from f window w as (partition by grid_id, y, px))
-select grid_id, frame, sum(case when greatest(r - mr, g - mg, b - mb) > 20 then 1 else 0 end)::bigint as flashes from m group by 1, 2""")
+FRAMES = "f as (select grid_id, x % 4 as frame, y, floor(x / 4)::int as x, r, g, b from bytes)"
+
+
+@query("d19_flash_counts", with_(BYTES, FRAMES, FRAME_HASHES.format(k="grid_id, frame", src="f")) + """, m as (select *, min(r) over w as mr, min(g) over w as mg, min(b) over w as mb from f window w as (partition by grid_id, y, x)),
+n as (select grid_id, count(distinct sha256) as distinct_frames from fh group by 1)
+select grid_id, frame, sum(case when greatest(r - mr, g - mg, b - mb) > 20 then 1 else 0 end)::bigint as flashes, any_value(sha256) as sha256, any_value(distinct_frames) as distinct_frames
+from m join fh using (grid_id, frame) join n using (grid_id) group by 1, 2""")
 def d19(spark, d):
     frames = A.byte_cells(spark, d).selectExpr("grid_id", "x % 4 as frame", "y", "cast(floor(x / 4) as int) as x", "r", "g", "b")
-    return quality.flash_counts(frames, ["grid_id"], "frame", ["r", "g", "b"], 20)
+    hashes = quality.frame_hashes(frames, ["grid_id", "frame"], ["r", "g", "b"])
+    distinct = hashes.groupBy("grid_id").agg(F.count_distinct("sha256").alias("distinct_frames"))
+    return quality.flash_counts(frames, ["grid_id"], "frame", ["r", "g", "b"], 20).join(hashes, ["grid_id", "frame"]).join(distinct, "grid_id")
 
 
 @query("d20_flash_rates", with_(BYTES) + f""", c as (

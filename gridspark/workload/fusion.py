@@ -95,10 +95,20 @@ cv as (select grid_id, y, x, ir, cold, {step('72.7e0', '70.5e0', 'alat')} * (fil
 COVER_VIEWS = (SKY, EXCESS, balance_sql("ex", "excess", "bal"), LOW_MODEL, UP, COVER)
 
 
-def cloud_cells(spark, d):
+PARTIAL = COVER.replace("join up using (grid_id, y, x))", """left join (
+    select grid_id, y, x, case when x < 150 then gfs end as gfs, coalesce(case when x < 100 then lowc end, case when x < 150 then gfs end) as lowc
+    from up where y < 140) up using (grid_id, y, x))""").replace(
+    "cv as (select grid_id, y, x, ir, cold, ", "cv as (select grid_id, y, x, ir, cold, case when gfs is null then case when ir is not null then seen end else ").replace(
+    " * gfs as cover,", " * gfs end as cover,")
+
+
+def cloud_cells(spark, d, partial: bool = False):
     sky = A.sky_cells(spark, d)
     coarse = block_mean(sky, ["model", "low"], 8, A.H, A.W)
     up = clouds.upsample(coarse, ["model", "low"], (20, 25), (A.H, A.W))
+    if partial:
+        up = up.where("y < 140").select("grid_id", "y", "x", F.when(F.col("x") < 150, F.col("model")).alias("model"),
+                                        F.when(F.col("x") < 100, F.col("low")).alias("low"))
     return clouds.cloud_cover(sky.drop("model", "low"), up, A.H, A.W)
 
 
@@ -107,6 +117,12 @@ def k2(spark, d):
     return cloud_cells(spark, d).select("grid_id", "y", "x", N.r6("cover").alias("cover"), N.r6("coldness").alias("coldness"), "missing")
 
 
+@query("k2_cover_with_gaps_in_the_model", with_(*COVER_VIEWS[:-1], PARTIAL) + "select grid_id, y, x, round(cover, 6) + 0e0 as cover, round(coldness, 6) + 0e0 as coldness, ir is null as missing from cv")
+def k2b(spark, d):
+    """Sources that may fail: no model in the last rows and columns, and no low cloud in half of the columns."""
+    return cloud_cells(spark, d, partial=True).select("grid_id", "y", "x", N.r6("cover").alias("cover"), N.r6("coldness").alias("coldness"), "missing")
+
+
 CONVECTION = f"""th as (select grid_id, greatest(175e0, quantile_cont(ir, 0.99)) as th from sky where abs(90e0 - (y + 0.5e0) * 1.125e0) < 50 and ir is not null group by 1),
 cold0 as (select grid_id, y, x, ir, coalesce(ir_night, ir_day, 65e0 + 60e0 * pow(abs(90e0 - (y + 0.5e0) * 1.125e0) / 72e0, 2e0)) as cold from sky),
 cq as (select c.grid_id, y, x, round_even(255e0 * case when abs(90e0 - (y + 0.5e0) * 1.125e0) < 50 then coalesce({step('th - 8', 'th + 4', 'ir')}, 0) * coalesce({step('30e0', '60e0', 'ir - cold')}, 0) else 0 end, 0) as q from cold0 c left join th using (grid_id)),

@@ -318,7 +318,7 @@ def c20(spark, d):
     ev = A.events(spark, d)
     frames = ev.where("event_type = 'signup'").groupBy(timefn.floor_to("t_us", HOUR).alias("f_us")).agg(F.min("value").alias("sun"))
     seen = ev.where("event_type = 'error'").select("event_id", "t_us")
-    return asof.asof_join(seen, frames, [], "t_us", "f_us", ["sun"], CHUNK_US, tolerance=2 * HOUR)
+    return asof.latest_step(seen, frames, [], "t_us", "f_us", ["sun"], HOUR, 2 * HOUR)
 
 
 @query("c21_near_storms", with_(BYTES) + """,

@@ -61,7 +61,8 @@ p as (
     case when vec_id % 10 = 0 and i = 5 then -40 else i - 40 end as lat,
     case when vec_id % 11 = 0 and i = 9 then 101 else floor(abs(v) * 100) end as value
   from e where not (vec_id % 13 = 0 and i = 63))
-select vec_id, cast(lon as double) as lon, cast(lat as double) as lat, cast(value as double) as value from p
+select vec_id, case when vec_id % 3 = 0 then null else 1790812800000000 + (vec_id % 7) * 86400000000 end as forecast_us,
+  cast(lon as double) as lon, cast(lat as double) as lat, cast(value as double) as value from p
 where vec_id % 10 <> 0 and vec_id % 11 <> 0 and vec_id % 13 <> 0""")
 def a4(spark, d):
     i = "transform(embedding, (v, i) -> array("
@@ -70,7 +71,7 @@ def a4(spark, d):
         cast(case when vec_id % 11 = 0 and i = 9 then 101 else floor(abs(cast(v as double)) * 100) end as double))),
         (p, i) -> not (vec_id % 13 = 0 and i = 63))"""
     docs = A.table(spark, d, "embeddings").selectExpr(
-        "vec_id", f"to_json(named_struct('coordinates', {coords}, 'forecast', '2026-10-01T00:00:00Z')) as doc")
+        "vec_id", f"to_json(named_struct('coordinates', {coords}, 'forecast', case when vec_id % 3 = 0 then 'soon' else concat('2026-10-0', 1 + vec_id % 7, 'T00:00:00Z') end)) as doc")
     return products.explode_points(products.scan_point_product(docs, "vec_id", "doc", min_points=64), "vec_id")
 
 
