@@ -210,17 +210,26 @@ def _verify(a: Graph, b: Graph, same: bool, threshold: float, linked: np.ndarray
 
 
 def _share(queries: np.ndarray, graph: Graph, threshold: float, found: np.ndarray, same: bool) -> tuple[int, int]:
-    """(links of sampled queries by brute force, links that were found)."""
+    """(sampled queries with links by brute force, those of them whose links were all found)."""
     sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITS, len(queries))).astype(int))
     truth = queries[sample] @ graph.x.T >= threshold
     if same:
         truth[np.arange(len(sample)), sample] = False
-    return int(truth.sum()), int((truth & found[sample]).sum())
+    some = truth.any(1)
+    return int(some.sum()), int((some & ~(truth & ~found[sample]).any(1)).sum())
 
 
-def _meet(a: Graph, b: Graph, same: bool, threshold: float) -> np.ndarray:
-    """Which vectors of ``a`` (rows) and ``b`` (columns) are linked; asked in both directions, audited and verified."""
-    linked, beam = np.zeros((len(a.x), len(b.x)), bool), BEAM
+def _copies_linked(linked: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """For each row the copies of all columns it is linked with; in blocks, for a product casts the whole matrix."""
+    return np.concatenate([linked[at:at + STEP] @ copies for at in range(0, len(linked), STEP)])
+
+
+def _meet(a: Graph, b: Graph, same: bool, threshold: float, beam: int = BEAM) -> tuple[np.ndarray, int, int]:
+    """Which vectors of ``a`` (rows) and ``b`` (columns) are linked; asked in both directions, audited and verified.
+
+    Also the counts of the audit: sampled vectors with links, and those whose links were all found.
+    """
+    linked = np.zeros((len(a.x), len(b.x)), bool)
     while True:
         _ask(b, a.x, threshold, beam, linked)
         if same:
@@ -231,7 +240,7 @@ def _meet(a: Graph, b: Graph, same: bool, threshold: float) -> np.ndarray:
         _verify(a, b, same, threshold, linked)
         checks = [_share(a.x, b, threshold, linked, same)] + ([] if same else [_share(b.x, a, threshold, linked.T, same)])
         if beam >= max(len(a.x), len(b.x)) or all(found >= RECALL * true for true, found in checks):
-            return linked
+            return linked, *(sum(c[i] for c in checks) for i in (0, 1))
         beam *= 2
 
 
@@ -293,20 +302,28 @@ def near_duplicates(df: DataFrame, key: str, vector: str, label: str, threshold:
              .select("shard", "shard_2", "reps", "copies", "graph", "reps_2", "copies_2", "graph_2")
              .repartition(F.xxhash64("reps", "reps_2")))
 
-    def link(batches):
+    def link(batches, beam):
         for batch in batches:
             for r in range(batch.num_rows):
                 s1, s2, *data = (c[r].as_py() for c in batch.columns)
                 reps, copies, reps2, copies2 = (np.frombuffer(data[i], np.int64) for i in (0, 1, 3, 4))
                 a, same = _load(data[2]), s1 == s2
-                linked = _meet(a, a if same else _load(data[5]), same, threshold)
+                linked, true, met = _meet(a, a if same else _load(data[5]), same, threshold, beam)
                 roots, roots2 = _least(linked, reps, reps2, same)
-                out = [(reps, linked @ copies2, roots)] + ([] if same else [(reps2, copies @ linked, roots2)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(3)],
-                    names=["rep", "links", "root"])
-
-    found = shared_table(meets.mapInArrow(link, "rep bigint, links bigint, root bigint"))
+                out = [(reps, _copies_linked(linked, copies2), roots)] + (
+                    [] if same else [(reps2, _copies_linked(linked.T, copies), roots2)])
+                columns = [np.concatenate([o[i] for o in out]).astype(np.int64) for i in range(3)]
+                audit = [np.concatenate([[n], np.zeros(len(columns[0]) - 1, np.int64)]) for n in (true, met)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *audit)], names=["rep", "links", "root", "audited", "met"])
+
+    beam = BEAM
+    while True:  # one pass, unless the audits of all meets together find too many links missing
+        found = shared_table(meets.mapInArrow(lambda batches, beam=beam: link(batches, beam),
+                                              "rep bigint, links bigint, root bigint, audited bigint, met bigint"))
+        audit = found.agg(F.coalesce(F.sum("audited"), F.lit(0)).alias("audited"), F.coalesce(F.sum("met"), F.lit(0)).alias("met")).first()
+        if audit["met"] >= RECALL * audit["audited"] or beam >= shard_rows:
+            break
+        beam *= 2
     parts = components(found.where("rep <> root"), "rep", "root")
     per_node = found.groupBy("rep").agg(F.sum("links").alias("links"))
     state = nodes.join(per_node, "rep").join(parts, F.col("rep") == F.col("node"), "left").select(

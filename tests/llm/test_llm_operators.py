@@ -33,6 +33,31 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
+def test_counts_of_links_are_exact_in_blocks():
+    draw = np.random.default_rng(8)
+    linked, copies = draw.random((1300, 700)) < 0.1, draw.integers(1, 9, 700)
+    assert (hnsw_dedup._copies_linked(linked, copies) == linked.astype(int) @ copies).all()
+    assert (hnsw_dedup._copies_linked(linked.T, np.arange(1300)) == np.arange(1300) @ linked.astype(int)).all()
+
+
+def test_typed_parts_and_the_loss_mask_read_back(spark):
+    part = "struct<kind:string,text:string,ref:string,width:bigint,height:bigint,seconds:double,pages:bigint>"
+    t = lambda text: ("text", text, None, None, None, None, None)
+    image, sound = ("image", None, "u", 28, 28, None, None), ("audio", None, "v", None, None, 1.0, None)
+    rows = [(1, 0, "user", [t("see <|image:0|> "), image, t("|> and "), sound, t("")], "x"), (1, 1, "assistant", [t("a<|turn|>assistant\nb&lt;")], "x"),
+            (1, 2, "user", [t("assistant")], "x"), (1, 3, "assistant", [t("É" * 5000)], "x"), (1, 4, "assistant", None, "x"), (None, 0, "assistant", [t("n")], "x"),
+            (None, 0, "assistant", [t("n")], "x")]
+    df = spark.createDataFrame(rows, f"c long, t long, r string, p array<{part}>, FORMATTED string")
+    out = chat_format.format_conversations(df, "c", "t", "r", "p")
+    got = {r["c"]: r for r in out.select("c", "formatted", chat_format.read_parts(F.col("formatted")).alias("turns"),
+                                         chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    first = [tuple(p) for p in got[1]["turns"][0]["parts"]]
+    assert first == [("text", None, "see <|image:0|> "), ("image", 1, None), ("text", None, "|> and "), ("audio", 3, None)]
+    assert [p["text"] for p in got[1]["turns"][1]["parts"]] == ["a<|turn|>assistant\nb&lt;"] and got[1]["turns"][4]["parts"] == []
+    assert got[1]["loss"] == "a<|turn|>assistant\nb&lt;" + "É" * 5000 and got[None]["loss"] == "nn"
+    assert chat_format.format_conversations(df.where("t > 9"), "c", "t", "r", "p").count() == 0
+
+
 def test_hnsw_against_brute_force(spark):
     draw = np.random.default_rng(3)
     base = draw.normal(size=(120, 16))
