@@ -106,10 +106,43 @@ def format_conversations(df: DataFrame, conversation: str, turn: str, role: str,
         F.aggregate(records, F.lit(0).cast("bigint"), lambda s, a: s + a["tokens"]).alias("attachment_tokens"))
 
 
+_SHAPE = "(?s)^([^\n]*)\n(.*)<\\|end\\|>\n$"
+
+
+def _blocks(formatted: Column) -> Column:
+    return F.filter(F.split(formatted, r"<\|turn\|>"), lambda x: x != "")
+
+
+def _role(block: Column) -> Column:
+    return unescape(F.replace(F.regexp_extract(block, _SHAPE, 1), F.lit("&#10;"), F.lit("\n")))
+
+
 def read_back(formatted: Column) -> Column:
     """Turns ``array<struct<role, text>>`` of a formatted conversation, unescaped; placeholders stay as written."""
-    blocks = F.filter(F.split(formatted, r"<\|turn\|>"), lambda x: x != "")
-    shape = "(?s)^([^\n]*)\n(.*)<\\|end\\|>\n$"
-    return F.transform(blocks, lambda b: F.struct(
-        unescape(F.replace(F.regexp_extract(b, shape, 1), F.lit("&#10;"), F.lit("\n"))).alias("role"),
-        unescape(F.regexp_extract(b, shape, 2)).alias("text")))
+    return F.transform(_blocks(formatted), lambda b: F.struct(
+        _role(b).alias("role"), unescape(F.regexp_extract(b, _SHAPE, 2)).alias("text")))
+
+
+def read_parts(formatted: Column) -> Column:
+    """Turns ``array<struct<role, parts>>`` with typed parts ``struct<kind, place, text>``, in order.
+
+    A placeholder is a part of its kind with its place and no text; what stands between placeholders is one text part
+    without a place. A text that spells a placeholder was escaped, so it reads back as text.
+    """
+    head = r"^<\|([a-z]+):([0-9]+)\|>"
+
+    def piece(p: Column) -> Column:
+        text = unescape(F.regexp_replace(p, head, ""))
+        mark = F.struct(F.regexp_extract(p, head, 1).alias("kind"), F.regexp_extract(p, head, 2).try_cast("bigint").alias("place"),
+                        F.lit(None).cast("string").alias("text"))
+        said = F.struct(F.lit("text").alias("kind"), F.lit(None).cast("bigint").alias("place"), text.alias("text"))
+        return F.filter(F.array(mark, said), lambda s: F.when(s["kind"] == "text", s["text"] != "").otherwise(s["kind"] != ""))
+
+    return F.transform(_blocks(formatted), lambda b: F.struct(_role(b).alias("role"), F.flatten(F.transform(
+        F.split(F.regexp_extract(b, _SHAPE, 2), r"(?=<\|)"), piece)).alias("parts")))
+
+
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask: the spans cut out of ``formatted``, unescaped, in order, nothing between."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(
+        formatted, s["start"].cast("int") + 1, s["length"].cast("int")))), "")

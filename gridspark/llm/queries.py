@@ -86,8 +86,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     chats = chat_format.format_conversations(
         rows.withColumn("parts", chat_format.text_part(F.col("text"))), "conv_id", "turn", "role", "parts")
-    back = chats.select("conv_id", "formatted", chat_format.read_back(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    back = chats.select("conv_id", "formatted", "loss_spans", chat_format.read_back(F.col("formatted")).alias("turns"))
+    loss = chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.withColumn("loss", loss).select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
@@ -261,9 +261,11 @@ rows as (
          case h when 1 then '' when 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end as text
   from hurt, unnest(case when h = 3 then [0, 1] else [0] end) as c(copy) where h <> 0),
 placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as n from rows),
-marked as (select *, left(role, 1) as ini, not regexp_matches(text, '[^ 	-]') as blank,
+marked as (select *, left(role, 1) as ini, not regexp_matches(text, '[^ 	-
+]') as blank,
                   row_number() over (partition by conv_id, role, text order by n) > 1 as again,
-                  not regexp_matches(text, '[.!?][ 	-]*$') as cut_off,
+                  not regexp_matches(text, '[.!?][ 	-
+]*$') as cut_off,
                   lag(left(role, 1)) over (partition by conv_id order by n) as before from placed),
 faults as (select *, case when blank then 1 when again then 2 when cut_off then 3 else 0 end as fault from marked),
 turns as (select conv_id, n, ini, role, text, fault in (1, 2) as gone, case when fault = 3 then 5 else 0 end as cut from faults),
