@@ -51,17 +51,44 @@ def relief_levels(frame: DataFrame, source: tuple[int, int], target: tuple[int,
     return P.build_pyramid(cut_lineage(base), [], ["nx", "ny"], *target, rounding="half_up")
 
 
-def retile_blocks(cells: DataFrame, layers: dict[int, str], height: int, width: int, tile: int, gutter: int,
-                  block: int = 4) -> DataFrame:
-    """(grid, layer, ty, tx, content_hash): tiles re-cut from coded blocks without decoding them.
+def block_rows(cells: DataFrame, layers: dict[int, tuple[str, int]], height: int, width: int, block: int = 4) -> DataFrame:
+    """(grid_id, layer, mip, y, w, h, block_bytes, payload): stored rows of coded blocks, as a block map holds them.
 
-    A block is the unit that moves; here its code is its ``block`` x ``block`` texels.
+    ``layers`` maps an id to (byte band, bytes of a block); the code of a block is its first texels, row by row.
     """
-    bands = F.array(*[F.struct(F.lit(i).alias("layer"), F.col(b).alias("v")) for i, b in layers.items()])
-    texels = cells.select(*KEY, F.inline(bands))
-    place = ((F.col("y") % block) * block + F.col("x") % block).alias("p")
-    blocks = texels.groupBy("grid_id", "layer", F.floor(F.col("y") / block).cast("int").alias("y"),
-                            F.floor(F.col("x") / block).cast("int").alias("x")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, P.texel_hex(["v"]).alias("h")))), lambda s: s["h"]), "").alias("code"))
-    padded = P.with_gutter(blocks, height // block, width // block, tile, gutter)
-    return P.tile_payloads(padded, F.col("code"))
+    bands = F.array(*[F.struct(F.lit(i).alias("layer"), F.lit(n).alias("block_bytes"), F.col(b).alias("v")) for i, (b, n) in layers.items()])
+    texels = cells.select(*KEY, F.inline(bands)).withColumn("p", (F.col("y") % block) * block + F.col("x") % block).where("p < block_bytes")
+    place = F.struct(F.floor(F.col("x") / block).alias("bx"), "p", F.lpad(F.hex("v"), 2, "0").alias("h"))
+    rows = texels.groupBy("grid_id", "layer", "block_bytes", F.floor(F.col("y") / block).cast("int").alias("y")).agg(
+        F.array_sort(F.collect_list(place)).alias("t"))  # a row of one grid
+    payload = F.unhex(F.array_join(F.transform("t", lambda t: t["h"]), ""))
+    return rows.select("grid_id", "layer", F.lit(0).alias("mip"), "y", F.lit(width // block).alias("w"), F.lit(height // block).alias("h"),
+                       "block_bytes", payload.alias("payload"))
+
+
+def retile_blocks(rows: DataFrame, tile: int, gutter: int) -> DataFrame:
+    """(grid_id, layer, mip, ty, tx, payload, content_hash): tiles re-cut from stored rows of blocks, never decoding one.
+
+    ``rows`` is as ``block_rows`` gives it: a row of ``w`` blocks of ``block_bytes`` each, one of ``h``. A padded tile is
+    ``tile`` blocks and a gutter of ``gutter`` on every side, in blocks. It takes one slice of bytes from each of its rows:
+    x wraps round, so a slice is cut from as many turns of the row as it needs, and y repeats the edge, so the first and the
+    last row are taken more than once. Slices are moved once, to their tile.
+    """
+    span = tile + 2 * gutter
+    y, h, w = F.col("y"), F.col("h"), F.col("w")
+    last = F.floor((h - 1) / tile).cast("int")
+    near = F.sequence(F.greatest(F.lit(0), F.floor((y - gutter) / tile).cast("int")), F.least(last, F.floor((y + gutter) / tile).cast("int")))
+    out = rows.withColumn("ty", F.explode(near))
+    at = y - F.col("ty") * tile + gutter
+    low = F.when((y == 0) & (F.col("ty") == 0), F.lit(0)).otherwise(F.greatest(at, F.lit(0)))
+    high = F.when(y == h - 1, F.lit(span - 1)).otherwise(F.least(at, F.lit(span - 1)))
+    out = out.withColumn("tx", F.explode(F.sequence(F.lit(0), F.floor((w - 1) / tile).cast("int"))))
+    start = F.pmod(F.col("tx") * tile - gutter, w)
+    turns = F.aggregate(F.sequence(F.lit(1), F.ceil((start + span) / w).cast("int")), F.lit(b""), lambda held, _: F.concat(held, F.col("payload")))
+    slices = out.select(*[c for c in ("grid_id", "layer", "mip", "ty", "tx")], F.sequence(low, high).alias("_rows"),
+                        F.substring(turns, (start * F.col("block_bytes") + 1).cast("int"), (F.lit(span) * F.col("block_bytes")).cast("int")).alias("_bytes"))
+    tiles = slices.groupBy("grid_id", "layer", "mip", "ty", "tx").agg(F.array_sort(F.collect_list(F.struct(
+        F.element_at("_rows", 1).alias("at"), F.size("_rows").alias("many"), "_bytes"))).alias("_s"))  # a slice a row of the tile
+    whole = F.aggregate("_s", F.lit(b""), lambda held, s: F.aggregate(
+        F.sequence(F.lit(1), s["many"]), held, lambda more, _: F.concat(more, s["_bytes"])))
+    return tiles.select("grid_id", "layer", "mip", "ty", "tx", whole.alias("payload")).withColumn("content_hash", F.sha2("payload", 256))

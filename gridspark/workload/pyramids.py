@@ -68,10 +68,12 @@ def k11(spark, d):
 
 @query("k12_retiled_layers", with_(BYTES) + f""", l as (select grid_id, 1 as layer, y, x, r as v from bytes union all select grid_id, 2, y, x, g from bytes union all select grid_id, 3, y, x, b from bytes),
 bl as (select grid_id, layer, floor(y / 4)::int as y, floor(x / 4)::int as x, string_agg(printf('%02X', v), '' order by y % 4, x % 4) as code
-  from (select grid_id, layer, y::int as y, x::int as x, v from l) q group by grid_id, layer, floor(y / 4)::int, floor(x / 4)::int),
-{gutter_sql('bl', 't', 40, 50, 8, 1, 'code', 'grid_id, layer')} select * from t""")
+  from (select grid_id, layer, y::int as y, x::int as x, v from l where layer < 3 or y % 4 < 2) q group by grid_id, layer, floor(y / 4)::int, floor(x / 4)::int),
+{gutter_sql('bl', 't', 40, 50, 8, 1, 'code', 'grid_id, layer')} select *, 0 as mip from t""")
 def k12(spark, d):
-    return bake.retile_blocks(A.byte_cells(spark, d), {1: "r", 2: "g", 3: "b"}, A.H, A.W, 8, 1).drop("payload")
+    """Two layers of blocks of 16 bytes and one of 8, as stored rows, cut into tiles of 8 blocks with a gutter of one."""
+    rows = bake.block_rows(A.byte_cells(spark, d), {1: ("r", 16), 2: ("g", 16), 3: ("b", 8)}, A.H, A.W)
+    return bake.retile_blocks(rows, 8, 1).drop("payload")
 
 
 @query("k14_bundle_audit", "with " + LAYERS + """,

@@ -1,14 +1,21 @@
 """Compositions: relations that must hold, and the orbit model's published vectors."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.plans import clouds, composites, convection, model, quality
+from gridspark import adapters as A
+from gridspark.operators import asof
+from gridspark.plans import aurora, bake, clouds, composites, convection, model, quality
 from gridspark.udf import sql_functions
 from test_operators import grid_frame, to_array
 
 
+FOLDER = "/root/testdata/sf0.001"
+
+
 def storm_case(spark, missing=False):
     h, w = 40, 60
     packed = {"cloud": np.full((h, w), 20.0), "cape": np.zeros((h, w)), "rain": np.full((h, w), 100.0)}
@@ -112,7 +119,88 @@ def test_sql_surface(spark):
     sql_functions.register(spark)
     row = spark.sql("select grid_smoothstep(0D, 1D, 0.25D) as s, grid_smoothstep(0D, 1D, null) as n, tile_parent(7) as p, grid_row_lat(0, 180) as lat").collect()[0]
     assert row.s == pytest.approx(0.15625) and row.n is None and row.p == 3 and row.lat == 89.5
-    text = "1:0:d:A:l:anl:\n2:100:d:B:l:anl:\n3:250:d:C:l:anl:"
-    spark.createDataFrame([(text,)], "text string").createOrReplaceTempView("index_files")
-    out = spark.sql("select r.* from index_files f, lateral index_ranges(f.text) r").collect()
-    assert [(r.name, r.start_byte, r.end_byte) for r in out] == [("A", 0, 99), ("B", 100, 249)]
+    lines = spark.createDataFrame([(7, 2, "3:250:d:C:l:anl:"), (7, 0, "1:0:d:A:l:anl:"), (8, 0, "1:5:d:Z:l:anl:"), (7, 1, ""), (7, 1, "2:100:d:B:l:anl:")],
+                                  "file_id int, line_no int, text string")
+    out = spark.sql("select * from index_ranges(table(select * from {lines}))", lines=lines).collect()
+    assert sorted((r.file_id, r.line_no, r.name, r.start_byte, r.end_byte) for r in out) == [(7, 1, "A", 0, 99), (7, 2, "B", 100, 249)]
+
+
+def test_long_hashes_take_whole_payloads(spark):
+    payloads = [b"", b"a", "É\0".encode() * 50, None, bytes(range(256)) * 40]
+
+    def fnv(data):
+        h = 2166136261
+        for byte in data:
+            h = (h ^ byte) * 16777619 % 2 ** 32
+        return h
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "i int, p binary").coalesce(1)
+    got = {r.i: r.h for r in df.select("i", sql_functions.fnv1a32_large("p").alias("h")).collect()}
+    assert got == {i: None if p is None else fnv(p) for i, p in enumerate(payloads)}
+
+
+def test_aurora_nodes_that_are_missing_count_as_zero(spark):
+    rng = np.random.default_rng(2)
+    nodes = [(0, int(lon), int(lat), float(rng.integers(0, 101))) for lon in range(24) for lat in range(-5, 7)]
+    holes = [(g, lon, lat, None if (lon + lat) % 5 == 0 else v) for g, lon, lat, v in nodes]
+    zeros = [(g, lon, lat, v or 0.0) for g, lon, lat, v in holes]
+    made = [{(r.y, r.x): r.alpha for r in aurora.aurora_grid(spark.createDataFrame(rows, "k int, lon int, lat int, value double"), "k", (13, 24), (26, 48)).collect()}
+            for rows in (holes, [h for h in holes if h[3] is not None], zeros)]
+    assert made[0] == made[1] == made[2] and len(made[0]) == 26 * 48 and sum(made[0].values()) > 0
+
+
+def test_synthetic_values_replace_only_what_they_cover(spark):
+    now = spark.createDataFrame([(0, 0, x, 5, 9) for x in range(3)], "grid_id int, y int, x int, r int, a int")
+    oval = spark.createDataFrame([(0, 0, 1, 200)], "grid_id int, y int, x int, p int")
+    out = {r.x: (r.a, r.source) for r in model.synthetic_override(now, oval, "a", "storm").collect()}
+    assert out == {0: (9, None), 1: (200, "SYNTHETIC storm (not an observation)"), 2: (9, None)}
+
+
+def test_frame_hashes_see_every_texel(spark):
+    rows = [(f, y, x, 10 * y + x) for f in range(3) for y in range(3) for x in range(4)]
+    rows[-1] = (2, 2, 3, 99)
+    out = quality.frame_hashes(spark.createDataFrame(rows, "f int, y int, x int, r int"), ["f"], ["r"]).collect()
+    by = {r.f: r.sha256 for r in out}
+    lines = [hashlib.sha256(bytes(10 * y + x for x in range(4))).hexdigest() for y in range(3)]
+    assert by[0] == by[1] == hashlib.sha256("".join(lines).encode()).hexdigest() and by[2] != by[0]
+
+
+def test_hourly_frames_by_equality(spark):
+    seen = [(i, t) for i, t in enumerate([0, 59, 60, 61, 179, 180, 200, 500])]
+    frames = [(0, "a"), (60, "b"), (300, "c")]
+    out = asof.latest_step(spark.createDataFrame(seen, "i int, t long"), spark.createDataFrame(frames, "f long, v string"), [], "t", "f", ["v"], 60, 120)
+    want = {i: next(((v, f) for f, v in reversed(frames) if f <= t), (None, None)) for i, t in seen}
+    want = {i: (v, f) if f is not None and dict(seen)[i] - f <= 120 else (None, None) for i, (v, f) in want.items()}
+    assert {r.i: (r.v, r.matched_at) for r in out.collect()} == want
+
+
+def test_clouds_stand_alone_where_the_model_fails(spark):
+    sky = A.sky_cells(spark, FOLDER)
+    full = sky.select("grid_id", "y", "x", F.col("model").alias("model"), F.col("low").alias("low"))
+    some = full.where("x >= 20").withColumn("low", F.when(F.col("x") >= 40, F.col("low")))
+    cover = lambda m: {(r.y, r.x): (r.cover, r.missing) for r in clouds.cloud_cover(sky.drop("model", "low"), m, A.H, A.W).where("y < 40 and x < 60").collect()}
+    whole, part = cover(full), cover(some)
+    assert part.keys() == whole.keys()
+    assert all((part[k][0] is None) == (k[1] < 20 and part[k][1]) for k in part)
+    assert all(part[k] == whole[k] for k in part if k[1] >= 40)
+
+
+@pytest.mark.parametrize("h,w,tile,gutter", [(5, 7, 4, 1), (9, 8, 4, 2), (1, 1, 4, 1), (3, 2, 8, 3)])
+def test_tiles_are_cut_from_block_rows_slice_by_slice(spark, h, w, tile, gutter):
+    rng = np.random.default_rng(h)
+    sizes = {1: 8, 2: 16}
+    maps = {(layer, y): rng.integers(0, 256, w * n, dtype=np.uint8).tobytes() for layer, n in sizes.items() for y in range(h)}
+    rows = [(0, layer, 3, y, w, h, sizes[layer], bytearray(p)) for (layer, y), p in maps.items()]
+    df = spark.createDataFrame(rows, "grid_id int, layer int, mip int, y int, w int, h int, block_bytes int, payload binary")
+    got = {(r.layer, r.ty, r.tx): (bytes(r.payload), r.content_hash) for r in bake.retile_blocks(df, tile, gutter).collect()}
+    want = {}
+    for layer, n in sizes.items():
+        for ty in range(-(-h // tile)):
+            for tx in range(-(-w // tile)):
+                out = b""
+                for ly in range(tile + 2 * gutter):
+                    row = maps[layer, min(h - 1, max(0, ty * tile + ly - gutter))]
+                    for lx in range(tile + 2 * gutter):
+                        x = (tx * tile + lx - gutter) % w
+                        out += row[x * n:(x + 1) * n]
+                want[layer, ty, tx] = (out, hashlib.sha256(out).hexdigest())
+    assert got == want
