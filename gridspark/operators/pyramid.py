@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tiles as T
 from ..functions.colour import linear_to_srgb, srgb_to_linear
-from ..session import cut_lineage, literal_table
+from ..session import cut_lineage, literal_table, small
 from .ordered import global_order, neighbour, running
 
 GRID = "grid_id"
@@ -67,8 +67,8 @@ def build_pyramid(cells: DataFrame, srgb_bands: list[str], plain_bands: list[str
 
 
 def place_tiles(cells: DataFrame, placement: DataFrame, tile_h: int, tile_w: int) -> DataFrame:
-    """Cells of named source tiles to global coordinates through a small (name, row, col) table."""
-    return (cells.join(F.broadcast(placement), "name")
+    """Cells of named source tiles to global coordinates through a (name, row, col) table, broadcast if it is small."""
+    return (cells.join(small(placement, placement.count()), "name")
             .withColumns({"y": F.col("y") + F.col("row") * tile_h, "x": F.col("x") + F.col("col") * tile_w})
             .drop("row", "col", "name"))
 

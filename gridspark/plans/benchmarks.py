@@ -44,10 +44,11 @@ def slow_runs(waits: DataFrame, by: list[str], order: list[str], slow: Column, c
 
 
 def ab_summary(samples: DataFrame, value: str) -> DataFrame:
-    """Mean before, after and reduction in percent per scene and in total."""
+    """Mean before, after and reduction in percent per scene and in total, and the runs that were seen there."""
     wide = samples.cube("scene").agg(
         F.avg(F.when(F.col("run") == "before", F.col(value))).alias("before"),
         F.avg(F.when(F.col("run") == "after", F.col(value))).alias("after"),
+        F.array_join(F.array_sort(F.collect_set("run")), ",").alias("runs"),  # a few labels
         F.count(F.lit(1)).alias("samples"), F.grouping("scene").cast("int").alias("total"))
     return wide.withColumn("reduction", F.when(F.col("before") != 0, (1.0 - F.col("after") / F.col("before")) * 100.0))
 

@@ -226,11 +226,11 @@ def d20(spark, d):
 
 
 @query("d21_before_after_summary", with_(TEL) + """, s as (select scene, avg(wait_ms) filter (run = 'before') as before, avg(wait_ms) filter (run = 'after') as after,
-  count(*) as samples, grouping(scene)::int as total from tel group by grouping sets ((scene), ()))
-select scene, total, samples, round(before, 6) + 0e0 as before, round(after, 6) + 0e0 as after, round((1 - after / before) * 100, 6) + 0e0 as reduction from s""")
+  count(*) as samples, string_agg(distinct run, ',' order by run) as runs, grouping(scene)::int as total from tel group by grouping sets ((scene), ()))
+select scene, total, samples, runs, round(before, 6) + 0e0 as before, round(after, 6) + 0e0 as after, round((1 - after / before) * 100, 6) + 0e0 as reduction from s""")
 def d21(spark, d):
     out = benchmarks.ab_summary(A.telemetry(spark, d), "wait_ms")
-    return out.select("scene", "total", "samples", *[N.r6(c).alias(c) for c in ("before", "after", "reduction")])
+    return out.select("scene", "total", "samples", "runs", *[N.r6(c).alias(c) for c in ("before", "after", "reduction")])
 
 
 @query("d22_area_quantiles", with_(CELLS) + """, w as (select grid_id, v, cast(floor(cos(radians(90e0 - (y + 0.5e0) * 1.125e0)) * 1000000 + 0.5e0) as bigint) as w from cells),

@@ -190,6 +190,13 @@ def i11b(spark, d):
     return out.withColumnRenamed("event_id", "instant_id")
 
 
+@query("i9_tiles_in_flight", with_(REQ) + "select distinct layer, mip, y, x from req")
+def i9b(spark, d):
+    """Tiles as they are sent: a repeat is not sent again while the first one may be on its way."""
+    out, _ = runs.run_available(SR.in_flight(A.as_requests(A.event_stream(spark, d))).select("layer", "mip", "y", "x"))
+    return out
+
+
 @query("i11_throttled_refreshes", with_(ELE).replace("with ", "with recursive ", 1) + """, made as (
   select object_id, min(t_us) as t_us from ins group by 1 union all
   select i.object_id, min(i.t_us) from made m join ins i on i.object_id = m.object_id and i.t_us >= m.t_us + 21600000000 group by 1)
