@@ -9,7 +9,9 @@ its run by its rank among the pieces of its length, so the corpus is packed as a
 
 from __future__ import annotations
 
+import re
 from array import array
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -162,10 +164,17 @@ def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY, sequen
     return joined.select(*[F.col(f"`{c}`") for c in kept], "__size", "__rank", "__base").mapInArrow(run, schema)
 
 
+# A stop right behind a letter begins a word of the split pattern. It is set off before a text is cut at its blanks, under a
+# mark that says that no blank stood there; these letters are the same in every Unicode version.
+MARK = "\ue000"
+STOPS = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([,.;:!?])")
 # Fixed value: the published split pattern of byte-level BPE.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-CACHED = 600_000
-BLOCK_PARTS = 512  # parts that one call encodes
+CACHED = 400_000
+# Fixed value: the published letters of bytes; those that print stand for themselves, the others follow from 256 on.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: chr(b) if b in _PRINTS else chr(256 + k) for k, b in enumerate(
+    [b for b in range(256) if b not in _PRINTS] + _PRINTS)}
 _encoders: dict[int, "Encoder"] = {}
 
 
@@ -173,7 +182,7 @@ class Encoder:
     """Token ids of whole texts, by the tokenizers library.
 
     Byte-level BPE never merges across its words, and a blank before another character always starts one. So a text
-    is cut at its blanks, and equal parts are encoded once: a part has a number, and its ids stand in one flat array. A text
+    is cut at its blanks and stops, and equal parts are encoded once, by the library's model: a part has a number, and its ids stand in one flat array. A text
     becomes the numbers of its parts, and all texts of a step are gathered from that array at once. The array is begun
     anew when it holds CACHED parts. A text with white space after a blank or with a special token in it is cut by the split
     pattern itself.
@@ -186,9 +195,11 @@ class Encoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
-        self._clear()
+        self.bpe = self.model.model.tokenize
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forget all parts, so that a worker that waits for other work holds no memory."""
         self.exact: dict[str, int] = {}  # numbers of parts as they stand
         self.after: dict[str, int] = {}  # numbers of parts behind one blank
         self.ids, self.starts, self.known, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
@@ -208,35 +219,35 @@ class Encoder:
         self.used += len(ids)
 
     def _encode(self, parts: list[str]) -> None:
-        """Encode and store parts: one call for many, with a special token between them, on which the library always splits."""
-        whole = self.model.encode_batch_fast  # ids only, without offsets
-        for at in range(0, len(parts), BLOCK_PARTS):
-            block = parts[at:at + BLOCK_PARTS]
-            if not self.special:
-                made = [e.ids for e in whole(block, add_special_tokens=False)]
-                self._store(np.array(sum(made, []), np.uint32), np.array([len(m) for m in made]))
-                continue
-            mark, number = next(iter(self.special.items()))
-            ids = np.array(whole([mark.join(block)], add_special_tokens=False)[0].ids, np.uint32)
-            between = ids == number
-            ends = np.concatenate([np.flatnonzero(between), [len(ids)]])
-            self._store(ids[~between], np.diff(ends, prepend=-1) - 1)
+        """Encode and store parts, word by word of the split pattern, by the library's model."""
+        flat, ends, tokens = [], [], self.bpe
+        for part in parts:
+            body = part[1:] if part[:1] == " " else part
+            if body.isascii() or max(body) < "\u0250":
+                for word in (part,) if body.isalpha() else WORDS.findall(part):
+                    flat += [t.id for t in tokens(word.encode().decode("latin-1").translate(LETTERS))]
+            else:
+                for word, _ in self.model.pre_tokenizer.pre_tokenize_str(part):
+                    flat += [t.id for t in tokens(word)]
+            ends.append(len(flat))
+        self._store(np.array(flat, np.uint32), np.diff(np.array(ends, np.int64), prepend=0))
 
     def _learn(self, after: set[str], exact: set[str]) -> None:
         new_after, new_exact = list(after - self.after.keys()), list(exact - self.exact.keys())
         if self.known + len(new_after) + len(new_exact) > CACHED and self.known > len(self.special):
-            self._clear()
+            self.clear()
             new_after, new_exact = list(after), list(exact - self.exact.keys())
-        for known, new, before in ((self.after, new_after, " "), (self.exact, new_exact, "")):
-            known.update(zip(new, range(self.known, self.known + len(new))))
-            self._encode([before + p for p in new] if before else new)
+        self.after.update(zip(new_after, range(self.known, self.known + len(new_after))))
+        self._encode([p[1:] if p[:1] == MARK else " " + p for p in new_after])
+        self.exact.update(zip(new_exact, range(self.known, self.known + len(new_exact))))
+        self._encode(new_exact)
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text ends."""
-        cut = [t.split(" ") for t in texts]
+        cut = [STOPS.sub(f" {MARK}\\1", t).split(" ") for t in texts]
         words = set().union(*cut)
         blank = {w for w in words if not w or w[0].isspace()}
-        odd = [any(s in t for s in self.special) or (bool(blank) and not blank.isdisjoint(c[1:])) for t, c in zip(texts, cut)]
+        odd = [MARK in t or any(s in t for s in self.special) or (bool(blank) and not blank.isdisjoint(c[1:])) for t, c in zip(texts, cut)]
         exact = {c[0] for c, o in zip(cut, odd) if not o}
         if any(odd):
             words = set().union(*(c for c, o in zip(cut, odd) if not o))
@@ -247,21 +258,15 @@ class Encoder:
                     cut[i] = [w for k, p in enumerate(pieces) for w in ([p] if k % 2 else WORDS.findall(p))]
                     exact.update(cut[i])
         self._learn(words, exact)
-        numbers, ends = [], []
         get, first = self.after.__getitem__, self.exact.__getitem__
-        for c, o in zip(cut, odd):
-            if o:
-                numbers.extend(map(first, c))
-            else:
-                numbers.append(first(c[0]))
-                numbers.extend(map(get, c[1:]))
-            ends.append(len(numbers))
-        part = np.array(numbers, np.int64)
+        numbers = chain.from_iterable(map(first, c) if o else chain((first(c[0]),), map(get, c[1:])) for c, o in zip(cut, odd))
+        ends = np.cumsum([len(c) for c in cut])
+        part = np.fromiter(numbers, np.int64, int(ends[-1]) if len(ends) else 0)
         starts = self.starts[part]
         sizes = self.starts[part + 1] - starts
         stops = np.cumsum(sizes)
         at = np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - (stops - sizes), sizes)
-        return self.ids[at], np.concatenate([[0], stops])[ends]
+        return self.ids[at], np.concatenate([[0], stops])[ends.astype(np.int64)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
@@ -295,7 +300,8 @@ def token_pieces(df: DataFrame, key: str, text: str, tokenizer: str, capacity: i
     last = array("I", [end]).tobytes()
 
     def run(batches):
-        flat = encoder(shared.value).flat
+        known = encoder(shared.value)
+        flat = known.flat
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in steps(texts):
@@ -316,5 +322,6 @@ def token_pieces(df: DataFrame, key: str, text: str, tokenizer: str, capacity: i
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=schema.fieldNames())
+        known.clear()
 
     return rows.mapInArrow(run, schema)
