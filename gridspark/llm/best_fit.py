@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import shared_table, steps
+from .columns import bounded_batches, shared_table, steps
 
 CAPACITY = 2048
 
@@ -294,6 +294,7 @@ def token_pieces(df: DataFrame, key: str, text: str, tokenizer: str, capacity: i
     """
     with open(tokenizer, encoding="utf-8") as file:
         shared = df.sparkSession.sparkContext.broadcast(file.read())  # a file of fixed size
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text"))
     schema = T.StructType([rows.schema[0], *(T.StructField(n, k) for n, k in (
         ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())))])

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from ..session import checkpoint_root
 
 # Characters of text that one step of a numpy kernel takes; a longer text is a step by itself.
 STEP_CHARS = 1 << 20
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def steps(texts: list[str | None], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
@@ -29,6 +30,15 @@ def steps(texts: list[str | None], limit: int = STEP_CHARS) -> Iterator[tuple[in
         yield start, len(texts)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch to BATCH_ROWS, if the session allows more.
+
+    A batch stands in memory several times, in the executor and in its Python worker, and rows of text are long.
+    """
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def computed(df: DataFrame, inputs: list[str | Column], outputs: list[T.StructField],
              make: Callable[[], Callable[..., list]], keep: list[str] | None = None) -> DataFrame:
     """Append columns computed in Python from Arrow batches.
@@ -37,6 +47,7 @@ def computed(df: DataFrame, inputs: list[str | Column], outputs: list[T.StructFi
     ``keep`` names the columns to carry (default: all). A carried column whose name equals an output, in any
     case, is replaced by the output.
     """
+    bounded_batches(df.sparkSession)
     names = {f.name.lower() for f in outputs}
     carried = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     hidden = [f"__llm_in{i}" for i in range(len(inputs))]
