@@ -9,20 +9,20 @@ its run by its rank among the pieces of its length, so the corpus is packed as a
 
 from __future__ import annotations
 
-import re
 from array import array
 from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import bounded_batches, shared_table, steps
+from .columns import STEP_CHARS, bounded_batches, shared_table, steps
 
 CAPACITY = 2048
 
@@ -167,10 +167,13 @@ def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY, sequen
 # A stop right behind a letter begins a word of the split pattern. It is set off before a text is cut at its blanks, under a
 # mark that says that no blank stood there; these letters are the same in every Unicode version.
 MARK = "\ue000"
-STOPS = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([,.;:!?])")
+STOPS, SET_OFF = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([,.;:!?])", f"\\1 {MARK}\\2"
 # Fixed value: the published split pattern of byte-level BPE.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+SPACED = r"^($|[\t-\r\x1c-\x1f\x{85}\p{Z}])"  # nothing, or white space first
 CACHED = 400_000
+CHARS = 4 * STEP_CHARS  # text of one step, so that few words are looked up twice
+JOINED = 4096  # words that the library encodes in one call
 # Fixed value: the published letters of bytes; those that print stand for themselves, the others follow from 256 on.
 _PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTERS = {b: chr(b) if b in _PRINTS else chr(256 + k) for k, b in enumerate(
@@ -181,11 +184,12 @@ _encoders: dict[int, "Encoder"] = {}
 class Encoder:
     """Token ids of whole texts, by the tokenizers library.
 
-    Byte-level BPE never merges across its words, and a blank before another character always starts one. So a text
-    is cut at its blanks and stops, and equal parts are encoded once, by the library's model: a part has a number, and its ids stand in one flat array. A text
-    becomes the numbers of its parts, and all texts of a step are gathered from that array at once. The array is begun
-    anew when it holds CACHED parts. A text with white space after a blank or with a special token in it is cut by the split
-    pattern itself.
+    Byte-level BPE never merges across its words, and a blank before another character always starts one. So texts
+    are cut at their blanks and stops by Arrow, which also numbers their distinct parts. Parts are encoded once: those
+    behind a blank stand in one string for the library, and a token that begins with the letter of the blank begins the
+    next part. The ids of all parts stand in one flat array, from which the texts of a step are gathered at once. The
+    array is begun anew when it holds CACHED parts. A text with white space after a blank or with a special token in it
+    is cut by the split pattern itself.
     """
 
     def __init__(self, definition: str):
@@ -196,6 +200,9 @@ class Encoder:
         self.model.no_padding()
         self.special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
         self.bpe = self.model.model.tokenize
+        vocabulary = self.model.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)  # tokens that begin with a blank
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(LETTERS[32])]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -232,41 +239,75 @@ class Encoder:
             ends.append(len(flat))
         self._store(np.array(flat, np.uint32), np.diff(np.array(ends, np.int64), prepend=0))
 
-    def _learn(self, after: set[str], exact: set[str]) -> None:
-        new_after, new_exact = list(after - self.after.keys()), list(exact - self.exact.keys())
+    def _encode_after(self, words: list[str]) -> None:
+        """Encode and store words behind one blank each; words hold no blank and do not begin with white space."""
+        for a in range(0, len(words), JOINED):
+            some = [" " + w for w in words[a:a + JOINED]]
+            ids = np.array(self.model.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) == len(some):
+                self._store(ids, np.diff(first, append=len(ids)))
+            else:  # a definition that joins words over blanks
+                self._encode(some)
+
+    def _learn(self, after: list[str], exact: set[str]) -> None:
+        new_after, new_exact = [w for w in after if w not in self.after], list(exact - self.exact.keys())
         if self.known + len(new_after) + len(new_exact) > CACHED and self.known > len(self.special):
             self.clear()
-            new_after, new_exact = list(after), list(exact - self.exact.keys())
-        self.after.update(zip(new_after, range(self.known, self.known + len(new_after))))
-        self._encode([p[1:] if p[:1] == MARK else " " + p for p in new_after])
+            new_after, new_exact = after, list(exact - self.exact.keys())
+        plain, marked = [w for w in new_after if w[0] != MARK], [w for w in new_after if w[0] == MARK]
+        self.after.update(zip(plain, range(self.known, self.known + len(plain))))
+        self._encode_after(plain)
+        self.after.update(zip(marked, range(self.known, self.known + len(marked))))
+        self._encode([w[1:] for w in marked])
         self.exact.update(zip(new_exact, range(self.known, self.known + len(new_exact))))
         self._encode(new_exact)
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text ends."""
-        cut = [STOPS.sub(f" {MARK}\\1", t).split(" ") for t in texts]
-        words = set().union(*cut)
-        blank = {w for w in words if not w or w[0].isspace()}
-        odd = [MARK in t or any(s in t for s in self.special) or (bool(blank) and not blank.isdisjoint(c[1:])) for t, c in zip(texts, cut)]
-        exact = {c[0] for c, o in zip(cut, odd) if not o}
-        if any(odd):
-            words = set().union(*(c for c, o in zip(cut, odd) if not o))
-            pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-            for i, o in enumerate(odd):
-                if o:
-                    pieces = pattern.split(texts[i]) if pattern else [texts[i]]
-                    cut[i] = [w for k, p in enumerate(pieces) for w in ([p] if k % 2 else WORDS.findall(p))]
-                    exact.update(cut[i])
-        self._learn(words, exact)
-        get, first = self.after.__getitem__, self.exact.__getitem__
-        numbers = chain.from_iterable(map(first, c) if o else chain((first(c[0]),), map(get, c[1:])) for c, o in zip(cut, odd))
-        ends = np.cumsum([len(c) for c in cut])
-        part = np.fromiter(numbers, np.int64, int(ends[-1]) if len(ends) else 0)
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        column = pa.array(texts, pa.large_string())
+        cut = pc.split_pattern(pc.replace_substring_regex(column, STOPS, SET_OFF), " ")
+        coded = cut.values.dictionary_encode()
+        word, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        bounds = cut.offsets.to_numpy()
+        leads, sizes = bounds[:-1], np.diff(bounds)  # every text has a first part, which follows no blank
+        blank = pc.match_substring_regex(coded.dictionary, SPACED).to_numpy(zero_copy_only=False)[word]
+        blank[leads] = False
+        odd = np.logical_or.reduceat(blank, leads)
+        for mark in (MARK, *self.special):
+            odd |= pc.match_substring(column, mark).to_numpy(zero_copy_only=False)
+        use = np.repeat(~odd, sizes)
+        use[leads] = False
+        used = np.zeros(len(words), bool)
+        used[word[use]] = True
+        after, heads = words[used].tolist(), words[word[leads[~odd]]].tolist()
+        exact = set(heads)
+        pieces = {i: self._pieces(texts[i]) for i in np.flatnonzero(odd).tolist()}
+        exact.update(chain.from_iterable(pieces.values()))
+        self._learn(after, exact)
+        number = np.zeros(len(words), np.int64)
+        number[used] = np.fromiter(map(self.after.__getitem__, after), np.int64, len(after))
+        part = number[word]
+        part[leads[~odd]] = [self.exact[h] for h in heads]
+        if pieces:
+            parts = np.split(part, bounds[1:-1])
+            for i, found in pieces.items():
+                parts[i] = np.array([self.exact[w] for w in found], np.int64)
+                sizes[i] = len(found)
+            part = np.concatenate(parts)
         starts = self.starts[part]
-        sizes = self.starts[part + 1] - starts
-        stops = np.cumsum(sizes)
-        at = np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - (stops - sizes), sizes)
-        return self.ids[at], np.concatenate([[0], stops])[ends.astype(np.int64)]
+        lengths = self.starts[part + 1] - starts
+        stops = np.cumsum(lengths)
+        at = np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - (stops - lengths), lengths)
+        return self.ids[at], np.concatenate([[0], stops])[np.cumsum(sizes)]
+
+    def _pieces(self, text: str) -> list[str]:
+        """Special tokens and words of the split pattern, in order."""
+        pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        found = pattern.split(text) if pattern else [text]
+        return [w for k, p in enumerate(found) for w in ([p] if k % 2 else WORDS.findall(p))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
@@ -305,7 +346,7 @@ def token_pieces(df: DataFrame, key: str, text: str, tokenizer: str, capacity: i
         flat = known.flat
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in steps(texts):
+            for a, b in steps(texts, CHARS):
                 at, piece, start, length, crc = [], [], [], [], []
                 ids, ends = flat([t or "" for t in texts[a:b]])
                 raw, low = memoryview(ids.astype("<u4").tobytes()), 0
