@@ -270,6 +270,33 @@ def test_norm_topk_against_brute_force(spark):
     assert got == want
 
 
+def test_norm_topk_sends_only_buckets_that_are_long_enough(spark, monkeypatch):
+    for name, size in (("BUCKET_ROWS", 32), ("QUERY_ROWS", 8), ("CELL_BUCKETS", 2), ("CELL_BLOCKS", 1)):
+        monkeypatch.setattr(norm_topk, name, size)
+    draw = np.random.default_rng(5)
+    flat = np.abs(draw.normal(size=(1000, 6))) + 0.5
+    flat /= np.linalg.norm(flat, axis=1)[:, None]
+    skewed = flat * np.exp(draw.normal(size=1000) * 1.5)[:, None]
+    met = {}
+    for name, x in (("flat", flat), ("skewed", skewed), ("negative", np.concatenate([skewed[:950], -skewed[950:], np.zeros((1, 6))]))):
+        df = vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))])
+        asked = df.where("vec_id % 10 = 0")
+        buckets = norm_topk.packed(df, "vec_id", "embedding", 256.0, 32)
+        blocks = norm_topk._with_floors(norm_topk.packed(asked, "vec_id", "embedding", 256.0, 8), buckets, 5)
+        met[name] = norm_topk.meets(blocks, buckets).count() / (buckets.count() * blocks.count())
+        v = np.floor(256 * x.astype(np.float32).astype(float)).astype(np.int64)
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in norm_topk.top_products(df, "vec_id", "embedding", asked).collect()}
+        want = {}
+        for q in range(0, len(x), 10):
+            s = v @ v[q]
+            order = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:5]
+            want.update({(q, k + 1): (int(i), int(s[i])) for k, i in enumerate(order)})
+        assert got == want, name
+    assert met["flat"] == 1 and met["skewed"] < 0.25  # no length tells unit vectors apart; long tails are not sent
+    assert norm_topk.top_products(df.where("vec_id < 0"), "vec_id", "embedding", asked).count() == 0
+    assert norm_topk.top_products(df, "vec_id", "embedding", asked.where("vec_id < 0")).count() == 0
+
+
 def shingles(text):
     words = (text or "").encode().lower().split()
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
