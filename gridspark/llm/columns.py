@@ -39,6 +39,20 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
+def handing_back(run: Callable) -> Callable:
+    """``run`` over Arrow batches; what it no longer uses goes back to the system after each batch and at its end.
+
+    Workers stay for later tasks, and an allocator keeps what it once had.
+    """
+    def lent(batches):
+        for batch in run(batches):
+            yield batch
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return lent
+
+
 def computed(df: DataFrame, inputs: list[str | Column], outputs: list[T.StructField],
              make: Callable[[], Callable[..., list]], keep: list[str] | None = None) -> DataFrame:
     """Append columns computed in Python from Arrow batches.

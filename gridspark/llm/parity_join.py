@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import computed, shared_table, steps
+from .columns import computed, handing_back, shared_table, steps
 from .components import components
 
 WORDS = 5
@@ -49,6 +49,8 @@ def mix(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+# Characters whose words are hashed at once; a longer text is a step by itself.
+SHINGLE_CHARS = 1 << 19
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +172,7 @@ def emissions(shingles: np.ndarray, cls: int) -> list[tuple[int, int, np.ndarray
 
 def _described(texts: list[str | None], ids: list) -> list[list]:
     n, cls, sketch, marks, needs = [], [], [], [], []
-    for a, b in steps(texts):
+    for a, b in steps(texts, SHINGLE_CHARS):
         for s in shingle_sets(texts[a:b]):
             c = class_hash(s)
             made = emissions(s, c)
@@ -193,7 +195,7 @@ def _keys(documents: DataFrame, text: str, buckets: int) -> DataFrame:
             texts = batch.column(0).to_pylist()
             for a, b in steps(texts, 1 << 22):
                 seen, marks, sizes, keys = set(), [], [], []
-                for s in (s for i, j in steps(texts[a:b]) for s in shingle_sets(texts[a + i:a + j])):
+                for s in (s for i, j in steps(texts[a:b], SHINGLE_CHARS) for s in shingle_sets(texts[a + i:a + j])):
                     c = class_hash(s)
                     if c not in seen:  # copies within a step go once
                         seen.add(c)
@@ -226,9 +228,9 @@ def _keys(documents: DataFrame, text: str, buckets: int) -> DataFrame:
                                                      names=["key", "mark"])
 
     packed = documents.select(F.col(f"`{text}`").alias("t")).mapInArrow(
-        pack, "bucket int, keys binary, owners binary, marks binary")
+        handing_back(pack), "bucket int, keys binary, owners binary, marks binary")
     # The bucket is the number of its task; a hash of it would put several buckets into one task and none into others.
-    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(unpack, "key bigint, mark bigint").sortWithinPartitions("key", "mark")
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(handing_back(unpack), "key bigint, mark bigint").sortWithinPartitions("key", "mark")
 
 
 def _shared_keys(batches):
@@ -269,7 +271,7 @@ class JaccardJoin:
         """Links (a, b) between classes that join all that are connected."""
         total = self.described.agg(F.sum("n")).first()[0] or 0
         buckets = max(1, int(total * 0.6 * 12 / BUCKET_BYTES), int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        shared = shared_table(_keys(self.rows, "t", buckets).mapInArrow(_shared_keys, "key bigint, mark bigint"))
+        shared = shared_table(_keys(self.rows, "t", buckets).mapInArrow(handing_back(_shared_keys), "key bigint, mark bigint"))
         classes = self.described.where("n > 0").groupBy("cls").agg(
             F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
             F.first("marks").alias("marks"), F.first("needs").alias("needs"))
@@ -350,7 +352,7 @@ class JaccardJoin:
                                 out_b.append(np.maximum(c1[i], c2[at]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
-        return meets.mapInArrow(compare, "a bigint, b bigint").distinct()
+        return meets.mapInArrow(handing_back(compare), "a bigint, b bigint").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs of classes that link: sketches first, then whole sets."""
@@ -366,12 +368,12 @@ class JaccardJoin:
                 good = np.array([7 * distance(p.as_py(), q.as_py()) <= t for p, q, t in zip(x, y, total)], bool)
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good))
 
-        close = shared_table(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a bigint, b bigint"))
+        close = shared_table(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(handing_back(near), "a bigint, b bigint"))
         wanted = close.select(F.col("a").alias("cls")).union(close.select("b")).distinct().join(
             self.classes.select("cls", "rep"), "cls")
         texts = self.rows.join(wanted, F.col("id") == F.col("rep")).select("cls", "t").dropDuplicates(["cls"])
         sets = shared_table(computed(texts, ["t"], [T.StructField("s", T.BinaryType())], lambda: lambda t: [
-            [s.tobytes() for a, b in steps(t) for s in shingle_sets(t[a:b])]], ["cls"]))
+            [s.tobytes() for a, b in steps(t, SHINGLE_CHARS) for s in shingle_sets(t[a:b])]], ["cls"]))
 
         def exact(batches):
             for batch in batches:
@@ -385,7 +387,7 @@ class JaccardJoin:
 
         joined = close.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("s_a")), "a").join(
             sets.select(F.col("cls").alias("b"), F.col("s").alias("s_b")), "b").select("a", "b", "s_a", "s_b")
-        return shared_table(joined.mapInArrow(exact, "a bigint, b bigint"))
+        return shared_table(joined.mapInArrow(handing_back(exact), "a bigint, b bigint"))
 
 
 def jaccard_components(documents: DataFrame, key: str, text: str) -> DataFrame:
