@@ -18,10 +18,10 @@ def plain_store(spark):
 
 def test_keyed_state_under_the_default_store(spark, plain_store, tmp_path):
     rows = spark.range(8).select(
-        F.lit("a").alias("key"), F.timestamp_seconds("id").alias("time"), (F.col("id") * 1_000_000).alias("t_us"),
+        F.lit("a").alias("key"), F.timestamp_seconds(F.col("id") + 86_400).alias("time"), ((F.col("id") + 86_400) * 1_000_000).alias("t_us"),
         F.col("id").alias("event_id"), (F.col("id") % 4 != 3).alias("slow"))
     rows.write.parquet(str(tmp_path / "waits"))
     source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "waits"))
     out, checkpoint = runs.run_closed(source, "time", telemetry.slow_run_stream)
-    assert sorted(map(tuple, out.collect())) == [("a", 3, 0, 2_000_000), ("a", 3, 4_000_000, 6_000_000)]
+    assert sorted(map(tuple, out.collect())) == [("a", 3, 86_400_000_000, 86_402_000_000), ("a", 3, 86_404_000_000, 86_406_000_000)]
     assert runs.stored_state(spark, checkpoint, "state").count() == 0
