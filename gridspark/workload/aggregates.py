@@ -8,7 +8,7 @@ from ..operators import kernels, pyramid as P, quantiles as Q, regrid as G, requ
 from ..plans import benchmarks, convection, quality
 from .joins import fixed_starts
 from .registry import query
-from .views import BYTES, CELLS, REQ, SKY, TEL, linear, r6, srgb, step, with_
+from .views import BYTES, CELLS, REQ, SKY, TEL, linear, r6, spread, srgb, step, with_
 
 
 @query("d1_mip_reduce", with_(BYTES) + f"""select grid_id, y >> 1 as y, x >> 1 as x,
@@ -54,7 +54,7 @@ def kernel_sql(n: int, m: int, name: str, axis: str, support: float, f: str) ->
     return f"""{name}_d as (select t, unnest(range(greatest(0, floor((t + 0.5e0) * {s} - {support} * {k} + 0.5e0)::int),
       least({n}, floor((t + 0.5e0) * {s} + {support} * {k} + 0.5e0)::int))) as s from (select unnest(range({m})) as t) z),
 {name}_w as (select t, s, {f} as w from (select t, s, abs((s + 0.5e0 - (t + 0.5e0) * {s}) / {k}) as q from {name}_d) z),
-{name} as (select t, s, w / sum(w) over (partition by t) as w from {name}_w)"""
+{name} as (select t, s, w / sum(w) over (partition by t) as w, count(*) over (partition by t) as n from {name}_w where w <> 0)"""
 
 
 LANCZOS = "case when q = 0 then 1e0 when q < 3 then sin(pi() * q) / (pi() * q) * sin(pi() * q / 3) / (pi() * q / 3) else 0 end"
@@ -63,9 +63,9 @@ CUBIC = "case when q < 1 then (1.5e0 * q - 2.5e0) * q * q + 1 when q < 2 then ((
 
 def resize_sql(kernel: str, support: float) -> str:
     return "with " + CELLS + ",\n" + kernel_sql(160, 96, "wy", "y", support, kernel) + ",\n" + \
-        kernel_sql(200, 128, "wx", "x", support, kernel) + """,
-r as (select grid_id, wy.t as y, x, sum(v * w) as v from cells join wy on y = s group by 1, 2, 3)
-select grid_id, y::int as y, wx.t::int as x, round(sum(v * w), 6) + 0e0 as v from r join wx on x = s group by 1, 2, 3"""
+        kernel_sql(200, 128, "wx", "x", support, kernel) + f""",
+r as (select grid_id, wy.t as y, x, {spread('v')} as v from cells join wy on y = s group by 1, 2, 3)
+select grid_id, y::int as y, wx.t::int as x, round({spread('v')}, 6) + 0e0 as v from r join wx on x = s group by 1, 2, 3"""
 
 
 @query("d4_resize_lanczos", resize_sql(LANCZOS, 3))

@@ -93,9 +93,14 @@ def linear(byte: str) -> str:
     return f"(case when {s} <= 0.04045e0 then {s} / 12.92e0 else pow(({s} + 0.055e0) / 1.055e0, 2.4e0) end)"
 
 
+def spread(band: str) -> str:
+    """The weighted sum of the taps of a target; NULL unless all ``n`` of them are there."""
+    return f"case when count({band}) = max(n) then sum({band} * w) end"
+
+
 def srgb(x: str) -> str:
     c = f"greatest(0e0, least(1e0, {x}))"
-    return f"(case when {c} <= 0.0031308e0 then {c} * 12.92e0 else 1.055e0 * pow({c}, 1e0 / 2.4e0) - 0.055e0 end)"
+    return f"(case when ({x}) is null then null when {c} <= 0.0031308e0 then {c} * 12.92e0 else 1.055e0 * pow({c}, 1e0 / 2.4e0) - 0.055e0 end)"
 
 
 def solar(t: str) -> dict[str, str]:
