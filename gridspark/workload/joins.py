@@ -10,7 +10,7 @@ from ..operators.grids import dense_grid
 from ..plans import benchmarks, fuse
 from .registry import query
 from .scans import grid_layers
-from .views import BYTES, CELLS, ELE, OBS, REQ, SKY, TEL, clip, r6, with_
+from .views import BYTES, CELLS, ELE, OBS, REQ, SKY, TEL, clip, r6, spread, with_
 
 HOUR = timefn.HOUR_US
 CHUNK_US = timefn.CHUNK_US
@@ -64,8 +64,8 @@ wy as (select ty, cast(least(158, floor(p)) as int) as y, 1 - (p - least(158, fl
 rx as (select tx, greatest(0e0, least(199e0, ((tx + 0.5e0) * 3e0) / 1.8e0 - 0.5e0)) as p from tx),
 wx as (select tx, cast(least(198, floor(p)) as int) as x, 1 - (p - least(198, floor(p))) as w from rx
   union all select tx, cast(least(198, floor(p)) as int) + 1, p - least(198, floor(p)) from rx),
-a as (select grid_id, ty, x, case when count(albedo) = count(*) then sum(albedo * w) end as v from sky join wy using (y) group by 1, 2, 3),
-b as (select grid_id, ty, tx, case when count(v) = count(*) then sum(v * w) end as v from a join wx using (x) group by 1, 2, 3)
+a as (select grid_id, ty, x, case when count(albedo) = 2 then sum(albedo * w) end as v from sky join wy using (y) group by 1, 2, 3),
+b as (select grid_id, ty, tx, case when count(v) = 2 then sum(v * w) end as v from a join wx using (x) group by 1, 2, 3)
 select g.grid_id, ty.ty::int as y, tx.tx::int as x, round(b.v, 6) + 0e0 as albedo
 from (select distinct grid_id from sky) g, ty, tx left join b on b.grid_id = g.grid_id and b.ty = ty.ty and b.tx = tx.tx""")
 def c3(spark, d):
@@ -122,7 +122,7 @@ def c5(spark, d):
 
 @query("c6_nodes_to_centres", with_(CELLS) + """, c as (
   select grid_id, a.y + dy as y, (a.x + dx + 200) % 200 as x, v from cells a, (values (0), (-1)) as q(dy), (values (0), (-1)) as p(dx))
-select grid_id, y::int as y, ((x + 100) % 200)::int as x, round(sum(v) / 4, 6) + 0e0 as v from c where y between 0 and 158 group by 1, 2, 3""")
+select grid_id, y::int as y, ((x + 100) % 200)::int as x, round(case when count(v) = 4 then sum(v) / 4 end, 6) + 0e0 as v from c where y between 0 and 158 group by 1, 2, 3""")
 def c6(spark, d):
     return G.nodes_to_centres(A.cells(spark, d), "v", A.W, A.H).withColumn("v", N.r6("v"))
 
@@ -192,13 +192,13 @@ def c10(spark, d):
         "event_id", seams.sector_of((F.col("event_id") * 13 % 3600) / 10.0 - 180.0).alias("sector"))
 
 
-@query("c11_area_overlap", with_(CELLS) + """,
-wy as (select t, s, (least((t + 1) * 2.5e0, s + 1e0) - greatest(t * 2.5e0, s)) / 2.5e0 as w from (
+@query("c11_area_overlap", with_(CELLS) + f""",
+wy as (select t, s, (least((t + 1) * 2.5e0, s + 1e0) - greatest(t * 2.5e0, s)) / 2.5e0 as w, count(*) over (partition by t) as n from (
   select t, unnest(range(floor(t * 2.5e0)::int, ceil((t + 1) * 2.5e0)::int)) as s from (select unnest(range(64)) as t) a) b),
-wx as (select t, s, (least((t + 1) * 3.125e0, s + 1e0) - greatest(t * 3.125e0, s)) / 3.125e0 as w from (
+wx as (select t, s, (least((t + 1) * 3.125e0, s + 1e0) - greatest(t * 3.125e0, s)) / 3.125e0 as w, count(*) over (partition by t) as n from (
   select t, unnest(range(floor(t * 3.125e0)::int, ceil((t + 1) * 3.125e0)::int)) as s from (select unnest(range(64)) as t) a) b),
-r as (select grid_id, wy.t as y, x, sum(v * w) as v from cells join wy on y = s group by 1, 2, 3)
-select grid_id, y::int as y, wx.t::int as x, round(sum(v * w), 6) + 0e0 as v from r join wx on x = s group by 1, 2, 3""")
+r as (select grid_id, wy.t as y, x, {spread('v')} as v from cells join wy on y = s group by 1, 2, 3)
+select grid_id, y::int as y, wx.t::int as x, round({spread('v')}, 6) + 0e0 as v from r join wx on x = s group by 1, 2, 3""")
 def c11(spark, d):
     return G.regrid_area(A.cells(spark, d), ["v"], (A.H, A.W), (64, 64)).withColumn("v", N.r6("v"))
 
