@@ -9,7 +9,7 @@ from ..operators import kernels as K, ordered, regrid as G, seams, tracks
 from ..plans import benchmarks
 from .joins import SEAMS, fixed_starts
 from .registry import query
-from .views import BYTES, CELLS, ELE, GEN, IDX, OBS, SKY, TEL, r6, with_
+from .views import BYTES, CELLS, ELE, GEN, IDX, OBS, SKY, TEL, r6, spread, with_
 
 
 @query("e1_lead_byte_range", with_(IDX) + """select file_id, line_no, name, start_byte,
@@ -23,9 +23,11 @@ def e1(spark, d):
 
 @query("e2_polar_lowpass", with_(CELLS) + """,
 rows as (select grid_id, y, greatest(1, round_even(least(1e0 / greatest(cos(radians(90e0 - (y + 0.5e0) * 1.125e0)), 1e-6), 100e0), 0)::int) as k,
-  list(v order by x) as r from cells group by 1, 2),
-turned as (select grid_id, y, k, r, list_concat(r, r, r) as r3, unnest(range(200)) as x from rows)
-select grid_id, y, x::int as x, round(case when k < 2 then r[x + 1] else list_avg(r3[x + 201 - k // 2:x + 200 - k // 2 + k]) end, 6) + 0e0 as v from turned""")
+  list(v order by x) as r, list(here order by x) as h from (
+    select g.grid_id, g.y, q.x, c.v, c.x is not null as here from (select distinct grid_id, y from cells) g
+    cross join (select unnest(range(200)) as x) q left join cells c on c.grid_id = g.grid_id and c.y = g.y and c.x = q.x) f group by 1, 2),
+turned as (select grid_id, y, k, r, h, list_concat(r, r, r) as r3, unnest(range(200)) as x from rows)
+select grid_id, y, x::int as x, round(case when k < 2 then r[x + 1] else list_avg(r3[x + 201 - k // 2:x + 200 - k // 2 + k]) end, 6) + 0e0 as v from turned where h[x + 1]""")
 def e2(spark, d):
     return K.polar_lowpass(A.cells(spark, d), ["v"], A.H, A.W).withColumn("v", N.r6("v"))
 
@@ -191,14 +193,15 @@ def e14(spark, d):
 
 
 def spline_sql(n: int, m: int, name: str) -> str:
-    return f"""{name} as (select t, greatest(0, least({n - 1}, s)) as s, sum(case when q < 1 then (4 - 6 * q * q + 3 * q * q * q) / 6 else pow(2 - q, 3e0) / 6 end) as w from (
+    return f"""{name} as (select t, greatest(0, least({n - 1}, s)) as s, sum(case when q < 1 then (4 - 6 * q * q + 3 * q * q * q) / 6 else pow(greatest(0, 2 - q), 3e0) / 6 end) as w,
+      count(*) over (partition by t) as n from (
       select t, floor(p)::int + k as s, abs(p - floor(p) - k) as q from (select t, (t + 0.5e0) * {n}e0 / {m}e0 - 0.5e0 as p from (select unnest(range({m})) as t) z) a, (values (-1), (0), (1), (2)) as b(k)) c
-      where q < 2 group by 1, 2)"""
+      group by 1, 2)"""
 
 
 @query("e15_bspline_upsampled", with_(CELLS) + """, low as (select grid_id, floor(y / 8)::int as y, floor(x / 8)::int as x, avg(v) as v from cells group by 1, 2, 3),
-""" + spline_sql(20, 60, "wy") + ", " + spline_sql(25, 75, "wx") + """, r as (select grid_id, wy.t as y, x, sum(v * w) as v from low join wy on y = s group by 1, 2, 3)
-select grid_id, y::int as y, wx.t::int as x, round(sum(v * w), 6) + 0e0 as v from r join wx on x = s group by 1, 2, 3""")
+""" + spline_sql(20, 60, "wy") + ", " + spline_sql(25, 75, "wx") + f""", r as (select grid_id, wy.t as y, x, {spread('v')} as v from low join wy on y = s group by 1, 2, 3)
+select grid_id, y::int as y, wx.t::int as x, round({spread('v')}, 6) + 0e0 as v from r join wx on x = s group by 1, 2, 3""")
 def e15(spark, d):
     low = G.block_mean(A.cells(spark, d), ["v"], 8, A.H, A.W)
     return G.separable(low, G.bspline_weights(20, 60), G.bspline_weights(25, 75), ["v"]).withColumn("v", N.r6("v"))
