@@ -17,8 +17,8 @@ FEATHER, EDGE = 28.0, (72.7, 70.5)
 
 
 def byte_round(c: Column) -> Column:
-    """A resampled byte: nearest, halves up, free of the noise of the weighted sum."""
-    return F.floor(F.round(F.greatest(F.lit(0.0), F.least(F.lit(255.0), c)), 6) + 0.5)
+    """A resampled byte: nearest, halves up, free of the noise of the weighted sum. NULL stays NULL."""
+    return F.floor(F.round(clip(c, 0.0, 255.0), 6) + 0.5)
 
 
 def upsample(fields: DataFrame, bands: list[str], source: tuple[int, int], target: tuple[int, int]) -> DataFrame:

@@ -13,7 +13,7 @@ from .aggregates import CUBIC, kernel_sql
 from .kernels import blur_sql, dilate_sql
 from .registry import query
 from .scalars import oval_sql, storm_oval
-from .views import BYTES, CELLS, OBS, SKY, clip, cosz, r6, step, with_
+from .views import BYTES, CELLS, OBS, SKY, clip, cosz, r6, spread, step, with_
 
 COMPOSITES = f"""m as (select (t_us - t_us % 3600000000)::bigint as run_us, y, x, lat, lon,
     min(cnt) filter (product = 'VIS' and cnt > 0 and cnt <= 255) as vis, min(cnt) filter (product = 'LW' and cnt >= 0 and cnt < 255) as ir
@@ -76,30 +76,27 @@ def k3(spark, d):
 
 LOW_MODEL = """lo0 as (select grid_id, floor(y / 8)::int as y, floor(x / 8)::int as x, round_even(greatest(0e0, least(1e0, avg(model))) * 255e0, 0) as model,
   round_even(greatest(0e0, least(1e0, avg(low))) * 255e0, 0) as low from sky group by 1, 2, 3)"""
-UP = kernel_sql(20, 160, "uy", "y", 2, CUBIC) + ", " + kernel_sql(25, 200, "ux", "x", 2, CUBIC) + """,
-up1 as (select grid_id, uy.t as y, x, sum(model * w) as model, sum(low * w) as low from lo0 join uy on y = s group by 1, 2, 3),
-up2 as (select grid_id, y::int as y, ux.t::int as x, sum(model * w) as model, sum(low * w) as low from up1 join ux on x = s group by 1, 2, 3),
-up as (select grid_id, y, x, floor(round(greatest(0e0, least(255e0, model)), 6) + 0.5e0) / 255e0 as gfs, floor(round(greatest(0e0, least(255e0, low)), 6) + 0.5e0) / 255e0 as lowc from up2)"""
+UP = kernel_sql(20, 160, "uy", "y", 2, CUBIC) + ", " + kernel_sql(25, 200, "ux", "x", 2, CUBIC) + f""",
+up1 as (select grid_id, uy.t as y, x, {spread('model')} as model, {spread('low')} as low from lo0 join uy on y = s group by 1, 2, 3),
+up2 as (select grid_id, y::int as y, ux.t::int as x, {spread('model')} as model, {spread('low')} as low from up1 join ux on x = s group by 1, 2, 3),
+up as (select grid_id, y, x, floor(round({clip('model', '0e0', '255e0')}, 6) + 0.5e0) / 255e0 as gfs, floor(round({clip('low', '0e0', '255e0')}, 6) + 0.5e0) / 255e0 as lowc from up2)"""
 COVER = f"""src as (select grid_id, y, x, case when ir is null then 255e0 else 0e0 end as v from sky),
 {blur_sql('src', 28.0)},
-cv0 as (select bal.*, gfs, lowc, abs(90e0 - (y + 0.5e0) * 1.125e0) as alat, floor(round(greatest(0e0, least(255e0, by2.v)), 6) + 0.5e0) / 255e0 as feather
-  from bal join by2 using (grid_id, y, x) join up using (grid_id, y, x)),
+cv0 as (select bal.*, gfs, coalesce(lowc, gfs) as lowc, abs(90e0 - (y + 0.5e0) * 1.125e0) as alat, floor(round(greatest(0e0, least(255e0, by2.v)), 6) + 0.5e0) / 255e0 as feather
+  from bal join by2 using (grid_id, y, x) left join up using (grid_id, y, x)),
 cv1 as (select *, {step('0.02e0', '0.45e0', 'excess')} as vis, {step('0.10e0', '0.34e0', 'cosine')} as dayw,
   coalesce(ir_night, ir_day, 65e0 + 60e0 * pow(alat / 72e0, 2e0)) as cold from cv0),
 cv2 as (select *, coalesce(ir_day, cold) as warm from cv1),
 cv3 as (select *, coalesce(greatest({step('16e0', '60e0', 'ir - cold')}, dayw * coalesce({step('0e0', '0.02e0', 'excess')}, 0) * {step('16e0', '60e0', 'ir - warm')}), 0) as infra from cv2),
 cv4 as (select *, dayw * case when vis is not null then greatest(vis, 0.85e0 * infra) else infra end + (1 - dayw) * greatest(infra, 0.8e0 * lowc) as seen,
   greatest(case when ir is null then 1e0 else 0e0 end, least(1e0, 2 * feather)) as fill from cv3),
-cv as (select grid_id, y, x, ir, cold, {step('72.7e0', '70.5e0', 'alat')} * (fill * gfs + (1 - fill) * seen) + (1 - {step('72.7e0', '70.5e0', 'alat')}) * gfs as cover,
+cv as (select grid_id, y, x, ir, cold, case when gfs is null then case when ir is not null then seen end else {step('72.7e0', '70.5e0', 'alat')} * (fill * gfs + (1 - fill) * seen) + (1 - {step('72.7e0', '70.5e0', 'alat')}) * gfs end as cover,
   case when ir is null then 0.3e0 * gfs else {step('90e0', '215e0', 'ir')} end as coldness from cv4)"""
 COVER_VIEWS = (SKY, EXCESS, balance_sql("ex", "excess", "bal"), LOW_MODEL, UP, COVER)
 
 
-PARTIAL = COVER.replace("join up using (grid_id, y, x))", """left join (
-    select grid_id, y, x, case when x < 150 then gfs end as gfs, coalesce(case when x < 100 then lowc end, case when x < 150 then gfs end) as lowc
-    from up where y < 140) up using (grid_id, y, x))""").replace(
-    "cv as (select grid_id, y, x, ir, cold, ", "cv as (select grid_id, y, x, ir, cold, case when gfs is null then case when ir is not null then seen end else ").replace(
-    " * gfs as cover,", " * gfs end as cover,")
+PARTIAL = COVER.replace("left join up using (grid_id, y, x)", """left join (
+    select grid_id, y, x, case when x < 150 then gfs end as gfs, case when x < 100 then lowc end as lowc from up where y < 140) up using (grid_id, y, x)""")
 
 
 def cloud_cells(spark, d, partial: bool = False):
