@@ -52,9 +52,10 @@ def relief_levels(frame: DataFrame, source: tuple[int, int], target: tuple[int,
 
 
 def block_rows(cells: DataFrame, layers: dict[int, tuple[str, int]], height: int, width: int, block: int = 4) -> DataFrame:
-    """(grid_id, layer, mip, y, w, h, block_bytes, payload): stored rows of coded blocks, as a block map holds them.
+    """(grid_id, layer, mip, y, w, h, block_bytes, payload, columns): stored rows of coded blocks, as a block map holds them.
 
     ``layers`` maps an id to (byte band, bytes of a block); the code of a block is its first texels, row by row.
+    Absent blocks are not stored: ``columns`` lists those that are, in order, and is NULL where a row is whole.
     """
     bands = F.array(*[F.struct(F.lit(i).alias("layer"), F.lit(n).alias("block_bytes"), F.col(b).alias("v")) for i, (b, n) in layers.items()])
     texels = cells.select(*KEY, F.inline(bands)).withColumn("p", (F.col("y") % block) * block + F.col("x") % block).where("p < block_bytes")
@@ -62,8 +63,9 @@ def block_rows(cells: DataFrame, layers: dict[int, tuple[str, int]], height: int
     rows = texels.groupBy("grid_id", "layer", "block_bytes", F.floor(F.col("y") / block).cast("int").alias("y")).agg(
         F.array_sort(F.collect_list(place)).alias("t"))  # a row of one grid
     payload = F.unhex(F.array_join(F.transform("t", lambda t: t["h"]), ""))
+    columns = F.array_distinct(F.transform("t", lambda t: t["bx"].cast("int")))
     return rows.select("grid_id", "layer", F.lit(0).alias("mip"), "y", F.lit(width // block).alias("w"), F.lit(height // block).alias("h"),
-                       "block_bytes", payload.alias("payload"))
+                       "block_bytes", payload.alias("payload"), F.when(F.size(columns) < width // block, columns).alias("columns"))
 
 
 def retile_blocks(rows: DataFrame, tile: int, gutter: int) -> DataFrame:
@@ -72,7 +74,8 @@ def retile_blocks(rows: DataFrame, tile: int, gutter: int) -> DataFrame:
     ``rows`` is as ``block_rows`` gives it: a row of ``w`` blocks of ``block_bytes`` each, one of ``h``. A padded tile is
     ``tile`` blocks and a gutter of ``gutter`` on every side, in blocks. It takes one slice of bytes from each of its rows:
     x wraps round, so a slice is cut from as many turns of the row as it needs, and y repeats the edge, so the first and the
-    last row are taken more than once. Slices are moved once, to their tile.
+    last row are taken more than once. Slices are moved once, to their tile. Where a row lists its ``columns``, blocks it does
+    not hold are left out of the slice.
     """
     span = tile + 2 * gutter
     y, h, w = F.col("y"), F.col("h"), F.col("w")
@@ -85,8 +88,15 @@ def retile_blocks(rows: DataFrame, tile: int, gutter: int) -> DataFrame:
     out = out.withColumn("tx", F.explode(F.sequence(F.lit(0), F.floor((w - 1) / tile).cast("int"))))
     start = F.pmod(F.col("tx") * tile - gutter, w)
     turns = F.aggregate(F.sequence(F.lit(1), F.ceil((start + span) / w).cast("int")), F.lit(b""), lambda held, _: F.concat(held, F.col("payload")))
+    size = F.col("block_bytes")
+    whole_slice = F.substring(turns, (start * size + 1).cast("int"), (F.lit(span) * size).cast("int"))
+    if "columns" in rows.columns:
+        at_column = lambda i: F.array_position("columns", F.pmod(start + i, w).cast("int")).cast("int")
+        held = F.filter(F.transform(F.sequence(F.lit(0), F.lit(span - 1)), at_column), lambda p: p > 0)
+        present = F.aggregate(held, F.lit(b""), lambda cut, p: F.concat(cut, F.substring("payload", (p - 1) * size + 1, size)))
+        whole_slice = F.when(F.col("columns").isNull(), whole_slice).otherwise(present)
     slices = out.select(*[c for c in ("grid_id", "layer", "mip", "ty", "tx")], F.sequence(low, high).alias("_rows"),
-                        F.substring(turns, (start * F.col("block_bytes") + 1).cast("int"), (F.lit(span) * F.col("block_bytes")).cast("int")).alias("_bytes"))
+                        whole_slice.alias("_bytes"))
     tiles = slices.groupBy("grid_id", "layer", "mip", "ty", "tx").agg(F.array_sort(F.collect_list(F.struct(
         F.element_at("_rows", 1).alias("at"), F.size("_rows").alias("many"), "_bytes"))).alias("_s"))  # a slice a row of the tile
     whole = F.aggregate("_s", F.lit(b""), lambda held, s: F.aggregate(

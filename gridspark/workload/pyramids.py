@@ -8,12 +8,12 @@ from ..plans import audits, bake
 from .kernels import NORMAL
 from .predicates import LAYERS, layer_rows
 from .registry import query
-from .views import BYTES, CELLS, TEL, linear, srgb, with_
+from .views import BYTES, CELLS, TEL, linear, spread, srgb, with_
 
 
 def area_sql(n: int, m: int, name: str) -> str:
     r = f"({n}e0 / {m}e0)"
-    return f"""{name} as (select t, s, (least((t + 1) * {r}, s + 1e0) - greatest(t * {r}, s)) / {r} as w from (
+    return f"""{name} as (select t, s, (least((t + 1) * {r}, s + 1e0) - greatest(t * {r}, s)) / {r} as w, count(*) over (partition by t) as n from (
       select t, unnest(range(floor(t * {r})::int, ceil((t + 1) * {r})::int)) as s from (select unnest(range({m})) as t) a) b)"""
 
 
@@ -32,8 +32,8 @@ lt as (select grid_id, y, x, {linear('r')} as r, {linear('g')} as g, {linear('b'
   case when case when greatest(r, g, b) <= 24 and b >= r then true when elev is null then false
     else elev < -5 and not (r > 120 and r > b + 30) and not (r > 150 and g > 150 and b > 150) end then 255e0 else 0e0 end as mask from e),
 {area_sql(160, 64, 'wy')}, {area_sql(200, 128, 'wx')},
-a1 as (select grid_id, wy.t as y, x, sum(r * w) as r, sum(g * w) as g, sum(b * w) as b, sum(mask * w) as mask from lt join wy on y = s group by 1, 2, 3),
-a2 as (select grid_id, y, wx.t as x, sum(r * w) as r, sum(g * w) as g, sum(b * w) as b, sum(mask * w) as mask from a1 join wx on x = s group by 1, 2, 3),
+a1 as (select grid_id, wy.t as y, x, {spread('r')} as r, {spread('g')} as g, {spread('b')} as b, {spread('mask')} as mask from lt join wy on y = s group by 1, 2, 3),
+a2 as (select grid_id, y, wx.t as x, {spread('r')} as r, {spread('g')} as g, {spread('b')} as b, {spread('mask')} as mask from a1 join wx on x = s group by 1, 2, 3),
 m0 as (select grid_id, 0 as mip, y, x, floor(round({srgb('r')} * 255e0, 6) + 0.5e0)::int as r, floor(round({srgb('g')} * 255e0, 6) + 0.5e0)::int as g,
   floor(round({srgb('b')} * 255e0, 6) + 0.5e0)::int as b, floor(round(mask, 6) + 0.5e0)::int as mask from a2),
 m1 as (select grid_id, 1 as mip, y >> 1 as y, x >> 1 as x, floor({srgb('avg(' + linear('r') + ')')} * 255e0 + 0.5e0)::int as r, floor({srgb('avg(' + linear('g') + ')')} * 255e0 + 0.5e0)::int as g,
@@ -47,10 +47,10 @@ def k10(spark, d):
 
 RELIEF = f"""ev as (select grid_id, y, x, greatest(0e0, v * 9000e0) as h from cells),
 {area_sql(160, 80, 'wy')}, {area_sql(200, 100, 'wx')},
-a1 as (select grid_id, wy.t as y, x, sum(h * w) as h from ev join wy on y = s group by 1, 2, 3),
-a2 as (select grid_id, y, wx.t as x, sum(h * w) as h from a1 join wx on x = s group by 1, 2, 3),
+a1 as (select grid_id, wy.t as y, x, {spread('h')} as h from ev join wy on y = s group by 1, 2, 3),
+a2 as (select grid_id, y, wx.t as x, {spread('h')} as h from a1 join wx on x = s group by 1, 2, 3),
 nb as (select c.grid_id, c.y, c.x, c.h, e.h as e, w.h as w, s.h as s, n.h as n from a2 c
-  join a2 e on e.grid_id = c.grid_id and e.y = c.y and e.x = (c.x + 1) % 100 join a2 w on w.grid_id = c.grid_id and w.y = c.y and w.x = (c.x + 99) % 100
+  left join a2 e on e.grid_id = c.grid_id and e.y = c.y and e.x = (c.x + 1) % 100 left join a2 w on w.grid_id = c.grid_id and w.y = c.y and w.x = (c.x + 99) % 100
   left join a2 s on s.grid_id = c.grid_id and s.x = c.x and s.y = c.y + 1 left join a2 n on n.grid_id = c.grid_id and n.x = c.x and n.y = c.y - 1),
 g as (select grid_id, y, x, 40e0 * (e - w) / (2 * greatest(100e0, 6378137e0 * cos(radians(90e0 - (y + 0.5e0) * 2.25e0)) * 2 * pi() / 100)) as dx,
   40e0 * (coalesce(n, h) - coalesce(s, h)) / ((case when s is null then 0 else 1 end + case when n is null then 0 else 1 end) * 6378137e0 * pi() / 80) as dy from nb),
