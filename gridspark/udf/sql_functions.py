@@ -105,25 +105,38 @@ def weighted_median(value: pd.Series, weight: pd.Series) -> float:
     return float(value.to_numpy()[order][np.searchsorted(total, 0.5 * total[-1])])
 
 
+PIECE_BYTES = 16 << 20
+
+
 @pandas_udf(T.LongType())
 def fnv1a32_large(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """32-bit FNV-1a of binary payloads of any length; NULL for NULL.
 
-    The hash takes one byte after another, so all payloads of a batch take their k-th byte together, the longest first.
+    The hash takes one byte after another, so payloads take their k-th byte together, the longest first. Payloads of a batch
+    go in pieces of about PIECE_BYTES, so what is copied does not grow with the batch; only a single longer one goes beyond.
     """
     for batch in payloads:
-        known = batch.dropna()
+        known = batch[batch.notna()]
+        out = np.zeros(len(known), np.int64)
         size = known.map(len).to_numpy(np.int64)
         order = np.argsort(-size, kind="stable")
-        size = size[order]
-        data = np.frombuffer(b"".join(known.iloc[k] for k in order), np.uint8).astype(np.uint64)
-        start, state = np.cumsum(size) - size, np.full(len(size), 2166136261, np.uint64)
-        live = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")  # payloads with a k-th byte
-        for k, many in enumerate(live.tolist()):
-            state[:many] = ((state[:many] ^ data[start[:many] + k]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
-        out = pd.Series(pd.NA, index=batch.index, dtype="Int64")
-        out.loc[known.index[order]] = state.astype(np.int64)
-        yield out
+        piece = (np.cumsum(size[order]) - 1) // PIECE_BYTES
+        for part in np.split(order, np.flatnonzero(np.diff(piece)) + 1):
+            out[part] = _fnv1a32([known.iloc[k] for k in part])
+        hashes = pd.Series(pd.NA, index=batch.index, dtype="Int64")
+        hashes.loc[known.index] = out
+        yield hashes
+
+
+def _fnv1a32(payloads: list[bytes]) -> np.ndarray:
+    """The hashes of payloads in order of falling length."""
+    size = np.fromiter(map(len, payloads), np.int64, len(payloads))
+    data = np.frombuffer(b"".join(payloads), np.uint8)
+    start, state = np.cumsum(size) - size, np.full(len(size), 2166136261, np.uint64)
+    live = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")  # payloads with a k-th byte
+    for k, many in enumerate(live.tolist()):
+        state[:many] = ((state[:many] ^ data[start[:many] + k]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    return state.astype(np.int64)
 
 
 def register(spark: SparkSession) -> None:
