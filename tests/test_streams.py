@@ -25,3 +25,20 @@ def test_keyed_state_under_the_default_store(spark, plain_store, tmp_path):
     out, checkpoint = runs.run_closed(source, "time", telemetry.slow_run_stream)
     assert sorted(map(tuple, out.collect())) == [("a", 3, 86_400_000_000, 86_402_000_000), ("a", 3, 86_404_000_000, 86_406_000_000)]
     assert runs.stored_state(spark, checkpoint, "state").count() == 0
+
+
+def test_state_has_a_part_a_core(spark, tmp_path):
+    before = spark.conf.get(runs.PARTITIONS)
+    spark.conf.set(runs.PARTITIONS, "40")
+    try:
+        rows = spark.range(6).select((F.col("id") % 3).alias("object_id"), F.timestamp_seconds(F.col("id") + 86_400).alias("time"),
+                                     ((F.col("id") + 86_400) * 1_000_000).alias("t_us"), F.col("id").alias("event_id"))
+        rows.write.parquet(str(tmp_path / "attempts"))
+        source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "attempts"))
+        out, checkpoint = runs.run_closed(source, "time", lambda r: telemetry.throttle_stream(r, 10_000_000))
+        assert sorted(r["event_id"] for r in out.collect()) == [0, 1, 2]
+        parts = spark.read.format("state-metadata").load(checkpoint).select("numPartitions").distinct().collect()
+        assert [r[0] for r in parts] == [min(40, spark.sparkContext.defaultParallelism)]
+        assert spark.conf.get(runs.PARTITIONS) == "40"  # the session keeps its own setting
+    finally:
+        spark.conf.set(runs.PARTITIONS, before)
