@@ -3,6 +3,10 @@
 Each text becomes a short vector of surface features. Pairs of a preferred and a rejected document give feature
 differences d, and the weights w maximise the sum of log sigmoid(w . d): a document is preferred in proportion to
 exp(w . x). The cut between keeping and rejecting is a quantile of the scores of the training documents.
+
+All pairs of all labelled documents count. The chance of a pair depends on its two margins w . x alone, so each Newton
+step adds up counts, features and their products by bins of the margin, and pairs bins instead of documents: the work of
+a step grows with the documents, and the driver sees no more than the bins.
 """
 
 from __future__ import annotations
@@ -10,15 +14,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import computed
+from ..operators.quantiles import exact_percentiles
+from .columns import computed, shared_table
 
-# Bounds of the training set; everything else sees all rows.
-SAMPLE_DOCUMENTS = 20_000
-SAMPLE_PAIRS = 200_000
+# Bins of the margin: documents of one bin are paired at their mean margin, and the outer bins are open.
+STEPS, BINS = 16, 1024
 CUT = 0.3  # the score that stands for the quantile
 _FEATURES = 14
 
@@ -61,32 +66,73 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(margin + np.log(CUT / (1 - CUT)), -500, 500)))
 
 
-def fit_pairs(good: np.ndarray, bad: np.ndarray, pairs: int = SAMPLE_PAIRS, ridge: float = 1e-3, rounds: int = 50,
-              seed: int = 7) -> QualityModel:
-    """Bradley-Terry weights by Newton steps on the logistic loss of feature differences of up to ``pairs`` pairs.
+def _binned(table: DataFrame, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sums over all rows of ``table`` (y, features) by side (rejected, preferred) and bin of the margin.
 
-    The cut is the quantile of all training scores at the share of rejected documents. Without a document on both
-    sides the weights and the cut are zero, so that every document gets the neutral score CUT.
+    They are the count, the margin, the scaled features and their products; [2, BINS, 2 + n + n * n].
+    """
+    n = len(weights)
+    wide = 2 + n + n * n
+
+    def add(batches):
+        for batch in batches:
+            z = (batch.column("features").flatten().to_numpy().reshape(-1, n) - mean) / scale
+            margin = z @ weights
+            place = np.clip(np.floor(margin * STEPS).astype(np.int64) + BINS // 2, 0, BINS - 1)
+            place += BINS * (batch.column("y").to_numpy() > 0)
+            yield place, np.column_stack([np.ones(len(z)), margin, z, (z[:, :, None] * z[:, None, :]).reshape(-1, n * n)])
+
+    def merge(pairs):
+        total, seen = np.zeros((2 * BINS, wide)), np.zeros(2 * BINS, bool)
+        for place, values in pairs:
+            np.add.at(total, place, values)
+            seen[place] = True
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found].tolist(), pa.list_(pa.float64()))], ["bin", "sums"])
+
+    def sums(batches):
+        return ((b.column("bin").to_numpy(), b.column("sums").flatten().to_numpy().reshape(-1, wide)) for b in batches if b.num_rows)
+
+    schema = "bin bigint, sums array<double>"
+    parts = table.mapInArrow(lambda b: merge(add(b)), schema)
+    rows = parts.repartition("bin").mapInArrow(lambda b: merge(sums(b)), schema).toArrow()
+    out = np.zeros((2 * BINS, wide))
+    np.add.at(out, rows["bin"].to_numpy(), np.array(rows["sums"].to_pylist(), float).reshape(-1, wide))
+    return out.reshape(2, BINS, wide)
+
+
+def fit_pairs(table: DataFrame, ridge: float = 1e-3, rounds: int = 50) -> QualityModel:
+    """Bradley-Terry weights by Newton steps on the logistic loss of the feature differences of all pairs in ``table``.
+
+    ``table`` is (y, features) with y above 0 for preferred documents. The cut is the quantile of all training scores at
+    the share of rejected documents. Without a document on both sides the weights and the cut are zero, so that every
+    document gets the neutral score CUT. Means and weights are rounded, for the order of a sum depends on the tasks.
     """
-    both = np.concatenate([good, bad]) if len(good) + len(bad) else np.zeros((1, _FEATURES))
-    mean, scale = both.mean(0), both.std(0)
-    scale[scale < 1e-9] = 1.0
-    weights = np.zeros(both.shape[1])
-    if not len(good) or not len(bad):
+    weights, n = np.zeros(_FEATURES), _FEATURES
+    raw = _binned(table, weights, np.ones(n), weights).sum(1)
+    bad, good = int(raw[0, 0]), int(raw[1, 0])
+    first, second = raw[:, 2:2 + n].sum(0) / max(bad + good, 1), np.diag(raw[:, 2 + n:].sum(0).reshape(n, n)) / max(bad + good, 1)
+    spread = second - first * first
+    mean, scale = first.round(9), np.where(spread < 1e-12, 1.0, np.sqrt(np.maximum(spread, 1e-12))).round(9)
+    if not good or not bad:
         return QualityModel(mean, scale, weights, 0.0)
-    draw = np.random.default_rng(seed)
-    d = (good[draw.integers(0, len(good), pairs)] - bad[draw.integers(0, len(bad), pairs)]) / scale
     for _ in range(rounds):
-        chance = 1 / (1 + np.exp(-np.clip(d @ weights, -30, 30)))
-        slope = d.T @ (1 - chance) / pairs - ridge * weights
-        bend = (d * (chance * (1 - chance))[:, None]).T @ d / pairs + ridge * np.eye(len(weights))
+        (cb, mb, zb, qb), (cg, mg, zg, qg) = (
+            (s[:, 0], s[:, 1] / s[:, 0], s[:, 2:2 + n], s[:, 2 + n:]) for s in (
+                side[side[:, 0] > 0] for side in _binned(table, mean, scale, weights)))
+        chance = 1 / (1 + np.exp(-np.clip(mg[:, None] - mb[None, :], -30, 30)))
+        lost, bent = 1 - chance, chance * (1 - chance)
+        cross = zg.T @ bent @ zb
+        slope = ((lost @ cb) @ zg - (cg @ lost) @ zb) / good / bad - ridge * weights
+        bend = (((bent @ cb) @ qg + (cg @ bent) @ qb).reshape(n, n) - cross - cross.T) / good / bad + ridge * np.eye(n)
         move = np.linalg.solve(bend, slope)
-        weights += move * min(1.0, 2.0 / (np.abs(move).max() + 1e-12))
-        if np.abs(move).max() < 1e-6:
+        weights = (weights + move * min(1.0, 2.0 / (np.abs(move).max() + 1e-12))).round(9)
+        if np.abs(move).max() < 1e-4:  # below it, rows that change their bin move the weights as much
             break
-    margins = ((both - mean) / scale) @ weights
-    ordered, share = np.sort(margins), len(bad)
-    return QualityModel(mean, scale, weights, float((ordered[share - 1] + ordered[share]) / 2))
+    margins = computed(table, ["features"], [T.StructField("margin", T.DoubleType())],
+                       lambda: lambda x: [((np.array(x, float).reshape(-1, n) - mean) / scale) @ weights], ["y"])
+    cut = exact_percentiles(margins, [], "margin", {"cut": (bad - 0.5) / (bad + good - 1)}).first()["cut"]
+    return QualityModel(mean, scale, weights, float(cut))
 
 
 def feature_table(df: DataFrame, key: str, text: str, extra: list[str] = ()) -> DataFrame:
@@ -95,22 +141,17 @@ def feature_table(df: DataFrame, key: str, text: str, extra: list[str] = ()) ->
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-                label: str = "quality", documents_bound: int = SAMPLE_DOCUMENTS) -> QualityModel:
-    """Learn from labelled documents, at most ``documents_bound`` of them, taken by the hash of their id.
+                label: str = "quality") -> QualityModel:
+    """Learn from all labelled documents.
 
     NULL ids, labels and unmatched rows are left out; of several labels of one document the least counts. A document
-    without text is learned as an empty one. Only features of the bounded sample reach the driver.
+    without text is learned as an empty one. The features of all ``documents`` are written to the shared folder and
+    joined there, so no text is shuffled.
     """
-    chosen = (labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").alias("y")).where(
+    named = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").alias("y")).where(
         "k is not null and y is not null").groupBy("k").agg(F.min("y").alias("y"))
-        .orderBy(F.xxhash64("k"), "k").limit(documents_bound))
-    rows = documents.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "k")
-    table = feature_table(rows, "k", "t", ["y"]).select("k", "y", "features").toArrow()
-    x = np.array(table["features"].to_pylist(), float).reshape(-1, _FEATURES)
-    y, k = table["y"].to_numpy(), table["k"].to_numpy()
-    order = np.lexsort((*x.T[::-1], k))  # one order, however the tasks were dealt
-    x, y = x[order], y[order]
-    return fit_pairs(x[y > 0], x[y <= 0])
+    rows = documents.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("k is not null")
+    return fit_pairs(shared_table(feature_table(rows, "k", "t").join(named, "k").select("y", "features")))
 
 
 def score_quality(df: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None,

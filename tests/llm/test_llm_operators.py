@@ -109,6 +109,23 @@ def test_chat_parts_and_round_trip(spark):
     assert chat_format.format_conversations(rows.where("c < 0"), "c", "t", "r", "p").count() == 0
 
 
+def test_quality_pairs_are_all_pairs(spark):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(240, quality._FEATURES))
+    y = (x[:, 0] - x[:, 1] + draw.normal(size=240) > 0).astype(int)
+    table = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y)], "y int, features array<double>")
+    model = quality.fit_pairs(table)
+    z = (x - x.mean(0)) / x.std(0)
+    d = (z[y > 0][:, None] - z[y <= 0][None]).reshape(-1, quality._FEATURES)
+    w = np.zeros(quality._FEATURES)
+    for _ in range(30):  # the same Newton steps on each pair
+        p = 1 / (1 + np.exp(-d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), d.T @ (1 - p) / len(d) - 1e-3 * w)
+    assert np.abs(model.weights - w).max() < 2e-3
+    ordered, bad = np.sort(((x - model.mean) / model.scale) @ model.weights), int((y <= 0).sum())
+    assert abs(model.cut - (ordered[bad - 1] + ordered[bad]) / 2) < 1e-9
+
+
 def test_quality_ranking(spark):
     random.seed(2)
     words = [f"word{i}" for i in range(300)]
