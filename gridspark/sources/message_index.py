@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import neighbour
@@ -20,10 +20,13 @@ def scan_index(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path).select("file_id", "line_no", F.col("line").alias("text")).where(F.col("text") != "")
 
 
-def _with_end(lines: DataFrame) -> DataFrame:
-    """Fields and byte range of each line; the last line of a file has no end and is dropped."""
-    fields = F.split("text", ":")
-    parsed = lines.select("file_id", "line_no", fields.alias("f"), fields[1].cast("bigint").alias("start_byte"))
+def _with_end(lines: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """The byte range of each line and ``fields`` of its parts ``f``; the last line of a file has no end and is dropped.
+
+    Lines are sorted and joined on the way, so only what the caller asks for goes along, and no text or list of parts.
+    """
+    parts = lines.select("file_id", "line_no", F.split("text", ":").alias("f"))
+    parsed = parts.select("file_id", "line_no", F.col("f")[1].cast("bigint").alias("start_byte"), *[c.alias(n) for n, c in fields.items()])
     ranged = neighbour(parsed, ["file_id"], ["line_no"], CHUNK_LINES, {"_next": F.col("start_byte")})
     return ranged.where(F.col("_next").isNotNull()).withColumn("end_byte", F.col("_next") - 1).drop("_next")
 
@@ -48,7 +51,7 @@ def message_ranges(lines: DataFrame, wanted: list[tuple[str, str, str]]) -> Data
     The range ends before the next line of any kind, so the successor is found before the filter.
     """
     table = literal_table(lines.sparkSession, wanted, "variable string, level string, name string")
-    parsed = _with_end(lines).withColumns({"variable": F.col("f")[3], "level": F.col("f")[4]})
+    parsed = _with_end(lines, {"variable": F.col("f")[3], "level": F.col("f")[4]})
     found = parsed.join(table, ["variable", "level"])
     return _complete(found, sorted({name for _, _, name in wanted}))
 
@@ -57,7 +60,7 @@ def aerosol_ranges(lines: DataFrame) -> DataFrame:
     """Byte ranges of total-aerosol optical depth at the three wanted wavelengths."""
     table = literal_table(lines.sparkSession, list(WAVELENGTHS), "low string, name string")
     f = F.col("f")
-    parsed = _with_end(lines).where(
-        (F.size(f) > 8) & (F.get(f, F.lit(3)) == "AOTK") & (F.get(f, F.lit(6)) == "aerosol=Total aerosol"))
+    total = (F.size(f) > 8) & (F.get(f, F.lit(3)) == "AOTK") & (F.get(f, F.lit(6)) == "aerosol=Total aerosol")
     low = F.regexp_replace(F.split(F.get(f, F.lit(8)), ",")[0], "^aerosol_wavelength >=", "")
-    return _complete(parsed.withColumn("low", low).join(table, "low"), [name for _, name in WAVELENGTHS])
+    parsed = _with_end(lines, {"low": F.when(total, low)})
+    return _complete(parsed.join(table, "low"), [name for _, name in WAVELENGTHS])
