@@ -11,6 +11,8 @@ from .lines import numbered_lines
 
 # Lines per chunk of an ordered scan; an index file is far shorter.
 CHUNK_LINES = 100_000
+# Line numbers that go to a table function in one row.
+PACKED_LINES = 1000
 # The wanted aerosol wavelengths by band.
 WAVELENGTHS = (("4.3e-07", "aod440"), ("5.45e-07", "aod550"), ("6.2e-07", "aod645"))
 
@@ -20,6 +22,13 @@ def scan_index(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path).select("file_id", "line_no", F.col("line").alias("text")).where(F.col("text") != "")
 
 
+def packed_lines(lines: DataFrame, most: int = PACKED_LINES) -> DataFrame:
+    """Lines as rows of up to ``most`` line numbers each: their texts in order, parted by line feeds, at the first number."""
+    parts = lines.groupBy("file_id", F.floor(F.col("line_no") / most).alias("_part")).agg(
+        F.min("line_no").alias("line_no"), F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("_l"))
+    return parts.select("file_id", "line_no", F.array_join("_l.text", "\n").alias("text"))
+
+
 def _with_end(lines: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """The byte range of each line and ``fields`` of its parts ``f``; the last line of a file has no end and is dropped.
 

@@ -9,6 +9,7 @@ from ..functions.text import element_checksum, element_line_ok
 from ..operators import pyramid as P
 from ..operators.quantiles import exact_percentiles
 from ..plans import quality
+from ..sources import message_index
 from ..udf import sql_functions
 from .registry import query
 from .scalars import CODES
@@ -63,7 +64,7 @@ select file_id, n as line_no, name, start_byte, lead(start_byte) over (partition
 qualify lead(start_byte) over (partition by file_id order by line_no) is not null""")
 def j3(spark, d):
     sql_functions.register(spark)
-    return spark.sql("select * from index_ranges(table(select * from {lines}))", lines=A.index_lines(spark, d))
+    return spark.sql("select * from index_ranges(table(select * from {lines}))", lines=message_index.packed_lines(A.index_lines(spark, d)))
 
 
 @query("j3_element_table_function", ELEMENT_SETS)

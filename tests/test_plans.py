@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridspark import adapters as A
 from gridspark.operators import asof
 from gridspark.plans import aurora, bake, clouds, composites, convection, model, quality
+from gridspark.sources import message_index
 from gridspark.udf import sql_functions
 from test_operators import grid_frame, to_array
 
@@ -125,6 +126,22 @@ def test_sql_surface(spark):
     assert sorted((r.file_id, r.line_no, r.name, r.start_byte, r.end_byte) for r in out) == [(7, 1, "A", 0, 99), (7, 2, "B", 100, 249)]
 
 
+def test_packed_index_lines(spark):
+    sql_functions.register(spark)
+    rows = [(f, i, f"{i}:{100 * i}:d:N{i % 3}:l:anl:" if i != 4 else "") for f in (3, 5) for i in range(7)] + [(9, 0, "0:0:d:Z:l:anl:"), (9, 1, None)]
+    lines = spark.createDataFrame(rows, "file_id int, line_no int, text string")
+    packed = message_index.packed_lines(lines, 3)
+    assert packed.count() == 7
+    one, many = (sorted(map(tuple, spark.sql("select * from index_ranges(table(select * from {lines}))", lines=df).collect())) for df in (lines, packed))
+    assert one == many and len(many) == 10 and many[0] == (3, 1, "N0", 0, 99)
+
+
+def test_index_lines_go_along_without_their_text(spark):
+    lines = spark.createDataFrame([(1, 0, "0:0:d:A"), (1, 1, "1:50:d:B")], "file_id int, line_no int, text string")
+    out = message_index._with_end(lines, {"name": F.col("f")[3]})
+    assert out.columns == ["file_id", "line_no", "start_byte", "name", "end_byte"] and tuple(out.first()) == (1, 0, 0, "A", 49)
+
+
 def test_long_hashes_take_whole_payloads(spark):
     payloads = [b"", b"a", "É\0".encode() * 50, None, bytes(range(256)) * 40]
 
