@@ -1,5 +1,7 @@
 """Streams in sessions that did not set up a state store."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +44,21 @@ def test_state_has_a_part_a_core(spark, tmp_path):
         assert spark.conf.get(runs.PARTITIONS) == "40"  # the session keeps its own setting
     finally:
         spark.conf.set(runs.PARTITIONS, before)
+
+
+def test_streams_started_side_by_side(spark, plain_store):
+    """A thread that has started its stream does not take the store away from another that is about to."""
+    left, seen = threading.Event(), []
+
+    def other():
+        with runs.keyed_state(spark):
+            left.wait(60)
+            seen.append(spark.conf.get(runs.PROVIDER))
+
+    thread = threading.Thread(target=other)
+    with runs.keyed_state(spark):
+        thread.start()
+        thread.join(2)  # without turns it is inside by now
+    left.set()
+    thread.join(60)
+    assert seen == [runs.ROCKSDB] and spark.conf.get(runs.PROVIDER) == runs.PLAIN
