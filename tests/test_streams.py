@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.streaming import runs, telemetry
+from gridspark.streaming import observations, runs, sources, telemetry
 
 
 @pytest.fixture
@@ -62,3 +62,13 @@ def test_streams_started_side_by_side(spark, plain_store):
     left.set()
     thread.join(60)
     assert seen == [runs.ROCKSDB] and spark.conf.get(runs.PROVIDER) == runs.PLAIN
+
+
+def test_retention_of_records_without_place_or_hour(spark, tmp_path):
+    """A product without any hour has nothing to retain; records without a place are one place more."""
+    schema, path = "product string, place long, hour_us long", str(tmp_path / "products")
+    spark.createDataFrame([("clouds", None, 5), ("clouds", None, 7), ("clouds", 0, 3), ("clouds", 1, None), ("clouds", 2, 9), ("clouds", 2, None)],
+                          schema).coalesce(1).write.parquet(path)
+    _, checkpoint = runs.run_available(observations.retained_stream(sources.file_stream(spark, path, schema), {"clouds": 24.0}), "update")
+    held = runs.stored_state(spark, checkpoint, "clouds").select("key.place", "key.known", "value.value.hour_us").collect()
+    assert sorted(map(tuple, held)) == [(0, False, 7), (0, True, 3), (2, True, 9)]
