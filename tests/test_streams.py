@@ -72,3 +72,17 @@ def test_retention_of_records_without_place_or_hour(spark, tmp_path):
     _, checkpoint = runs.run_available(observations.retained_stream(sources.file_stream(spark, path, schema), {"clouds": 24.0}), "update")
     held = runs.stored_state(spark, checkpoint, "clouds").select("key.place", "key.known", "value.value.hour_us").collect()
     assert sorted(map(tuple, held)) == [(0, False, 7), (0, True, 3), (2, True, 9)]
+
+
+def test_absent_waits_end_runs(spark, tmp_path):
+    """A run ended by an absent wait comes out when a fast one has come, and is held until then."""
+    day = 86_400
+    waits = [(k, day + i, None if w == "?" else w == "s") for k, all_ in (("a", "sss?ssf?sss"), ("b", "sss?ssss?s"), ("c", "???")) for i, w in enumerate(all_)]
+    rows = spark.createDataFrame(waits, "key string, s long, slow boolean").select(
+        "key", F.timestamp_seconds("s").alias("time"), (F.col("s") * 1_000_000).alias("t_us"), F.col("s").alias("event_id"), "slow")
+    rows.coalesce(1).write.parquet(str(tmp_path / "waits"))
+    out, checkpoint = runs.run_closed(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "waits")), "time", telemetry.slow_run_stream)
+    us = lambda i: (day + i) * 1_000_000
+    assert sorted(map(tuple, out.collect())) == [("a", 3, us(0), us(2))]
+    state = runs.stored_state(spark, checkpoint, "state").select("key.key", "value.*").collect()
+    assert sorted(map(tuple, state)) == [("a", 3, us(8), us(10), []), ("b", 1, us(9), us(9), [3, us(0), us(2), 4, us(4), us(7)])]
